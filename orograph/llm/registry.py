@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("license_scan", "byte_bpe", "secret_scan")
+MODULES = ("license_scan", "byte_bpe", "secret_scan", "language_id")
 
 
 def queries() -> dict[str, Callable]:
