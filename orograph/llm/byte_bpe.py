@@ -256,7 +256,7 @@ class Encoder:
         first = np.searchsorted(at, resets)
         stops, out = np.append(at[1:], len(joined)), []
         words = [joined[i:j] for i, j in zip(at.tolist(), stops.tolist(), strict=True)]
-        unknown = set(words) - self.cache.keys()
+        unknown = {w for w in set(words) if w not in self.cache}
         if unknown:
             if len(self.cache) + len(unknown) > CACHE_PIECES:
                 unknown = set(words)

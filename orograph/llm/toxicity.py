@@ -138,10 +138,10 @@ class Scorer:
         """Number of tokens, and the positions and scores of those above zero."""
         words = WORD.findall((text or "").lower())
         cache = self.cache
-        if unknown := set(words) - cache.keys():
+        if unknown := [w for w in set(words) if w not in cache]:
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-                unknown = set(words)
+                unknown = list(set(words))
             cache.update((w, self.model.token(w)) for w in unknown)
         return len(words), [(i, s) for i, s in enumerate([cache[w] for w in words]) if s > 0]
 
