@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("license_scan", "byte_bpe", "secret_scan", "language_id", "toxicity")
+MODULES = ("license_scan", "html_extract", "byte_bpe", "secret_scan", "language_id", "toxicity")
 
 
 def queries() -> dict[str, Callable]:

@@ -36,8 +36,9 @@ from orograph.llm.common import crc_mod, map_rows, slices, table
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Bound of the labelled sample; weight of a prior; credible bound in standard deviations; score of a token without evidence.
-MAX_ROWS, PRIOR, BOUND, DRIFT, HIGHEST = 40_000, 10.0, 1.64, 0.25, 6.0
+MAX_ROWS, PRIOR, BOUND, DRIFT, HIGHEST = 40_000, 10.0, 4.0, 0.25, 6.0
 LEAST_TOXIC = 3  # toxic rows that a feature needs to score above zero
+PER_WORD = 2
 CACHE_WORDS = 200_000
 
 
@@ -46,20 +47,30 @@ def features(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in reversed(PREFIXES) if len(word) > k]]
 
 
-def count_features(rows: DataFrame) -> list:
-    """(feature, toxic rows, clean rows) of rows (text, label); summed in each task first. Rows out are bounded by the sample's vocabulary."""
+def count_features(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    """feature: (toxic rows, clean rows) of rows (text, label).
+
+    A prefix counts each of its words ``PER_WORD`` times at most, so that it
+    stands for many words and not for a single frequent one. Tasks sum before
+    the shuffle; what reaches the driver is bounded by the sample's vocabulary.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for part in slices(batch, 0):
                 for text, label in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for f in {f for w in set(WORD.findall((text or "").lower())) for f in features(w)}:
-                        counts.setdefault(f, [0, 0])[label] += 1
+                    for w in set(WORD.findall((text or "").lower())):
+                        counts.setdefault(w, [0, 0])[1 - label] += 1
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["feature", "t", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["word", "t", "c"])
 
-    return rows.mapInArrow(partial, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") >= LEAST_TOXIC).collect()
+    words = rows.mapInArrow(partial, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    prefixes = F.array_compact(F.array(*[F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in PREFIXES]))
+    whole = F.array(F.struct(F.col("word").alias("feature"), "t", "c"))
+    part = F.transform(prefixes, lambda x: F.struct(x.alias("feature"), F.least("t", F.lit(PER_WORD)).alias("t"), F.least("c", F.lit(PER_WORD)).alias("c")))
+    found = words.select(F.inline(F.concat(whole, part))).groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter(F.col("t") >= LEAST_TOXIC)
+    return {r["feature"]: (r["t"], r["c"]) for r in found.collect()}
 
 
 def log_odds(counts: dict[str, tuple[int, int]], share: float) -> dict[str, float]:
@@ -80,8 +91,7 @@ def log_odds(counts: dict[str, tuple[int, int]], share: float) -> dict[str, floa
     out = {}
     for f, q in rates.items():
         t, c = counts[f]
-        n = t + c + PRIOR
-        s = math.log(q / (1 - q)) - root - BOUND * math.sqrt(1 / (n * q) + 1 / (n * (1 - q)))
+        s = math.log(q / (1 - q)) - root - BOUND * math.sqrt(1 / (t + PRIOR * share) + 1 / (c + PRIOR * (1 - share)))
         out[f] = min(s, HIGHEST)
     return out
 
@@ -143,7 +153,9 @@ class Scorer:
                 cache.clear()
                 unknown = list(set(words))
             cache.update((w, self.model.token(w)) for w in unknown)
-        return len(words), [(i, s) for i, s in enumerate([cache[w] for w in words]) if s > 0]
+        found, seen = [(i, s) for i, s in enumerate([cache[w] for w in words]) if s > 0], set()
+        # A word is evidence once: its repeats score as tokens without evidence.
+        return len(words), [x for x in found if words[x[0]] not in seen and not seen.add(words[x[0]])]
 
     def passages(self, text: str | None) -> tuple[float, int, list[tuple[int, int, float]]]:
         """Probability, tokens, and the significant passages (first token, last token, surplus)."""
@@ -179,7 +191,7 @@ def fit_extremes(clean: list[tuple[int, list[float], list[float]]]) -> tuple[flo
         return low, 1e-3
     # Rows without a passage lie below the law's mode: the share of rows with one bounds K * n * exp(-lambda * s).
     rate = len(best) / max(1, len(clean))
-    k = rate * float(np.mean([math.exp(min(50.0, low * s)) / n for n, s in best]))
+    k = rate * math.exp(float(np.mean([min(50.0, low * s) - math.log(n) for n, s in best])))
     return low, min(1.0, max(1e-4, k))
 
 
@@ -210,8 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, cou
         share = sum(n for (_, y), n in sizes.items() if y) / every if every else 0.0
         return Model({}, share, a=math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     share = toxic / (toxic + clean)
-    counts = {r["feature"]: (r["t"], r["c"]) for r in count_features(rows.filter("__fold = 0").select("__text", "__label"))}
-    model = Model(log_odds(counts, share), share)
+    model = Model(log_odds(count_features(rows.filter("__fold = 0").select("__text", "__label")), share), share)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(texts: list[str | None]) -> list[tuple]:
