@@ -31,41 +31,51 @@ MEASURES = {"symbol_share": (0.01, False), "dup_line_share": (0.05, False), "rep
 
 def words_of(text: Column) -> Column:
     """Words of a text by the contract's white space; no empty ones."""
-    inner = F.regexp_replace(F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+$", "")
-    return F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, "[\\x20\\x09-\\x0D]+"))
+    inner = F.btrim(text, F.lit(SPACE))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, "[ \\x09-\\x0D]+"))
 
 
-def repeated_words(words: Column, n: Column) -> Column:
-    """Words that stand in a three-word window found twice or more.
-
-    Windows become longs: a hash above, the position in the low bits. Sorted,
-    equal windows are neighbours; the positions of those are collected and each
-    covers three words.
-    """
-    bits = F.ceil(F.log2(n + F.lit(1))).cast("int")
-    hashes = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), n).alias("b"), F.slice(words, F.lit(3), n).alias("c")), lambda x, i: F.when(i < n - 2, F.call_function("shiftleft", F.xxhash64(x), bits).bitwiseOR(i.cast("bigint"))))
-    ordered = F.sort_array(F.slice(hashes, F.lit(1), n - 2))
-    top = lambda x: F.call_function("shiftright", x, bits)
-    pairs = F.filter(F.arrays_zip(F.slice(ordered, F.lit(2), n).alias("b"), ordered.alias("a")), lambda x: top(x["a"]) == top(x["b"]))
-    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
-    at = F.flatten(F.transform(pairs, lambda x: F.array(x["a"].bitwiseAND(mask), x["b"].bitwiseAND(mask))))
-    return F.when(n < 4, F.lit(0)).otherwise(F.size(F.array_distinct(F.concat(at, F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2)))))
+def _covered(at: Column) -> Column:
+    """Words that windows at these places cover, each once."""
+    return F.size(F.array_distinct(F.concat(at, F.transform(at, lambda x: x + 1), F.transform(at, lambda x: x + 2))))
 
 
 def measures(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Keys, n_words and the four counts of the contract."""
+    """Keys, n_words and the four counts of the contract.
+
+    Windows of three words become hashes; sorted, equal ones are neighbours,
+    which gives the hashes that occur twice or more. A few of them are looked
+    up in the text's windows directly. For many, windows are sorted again with
+    their places in the low bits. Each step is a projection of its own, so that
+    none is computed twice.
+    """
+    few = 24
     base = df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
-    split = base.select(*keys, "__t", words_of(F.col("__t")).alias("__w"), F.filter(F.split("__t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("__l"))
-    n = F.size("__w")
-    return split.select(
+    split = base.select(*keys, "__t", words_of(F.col("__t")).alias("__w"), F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__l"))
+    counted = split.select(
         *keys,
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        "__w",
+        F.size("__w").alias("__n"),
+        F.length(F.translate("__t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w"), n).cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("__lines"),
     )
+    kept = [*keys, "__n", "word_chars", "n_symbols", "n_dup_lines", "__lines"]
+    n = F.col("__n")
+    zipped = F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", F.lit(2), F.greatest(n, F.lit(1))).alias("b"), F.slice("__w", F.lit(3), F.greatest(n, F.lit(1))).alias("c"))
+    hashed = counted.select(*kept, F.slice(F.transform(zipped, lambda x: F.xxhash64(x)), F.lit(1), F.greatest(n - 2, F.lit(0))).alias("__h"))
+    ordered = hashed.select(*kept, "__h", F.sort_array("__h").alias("__o"))
+    neighbours = F.filter(F.arrays_zip(F.col("__o").alias("a"), F.slice("__o", F.lit(2), F.greatest(n, F.lit(1))).alias("b")), lambda x: x["a"] == x["b"])
+    twice = ordered.select(*kept, "__h", F.array_distinct(neighbours["a"]).alias("__d"), F.ceil(F.log2(n + F.lit(1))).cast("int").alias("__bits"))
+    up, down = (lambda x, k=k: F.call_function(k, x, F.col("__bits")) for k in ("shiftleft", "shiftright"))
+    packed = F.when(F.size("__d") > few, F.sort_array(F.transform("__h", lambda x, i: up(x).bitwiseOR(i.cast("bigint")))))
+    packing = twice.select(*kept, "__h", "__d", "__bits", packed.alias("__p"), (up(F.lit(1).cast("bigint")) - 1).alias("__mask"))
+    found = F.filter(F.transform("__h", lambda x, i: F.when(F.array_contains("__d", x), i)), lambda i: i.isNotNull())
+    pairs = F.filter(F.arrays_zip(F.col("__p").alias("a"), F.slice("__p", F.lit(2), F.greatest(n, F.lit(1))).alias("b")), lambda x: down(x["a"]) == down(x["b"]))
+    many = F.transform(F.concat(pairs["a"], pairs["b"]), lambda x: x.bitwiseAND(F.col("__mask")))
+    repeated = F.when(F.size("__d") == 0, F.lit(0)).when(F.size("__d") <= few, _covered(found)).otherwise(_covered(many))
+    return packing.select(*keys, F.col("__n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "__lines")
 
 
 def shares(df: DataFrame) -> DataFrame:
