@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("license_scan", "html_extract", "byte_bpe", "secret_scan", "language_id", "toxicity", "mixing", "quality_rules")
+MODULES = ("license_scan", "html_extract", "byte_bpe", "secret_scan", "near_dup", "language_id", "toxicity", "mixing", "quality_rules")
 
 
 def queries() -> dict[str, Callable]:
