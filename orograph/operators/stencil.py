@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACROSS = W.partitionBy("area", "row").orderBy("col")
-DOWN = W.partitionBy("area", "col").orderBy("row")
+
+
+def across():
+    """Cells of a row, west to east."""
+    return W.partitionBy("area", "row").orderBy("col")
+
+
+def down():
+    """Cells of a column, north to south."""
+    return W.partitionBy("area", "col").orderBy("row")
 
 
 def difference(x: str, along, cell: float) -> Column:
@@ -21,7 +29,7 @@ def difference(x: str, along, cell: float) -> Column:
 
 def gradient(cells: DataFrame, cell: float, x: str = "elev") -> DataFrame:
     """Adds dx (along columns) and dy (along rows)."""
-    return cells.withColumn("dx", difference(x, ACROSS, cell)).withColumn("dy", difference(x, DOWN, cell))
+    return cells.withColumn("dx", difference(x, across(), cell)).withColumn("dy", difference(x, down(), cell))
 
 
 def slope(cells: DataFrame, cell: float) -> DataFrame:
@@ -32,7 +40,7 @@ def slope(cells: DataFrame, cell: float) -> DataFrame:
 def curvature(cells: DataFrame, cell: float) -> DataFrame:
     """Adds the profile curvature; flat cells have none."""
     g = gradient(cells, cell) if "dx" not in cells.columns else cells
-    g = g.withColumn("dxx", difference("dx", ACROSS, cell)).withColumn("dxy", difference("dx", DOWN, cell)).withColumn("dyy", difference("dy", DOWN, cell))
+    g = g.withColumn("dxx", difference("dx", across(), cell)).withColumn("dxy", difference("dx", down(), cell)).withColumn("dyy", difference("dy", down(), cell))
     dx, dy = F.col("dx"), F.col("dy")
     steep = dx * dx + dy * dy
     bent = -(dx * dx * F.col("dxx") + 2 * dx * dy * F.col("dxy") + dy * dy * F.col("dyy")) / (steep * F.sqrt(F.lit(1.0) + steep))
@@ -41,7 +49,7 @@ def curvature(cells: DataFrame, cell: float) -> DataFrame:
 
 def moving(cells: DataFrame, x: str, name: str, half: int, of) -> DataFrame:
     """Adds ``of`` (F.max or F.min) over squares of 2 * half + 1 cells; frames end at edges, which for extremes is reflection."""
-    return cells.withColumn(name, of(x).over(ACROSS.rowsBetween(-half, half))).withColumn(name, of(name).over(DOWN.rowsBetween(-half, half)))
+    return cells.withColumn(name, of(x).over(across().rowsBetween(-half, half))).withColumn(name, of(name).over(down().rowsBetween(-half, half)))
 
 
 def relief(cells: DataFrame, half: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orograph.operators import stencil
+from orograph.operators import features, hydro, stencil
 from orograph.plans.registry import query, table
 from orograph.sources import raster
 
@@ -153,3 +153,99 @@ def snk1(spark, d):
     """Rows of whole metres, north to south: the grid that a response carries."""
     line = cells(spark, d).groupBy("area", "row").agg(F.array_sort(F.collect_list(F.struct("col", F.round("elev").cast("long").cast("string").alias("e")))).alias("l"))
     return line.select("area", "row", F.array_join(F.col("l.e"), " ").alias("line")).groupBy("area").agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("g")).select("area", F.col("g.line").alias("grid"))
+
+
+# Flow, components and features.
+
+MOVES = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+FLOW_SQL = CELLS_SQL + ', moves AS (SELECT * FROM (VALUES ' + ", ".join(f"({i}, {r}, {k}, {2**0.5 if r and k else 1.0!r})" for i, (r, k) in enumerate(MOVES)) + ') AS v(i, dr, dc, dist)), drops AS (SELECT a.area, a."row", a.col, i, dr, dc, (a.elev - b.elev) / dist AS fall FROM cells a, moves, cells b WHERE b.area = a.area AND b."row" = a."row" + dr AND b.col = a.col + dc), flow AS MATERIALIZED (SELECT area, "row", col, CASE WHEN fall > 0 THEN i ELSE -1 END AS dir, "row" + dr AS r2, col + dc AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY area, "row", col ORDER BY fall DESC, i) AS k FROM drops) s WHERE k = 1)'
+ACC_SQL = FLOW_SQL + ', walk AS (SELECT area, "row" AS r, col AS c FROM cells UNION ALL SELECT w.area, f.r2, f.c2 FROM walk w JOIN flow f ON f.area = w.area AND f."row" = w.r AND f.col = w.c AND f.dir >= 0), acc AS (SELECT area, r AS "row", c AS col, CAST(count(*) AS INTEGER) AS acc FROM walk GROUP BY ALL)'
+
+
+@query("g1_flow_direction", f'WITH {FLOW_SQL} SELECT area, "row", col, CAST(dir AS INTEGER) AS dir FROM flow')
+def g1(spark, d):
+    return hydro.flow_direction(cells(spark, d)).select("area", "row", "col", "dir")
+
+
+@query("g3_accumulation", f'WITH RECURSIVE {ACC_SQL} SELECT area, "row", col, acc FROM acc')
+def g3(spark, d):
+    return hydro.accumulation(hydro.flow_direction(cells(spark, d)))
+
+
+@query("g4_channel_mask", f'WITH RECURSIVE {ACC_SQL} SELECT area, count(*) AS n FROM acc WHERE acc >= 6 GROUP BY area')
+def g4(spark, d):
+    return g3(spark, d).filter("acc >= 6").groupBy("area").agg(F.count(F.lit(1)).alias("n"))
+
+
+def components_sql(where: str, near: str) -> str:
+    return f'reach AS (SELECT area, "row" AS r0, col AS c0, "row" AS r, col AS c FROM {where} UNION SELECT a.area, a.r0, a.c0, m."row", m.col FROM reach a JOIN {where} m ON m.area = a.area AND {near}), comp AS (SELECT area, r AS "row", c AS col, min(r0 * 65536 + c0) AS label FROM reach GROUP BY ALL)'
+
+
+EIGHT = 'abs(m."row" - a.r) <= 1 AND abs(m.col - a.c) <= 1'
+FOUR = 'abs(m."row" - a.r) + abs(m.col - a.c) <= 1'
+
+
+@query("g5_components", f'WITH RECURSIVE {CELLS_SQL}, mask AS MATERIALIZED (SELECT * FROM cells WHERE elev > 1900), {components_sql("mask", EIGHT)} SELECT area, "row", col, CAST(label AS BIGINT) AS label FROM comp')
+def g5(spark, d):
+    return hydro.components(cells(spark, d).filter("elev > 1900"))
+
+
+PEAKS_SQL = "pk AS (SELECT area, \"row\", col, elev, elev - lo5 AS prom, row_number() OVER (PARTITION BY area ORDER BY elev - lo5 DESC, elev DESC) AS k FROM (SELECT *, min(elev) OVER (PARTITION BY area) AS least FROM a2) s WHERE elev = hi1 AND elev > least AND elev - lo5 >= 120), peaks AS (SELECT area, \"row\", col, elev, prom, k, round_even(prom / max(prom) OVER (PARTITION BY area), 2) AS score FROM pk WHERE k <= 25)"
+
+
+@query("f1_peaks", f"WITH {EXTREMES_SQL.format(cells=CELLS_SQL)}, {PEAKS_SQL} SELECT area, 'peak-' || k AS feature_id, CAST(\"row\" AS DOUBLE) AS r, CAST(col AS DOUBLE) AS c, score FROM peaks")
+def f1(spark, d):
+    return features.peaks(cells(spark, d)).select("area", "feature_id", "r", "c", "score")
+
+
+CLIFFS_SQL = 'mask AS MATERIALIZED (SELECT * FROM (SELECT c.*, quantile_cont(abs(curvature), 0.95) OVER (PARTITION BY area) AS p95 FROM curv c) s WHERE slope >= 30 AND abs(curvature) >= p95), ' + components_sql("mask", FOUR) + ', cl AS (SELECT area, label, avg("row") AS r, avg(col) AS c, round_even(max(elev) - min(elev), 1) AS drop_m FROM comp JOIN mask USING (area, "row", col) GROUP BY area, label HAVING count(*) >= 2), cliffs AS (SELECT *, round_even(drop_m / max(drop_m) OVER (PARTITION BY area), 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY drop_m DESC, label) AS k FROM cl) s WHERE k <= 25)'
+
+
+@query("f4_cliffs", f"WITH RECURSIVE {CURV_SQL}, {CLIFFS_SQL} SELECT area, 'cliff-' || k AS feature_id, round(r, 6) AS r, round(c, 6) AS c, drop_m FROM cliffs")
+def f4(spark, d):
+    bent = stencil.curvature(stencil.slope(cells(spark, d), CELL), CELL)
+    return features.cliffs(bent).select("area", "feature_id", F.round("r", 6).alias("r"), F.round("c", 6).alias("c"), "drop_m")
+
+
+WEIGHTS = {"peaks": 1.0, "cliffs": 0.8, "relief": 0.6}
+SURFACE_SQL = f"""{CURV_SQL}, {EXTREMES_SQL.format(cells='x0 AS (SELECT 1)')}, {PEAKS_SQL}, {CLIFFS_SQL},
+sp AS (SELECT c.area, c."row", c.col, sum(p.score * exp(-(power(c."row" - p."row", 2) + power(c.col - p.col, 2)) / 50.0)) AS s FROM cells c JOIN peaks p ON p.area = c.area GROUP BY ALL),
+sc AS (SELECT c.area, c."row", c.col, sum(p.score * exp(-(power(c."row" - p.r, 2) + power(c.col - p.c, 2)) / 50.0)) AS s FROM cells c JOIN cliffs p ON p.area = c.area GROUP BY ALL),
+lay AS (SELECT a.area, a."row", a.col, (sp.s - min(sp.s) OVER w) / (max(sp.s) OVER w - min(sp.s) OVER w) AS peaks, coalesce((sc.s - min(sc.s) OVER w) / (max(sc.s) OVER w - min(sc.s) OVER w), 0) AS cliffs, (hi10 - lo10 - min(hi10 - lo10) OVER w) / (max(hi10 - lo10) OVER w - min(hi10 - lo10) OVER w) AS relief
+ FROM a2 a LEFT JOIN sp USING (area, "row", col) LEFT JOIN sc USING (area, "row", col) WINDOW w AS (PARTITION BY a.area)),
+surf AS MATERIALIZED (SELECT *, LEAST(1, GREATEST(0, (coalesce(peaks, 0) * 1.0 + cliffs * 0.8 + relief * 0.6) / 2.4)) AS interest FROM lay)"""
+
+
+def surface(spark, d):
+    base = cells(spark, d)
+    bent = stencil.curvature(stencil.slope(base, CELL), CELL)
+    found = features.peaks(base).unionByName(features.cliffs(bent))
+    return features.interest(features.layers(base, found, raster.SIDE, tuple(WEIGHTS)), WEIGHTS)
+
+
+@query("f5_interest", f'WITH RECURSIVE {SURFACE_SQL} SELECT area, "row", col, round(interest, 5) AS interest FROM surf')
+def f5(spark, d):
+    return surface(spark, d).select("area", "row", "col", F.round("interest", 5).alias("interest"))
+
+
+@query("f7_hotspots", f"""WITH RECURSIVE {SURFACE_SQL}, h1 AS (SELECT *, {box('interest', 3, 'max').format(w=AX)} AS h FROM surf), h2 AS (SELECT *, {box('h', 3, 'max').format(w=DN)} AS hi FROM h1)
+SELECT area, 'hotspot-' || k AS hotspot_id, "row", col, round(interest, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY interest DESC) AS k FROM h2 WHERE interest = hi AND interest > 0.1) s WHERE k <= 10""")
+def f7(spark, d):
+    """The flagship: top hotspots of each area."""
+    s = surface(spark, d)
+    return features.hotspots(s, WEIGHTS).drop("score").join(s.select("area", "row", "col", F.round("interest", 4).alias("score")), ["area", "row", "col"]).select("area", "hotspot_id", "row", "col", "score")
+
+
+@query("f7_hotspot_reasons")
+def f7_reasons(spark, d):
+    return features.hotspots(surface(spark, d), WEIGHTS).select("area", "hotspot_id", "score", "reasons")
+
+
+@query("f2_water_channels")
+def f2(spark, d):
+    return features.water_channels(cells(spark, d), CELL, 6).select("area", "feature_id", "length_m", "score")
+
+
+@query("f3_ridges")
+def f3(spark, d):
+    return features.ridges(cells(spark, d), CELL, 6).select("area", "feature_id", "length_m", "score")
