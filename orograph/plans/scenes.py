@@ -1 +1,138 @@
-"""orograph.plans.scenes."""
+"""Queries of scenes and views. Suppliers stand for hotspots and cameras, customers for features."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from orograph.functions import geo
+from orograph.operators import scenes, spatial, visibility
+from orograph.plans.raster import CELLS_SQL, c, cells
+from orograph.plans.registry import query, table
+
+HOT_SQL = "hot AS (SELECT s_suppkey % 5 AS area, 'hotspot-' || s_suppkey AS hotspot_id, CAST(s_suppkey AS INTEGER) AS ord, 39.5 + (s_suppkey * 7919 % 1000) / 4000.0 AS lat, -105.5 + (s_suppkey * 613 % 1000) / 4000.0 AS lng, (s_suppkey % 90 + 10) / 100.0 AS score FROM supplier)"
+FEAT_SQL = "feat AS (SELECT c_custkey % 5 AS area, c_custkey % 4 AS kn, (['peaks','ridges','cliffs','waterChannels'])[c_custkey % 4 + 1] AS kind, (['peak-','ridge-','cliff-','water-'])[c_custkey % 4 + 1] || c_custkey AS feature_id, CAST(c_custkey AS INTEGER) AS ord, 39.5 + (c_custkey * 104729 % 1000) / 4000.0 AS lat2, -105.5 + (c_custkey * 271 % 1000) / 4000.0 AS lng2, (c_custkey % 100) / 100.0 AS fscore FROM customer)"
+NEAR_SQL = f"{HOT_SQL}, {FEAT_SQL}, near AS (SELECT *, 2 * 6378137.0 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng) / 2), 2))) AS meters FROM (SELECT h.area, hotspot_id, h.ord, lat, lng, score, kn, kind, feature_id, f.ord AS ford, lat2, lng2, fscore FROM hot h JOIN feat f ON f.area = h.area) p)"
+CAND_SQL = f"""{NEAR_SQL}, cand AS (SELECT area, hotspot_id, ord, lat, lng, score, list(feature_id ORDER BY kn, ford) AS ids, count(*) AS n, avg(fscore) AS anchors, count(*) FILTER (kn = 0) AS p, count(*) FILTER (kn = 1) AS r, count(*) FILTER (kn = 2) AS cl, count(*) FILTER (kn = 3) AS w FROM near WHERE meters <= 5000 GROUP BY area, hotspot_id, ord, lat, lng, score HAVING count(*) >= 2)"""
+TYPE_SQL = "CASE WHEN p > 0 AND w > 0 THEN 'peak-water' WHEN p > 0 AND r > 0 THEN 'peak-ridge' WHEN cl > 0 AND w > 0 THEN 'cliff-water' WHEN p >= 2 THEN 'multi-peak' ELSE 'mixed-terrain' END"
+
+
+def hotspots(spark, d):
+    k = c("s_suppkey")
+    return table(spark, d, "supplier").select((k % 5).alias("area"), F.concat(F.lit("hotspot-"), k).alias("hotspot_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 7919 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 613 % 1000) / 4000.0).alias("lng"), ((k % 90 + 10) / 100.0).alias("score"))
+
+
+def features(spark, d):
+    k = c("c_custkey")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select((k % 5).alias("area"), pick(*scenes.KINDS).alias("kind"), F.concat(pick("peak-", "ridge-", "cliff-", "water-"), k).alias("feature_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 104729 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 271 % 1000) / 4000.0).alias("lng"), ((k % 100) / 100.0).alias("score"))
+
+
+@query("j1_distance_join", f"WITH {NEAR_SQL} SELECT hotspot_id, feature_id, round(meters, 3) AS meters FROM near WHERE meters <= 5000")
+def j1(spark, d):
+    f = features(spark, d).select(c("area").alias("area2"), "feature_id", c("lat").alias("lat2"), c("lng").alias("lng2"))
+    return spatial.within(hotspots(spark, d), f, 5000.0).filter("area = area2").select("hotspot_id", "feature_id", F.round("meters", 3).alias("meters"))
+
+
+@query("p29_a14_scene_candidates", f"WITH {CAND_SQL} SELECT area, hotspot_id, {TYPE_SQL} AS type, array_to_string(ids, ',') AS ids, CAST(n AS INTEGER) AS n, round(0.6 * score + 0.4 * anchors, 4) AS score FROM cand")
+def p29(spark, d):
+    f = features(spark, d)
+    found = scenes.candidates(hotspots(spark, d), f)
+    anchors = found.select("hotspot_id", F.explode("feature_ids").alias("feature_id")).join(f.select("feature_id", c("score").alias("s")), "feature_id").groupBy("hotspot_id").agg(F.avg("s").alias("anchors"))
+    exact = found.drop("score").join(anchors, "hotspot_id").join(hotspots(spark, d).select("hotspot_id", "score"), "hotspot_id")
+    return exact.select("area", "hotspot_id", "type", F.array_join("feature_ids", ",").alias("ids"), F.size("feature_ids").alias("n"), F.round(F.lit(0.6) * c("score") + F.lit(0.4) * c("anchors"), 4).alias("score"))
+
+
+@query("a17_jaccard", f"WITH {CAND_SQL} SELECT a.hotspot_id AS a, b.hotspot_id AS b, round(len(list_intersect(a.ids, b.ids)) / CAST(len(list_distinct(list_concat(a.ids, b.ids))) AS DOUBLE), 6) AS overlap FROM cand a JOIN cand b ON a.area = b.area AND a.ord < b.ord WHERE len(list_intersect(a.ids, b.ids)) > 0")
+def a17(spark, d):
+    found = scenes.candidates(hotspots(spark, d), features(spark, d)).select("area", "ord", "hotspot_id", "feature_ids")
+    shared = found.select("area", "ord", "hotspot_id", "feature_ids", F.explode("feature_ids").alias("f"))
+    a, b = shared.select("area", c("ord").alias("o1"), c("hotspot_id").alias("a"), c("feature_ids").alias("x"), "f"), shared.select(c("area").alias("area2"), c("ord").alias("o2"), c("hotspot_id").alias("b"), c("feature_ids").alias("y"), "f")
+    return a.join(b, "f").filter("area = area2 AND o1 < o2").select("a", "b", F.round(scenes.jaccard(c("x"), c("y")), 6).alias("overlap")).distinct()
+
+
+@query("f8_scenes")
+def f8(spark, d):
+    return scenes.scenes(hotspots(spark, d), features(spark, d)).select("area", "scene_id", "type", "summary", "score", F.size("feature_ids").alias("n"))
+
+
+@query("j4_scene_extent", f"WITH {NEAR_SQL}, f AS (SELECT * FROM near WHERE meters <= 5000) SELECT a.hotspot_id, round(max(sqrt(power((b.lat2 - a.lat2) * 111320.0, 2) + power((b.lng2 - a.lng2) * 111320.0 * cos(radians((a.lat2 + b.lat2) / 2)), 2))), 3) AS extent FROM f a JOIN f b ON a.hotspot_id = b.hotspot_id AND a.ford < b.ford GROUP BY a.hotspot_id")
+def j4(spark, d):
+    """Largest distance between two features of a hotspot; a hotspot has a bounded number of features."""
+    f = features(spark, d).select(c("area").alias("area2"), c("ord").alias("o"), c("lat").alias("lat2"), c("lng").alias("lng2"))
+    near = spatial.within(hotspots(spark, d), f, 5000.0).filter("area = area2").select("hotspot_id", "o", "lat2", "lng2")
+    other = near.select("hotspot_id", c("o").alias("o3"), c("lat2").alias("lat3"), c("lng2").alias("lng3"))
+    return near.join(other, "hotspot_id").filter("o < o3").groupBy("hotspot_id").agg(F.round(F.max(geo.planar(c("lat2"), c("lng2"), c("lat3"), c("lng3"))), 3).alias("extent"))
+
+
+CAM_SQL = 'cam AS (SELECT s_suppkey AS vp_id, s_suppkey % 7 AS area, 40.0 - (s_suppkey % 40) / 2000.0 - 0.01 AS lat, -105.0 + (s_suppkey * 7 % 40) / 1500.0 + 0.01 AS lng, 1800.0 + s_suppkey % 500 AS alt, (s_suppkey * 37 % 360) + 0.5 AS head, 40.0 + s_suppkey % 60 AS fov, 40.0 AS north, 39.955 AS south, -104.94 AS east, -105.0 AS west FROM supplier WHERE s_suppkey < 40)'
+RAY_SQL = f"""{CELLS_SQL}, {CAM_SQL}, ray0 AS (SELECT *, sqrt(power(radians(north - south) * 6378137.0, 2) + power(radians(east - west) * 6378137.0 * cos(radians((north + south) / 2)), 2)) * step / 40 AS dist, radians(head - fov / 2 + fov * ray / 89.0) AS az FROM cam, (SELECT unnest(range(0, 90)) AS ray) a, (SELECT unnest(range(1, 41)) AS step) b),
+ray1 AS (SELECT *, CAST(round_even((north - (lat + degrees(dist * cos(az) / 6378137.0))) / (north - south) * 63.0, 0) AS INTEGER) AS "row", CAST(round_even((lng + degrees(dist * sin(az) / (6378137.0 * cos(radians(lat)))) - west) / (east - west) * 63.0, 0) AS INTEGER) AS col FROM ray0),
+ray2 AS (SELECT r.*, e.elev, atan2(e.elev - alt, dist) AS angle FROM ray1 r JOIN cells e ON e.area = r.area AND e."row" = r."row" AND e.col = r.col),
+view AS MATERIALIZED (SELECT *, angle > coalesce(max(angle) OVER (PARTITION BY vp_id, ray ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -pi() / 2) AS visible FROM ray2)"""
+
+
+def cameras(spark, d):
+    k = c("s_suppkey")
+    b = F.struct(F.lit(40.0).alias("north"), F.lit(39.955).alias("south"), F.lit(-104.94).alias("east"), F.lit(-105.0).alias("west"))
+    return table(spark, d, "supplier").filter(k < 40).select(k.alias("vp_id"), (k % 7).alias("area"), (F.lit(40.0) - (k % 40) / 2000.0 - 0.01).alias("lat"), (F.lit(-105.0) + (k * 7 % 40) / 1500.0 + 0.01).alias("lng"), (F.lit(1800.0) + k % 500).alias("alt"), ((k * 37 % 360) + 0.5).alias("head"), (F.lit(40.0) + k % 60).alias("fov"), b.alias("b"))
+
+
+def view(spark, d):
+    return visibility.viewshed(visibility.rays(cameras(spark, d), 64, 64), cells(spark, d).withColumn("interest", (c("elev") - 187.0) / 2500.0))
+
+
+@query("g11_viewshed", f"WITH {RAY_SQL} SELECT vp_id, ray, count(*) AS samples, count(*) FILTER (visible) AS seen FROM view GROUP BY vp_id, ray")
+def g11(spark, d):
+    return view(spark, d).groupBy("vp_id", c("ray").cast("long").alias("ray")).agg(F.count(F.lit(1)).alias("samples"), F.count_if("visible").alias("seen"))
+
+
+@query("a5_richness", f'WITH {RAY_SQL}, i AS (SELECT area, "row", col, (elev - 187.0) / 2500.0 AS interest FROM cells), t AS (SELECT area, sum(interest) AS total FROM i GROUP BY area) SELECT vp_id, round(sum(interest) / any_value(total), 6) AS richness FROM (SELECT DISTINCT vp_id, area, "row", col FROM view WHERE visible) v JOIN i USING (area, "row", col) JOIN t USING (area) GROUP BY vp_id')
+def a5(spark, d):
+    interest = cells(spark, d).select("area", "row", "col", ((c("elev") - 187.0) / 2500.0).alias("interest"))
+    return visibility.richness(view(spark, d), interest).select("vp_id", F.round("richness", 6).alias("richness"))
+
+
+@query("a6_entropy", f'WITH {RAY_SQL}, cl AS (SELECT DISTINCT vp_id, "row", col, elev FROM view WHERE visible), e AS (SELECT *, min(elev) OVER w AS lo, max(elev) OVER w AS hi, count(*) OVER w AS n FROM cl WINDOW w AS (PARTITION BY vp_id)), b AS (SELECT vp_id, n, CASE WHEN hi > lo THEN LEAST(floor((elev - lo) / (hi - lo) * 8), 7) ELSE 0 END AS bin, count(*) AS k FROM e GROUP BY ALL) SELECT vp_id, round(sum(-(k / n) * ln(k / n)) / ln(8), 6) AS entropy FROM b GROUP BY vp_id')
+def a6(spark, d):
+    return visibility.terrain_entropy(view(spark, d)).select("vp_id", F.round("entropy", 6).alias("entropy"))
+
+
+@query("a10_depth_layers", f'WITH {RAY_SQL}, v AS (SELECT *, (elev - 187.0) / 2500.0 AS interest, max(dist) OVER (PARTITION BY vp_id) AS far FROM view WHERE visible), t AS (SELECT vp_id, LEAST(floor(dist / far * 3), 2) AS third, sum(interest) AS k FROM v GROUP BY ALL), n AS (SELECT *, sum(k) OVER (PARTITION BY vp_id) AS n FROM t) SELECT vp_id, round(sum(CASE WHEN k > 0 THEN -(k / n) * ln(k / n) ELSE 0 END) / ln(3), 5) AS depth FROM n GROUP BY vp_id')
+def a10(spark, d):
+    return visibility.depth_layers(view(spark, d)).select("vp_id", F.round("depth", 5).alias("depth"))
+
+
+@query("a8_box_dimension", f"""WITH {CELLS_SQL}, p AS (SELECT area, "row", col, (elev - min(elev) OVER w) / (max(elev) OVER w - min(elev) OVER w) AS v FROM cells WINDOW w AS (PARTITION BY area, "row")), b AS (SELECT area, "row", s, col // s AS seg, max(v) AS hi, min(v) AS lo FROM p, (VALUES (2), (4), (8), (16), (32)) AS z(s) GROUP BY ALL), k AS (SELECT area, "row", s, sum(floor(hi * 64 / s) - floor(lo * 64 / s) + 1) AS k FROM b GROUP BY ALL) SELECT area, "row", round(regr_slope(ln(k), ln(64.0 / s)), 5) AS dimension FROM k GROUP BY ALL""")
+def a8(spark, d):
+    """Box-counting dimension of each raster row."""
+    return visibility.box_dimension(cells(spark, d), ["area", "row"], "col", "elev", 64).select("area", "row", F.round("dimension", 5).alias("dimension"))
+
+
+@query("a13_total", "SELECT s_suppkey AS vp_id, round(0.20 * (s_suppkey % 11) / 10.0 + 0.15 * (s_suppkey % 7) / 10.0 + 0.20 * (s_suppkey % 5) / 10.0 + 0.15 * (s_suppkey % 3) / 10.0 + 0.10 * (s_suppkey % 9) / 10.0 + 0.10 * (s_suppkey % 8) / 10.0 + 0.10 * (s_suppkey % 4) / 10.0, 6) AS total FROM supplier")
+def a13(spark, d):
+    k = c("s_suppkey")
+    s = table(spark, d, "supplier").select(k.alias("vp_id"), *[((k % m) / 10.0).alias(n) for n, m in zip(visibility.WEIGHTS, (11, 7, 5, 3, 9, 8, 4), strict=True)])
+    return visibility.total(s).select("vp_id", F.round("total", 6).alias("total"))
+
+
+VIEWPOINTS_SQL = "vp AS (SELECT o_orderkey AS id, o_custkey % 50 AS scene, o_orderkey % 4 AS comp, (o_orderkey * 31 % 1000) / 1000.0 AS score FROM orders)"
+
+
+@query("w2_top_per_scene", f"WITH {VIEWPOINTS_SQL} SELECT scene, id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, id) AS k FROM vp) s WHERE k <= 3")
+def w2(spark, d):
+    """Three viewpoints a scene: Spark limits each partition's groups before the shuffle."""
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") % 50).alias("scene"), ((c("o_orderkey") * 31 % 1000) / 1000.0).alias("score"))
+    return o.withColumn("rank", F.row_number().over(W.partitionBy("scene").orderBy(F.desc("score"), "id"))).filter("rank <= 3").select("scene", "id", "rank")
+
+
+@query("t1_global_top", f"WITH {VIEWPOINTS_SQL} SELECT id, score FROM vp ORDER BY score DESC, id LIMIT 12")
+def t1(spark, d):
+    o = table(spark, d, "orders").select(c("o_orderkey").alias("id"), ((c("o_orderkey") * 31 % 1000) / 1000.0).alias("score"))
+    return o.orderBy(F.desc("score"), "id").limit(12)
+
+
+@query("a16_rejections", f"WITH {VIEWPOINTS_SQL} SELECT scene, count(*) AS generated, count(*) FILTER (comp = 0) AS no_convergence, count(*) FILTER (comp = 1) AS out_of_bounds, count(*) FILTER (comp = 2) AS under_ground FROM vp GROUP BY scene")
+def a16(spark, d):
+    comp = c("o_orderkey") % 4
+    return table(spark, d, "orders").groupBy((c("o_custkey") % 50).alias("scene")).agg(F.count(F.lit(1)).alias("generated"), F.count_if(comp == 0).alias("no_convergence"), F.count_if(comp == 1).alias("out_of_bounds"), F.count_if(comp == 2).alias("under_ground"))
