@@ -1 +1,129 @@
-"""orograph.plans.events."""
+"""Queries of log operators: events stand for tool calls, conversations for chats."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from orograph.plans.registry import query, table
+from orograph.streaming import logs
+
+
+def c(name: str):
+    return F.col(name)
+
+
+@query("src6_upload_filter", "SELECT page_id, length(html) AS bytes FROM pages WHERE length(html) <= 3000 AND page_id % 4 IN (0, 1)")
+def src6(spark, d):
+    return table(spark, d, "pages").filter((F.length("html") <= 3000) & (c("page_id") % 4).isin(0, 1)).select("page_id", F.length("html").cast("long").alias("bytes"))
+
+
+@query("src8_tool_logs", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' AND event_id % 10 = 0 ORDER BY ts DESC, event_id DESC LIMIT 50")
+def src8(spark, d):
+    """The newest errors of a tool: filters pushed to the scan, then a sorted limit."""
+    return table(spark, d, "events").filter((c("event_type") == "click") & (c("event_id") % 10 == 0)).orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type", "value")
+
+
+@query("src9_preview_truncation", "SELECT doc_id, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || chr(10) || '[truncated]' ELSE text END AS preview FROM documents")
+def src9(spark, d):
+    return table(spark, d, "documents").select("doc_id", logs.truncated(c("text")).alias("preview"))
+
+
+@query("src11_payload_decode", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def src11(spark, d):
+    """A payload in URL-safe base64 without padding, decoded and parsed."""
+    sent = F.regexp_replace(F.translate(F.base64(F.encode("props", "utf-8")), "+/", "-_"), "=+$", "")
+    back = F.translate(c("sent"), "-_", "+/")
+    padded = F.rpad(back, F.ceil(F.length(back) / 4).cast("int") * 4, F.lit("="))
+    raw = table(spark, d, "events").select("event_id", sent.alias("sent")).select("event_id", F.decode(F.unbase64(padded), "utf-8").alias("j"))
+    return raw.select("event_id", F.from_json("j", "k long")["k"].alias("k"))
+
+
+@query("p38_redaction", "SELECT doc_id, regexp_replace('Authorization: Bearer ' || substr(text, 1, 40) || ' token abc.def', '\\b(Bearer|Basic|Token)\\s+\\S+', '\\1 [REDACTED]', 'gi') AS masked FROM documents")
+def p38(spark, d):
+    text = F.concat(F.lit("Authorization: Bearer "), F.substring("text", 1, 40), F.lit(" token abc.def"))
+    return table(spark, d, "documents").select("doc_id", logs.masked(text).alias("masked"))
+
+
+@query("p38_redacted_keys", "SELECT event_id, '[REDACTED]' AS api_key, event_type AS name FROM events")
+def p38_keys(spark, d):
+    m = logs.masked_map(F.create_map(F.lit("api_key"), c("props"), F.lit("name"), c("event_type")))
+    return table(spark, d, "events").select("event_id", m.alias("m")).select("event_id", c("m")["api_key"].alias("api_key"), c("m")["name"].alias("name"))
+
+
+@query("p45_json_path", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def p45(spark, d):
+    return table(spark, d, "events").select("event_id", (F.get_json_object("props", "$.k").cast("long") % 10).alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
+
+
+@query("snk9_retention", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 2000")
+def snk9(spark, d):
+    return logs.retained(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], logs.TOOL_LOGS).select("event_id")
+
+
+@query("snk10_session_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) s WHERE n <= 5")
+def snk10(spark, d):
+    return logs.retained(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], 5, ["user_id"]).select("user_id", "event_id")
+
+
+@query("snk7_ttl_sweep", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def snk7(spark, d):
+    e = table(spark, d, "events")
+    newest = e.agg(F.max("ts").alias("newest"))  # one row
+    return e.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("INTERVAL 24 HOUR")).select("event_id")
+
+
+CALLS = "SELECT user_id, n, s.event_id AS start_event_id, e.event_id AS end_event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = {a}) s FULL JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = {b}) e USING (user_id, n)"
+
+
+@query("j11_call_matching", CALLS.format(a="'click'", b="'view'"))
+def j11(spark, d):
+    e = table(spark, d, "events")
+    return logs.matched_calls(e, ["user_id"], "event_type", ["event_id"], "click", "view").withColumn("n", c("n").cast("long"))
+
+
+@query("st4_fold_parts", "SELECT conv_id, CAST(part AS INTEGER) AS part, role, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS nw FROM conversations) a) b GROUP BY conv_id, part, role")
+def st4(spark, d):
+    return logs.folded(table(spark, d, "conversations"), ["conv_id"], "turn", "role", "text")
+
+
+@query("st3_stream_lines", "SELECT event_id, event_type AS kind FROM events WHERE event_id % 3 <> 0")
+def st3(spark, d):
+    """Lines of a server-sent stream; a third of them are malformed or of another field."""
+    line = F.when(c("event_id") % 3 != 0, F.concat(F.lit("data: "), F.to_json(F.struct("event_id", c("event_type").alias("kind"))))).when(c("event_id") % 2 == 0, F.lit("data: {broken")).otherwise(F.lit(": ping"))
+    return logs.parsed_stream(table(spark, d, "events").select(line.alias("value")), "event_id long, kind string")
+
+
+@query("st2_cache_key", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS cache_key FROM events")
+def st2(spark, d):
+    return table(spark, d, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("cache_key"))
+
+
+@query("st5_delta_concat", "SELECT conv_id, role, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id, role")
+def st5(spark, d):
+    t = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 10).alias("t")))).alias("p"))
+    return t.select("conv_id", "role", F.array_join(c("p.t"), "").alias("joined"))
+
+
+@query("a23_usage_totals", "SELECT user_id, event_type, count(*) AS calls, round(sum(value), 4) AS total, count(*) FILTER (event_id % 10 = 0) AS errors FROM events GROUP BY user_id, event_type")
+def a23(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"), F.count_if(c("event_id") % 10 == 0).alias("errors"))
+
+
+@query("st_tumbling_window", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st_window(spark, d):
+    """Spark's own windows over event time (an addition of this engine)."""
+    e = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    return logs.usage_by_window(e, "ts", "event_type", "value").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
+
+
+@query("st1_cache_replay")
+def st1(spark, d):
+    e = table(spark, d, "events").select((c("user_id") % 8).alias("shard"), F.unix_micros(c("ts").cast("timestamp")).cast("double").alias("at"), (c("event_id") % 97).cast("string").alias("key"))
+    return logs.cache_replay(e, 16, 3.6e9)
+
+
+@query("w8_newest_by_user", "SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id")
+def w8(spark, d):
+    e = table(spark, d, "events")
+    return e.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id")))).filter("n = 1").select("user_id", c("event_id").alias("newest"))

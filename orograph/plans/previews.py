@@ -1 +1,104 @@
-"""orograph.plans.previews."""
+"""Queries of preview operators, on orders and customers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orograph.operators import previews, viewpoints
+from orograph.plans.registry import query, table
+
+
+def c(name: str):
+    return F.col(name)
+
+
+def base(spark, d):
+    return table(spark, d, "customer").select(c("c_custkey").alias("k"))
+
+
+@query("p41_provider", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'google_3d' WHEN c_custkey % 2 = 0 THEN 'ion' ELSE 'osm' END AS provider FROM customer")
+def p41(spark, d):
+    return base(spark, d).select("k", previews.first_provider({"google_3d": c("k") % 3 == 0, "ion": c("k") % 2 == 0, "osm": F.lit(True)}).alias("provider"))
+
+
+@query("v12_fallback_chain", "SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'google_3d' WHEN c_custkey % 2 = 0 THEN 'ion' WHEN c_custkey % 5 = 0 THEN 'osm' END AS used FROM customer")
+def v12(spark, d):
+    tried = F.array(*[F.struct(F.lit(n).alias("provider"), (c("k") % m == 0).alias("ok")) for n, m in (("google_3d", 3), ("ion", 2), ("osm", 5))])
+    return base(spark, d).select("k", previews.attempts(tried).alias("used"))
+
+
+@query("a25_warnings", "SELECT c_custkey AS k, array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'clamped' END, CASE WHEN c_custkey % 3 = 0 THEN 'fallback' END], lambda x: x IS NOT NULL), ',') AS warnings, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'completed_with_warnings' ELSE 'completed' END AS status FROM customer")
+def a25(spark, d):
+    found, status = previews.warnings_of({"clamped": c("k") % 2 == 0, "fallback": c("k") % 3 == 0})
+    return base(spark, d).select("k", F.array_join(found, ",").alias("warnings"), status.alias("status"))
+
+
+@query("a22_render_score", """SELECT k, round(CASE WHEN w > 0 THEN v / w END, 6) AS render, round(CASE WHEN w > 0 THEN 0.6 * (k % 10) / 10.0 + 0.4 * v / w ELSE (k % 10) / 10.0 END, 6) AS final, CASE WHEN n = 3 THEN 'full' WHEN n >= 1 THEN 'partial' ELSE 'unavailable' END AS status FROM (SELECT k, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (l IS NOT NULL)::INT AS n, CASE WHEN a IS NULL THEN 0 ELSE 0.5 END + CASE WHEN b IS NULL THEN 0 ELSE 0.3 END + CASE WHEN l IS NULL THEN 0 ELSE 0.2 END AS w, coalesce(0.5 * a, 0) + coalesce(0.3 * b, 0) + coalesce(0.2 * (1 - l), 0) AS v
+ FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 11) / 11.0 END AS a, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 7) / 7.0 END AS b, CASE WHEN c_custkey % 5 = 0 THEN (c_custkey % 13) / 13.0 END AS l FROM customer) s) t""")
+def a22(spark, d):
+    some = lambda m, n: F.when(c("k") % m == 0, (c("k") % n) / float(n))
+    s = base(spark, d).select("k", previews.render_score(some(2, 11), some(3, 7), some(5, 13), (c("k") % 10) / 10.0).alias("s"))
+    return s.select("k", F.round("s.render", 6).alias("render"), F.round("s.final", 6).alias("final"), "s.status")
+
+
+@query("a20_pose_check", "SELECT o_custkey AS vp, round(avg(CASE WHEN o_orderkey % 9 = 0 THEN 1846.0 ELSE (o_orderkey % 160) * 1.0 END), 4) AS mean_px, avg(CASE WHEN o_orderkey % 9 = 0 THEN 1846.0 ELSE (o_orderkey % 160) * 1.0 END) <= 80 AS passed FROM orders GROUP BY o_custkey")
+def a20(spark, d):
+    error = F.struct(F.when(c("o_orderkey") % 9 != 0, (c("o_orderkey") % 160) * 1.0).alias("e"))
+    s = table(spark, d, "orders").groupBy(c("o_custkey").alias("vp")).agg(F.collect_list(error).alias("e")).select("vp", previews.pose_check(c("e.e"), F.lit(1846.0)).alias("s"))
+    return s.select("vp", F.round("s.mean_px", 4).alias("mean_px"), "s.passed")
+
+
+@query("a21_horizon_error", "SELECT c_custkey AS k, round(abs((radians((c_custkey % 40) - 20.0) / (radians(40.0) / 2) + 1) / 2 * 1024 - 0.333 * 1024), 6) AS px FROM customer")
+def a21(spark, d):
+    return base(spark, d).select("k", F.round(previews.horizon_error((c("k") % 40) - 20.0, F.lit(40.0), F.lit(0.333), F.lit(1024.0)), 6).alias("px"))
+
+
+@query("p42_payload", """SELECT c_custkey AS k, rtrim(replace(replace(base64(encode('{"k":' || c_custkey || '}')), '+', '-'), '/', '_'), '=') AS payload FROM customer""")
+def p42(spark, d):
+    return base(spark, d).select("k", previews.payload(F.struct("k")).alias("payload"))
+
+
+TEMPLATE_SQL = "tpl(ord, template, composition, types, horizon) AS (VALUES (1, 'ruleOfThirds_A', 'ruleOfThirds', 'all', 0.333), (2, 'ruleOfThirds_B', 'ruleOfThirds', 'all', 0.333), (3, 'goldenRatio_A', 'goldenRatio', 'all', 0.382), (4, 'goldenRatio_B', 'goldenRatio', 'all', 0.382), (5, 'leadingLine', 'leadingLine', 'all', 0.45), (6, 'symmetry', 'symmetry', 'sym', 0.5))"
+TYPED_SQL = "sc AS (SELECT c_custkey AS k, (['peak-water','peak-ridge','cliff-water','multi-peak','mixed-terrain','style-patch'])[c_custkey % 6 + 1] AS type FROM customer)"
+
+
+def typed(spark, d):
+    names = F.array(*map(F.lit, ("peak-water", "peak-ridge", "cliff-water", "multi-peak", "mixed-terrain", "style-patch")))
+    return base(spark, d).select("k", F.element_at(names, (c("k") % 6 + 1).cast("int")).alias("type"))
+
+
+@query("j3_template_join", f"WITH {TEMPLATE_SQL}, {TYPED_SQL} SELECT k, template, CAST(horizon AS DOUBLE) AS horizon FROM sc JOIN tpl ON type <> 'style-patch' AND (types = 'all' OR type IN ('multi-peak', 'mixed-terrain')) AND composition IN ('ruleOfThirds', 'symmetry', 'leadingLine')")
+def j3(spark, d):
+    return viewpoints.eligible(typed(spark, d), ["ruleOfThirds", "symmetry", "leadingLine"]).select("k", "template", "horizon")
+
+
+@query("v2_leading_line", """SELECT k, round(lat1 - (lat2 - lat1) / len * 1000.0, 6) AS lat, round(lng1 - (lng2 - lng1) / len * 1000.0, 6) AS lng FROM (SELECT *, sqrt(power((lat2 - lat1) * 111320.0, 2) + power((lng2 - lng1) * 111320.0 * cos(radians((lat1 + lat2) / 2)), 2)) AS len FROM (SELECT c_custkey AS k, 39.5 + (c_custkey * 7919 % 1000) / 2000.0 AS lat1, -105.5 + (c_custkey * 104729 % 1000) / 2000.0 AS lng1, 39.5 + (c_custkey * 613 % 997) / 2000.0 + 0.0001 AS lat2, -105.5 + (c_custkey * 271 % 1000) / 2000.0 AS lng2 FROM customer) a) b""")
+def v2(spark, d):
+    k = c("k")
+    s = base(spark, d).select("k", (F.lit(39.5) + (k * 7919 % 1000) / 2000.0).alias("lat1"), (F.lit(-105.5) + (k * 104729 % 1000) / 2000.0).alias("lng1"), (F.lit(39.5) + (k * 613 % 997) / 2000.0 + 0.0001).alias("lat2"), (F.lit(-105.5) + (k * 271 % 1000) / 2000.0).alias("lng2"))
+    back = viewpoints.behind(c("lat1"), c("lng1"), c("lat2"), c("lng2"), F.lit(1000.0))
+    return s.select("k", back.alias("p")).select("k", F.round("p.lat", 6).alias("lat"), F.round("p.lng", 6).alias("lng"))
+
+
+@query("v6_viewing_distance", "SELECT c_custkey AS k, GREATEST(400.0, LEAST(15000.0, 2.5 * (c_custkey * 37 % 8000))) AS meters FROM customer")
+def v6(spark, d):
+    return base(spark, d).select("k", viewpoints.fallback_distance((c("k") * 37 % 8000).cast("double")).alias("meters"))
+
+
+@query("t4_viewpoint_dedup", """WITH vp AS (SELECT o_orderkey AS id, o_custkey % 20 AS scene, o_orderkey % 2 AS comp, 39.5 + (o_orderkey * 31 % 40) / 40000.0 AS lat, -105.5 AS lng, (o_orderkey * 7 % 30) * 1.0 AS head, (o_orderkey * 13 % 1000) / 1000.0 AS score FROM orders WHERE o_orderkey < 1500), two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene, comp ORDER BY score DESC, id) AS k FROM vp) s WHERE k <= 2)
+SELECT a.id FROM two a WHERE k = 1 OR NOT EXISTS (SELECT 1 FROM two b WHERE b.scene = a.scene AND b.comp = a.comp AND b.k = 1 AND abs(a.lat - b.lat) * 111320.0 < 150 AND LEAST(abs(a.head - b.head), 360 - abs(a.head - b.head)) < 12)""")
+def t4(spark, d):
+    from pyspark.sql import Window as W
+
+    k = c("o_orderkey")
+    vp = table(spark, d, "orders").filter(k < 1500).select(k.alias("id"), (c("o_custkey") % 20).alias("scene"), (k % 2).alias("comp"), (F.lit(39.5) + (k * 31 % 40) / 40000.0).alias("lat"), F.lit(-105.5).alias("lng"), ((k * 7 % 30) * 1.0).alias("head"), ((k * 13 % 1000) / 1000.0).alias("score"))
+    two = vp.withColumn("k", F.row_number().over(W.partitionBy("scene", "comp").orderBy(F.desc("score"), "id"))).filter("k <= 2").drop("k")
+    return viewpoints.deduplicated(two, ["scene", "comp"]).select("id")
+
+
+@query("v1_pnp_solver")
+def v1(spark, d):
+    """Poses that put two anchors at a template's targets, by least squares; accepted ones with their error."""
+    k = c("k")
+    s = base(spark, d).filter("k < 60").select("k", ((k * 37 % 400) + 800.0).alias("e1"), ((k * 13 % 300) + 1500.0).alias("n1"), (k % 7 * 20 + 300.0).alias("z1"), (-((k * 53 % 500) + 100.0)).alias("e2"), ((k * 29 % 300) + 900.0).alias("n2"), (k % 5 * 15 + 200.0).alias("z2"))
+    return viewpoints.solved(s, "k", (0.667, 0.333), (0.333, 0.667), 0.333, 55.0).select("k", "accepted", F.round("rms", 3).alias("rms"))
