@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values.
 PASS_PX = 80.0
 RENDER_WEIGHTS = (0.5, 0.3, 0.2)
-RENAMED_MODELS = {"gemini-2.5-flash-image-preview": "gemini-2.5-flash-image"}
+RENAMED_MODELS = {"gemini-2.0-flash-exp-image-generation": "gemini-3.1-flash-image-preview", "gemini-2.0-flash-preview-image-generation": "gemini-3.1-flash-image-preview"}
 
 
 def first_provider(available: dict[str, Column]) -> Column:
@@ -51,3 +51,24 @@ def horizon_error(pitch: Column, vertical_fov: Column, ratio: Column, height: Co
 def payload(row: Column) -> Column:
     """A struct as URL-safe base64 JSON without padding."""
     return F.rtrim(F.translate(F.base64(F.encode(F.to_json(row), "utf-8")), "+/\r\n", "-_"), F.lit("="))
+
+
+def model_name(name: Column, fallback: str) -> Column:
+    """A trimmed model name with old ones renamed; the fallback for none."""
+    known = F.create_map(*[F.lit(x) for kv in RENAMED_MODELS.items() for x in kv])
+    asked = F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(fallback))
+    return F.coalesce(F.try_element_at(known, asked), asked)
+
+
+def prompt(guard: Column, creative: Column, default: str) -> Column:
+    """Guard rails and the creative part, or its default if empty."""
+    return F.concat(guard, F.lit("\n\n---\n\n"), F.coalesce(F.nullif(F.trim(creative), F.lit("")), F.lit(default)))
+
+
+def critic_tier(iteration: Column) -> Column:
+    return F.when(iteration >= 3, "smart").otherwise("fast")
+
+
+def table_cell(summary: Column) -> Column:
+    """A summary of 50 characters at most, with dots for what is cut."""
+    return F.when(F.length(summary) > 50, F.concat(F.substring(summary, 1, 47), F.lit("..."))).otherwise(summary)

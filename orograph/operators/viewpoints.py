@@ -138,3 +138,26 @@ def deduplicated(views: DataFrame, by: list[str]) -> DataFrame:
         return frame.loc[[v.Index for v in kept]]
 
     return views.groupBy(*by).applyInPandas(run, views.schema)
+
+
+def snake(composition: Column) -> Column:
+    """A composition's name with underscores, as in ``rule_of_thirds``; ``camel`` goes back."""
+    return F.lower(F.regexp_replace(composition, "([A-Z])", "_$1"))
+
+
+def camel(composition: Column) -> Column:
+    parts = F.split(composition, "_")
+    return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), F.initcap), ""))
+
+
+def horizon_of(composition: Column) -> Column:
+    """A composition's horizon, a third by default."""
+    known = {c: h for _, c, _, _, h, _ in TEMPLATES}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), composition), F.lit(0.333))
+
+
+def anchors(features: DataFrame) -> DataFrame:
+    """Points and lines of each scene, best first (ids as strings break ties). ``features``: scene, kind, feature_id, score."""
+    ordered = lambda kinds: F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind").isin(*kinds), F.struct((-F.col("score")).alias("s"), "feature_id"))), lambda x: x.isNotNull())), lambda x: x["feature_id"])
+    return features.groupBy("scene").agg(ordered(("peaks", "cliffs")).alias("points"), ordered(("ridges", "waterChannels")).alias("lines"))
+

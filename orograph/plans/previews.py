@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orograph.operators import previews, viewpoints
+from orograph.operators import previews, style, viewpoints
 from orograph.plans.registry import query, table
 
 
@@ -102,3 +102,32 @@ def v1(spark, d):
     k = c("k")
     s = base(spark, d).filter("k < 60").select("k", ((k * 37 % 400) + 800.0).alias("e1"), ((k * 13 % 300) + 1500.0).alias("n1"), (k % 7 * 20 + 300.0).alias("z1"), (-((k * 53 % 500) + 100.0)).alias("e2"), ((k * 29 % 300) + 900.0).alias("n2"), (k % 5 * 15 + 200.0).alias("z2"))
     return viewpoints.solved(s, "k", (0.667, 0.333), (0.333, 0.667), 0.333, 55.0).select("k", "accepted", F.round("rms", 3).alias("rms"))
+
+
+@query("p33_p35_prompt_and_model", "SELECT c_custkey AS k, 'Keep the terrain.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'Golden light ' || c_custkey ELSE 'Natural light' END AS prompt, CASE WHEN c_custkey % 4 >= 3 THEN 'smart' ELSE 'fast' END AS tier, CASE WHEN c_custkey % 3 = 0 THEN 'gemini-3.1-flash-image-preview' ELSE 'own-model' END AS model FROM customer")
+def p33(spark, d):
+    creative = F.when(c("k") % 2 == 0, F.concat(F.lit("Golden light "), c("k"))).otherwise(F.lit("  "))
+    name = F.when(c("k") % 3 == 0, F.lit(" gemini-2.0-flash-exp-image-generation ")).otherwise(F.lit(""))
+    return base(spark, d).select("k", previews.prompt(F.lit("Keep the terrain."), creative, "Natural light").alias("prompt"), previews.critic_tier(c("k") % 4).alias("tier"), previews.model_name(name, "own-model").alias("model"))
+
+
+@query("p31_p32_composition", "SELECT k, type, CASE type WHEN 'a' THEN 'rule_of_thirds' WHEN 'b' THEN 'golden_ratio' WHEN 'c' THEN 'leading_line' WHEN 'd' THEN 'symmetry' END AS name, CASE type WHEN 'b' THEN 0.382 WHEN 'c' THEN 0.45 WHEN 'd' THEN 0.5 ELSE 0.333 END::DOUBLE AS horizon FROM (SELECT c_custkey AS k, (['a','b','c','d'])[c_custkey % 4 + 1] AS type FROM customer) s")
+def p31(spark, d):
+    letters = F.array(*map(F.lit, "abcd"))
+    camel = F.array(*map(F.lit, ("ruleOfThirds", "goldenRatio", "leadingLine", "symmetry")))
+    i = (c("k") % 4 + 1).cast("int")
+    return base(spark, d).select("k", F.element_at(letters, i).alias("type"), viewpoints.snake(F.element_at(camel, i)).alias("name"), viewpoints.horizon_of(F.element_at(camel, i)).alias("horizon"))
+
+
+@query("p44_artifact_rows", "SELECT event_id, CASE WHEN length(t) > 50 THEN substr(t, 1, 47) || '...' ELSE t END AS summary, CAST(floor(value + 0.5) AS BIGINT) AS rounded FROM (SELECT event_id, value, event_type || ' ' || props || ' ' || event_type || ' ' || event_type || ' ' || event_type || ' ' || event_type AS t FROM events) s")
+def p44(spark, d):
+    t = F.concat_ws(" ", "event_type", "props", "event_type", "event_type", "event_type", "event_type")
+    return table(spark, d, "events").select("event_id", previews.table_cell(t).alias("summary"), F.floor(c("value") + 0.5).alias("rounded"))
+
+
+@query("v8_v9_style_scores", "SELECT k, round(0.7 * s + 0.3 * (1 - LEAST(abs(h - t), 360 - abs(h - t)) / 180.0), 6) AS contour, round(0.45 * (0.7 * s + 0.3 * (1 - LEAST(abs(h - t), 360 - abs(h - t)) / 180.0)) + 0.35 * s + 0.20 * b, 6) AS final FROM (SELECT c_custkey AS k, (c_custkey % 100) / 100.0 AS s, (c_custkey * 37 % 360) * 1.0 AS h, (c_custkey * 11 % 180 + 180) % 360 * 1.0 AS t, (c_custkey % 17) / 17.0 AS b FROM customer) q")
+def v8(spark, d):
+    k = c("k")
+    s = base(spark, d).select("k", ((k % 100) / 100.0).alias("s"), ((k * 37 % 360) * 1.0).alias("h"), ((k * 11 % 180) * 1.0).alias("normal"), ((k % 17) / 17.0).alias("b"))
+    contour = style.contour_score(c("s"), c("h"), c("normal"))
+    return s.select("k", F.round(contour, 6).alias("contour"), F.round(style.final_score(contour, c("s"), c("b")), 6).alias("final"))

@@ -1 +1,47 @@
-"""orograph.plans.style."""
+"""Queries of style operators on ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from orograph.operators import style
+from orograph.plans.raster import c, cells
+from orograph.plans.registry import query, table
+
+COSINE_SQL = "cs AS (SELECT vec_id, label, (SELECT sum(x * y) FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(q.v)::DOUBLE AS y) z) / (sqrt((SELECT sum(x * x) FROM (SELECT unnest(embedding)::DOUBLE AS x) z)) * sqrt((SELECT sum(y * y) FROM (SELECT unnest(q.v)::DOUBLE AS y) z))) AS similarity FROM embeddings, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q)"
+
+
+def compared(spark, d):
+    e = table(spark, d, "embeddings")
+    one = e.filter("vec_id = 0").select(c("embedding").alias("v"))  # one row
+    return e.crossJoin(F.broadcast(one)).select("vec_id", "label", style.cosine(c("embedding"), c("v")).alias("similarity"))
+
+
+@query("a19_cosine", f"WITH {COSINE_SQL} SELECT vec_id, round(similarity, 6) AS similarity FROM cs")
+def a19(spark, d):
+    return compared(spark, d).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("t5_top_similar", f"WITH {COSINE_SQL} SELECT label, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS k FROM cs) s WHERE k <= 24")
+def t5(spark, d):
+    from pyspark.sql import Window as W
+
+    return compared(spark, d).withColumn("k", F.row_number().over(W.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))).filter("k <= 24").select("label", "vec_id")
+
+
+@query("n22_a18_patch_fingerprints")
+def a18(spark, d):
+    found = style.patch_fingerprints(cells(spark, d), 64)
+    return found.select("area", "r0", "c0", F.size("fingerprint").alias("n"), F.round(style.cosine(c("fingerprint"), c("fingerprint")), 6).alias("self"))
+
+
+@query("v11_style_search")
+def v11(spark, d):
+    found = style.patch_fingerprints(cells(spark, d), 64)
+    one = found.filter("area = 0 AND r0 = 0 AND c0 = 0").select(c("fingerprint").alias("vector"))
+    return style.best_patches(found, one).select("area", "r0", "c0", "rank", F.round("similarity", 4).alias("similarity"))
+
+
+@query("n23_patches", "SELECT a AS area, r0, c0, 441 AS cells FROM (SELECT DISTINCT vec_id // 64 AS a FROM embeddings WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64)) x, (SELECT CAST(unnest(range(0, 44, 8)) AS INTEGER) AS r0) y, (SELECT CAST(unnest(range(0, 44, 8)) AS INTEGER) AS c0) z")
+def n23(spark, d):
+    return style.patches(cells(spark, d), 64).groupBy("area", "r0", "c0").agg(F.count(F.lit(1)).cast("int").alias("cells"))
