@@ -115,8 +115,8 @@ def layers(cells: DataFrame, features: DataFrame, side: int, kinds: tuple[str, .
     if "ridges" in kinds:
         mask = vertices("ridges").select("area", F.bround("r").cast("int").alias("row"), F.bround("c").cast("int").alias("col")).distinct()
         line = stencil.dilated(mask, side, side).withColumn("__on", F.lit(1.0))
-        out = stencil.gaussian(out.join(line, ["area", "row", "col"], "left").fillna(0.0, ["__on"]), "__on", "__line", RIDGE_SIGMA, side)
-        out = stencil.normalised(out, "__line", "ridges").drop("__on", "__line")
+        out = stencil.gaussian(out.join(line, ["area", "row", "col"], "left").fillna(0.0, ["__on"]), "__on", "__smooth", RIDGE_SIGMA, side)
+        out = stencil.normalised(out, "__smooth", "ridges").drop("__on", "__smooth")
     else:
         out = out.withColumn("ridges", F.lit(0.0))
     return out.fillna(0.0, list(LAYERS))

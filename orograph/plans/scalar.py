@@ -146,17 +146,18 @@ def pairs(spark, d):
     return points(spark, d).select("k", c("lat").alias("lat1"), c("lng").alias("lng1"), (F.lit(39.5) + (c("k") * 613 % 1000) / 2000.0).alias("lat2"), (F.lit(-105.5) + (c("k") * 271 % 1000) / 2000.0).alias("lng2"), "head", "pitch", "fov", "alt")
 
 
-ENDS = [c(x) for x in ("lat1", "lng1", "lat2", "lng2")]
+def ends():
+    return [c(x) for x in ("lat1", "lng1", "lat2", "lng2")]
 
 
 @query("p11_haversine", f"SELECT k, round(2 * 6378137.0 * asin(sqrt(power(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng1) / 2), 2))), 4) AS meters FROM {PAIRS_SQL} p")
 def p11(spark, d):
-    return pairs(spark, d).select("k", F.round(geo.haversine(*ENDS), 4).alias("meters"))
+    return pairs(spark, d).select("k", F.round(geo.haversine(*ends()), 4).alias("meters"))
 
 
 @query("p12_planar_distance", f"SELECT k, round(sqrt(power((lat2 - lat1) * 111320.0, 2) + power((lng2 - lng1) * 111320.0 * cos(radians((lat1 + lat2) / 2)), 2)), 4) AS meters FROM {PAIRS_SQL} p")
 def p12(spark, d):
-    return pairs(spark, d).select("k", F.round(geo.planar(*ENDS), 4).alias("meters"))
+    return pairs(spark, d).select("k", F.round(geo.planar(*ends()), 4).alias("meters"))
 
 
 @query(
