@@ -73,3 +73,50 @@ def depth_layers(view: DataFrame) -> DataFrame:
 def total(scores: DataFrame) -> DataFrame:
     """Adds the weighted total of the seven scores; absent ones count as 0."""
     return scores.withColumn("total", sum((F.coalesce(F.col(n), F.lit(0.0)) * w for n, w in WEIGHTS.items()), F.lit(0.0)))
+
+
+def skyline(view: DataFrame, cameras: DataFrame, n: int = RAYS) -> DataFrame:
+    """Highest angle of every ray (vp_id, ray, angle); rays without a sample lie straight down."""
+    every = cameras.select("vp_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ray"))
+    top = view.groupBy("vp_id", "ray").agg(F.max("angle").alias("angle"))
+    return every.join(top, ["vp_id", "ray"], "left").fillna(-math.pi / 2, ["angle"])
+
+
+def prospect_refuge(view: DataFrame, cells: DataFrame, cameras: DataFrame, reach: int) -> DataFrame:
+    """Harmonic mean of the share of cells seen and of the share of higher cells within ``reach`` cells of the camera. ``cameras``: vp_id, area, alt, row, col."""
+    size = cells.groupBy("area").agg(F.count(F.lit(1)).alias("all"))
+    seen = view.filter("visible").select("vp_id", "area", "row", "col").distinct().groupBy("vp_id", "area").agg(F.count(F.lit(1)).alias("seen")).join(size, "area").select("vp_id", (F.col("seen") / F.col("all")).alias("prospect"))
+    step = F.sequence(F.lit(-reach), F.lit(reach))
+    around = cameras.withColumn("__r", F.explode(step)).withColumn("__c", F.explode(step)).select("vp_id", "area", "alt", (F.col("row") + F.col("__r")).alias("row"), (F.col("col") + F.col("__c")).alias("col"))
+    refuge = around.join(cells.select("area", "row", "col", "elev"), ["area", "row", "col"]).groupBy("vp_id").agg(F.avg((F.col("elev") > F.col("alt")).cast("int")).alias("refuge"))
+    both = cameras.select("vp_id").join(seen, "vp_id", "left").join(refuge, "vp_id", "left").fillna(0.0)
+    total_ = F.col("prospect") + F.col("refuge")
+    return both.select("vp_id", F.when(total_ > 0, 2 * F.col("prospect") * F.col("refuge") / F.when(total_ > 0, total_)).otherwise(F.lit(0.0)).alias("prospect"))
+
+
+def water_share(view: DataFrame, water: DataFrame) -> DataFrame:
+    """Share of an area's water points (area, row, col; repeats count) that are seen."""
+    total_ = water.groupBy("area").agg(F.count(F.lit(1)).alias("all"))
+    seen = view.filter("visible").select("vp_id", "area", "row", "col").distinct()
+    hit = seen.join(water, ["area", "row", "col"]).groupBy("vp_id").agg(F.count(F.lit(1)).alias("hit"))
+    return seen.select("vp_id", "area").distinct().join(total_, "area").join(hit, "vp_id", "left").select("vp_id", (F.coalesce("hit", F.lit(0)) / F.col("all")).alias("water"))
+
+
+def mystery(view: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rays whose next step after the last visible one is of high interest, over the visible cells of high interest. ``limits``: area, p75; ``view`` has interest."""
+    seen = view.join(limits, "area")
+    last = seen.groupBy("vp_id", "ray").agg(F.max(F.when(F.col("visible"), F.col("step"))).alias("last"))
+    hidden = seen.join(last, ["vp_id", "ray"]).filter((F.col("step") == F.col("last") + 1) & (F.col("interest") >= F.col("p75"))).groupBy("vp_id").agg(F.count(F.lit(1)).alias("hidden"))
+    shown = seen.filter(F.col("visible") & (F.col("interest") >= F.col("p75"))).select("vp_id", "row", "col").distinct().groupBy("vp_id").agg(F.count(F.lit(1)).alias("shown"))
+    return shown.join(hidden, "vp_id", "left").select("vp_id", F.least(F.lit(1.0), F.coalesce("hidden", F.lit(0)) / F.col("shown")).alias("mystery"))
+
+
+def line_of_sight(lines: DataFrame, cells: DataFrame, height: int, width: int, samples: int = 64) -> DataFrame:
+    """(vp_id, clear): whether terrain stays below the straight line between two places in cells (r1, c1, alt1, r2, c2, alt2); the ends are passed over."""
+    from orograph.operators import stencil
+
+    t = F.col("i") / (samples - 1.0)
+    between = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
+    points = lines.withColumn("i", F.explode(F.sequence(F.lit(2), F.lit(samples - 3)))).select("vp_id", "area", between("r1", "r2").alias("r"), between("c1", "c2").alias("c"), between("alt1", "alt2").alias("alt"), (F.col("vp_id") * samples + F.col("i")).alias("pid"))
+    ground = stencil.bilinear(points, cells, height, width)
+    return ground.groupBy("vp_id").agg((~F.bool_or(F.col("value") > F.col("alt") - 0.5)).alias("clear"))

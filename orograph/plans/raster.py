@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orograph.operators import features, hydro, stencil
 from orograph.plans.registry import query, table
 from orograph.sources import raster
+from orograph.sources.shared import checkpointed
 
 CELL = 78.0
 CELLS_SQL = "cells AS MATERIALIZED (SELECT area, \"row\", col, 1500.0 + 2500.0 * CAST(embedding[col + 1] AS DOUBLE) AS elev FROM (SELECT vec_id // 64 AS area, CAST(vec_id % 64 AS INTEGER) AS \"row\", embedding, CAST(unnest(range(0, 64)) AS INTEGER) AS col FROM embeddings WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64)) e)"
@@ -219,8 +220,9 @@ surf AS MATERIALIZED (SELECT *, LEAST(1, GREATEST(0, (coalesce(peaks, 0) * 1.0 +
 def surface(spark, d):
     base = cells(spark, d)
     bent = stencil.curvature(stencil.slope(base, CELL), CELL)
-    found = features.peaks(base).unionByName(features.cliffs(bent))
-    return features.interest(features.layers(base, found, raster.SIDE, tuple(WEIGHTS)), WEIGHTS)
+    # Both are read by several parts of the plan.
+    found = checkpointed(features.peaks(base).unionByName(features.cliffs(bent)))
+    return checkpointed(features.interest(features.layers(base, found, raster.SIDE, tuple(WEIGHTS)), WEIGHTS))
 
 
 @query("f5_interest", f'WITH RECURSIVE {SURFACE_SQL} SELECT area, "row", col, round(interest, 5) AS interest FROM surf')

@@ -136,3 +136,52 @@ def t1(spark, d):
 def a16(spark, d):
     comp = c("o_orderkey") % 4
     return table(spark, d, "orders").groupBy((c("o_custkey") % 50).alias("scene")).agg(F.count(F.lit(1)).alias("generated"), F.count_if(comp == 0).alias("no_convergence"), F.count_if(comp == 1).alias("out_of_bounds"), F.count_if(comp == 2).alias("under_ground"))
+
+
+@query("a7_skyline_dimension", f"""WITH {RAY_SQL}, sk AS (SELECT c.vp_id, r.ray, coalesce(max(v.angle), -pi() / 2) AS a FROM cam c CROSS JOIN (SELECT unnest(range(0, 90)) AS ray) r LEFT JOIN view v ON v.vp_id = c.vp_id AND v.ray = r.ray GROUP BY ALL), p AS (SELECT vp_id, ray, (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) AS v FROM sk WINDOW w AS (PARTITION BY vp_id)),
+b AS (SELECT vp_id, s, ray // s AS seg, max(v) AS hi, min(v) AS lo FROM p, (VALUES (2), (4), (8), (16), (32)) AS z(s) WHERE (ray // s + 1) * s <= 90 GROUP BY ALL), k AS (SELECT vp_id, s, sum(floor(hi * 90 / s) - floor(lo * 90 / s) + 1) AS k FROM b GROUP BY ALL) SELECT vp_id, round(regr_slope(ln(k), ln(90.0 / s)), 4) AS dimension FROM k GROUP BY vp_id""")
+def a7(spark, d):
+    sky = visibility.skyline(view(spark, d), cameras(spark, d))
+    return visibility.box_dimension(sky, ["vp_id"], "ray", "angle", 90).select("vp_id", F.round("dimension", 4).alias("dimension"))
+
+
+CELL_CAM_SQL = 'cc AS (SELECT s_suppkey AS vp_id, s_suppkey % 7 AS area, 1600.0 + s_suppkey % 500 AS alt, CAST(s_suppkey * 7 % 64 AS INTEGER) AS "row", CAST(s_suppkey * 13 % 64 AS INTEGER) AS col FROM supplier WHERE s_suppkey < 40)'
+
+
+def cell_cameras(spark, d):
+    k = c("s_suppkey")
+    return table(spark, d, "supplier").filter(k < 40).select(k.alias("vp_id"), (k % 7).alias("area"), (F.lit(1600.0) + k % 500).alias("alt"), (k * 7 % 64).cast("int").alias("row"), (k * 13 % 64).cast("int").alias("col"))
+
+
+@query("a9_prospect_refuge", f"""WITH {RAY_SQL}, {CELL_CAM_SQL}, p AS (SELECT vp_id, count(*) / 4096.0 AS p FROM (SELECT DISTINCT vp_id, "row", col FROM view WHERE visible) s GROUP BY vp_id), r AS (SELECT cc.vp_id, avg(CASE WHEN e.elev > cc.alt THEN 1.0 ELSE 0.0 END) AS r FROM cc JOIN cells e ON e.area = cc.area AND abs(e."row" - cc."row") <= 6 AND abs(e.col - cc.col) <= 6 GROUP BY cc.vp_id)
+SELECT vp_id, round(CASE WHEN coalesce(p, 0) + r > 0 THEN 2 * coalesce(p, 0) * r / (coalesce(p, 0) + r) ELSE 0 END, 6) AS prospect FROM r LEFT JOIN p USING (vp_id)""")
+def a9(spark, d):
+    return visibility.prospect_refuge(view(spark, d), cells(spark, d), cell_cameras(spark, d), 6).select("vp_id", F.round("prospect", 6).alias("prospect"))
+
+
+@query("a11_mystery", f"""WITH {RAY_SQL}, v AS (SELECT v.*, (v.elev - 187.0) / 2500.0 AS interest, p75 FROM view v JOIN (SELECT area, quantile_cont((elev - 187.0) / 2500.0, 0.75) AS p75 FROM cells GROUP BY area) q USING (area)), l AS (SELECT vp_id, ray, max(step) FILTER (visible) AS last FROM v GROUP BY ALL), h AS (SELECT vp_id, count(*) AS n FROM v JOIN l USING (vp_id, ray) WHERE step = last + 1 AND interest >= p75 GROUP BY vp_id), s AS (SELECT vp_id, count(*) AS n FROM (SELECT DISTINCT vp_id, "row", col FROM v WHERE visible AND interest >= p75) d GROUP BY vp_id)
+SELECT s.vp_id, round(LEAST(1.0, coalesce(h.n, 0) / CAST(s.n AS DOUBLE)), 6) AS mystery FROM s LEFT JOIN h USING (vp_id)""")
+def a11(spark, d):
+    limits = cells(spark, d).groupBy("area").agg(F.percentile((c("elev") - 187.0) / 2500.0, F.lit(0.75)).alias("p75"))
+    return visibility.mystery(view(spark, d), limits).select("vp_id", F.round("mystery", 6).alias("mystery"))
+
+
+@query("a12_water_share", f"""WITH {RAY_SQL}, w AS (SELECT area, "row", col FROM cells WHERE elev < 1000), t AS (SELECT area, count(*) AS n FROM w GROUP BY area), s AS (SELECT DISTINCT vp_id, area, "row", col FROM view WHERE visible) SELECT s.vp_id, round(count(w.area) / CAST(any_value(t.n) AS DOUBLE), 6) AS water FROM s JOIN t USING (area) LEFT JOIN w ON w.area = s.area AND w."row" = s."row" AND w.col = s.col GROUP BY s.vp_id""")
+def a12(spark, d):
+    water = cells(spark, d).filter("elev < 1000").select("area", "row", "col")
+    return visibility.water_share(view(spark, d), water).select("vp_id", F.round("water", 6).alias("water"))
+
+
+@query("g12_line_of_sight", f"""WITH {CELLS_SQL}, {CELL_CAM_SQL}, ln AS (SELECT vp_id, area, "row" AS r1, col AS c1, alt + 600 AS alt1, 63.0 - "row" AS r2, 63.0 - col AS c2, alt + 300 AS alt2 FROM cc), sm AS (SELECT vp_id, area, i, r1 + (r2 - r1) * i / 63.0 AS r, c1 + (c2 - c1) * i / 63.0 AS c, alt1 + (alt2 - alt1) * i / 63.0 AS alt FROM ln, (SELECT unnest(range(2, 62)) AS i) s), q AS (SELECT *, LEAST(floor(r), 62) AS r0, LEAST(floor(c), 62) AS c0 FROM sm),
+v AS (SELECT vp_id, i, any_value(alt) AS alt, sum((1 - abs(r - e."row")) * (1 - abs(c - e.col)) * e.elev) AS value FROM q JOIN cells e ON e.area = q.area AND e."row" BETWEEN q.r0 AND q.r0 + 1 AND e.col BETWEEN q.c0 AND q.c0 + 1 GROUP BY vp_id, i) SELECT vp_id, NOT bool_or(value > alt - 0.5) AS clear FROM v GROUP BY vp_id""")
+def g12(spark, d):
+    cam = cell_cameras(spark, d)
+    lines = cam.select("vp_id", "area", c("row").alias("r1"), c("col").alias("c1"), (c("alt") + 600).alias("alt1"), (F.lit(63.0) - c("row")).alias("r2"), (F.lit(63.0) - c("col")).alias("c2"), (c("alt") + 300).alias("alt2"))
+    return visibility.line_of_sight(lines, cells(spark, d), 64, 64)
+
+
+@query("p23_feature_center", "SELECT conv_id, count(*) AS n, list(turn ORDER BY turn)[count(*) // 2 + 1] AS middle FROM conversations GROUP BY conv_id")
+def p23(spark, d):
+    """The middle vertex of each path (turns stand for vertices): element len // 2."""
+    path = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("p"))
+    return path.select("conv_id", F.size("p").cast("long").alias("n"), F.element_at("p", F.floor(F.size("p") / 2).cast("int") + 1).alias("middle"))
