@@ -83,11 +83,13 @@ def count_ngrams(rows: DataFrame, lang: str, text: str) -> tuple[list[str], np.n
 def train(df: DataFrame, key: str, text: str, lang: str, usable) -> tuple[list[str], np.ndarray]:
     """Languages and P(bucket | language) as (bucket, language), from a bounded sample of the labelled rows."""
     labelled = df.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # The sample is drawn on ids and labels alone: rows within a hash bound, which depends on each label's count.
-    sizes = labelled.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
-    share = F.lit(MAX_ROWS) / F.col("__n")
+    # A row a language reaches the driver; with the counts at hand the sample is a filter, and no text is shuffled.
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return [], np.zeros((BUCKETS, 0))
+    share = F.try_element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, MAX_ROWS / n))]), F.col(lang))
     point = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = labelled.select(F.col(key), F.col(text).alias("__text"), F.col(lang).alias("__lang")).join(sizes, "__lang").filter(point < share)
+    sample = labelled.filter(point < share).select(F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     labels, counts = count_ngrams(sample, "__lang", "__text")
     if not labels:
         return [], np.zeros((BUCKETS, 0))
