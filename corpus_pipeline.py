@@ -30,9 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Of rows with the same id, one stays."""
-    found = near_dup.near_dup(docs, "doc_id").filter("kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").select(COLUMNS)
+    """One document of each group: that of the smallest id. Rows that share an id stay or go together; so do rows without one."""
+    found = near_dup.near_dup(docs, "doc_id").filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, rounded to whole copies; a document without words stays as it is."""
     taken = mixing.mix(docs, ["doc_id"]).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5)))
-    often = checkpointed(taken.select("doc_id", copies.cast("int").alias("copies")).filter("copies > 0"))
-    return docs.join(often, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    often = checkpointed(taken.select(F.col("doc_id").alias("taken_id"), copies.cast("int").alias("copies")).filter("copies > 0"))
+    return docs.join(often, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

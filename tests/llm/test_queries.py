@@ -166,6 +166,21 @@ def test_every_query_is_registered():
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
 
 
+def test_pipeline_stages_keep_rows_without_ids_or_texts(spark, docs):
+    import corpus_pipeline
+
+    plain = docs.select(corpus_pipeline.COLUMNS)
+    kept = corpus_pipeline.drop_near_copies(spark, plain, "")
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({1: 1, 4: 1, 5: 1, 6: 1, 7: 2, 9: 1, None: 1})
+    clean = corpus_pipeline.redact_secrets(spark, kept, "")
+    assert clean.columns == corpus_pipeline.COLUMNS and clean.count() == 8
+    mixed = corpus_pipeline.mix_sources(spark, clean, "")
+    assert mixed.columns == corpus_pipeline.COLUMNS and {r["doc_id"] for r in mixed.collect()} >= {4, 5, 9}
+    assert corpus_pipeline.encode(spark, mixed, "").count() == mixed.count()
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.redact_secrets, corpus_pipeline.mix_sources, corpus_pipeline.encode):
+        assert stage(spark, plain.limit(0), "").count() == 0
+
+
 def test_pipeline_equals_its_operators(spark):
     import corpus_pipeline
 
