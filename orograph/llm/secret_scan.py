@@ -3,8 +3,8 @@
 Three fixed pattern kinds (assign, access, hex) and spans found by two character
 Markov models: order-2 models of random strings and of ordinary identifiers are
 trained from labelled samples; a candidate token is a secret (kind ``markov``)
-if the mean log-likelihood ratio per character is over a threshold and no base
-span covers it.
+if the mean log-likelihood ratio per character is over a threshold and base
+spans don't cover all of it.
 
 Defined results: a null or empty text has no spans; repeated rows give equal
 rows; other columns are not read.
@@ -26,13 +26,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Tokens that the models judge: long runs of letters and digits; digits alone are card and phone numbers.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: Tokens that the models judge: every run of 16 characters or more, however long and of whatever characters.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LETTERS = len(ALPHABET) + 1  # one more for any other character and the start
 PARTS = "get set add new old max min user name file path data list item node index count size key value table row column query filter sort order group join merge split load save read write open close start stop run init build make test check find search match replace insert update delete remove create page view form field input output error warn info debug log time date day week month year hour minute second local remote host port server client request response header body status code message event handler listener manager factory service config option setting default static final public private class object array string number float double int long bool map set queue stack tree graph edge vertex matrix vector image video audio text font color width height left right top bottom center".split()
+#: Pieces of words in the languages of usual corpora; long words and compounds are put together from them.
+PIECES = "the ing tion ation ment ness able ible less ful ship ward inter trans over under counter micro multi super anti auto bio geo photo graph phone scope logy logical ism ist ity ous ive ance ence ize ized ization er ers or al ly un re de dis pre pro con com per sub ex en in im non out up down land house work man stone water light ground book school way side time line fall wind mill comp respons commun inform develop govern environ establish represent understand consider friend question straight strength thought through knowledge der die das und ein eine einer einem nicht ver be ge zer ent er auf aus ab an bei vor nach zu zum ung ungen heit keit lich lichkeit schaft schaften isch ieren chen lein bar sam los haft tum nis schiff fahrt gesell recht rechts steuer haupt bahn hof stadt straße strasse wasser arbeit arbeits zeit geschwindig begrenz versicher verwalt bund bundes land wirt kraft werk zeug fahr zug kranken haus kind garten schul lehr buch sprach wissen technik pfleg pfl sch tz st sp kn qu pf ich ach och auch doch durch zwischen les des est pas que qui une dans pour avec sur eux aux eau eaux elle elles ette tion sion ment ments ique able eur euse esse age ance aient aire oir oire ille ouille ou oui oue ai au ail ch chou cha che bou bre tre ple ier iere constitution anticipation gouverne développe developpe administr intern nation alis el los las una con por para mente mento cion ciones ado ada ados adas ando iendo idad idades ista ismo able ible ero era ería eria ura oso osa des en em sobre entre contra trans desarroll conoci respons interna cional ra re ri ro ru ma me mi mo la le li lo ta te ti to ca co ci ce cu sa se si so na ne ni no pa pe pi po ba be bi bo da de di do ga go gue gui ja jo lla llo ña vi va za zo".split()
 #: The threshold on the mean log-likelihood ratio per character, and samples a class.
 THRESHOLD, SAMPLES = 0.45, 4000
 
@@ -62,6 +64,33 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
     return out
 
 
+def plain_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
+    """(string, 1 for a random one) of what has no letters or no digits: keys of letters; long words, their rows, separators and numbers."""
+    rng = np.random.default_rng(seed)
+    pieces = [p for p in PIECES if p.isascii()]
+    pools = [ALPHABET[:26], ALPHABET[26:52], ALPHABET[:52]]
+    out = [("".join(rng.choice(list(pools[i % len(pools)]), int(rng.integers(16, 48)))), 1) for i in range(n)]
+    for i in range(4 * n):
+        word = "".join(str(p) for p in rng.choice(pieces, int(rng.integers(4, 9))))
+        style = i % 8
+        if style < 4:
+            s = word
+        elif style == 4:
+            s = word.capitalize()
+        elif style == 5:
+            s = word.upper()
+        elif style == 6:
+            s = str(rng.choice(["-", "_", "/", "="])).join("".join(str(p) for p in rng.choice(pieces, int(rng.integers(1, 4)))) for _ in range(int(rng.integers(3, 7))))
+        elif i % 32 == 7:
+            s = "".join(rng.choice(list("+/_=-"), int(rng.integers(1, 4)))) * int(rng.integers(16, 81))
+        elif i % 32 == 15:
+            s = str(rng.choice(list(ALPHABET))) * int(rng.integers(16, 81))
+        else:
+            s = "".join(rng.choice(list("0123456789"), int(rng.integers(16, 33))))
+        out.append((s, 0))
+    return out
+
+
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < 128, _CODE[np.minimum(points, 127)], LETTERS - 1)
@@ -89,7 +118,7 @@ def train(samples: list[tuple[str, int]]) -> np.ndarray:
 
 @lru_cache(1)
 def model() -> np.ndarray:
-    return train(labelled_samples())
+    return train(labelled_samples() + plain_samples())
 
 
 def ratio(token: str, llr: np.ndarray) -> float:
@@ -110,15 +139,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether the base spans (by start) together hold all of start to end."""
+    for a, _, b in base:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 def spans(text: str, llr: np.ndarray, threshold: float = THRESHOLD) -> tuple[list, list]:
     """Base spans; all spans, with those that the models add."""
     base = base_spans(text)
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(a < e and s < b for a, _, b in base):
-            continue
-        if ratio(m[0], llr) > threshold:
+        if not covered(s, e, base) and ratio(m[0], llr) > threshold:
             found.append((s, 3, e))
     return base, sorted(base + found)
 

@@ -62,6 +62,20 @@ def test_secret_model_on_fresh_samples():
     assert secret_scan.redact([None, ""]) == [(None,), ("",)]
 
 
+def test_secret_runs_of_any_length_and_characters():
+    rng = np.random.default_rng(5)
+    key = lambda pool, n: "".join(rng.choice(list(pool), n))
+    kinds = secret_scan.ALPHABET
+    for run in (key(kinds[:64], 513), key(kinds[:64], 5000), key(kinds[:52], 24), key(kinds[:26], 24), key(kinds[26:52], 24), key(kinds[:52], 60) + "7"):
+        assert secret_scan.redact([f"see {run} here"]) == [("see [SECRET] here",)]
+    half = "G7kQz9XwPm2RtYv4LsBn" + "0123456789abcdef01234567" + "J8hWx3KqZp5TvNc6MrDg"
+    assert secret_scan.redact([f"a {half} b"]) == [("a [SECRET] b",)]
+    plain = "Donaudampfschifffahrtsgesellschaft internationalization ================ 4111111111111111 well-known-text-of-words anticonstitutionnellement"
+    assert secret_scan.redact([plain]) == [(plain,)]
+    held = secret_scan.plain_samples(500, seed=124)
+    assert np.mean([(secret_scan.ratio(s, secret_scan.model()) > secret_scan.THRESHOLD) == bool(y) for s, y in held]) > 0.98
+
+
 def test_bpe_equals_tiktoken():
     import public_tokenizers as tokenizers
     import tiktoken
