@@ -2,7 +2,8 @@
 
 Ordered signature rules: every rule is a regex written for one form of one
 licence (grant sentence, title, SPDX tag, short name, address). A keyword
-automaton reads the lower-cased text once; only rules one of whose keywords
+automaton reads the lower-cased text once, with runs of white space, ``_`` and
+``-`` as one space; only rules one of whose keywords
 occurs are run. Detections are taken by priority, then start; one that lies
 within an accepted detection of a higher or equal priority is suppressed.
 Partial overlaps both stay, as they can be two licences side by side.
@@ -88,7 +89,7 @@ BODIES = [
     ("mit", r"the software is provided \"as is\", without warranty of any kind", "the software is provided"),
     ("isc", r"permission to use, copy, modify, and/?(?:or )?distribute this software for any purpose", "permission to use, copy"),
     ("bsd", r"redistribution and use in source and binary forms, with or without modification", "redistribution and use"),
-    ("bsd-3-clause", r"neither the name of .{1,120}? may be used to endorse or promote products", "endorse or promote"),
+    ("bsd-3-clause", r"neither the name of [\s\S]{1,120}? may be used to endorse or promote products", "endorse or promote"),
     ("apache", r"you may not use this file except in compliance with the license", "except in compliance"),
     ("gpl", r"this program is free software[:;,] you can redistribute it", "this program is free software"),
     ("lgpl", r"this library is free software[:;,] you can redistribute it", "this library is free software"),
@@ -159,9 +160,9 @@ def automaton():
     by: dict[str, tuple[list[int], list[int]]] = {}
     for i, rule in enumerate(rules()):
         for k in rule.keywords:
-            by.setdefault(k, ([], []))[0].append(i)
+            by.setdefault(squeezed(k), ([], []))[0].append(i)
         for k in rule.context:
-            by.setdefault(k, ([], []))[1].append(i)
+            by.setdefault(squeezed(k), ([], []))[1].append(i)
     a = ahocorasick.Automaton()
     for k, v in by.items():
         a.add_word(k, (k, *map(frozenset, v)))
@@ -174,10 +175,15 @@ def lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def squeezed(text: str) -> str:
+    """Runs of white space, ``_`` and ``-`` as one space, as the rules take any of them between words."""
+    return " ".join(text.replace("_", " ").replace("-", " ").split())
+
+
 def detections(text: str) -> tuple[list[tuple[int, int, str, int, float]], list[tuple[int, int, str]]]:
     """Accepted detections (start, end, label, priority, confidence) of a lower-cased text, and every match of a base phrase (start, end, phrase)."""
     table_ = rules()
-    seen = {x[0]: x for _, x in automaton().iter(text)}
+    seen = {x[0]: x for _, x in automaton().iter(squeezed(text))}
     gated: set[int] = set().union(*(x[1] for x in seen.values()))
     near: set[int] = set().union(*(x[2] for x in seen.values()))
     wanted = [i for i in gated if i in near or not table_[i].context]

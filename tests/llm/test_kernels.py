@@ -39,6 +39,30 @@ def test_license_rules_suppress_contained_detections():
     assert len(license_scan.rules()) > 300
 
 
+def test_license_keywords_gate_no_wrapped_text():
+    texts = [
+        "gnu lesser general public license",
+        "redistribution and use in source and binary forms, with or without modification",
+        "permission is hereby granted, free of charge, to any person obtaining a copy",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+        "released under the sil open font license, version 1.1",
+        "the creative commons attribution share-alike license",
+        "under the terms of the mozilla public license",
+    ]
+    for text in texts:
+        plain = license_scan.scan([text])[0]
+        assert plain[5]
+        for gap in ("\n", "  ", "\r\n\t", "\u00a0"):
+            found = license_scan.scan([text.replace(" ", gap)])[0]
+            assert found[5:7] == plain[5:7], (text, gap)
+    assert license_scan.scan(["gnu lesser_general-public__license"])[0][5] == "gpl,lgpl"
+    # The gate lets through whatever the rules find without it.
+    for text in [t.replace(" ", gap) for t in texts for gap in (" ", "\n", "  ")]:
+        matching = {r.label for r in license_scan.rules() if r.pattern.search(text) and (not r.context or any(c in text for c in r.context))}
+        gated = set().union(*(x[1] for _, x in license_scan.automaton().iter(license_scan.squeezed(text))))
+        assert matching <= {license_scan.rules()[i].label for i in gated}
+
+
 def test_secret_spans():
     def plain(text):
         text = text or ""
