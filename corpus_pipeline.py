@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again.
 
 toxicity drops documents that it rejects; near-duplicate groups keep their
-smallest id; secrets are replaced in the text (``n_chars`` follows); the mix
+smallest id, or one row where none has an id; secrets are replaced in the text (``n_chars`` follows); the mix
 repeats or drops documents so that sources come near their targets; the last
 stage encodes the texts.
 
@@ -30,9 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of the smallest id. Rows that share an id stay or go together; so do rows without one."""
-    found = near_dup.near_dup(docs, "doc_id").filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(COLUMNS)
+    """One document of each group: that of the smallest id; rows without an id come last and are documents of their own.
+
+    Only equal rows (id and text) share a key, and stay or go together.
+    """
+    none = checkpointed(docs.filter("doc_id IS NULL").withColumn("number", F.monotonically_increasing_id()))
+    every = docs.filter("doc_id IS NOT NULL").withColumn("number", F.xxhash64("text")).unionByName(none)
+    some_id = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    keyed = every.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), some_id.alias("id"), "number"))
+    found = near_dup.near_dup(keyed, "key").filter("kept").select(F.col("key").alias("kept_key")).distinct()
+    return keyed.join(found, F.col("key") == F.col("kept_key"), "left_semi").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +49,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, rounded to whole copies; a document without words stays as it is."""
-    taken = mixing.mix(docs, ["doc_id"]).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    """Each row as often as the mix takes it, rounded to whole copies; a document without words stays as it is."""
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = spark.read.parquet(path)
+    taken = mixing.mix(numbered.withColumn("digest", F.xxhash64("text")), ["doc_id", "digest"], row="number")
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5)))
-    often = checkpointed(taken.select(F.col("doc_id").alias("taken_id"), copies.cast("int").alias("copies")).filter("copies > 0"))
-    return docs.join(often, F.col("doc_id").eqNullSafe(F.col("taken_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    often = checkpointed(taken.select("number", copies.cast("int").alias("copies")).filter("copies > 0"))
+    return numbered.join(often, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

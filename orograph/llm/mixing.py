@@ -123,16 +123,17 @@ def schedule(spark: SparkSession, p: Plan) -> DataFrame:
     return bases.select("chunk", F.col("b.base").alias("base")).mapInArrow(ranks, "slot long, src int, rank long, block long")
 
 
-def sized(df: DataFrame, keys: list[str], source: str, text: str) -> DataFrame:
-    """Keys, source, number of words and a hash that shuffles, with a number a row; written once, as texts are read for it."""
+def sized(df: DataFrame, keys: list[str], source: str, text: str, row: str | None = None) -> DataFrame:
+    """Keys, source, number of words and a hash that shuffles, with a number a row (``row``, or a new one); written once, as texts are read for it."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
     words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(source).cast("string").alias("__source"), words.alias("size"), F.xxhash64(F.lit(17), *keys).alias("__h"), F.monotonically_increasing_id().alias("__row"))
+    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(source).cast("string").alias("__source"), words.alias("size"), F.xxhash64(F.lit(17), *keys).alias("__h"), number.alias("__row"))
 
 
-def mix(df: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None) -> DataFrame:
-    """Each row's keys, size, source_size, target, and the words that the mix takes from it."""
+def mix(df: DataFrame, keys: list[str], source: str = "source", text: str = "text", weights: dict[str | None, float] | None = None, row: str | None = None) -> DataFrame:
+    """Each row's keys, size, source_size, target, and the words that the mix takes from it; and ``row``, a column of numbers unlike in all rows, if named."""
     spark = df.sparkSession
-    rows = checkpointed(sized(df, keys, source, text))
+    rows = checkpointed(sized(df, keys, source, text, row))
     found = {r["__source"]: (r["s"], r["n"]) for r in rows.groupBy("__source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     p = plan(found, weights)
     facts = spark.createDataFrame(
@@ -158,7 +159,7 @@ def mix(df: DataFrame, keys: list[str], source: str = "source", text: str = "tex
     overlap = F.greatest(F.least("__end", high) - F.greatest("__start", low), F.lit(0))
     taken = some.withColumn("__overlap", overlap).join(passes, ["src", "block"]).groupBy("__row").agg(F.sum(F.col("__overlap") * F.col("passes")).alias("taken"))
     out = placed.join(taken, "__row", "left")
-    return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *([] if row is None else [F.col("__row").alias(row)]), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,26 @@ def test_pipeline_stages_keep_rows_without_ids_or_texts(spark, docs):
         assert stage(spark, plain.limit(0), "").count() == 0
 
 
+def test_pipeline_takes_rows_without_ids_one_by_one(spark):
+    import corpus_pipeline
+
+    text = lambda g: " ".join(f"g{g}w{i}" for i in range(80))
+    plain = [(1, text(0)), (None, text(0)), (None, text(1)), (None, text(1)), (None, text(1) + " more"), (None, "alone"), (5, text(2)), (5, text(0)), (None, None), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in plain], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()]
+    ones = [(i, t) for i, t in kept if t and t.startswith("g1w0 ")]
+    assert len(ones) == 1 and ones[0][0] is None
+    assert Counter(x for x in kept if x not in ones) == Counter([(1, text(0)), (None, "alone"), (5, text(2)), (None, None), (None, None)])
+
+    many = [(None if i % 3 == 0 else i, f"n{i} " * (i % 29 + 1), f"s{i % 4}") for i in range(1200)]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in many], table.schema)
+    target = {r["source"]: r["target"] for r in mixing.mix(docs.withColumn("k", F.col("source")), ["source"]).select("source", "target").distinct().collect()}
+    words = Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - t) <= 0.03 * t for s, t in target.items()), (words, target)
+
+
 def test_pipeline_equals_its_operators(spark):
     import corpus_pipeline
 
