@@ -76,12 +76,32 @@ def test_near_dup_groups_equal_brute_force(spark, monkeypatch):
                 base = w
     sets = [near_dup.shingles(t) for t in texts]
     groups = near_dup.Groups(len(texts))
-    near_dup.exact_groups(sets, near_dup.Rule(), list(range(len(texts))), list(range(len(texts))), groups)
+    near_dup.exact_groups(sets, near_dup.Rule(), groups)
     monkeypatch.setattr(near_dup, "GROUP", 7)
     found = dict(rows(near_dup.near_dup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id"), "doc_id", "component_id"))
     assert found == {i: groups.root(i) for i in range(len(texts))}
 
 
+def test_near_dup_finds_pairs_in_a_dense_region(spark, monkeypatch):
+    """Texts that share a long passage fill one region; their few near pairs are found by neighbours of the signature orders."""
+    shared = [f"c{i}" for i in range(184)]
+    texts = []
+    for i in range(60):
+        own = [f"d{i}x{j}" for j in range(60)]
+        texts += [" ".join(shared + own), " ".join(shared + own[: -(8 + i % 12)] + [f"e{i}y{j}" for j in range(8 + i % 12)])]
+    for name, value in (("REGION", 8), ("SPAN", 16), ("GROUP", 16), ("TEXT_SPAN", 16)):
+        monkeypatch.setattr(near_dup, name, value)
+    found = dict(rows(near_dup.near_dup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id"), "doc_id", "component_id"))
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_components_that_do_not_end_are_an_error(spark):
+    links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
+    with pytest.raises(RuntimeError):
+        near_dup.components(links, rounds=1)
+    assert {bytes(r["root"]) for r in near_dup.components(links).collect()} == {b"\x00"}
+
+
 def test_fingerprints_follow_ids(docs):
     found = {(r["doc_id"]): r for r in fingerprints.fingerprints(docs, "doc_id").collect()}
     order = sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0))
