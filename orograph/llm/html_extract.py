@@ -4,15 +4,19 @@ A one-pass reader builds the element tree with the implied end tags of HTML.
 Every paragraph passes points (one, one for each comma, up to three for its
 length) to its parent and half of them to the grandparent; a container's points
 are discounted by its link density. The best container and those of its
-siblings that score enough are kept; boilerplate elements (by tag, role, class
-or id) give and hold no text.
+siblings that score enough are kept. Boilerplate elements by tag or role give
+and hold no text; by words of a class or id alone they are dropped outside an
+article, and inside it only by words that name something else than prose.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by one newline.
 
 Defined results: a null or empty page, or one without text, gives an empty
-string; a page without any container falls back to its body. Repeated rows give
-equal rows. Memory: one page's tree.
+string; a page without any container falls back to its body; an attribute value
+without its closing quote ends with its tag; a tag that never ends is dropped
+with what follows, as browsers do. Repeated rows give equal rows; an empty table
+gives an empty result. Very long pages take time in proportion to their length,
+however tags nest, and the memory of one page's tree.
 """
 
 from __future__ import annotations
@@ -24,33 +28,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orograph.llm.common import map_rows, table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: The rest of a tag after its name: quotes count only after an equals sign.
+TAIL = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+COMMENT = re.compile(r"-?>|.*?--!?>", re.S)
 WHITE = re.compile(r"[\s ]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that never hold main text.
-DROPPED = RAW | frozenset("head nav footer aside form button select option datalist input label svg math canvas object embed applet audio video map menu dialog".split())
+DROPPED = RAW | frozenset("head nav footer aside form button select option datalist input menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of classes and ids; whole parts between separators.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer foot masthead header topbar toolbar share sharing social related recommended recommendations popular trending comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notification alert modal popup overlay newsletter subscribe subscription signup login search widget hidden tags taglist copyright legal".split())
 PLAIN = frozenset("article content main body post entry story text".split())
+#: Of these words, those that drop an element within an article too; the others can name prose there (side effects, legal history).
+NEVER_PROSE = frozenset("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored sidebar navbar breadcrumb breadcrumbs pagination pager share sharing comment comments commentlist disqus respond replies cookie cookies consent gdpr popup newsletter subscribe subscription taglist related recommended".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-CLOSED_BY_BLOCK = frozenset(["p"])
-#: An open element of the key ends where one of these begins, unless a boundary stands between.
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
+#: Open elements that end where one of the key begins, unless a boundary stands between.
+ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "td th tr", "tbody": "td th tr", "thead": "td th tr", "tfoot": "td th tr", "td": "td th", "th": "td th", "option": "option", "optgroup": "option"}
 BOUNDARY = frozenset("ul ol dl table body html article section div main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked", "commas", "block")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.points, self.length, self.linked, self.commas, self.block = 0.0, 0, 0, 0, False
 
 
 def is_boilerplate(tag: str, attributes: str, within_article: bool) -> bool:
@@ -58,70 +66,129 @@ def is_boilerplate(tag: str, attributes: str, within_article: bool) -> bool:
         return True
     if tag == "header":
         return not within_article
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body") or tag in ("article", "main") and not within_article:
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or re.search(r"(?<![\w-])hidden(?![\w-])", ATTRIBUTE.sub("", attributes)):
+    if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
     for name in ("class", "id"):
         if name in found:
             parts = {p.lower() for p in PART.findall(found[name])}
-            if parts & BOILERPLATE and not (parts & PLAIN and not parts & {"comment", "comments", "sidebar", "related", "ad", "ads"}):
+            if parts & (NEVER_PROSE if within_article else BOILERPLATE) and not (parts & PLAIN and not parts & {"comment", "comments", "sidebar", "related", "ad", "ads"}):
                 return True
     return False
 
 
+class Open:
+    """The stack of open elements, with the places of each tag, of blocks and of boundaries in it."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", None, False)
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.boundaries = [0], [0]
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BLOCK:
+            self.blocks.append(at)
+        if node.tag in BOUNDARY:
+            self.boundaries.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in BOUNDARY:
+                self.boundaries.pop()
+
+    def last(self, tag: str) -> int:
+        """The innermost open place of a tag; 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def within_article(self) -> bool:
+        return bool(self.last("article") or self.last("main"))
+
+    def end(self, tag: str) -> None:
+        """An end tag: it closes its element; that of an inline element only within the innermost block."""
+        at = self.last(tag)
+        if at and (tag in BLOCK or at > self.blocks[-1]):
+            self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """What a start tag closes."""
+        if tag in BLOCK and self.stack[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in ENDS:
+            within = [at for t in ENDS[tag].split() for at in self.places.get(t, [])[-1:] if at > self.boundaries[-1]]
+            if within:
+                self.cut(min(within))
+
+
 def parse(html: str) -> Node:
     """The element tree; unclosed elements end where HTML ends them."""
-    root = Node("#root", None, False)
-    at, here, end = 0, root, len(html)
-    articles = 0
+    tree = Open()
+    at, end, broken = 0, len(html), False
     while at < end:
-        m = TAG.search(html, at)
-        if m is None:
-            here.children.append(html[at:])
+        less = html.find("<", at)
+        if less < 0:
+            tree.stack[-1].children.append(html[at:])
             break
-        if m.start() > at:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        mark = html[less + 1 : less + 2]
+        closing = mark == "/"
+        name = NAME.match(html, less + 1 + closing)
+        if not name and mark not in ("!", "?", "/"):
+            tree.stack[-1].children.append(html[at : less + 1])
+            at = less + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag and not (tag not in BLOCK and node.tag in BLOCK):
-                node = node.parent
-            if node.tag == tag:
-                here = node.parent
-                articles -= tag in ("article", "main")
+        if less > at:
+            tree.stack[-1].children.append(html[at:less])
+        if not name:
+            if html.startswith("<!--", less):
+                found = COMMENT.match(html, less + 4)
+                at = found.end() if found else end
+            else:
+                stop = html.find("]]>" if html.startswith("<![CDATA[", less) else ">", less)
+                at = html.find(">", stop) + 1 if stop >= 0 else end
             continue
-        if tag in BLOCK:
-            node = here
-            while node is not root and (node.tag not in BLOCK):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        node = here
-        while node is not root and node.tag not in BOUNDARY:
-            if tag in ENDED_BY.get(node.tag, ()):
-                here = node.parent
+        tail = None if broken else TAIL.match(html, name.end())
+        if tail is None:
+            # Quotes that take every end of a tag: from here on the first one counts.
+            broken = True
+            at = html.find(">", name.end()) + 1
+            if not at:
                 break
-            node = node.parent
-        child = Node(tag, here, here.dropped or is_boilerplate(tag, m[3], articles > 0))
+        else:
+            at = tail.end()
+        tag, attributes = name[0].lower(), html[name.end() : at - 1]
+        if closing:
+            tree.end(tag)
+            continue
+        tree.begin(tag)
+        here = tree.stack[-1]
+        child = Node(tag, here, here.dropped or is_boilerplate(tag, attributes, tree.within_article()))
         here.children.append(child)
-        if tag in VOID or (m[3].endswith("/") and tag not in BLOCK):
+        if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        articles += tag in ("article", "main")
-        here = child
-    return root
+        tree.push(child)
+    return tree.root
+
+
+PARAGRAPHS = frozenset("p pre blockquote td h1 h2 h3 li div section".split())
 
 
 def measure(root: Node) -> None:
-    """Text lengths, linked lengths, and points passed up by paragraphs."""
+    """Text lengths, linked lengths and commas of every element, and points passed up by paragraphs."""
     stack: list[tuple[Node, bool, bool]] = [(root, False, False)]
     while stack:
         node, done, link = stack.pop()
@@ -132,35 +199,25 @@ def measure(root: Node) -> None:
             stack.append((node, True, link))
             stack.extend((c, False, link) for c in node.children if type(c) is Node)
             continue
-        commas = 0
         for c in node.children:
             if type(c) is str:
                 n = len(c) if not c.isspace() else 0
                 node.length += n
                 node.linked += n if link else 0
+                node.commas += c.count(",") + c.count("、")
             else:
                 node.length += c.length
                 node.linked += c.linked
-        if node.tag in ("p", "pre", "blockquote", "td", "h1", "h2", "h3", "li", "div", "section") and node.length and not any(type(c) is Node and c.tag in BLOCK and c.length for c in node.children):
-            commas = sum(text.count(",") + text.count("、") for text in texts(node))
-            value = (1 + commas + min(node.length / 100, 3)) * (1 - node.linked / node.length) * (0.25 if node.tag in ("li", "td") else 1)
+                node.commas += c.commas
+                node.block |= c.block or (c.tag in BLOCK and c.length > 0)
+        if node.tag in PARAGRAPHS and node.length and not node.block:
+            value = (1 + node.commas + min(node.length / 100, 3)) * (1 - node.linked / node.length) * (0.25 if node.tag in ("li", "td") else 1)
             if node.parent is not None:
                 node.parent.points += value
                 if node.parent.parent is not None:
                     node.parent.parent.points += value / 2
 
 
-def texts(node: Node) -> list[str]:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if type(x) is str:
-            out.append(x)
-        elif not x.dropped:
-            stack.extend(reversed(x.children))
-    return out
-
-
 def score(node: Node) -> float:
     return node.points * (1 - (node.linked / node.length if node.length else 0.0)) * (1.5 if node.tag in ("article", "main") else 1)
 
