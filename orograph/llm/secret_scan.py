@@ -3,11 +3,16 @@
 Three fixed pattern kinds (assign, access, hex) and spans found by two character
 Markov models: order-2 models of random strings and of ordinary identifiers are
 trained from labelled samples; a candidate token is a secret (kind ``markov``)
-if the mean log-likelihood ratio per character is over a threshold and base
-spans don't cover all of it.
-
-Defined results: a null or empty text has no spans; repeated rows give equal
-rows; other columns are not read.
+if the mean log-likelihood ratio per character of the whole, or of one of its
+parts of 16 characters or more between separators, is over a threshold and base
+spans don't cover all of it. Identifiers in the form of a UUID are samples of
+ordinary ones. Digests of public files are as random as keys, so they are
+reported.
+
+Defined results: a null or empty text has no spans; a token of any length is
+judged whole, in time in proportion to it; overlapping spans are all reported,
+by start, then kind; repeated rows give equal rows; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,13 +47,16 @@ THRESHOLD, SAMPLES = 0.45, 4000
 def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
     """(string, 1 for a random one): keys over usual alphabets; identifiers, paths, versions and dates in usual styles."""
     rng = np.random.default_rng(seed)
-    pools = [ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:64], "0123456789abcdef", ALPHABET]
+    pools = [ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[:64], ALPHABET]
     out = [("".join(rng.choice(list(pools[i % len(pools)]), int(rng.integers(16, 48)))), 1) for i in range(n)]
     for i in range(n):
         words = [str(w) for w in rng.choice(PARTS, int(rng.integers(3, 7)))]
         number = str(rng.integers(0, 10 ** int(rng.integers(1, 5))))
-        style = i % 6
-        if style == 0:
+        style = i % 7
+        if style == 6:
+            digits = "".join(rng.choice(list("0123456789abcdef"), 32))
+            s = "-".join(digits[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+        elif style == 0:
             s = "_".join([*words, number])
         elif style == 1:
             s = words[0] + "".join(w.capitalize() for w in words[1:]) + number
@@ -127,6 +135,15 @@ def ratio(token: str, llr: np.ndarray) -> float:
     return float(llr[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else 0.0
 
 
+#: Parts of a token between separators.
+SEPARATED = re.compile(r"[A-Za-z0-9+]{16,}")
+
+
+def is_random(token: str, llr: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether a token, or a part of it between separators, is likelier a random string."""
+    return ratio(token, llr) > threshold or any(m[0] != token and ratio(m[0], llr) > threshold for m in SEPARATED.finditer(token))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind number, end) of the contract's kinds, by start, then kind."""
     out = []
@@ -153,7 +170,7 @@ def spans(text: str, llr: np.ndarray, threshold: float = THRESHOLD) -> tuple[lis
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not covered(s, e, base) and ratio(m[0], llr) > threshold:
+        if not covered(s, e, base) and is_random(m[0], llr, threshold):
             found.append((s, 3, e))
     return base, sorted(base + found)
 
