@@ -4,12 +4,15 @@ Ordered signature rules: every rule is a regex written for one form of one
 licence (grant sentence, title, SPDX tag, short name, address). A keyword
 automaton reads the lower-cased text once, with runs of white space, ``_`` and
 ``-`` as one space; only rules one of whose keywords
-occurs are run. Detections are taken by priority, then start; one that lies
-within an accepted detection of a higher or equal priority is suppressed.
-Partial overlaps both stay, as they can be two licences side by side.
-
-Defined results: a null or empty text has no words and no detection; repeated
-rows give equal rows; other columns of the table are not read.
+occurs are run. Detections are taken by priority, then start; one that overlaps
+an accepted detection of a higher priority, or lies within one of its own, is
+suppressed. Partial overlaps of one priority both stay, as they can be two
+licences side by side.
+
+Defined results: a null or empty text has no words and no detection; texts are
+scanned whole, however long, in memory of one text; ties of one priority and
+start go to the longer detection; repeated rows give equal rows; an empty table
+gives an empty result; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -83,30 +86,139 @@ COMMONS = {
     "cc-by-nc-sa": ("by-nc-sa", "attribution non-?commercial share-?alike"),
     "cc-by-nc-nd": ("by-nc-nd", "attribution non-?commercial no-?deriv(?:ative)?s?"),
 }
-#: Sentences of licence bodies that name no licence: (label, regex, keyword).
-BODIES = [
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission is hereby granted"),
-    ("mit", r"the software is provided \"as is\", without warranty of any kind", "the software is provided"),
-    ("isc", r"permission to use, copy, modify, and/?(?:or )?distribute this software for any purpose", "permission to use, copy"),
-    ("bsd", r"redistribution and use in source and binary forms, with or without modification", "redistribution and use"),
-    ("bsd-3-clause", r"neither the name of [\s\S]{1,120}? may be used to endorse or promote products", "endorse or promote"),
-    ("apache", r"you may not use this file except in compliance with the license", "except in compliance"),
-    ("gpl", r"this program is free software[:;,] you can redistribute it", "this program is free software"),
-    ("lgpl", r"this library is free software[:;,] you can redistribute it", "this library is free software"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public", "source code form"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain", "free and unencumbered"),
-    ("boost", r"permission is hereby granted, free of charge, to any person or organization obtaining", "person or organization"),
-    ("zlib", r"this software is provided 'as-is', without any express or implied warranty", "provided 'as-is'"),
-    ("artistic", r"the \"?artistic license\"? which comes with this kit", "comes with this kit"),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in|in?to) the public domain", "public domain"),
-    ("all-rights-reserved", r"all rights reserved", "all rights reserved"),
-    ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", "confidential"),
-    ("proprietary", r"unauthori[sz]ed (?:copying|distribution|use) of (?:this|the) \w+", "unauthori"),
-]
-LICENCE, GAP = r"licen[cs]es?", r"[\s,;:()\"'_-]+"
+#: Sentences of licence bodies, by hand, a line each: label, regex (a space stands for any white space), keyword.
+BODIES = [tuple(line.split(" | ")) for line in r'''
+mit | permission is hereby granted, free of charge, to any person obtaining a copy | permission is hereby granted
+mit | the software is provided "as is", without warranty of any kind | the software is provided
+mit | the above copyright notice and this permission notice shall be included in all copies | this permission notice
+mit | in no event shall the authors or copyright holders be liable for any claim | authors or copyright holders
+mit | to deal in the software without restriction | without restriction
+isc | permission to use, copy, modify, and/?(?:or )?distribute this software for any purpose | permission to use, copy
+isc | the author disclaims all warranties with regard to this software | disclaims all warranties
+bsd | redistribution and use in source and binary forms, with or without modification | redistribution and use
+bsd | redistributions of source code must retain the above copyright notice | redistributions of source
+bsd | redistributions in binary form must reproduce the above copyright notice | redistributions in binary
+bsd | this software is provided by the (?:copyright holders|regents|author)[^.]{0,60}? "?as is"? and any express or implied | express or implied
+bsd-3-clause | neither the name of [\s\S]{1,120}? may be used to endorse or promote products | endorse or promote
+bsd-4-clause | all advertising materials mentioning features or use of this software must display | advertising materials
+bsd-2-clause-patent | subject to the terms and conditions of this license, each copyright holder and contributor hereby grants | each copyright holder
+apache | you may not use this file except in compliance with the license | except in compliance
+apache | each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable | each contributor hereby
+apache | unless required by applicable law or agreed to in writing, software distributed under the license | agreed to in writing
+apache | this product includes software developed (?:by|at) the apache software foundation | apache software foundation
+gpl | this program is free software[:;,] you can redistribute it | this program is free software
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document | verbatim copies
+gpl | either version [23] of the license, or \(?at your option\)? any later version | any later version
+gpl | you should have received a copy of the gnu general public license | you should have received
+gpl | the licenses for most software are designed to take away your freedom | take away your freedom
+gpl | this program comes with absolutely no warranty | absolutely no warranty
+gpl | as a special exception, (?:the copyright holders|you may create|the free software foundation) | as a special exception
+lgpl | this library is free software[:;,] you can redistribute it | this library is free software
+lgpl | a program that contains no derivative of any portion of the library | no derivative of any
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license | you should have received
+lgpl | this version of the gnu lesser general public license incorporates the terms | lesser general public
+agpl | if you modify the program, your modified version must prominently offer all users interacting with it remotely | interacting with it remotely
+agpl | you should have received a copy of the gnu affero general public license | you should have received
+gfdl | permission is granted to copy, distribute and/or modify this document under the terms | modify this document
+gfdl | with no invariant sections, (?:with )?no front-cover texts,? and (?:with )?no back-cover texts | invariant sections
+mpl | this source code form is subject to the terms of the mozilla public | source code form
+mpl | if a copy of the mpl was not distributed with this file | mpl was not distributed
+mpl | the contents of this file are subject to the mozilla public license | contents of this file
+cddl | the contents of this file are subject to the terms of the common development and distribution | contents of this file
+cddl | when distributing covered code, include this cddl header | distributing covered code
+epl | this program and the accompanying materials are made available under the terms of the eclipse | accompanying materials
+epl | the accompanying materials are provided under the terms of this eclipse public | accompanying materials
+cpl | the accompanying program is provided under the terms of this common public | accompanying program
+eupl | licensed under the eupl, version 1\.[12] or - as soon they will be approved | as soon they will be approved
+unlicense | this is free and unencumbered software released into the public domain | free and unencumbered
+unlicense | anyone is free to copy, modify, publish, use, compile, sell, or distribute this software | anyone is free to copy
+boost | permission is hereby granted, free of charge, to any person or organization obtaining | person or organization
+boost | must be included in all copies of the software, in whole or in part, and all derivative works | all derivative works
+zlib | this software is provided 'as-is', without any express or implied warranty | provided 'as-is'
+zlib | the origin of this software must not be misrepresented | must not be misrepresented
+zlib | altered source versions must be plainly marked as such | plainly marked
+libpng | the png reference library is supplied "?as is"? | png reference library
+artistic | the "?artistic license"? which comes with this kit | comes with this kit
+artistic | the copyright holder maintains some semblance of artistic control | artistic control
+wtfpl | you just do what the fuck you want to | do what the fuck
+python | psf hereby grants licensee a nonexclusive, royalty-free, world-wide license | psf hereby grants
+python | beopen python open source license agreement | beopen
+python | cnri grants licensee a nonexclusive, royalty-free | cnri grants
+php | this product includes php software, freely available from | includes php software
+ruby | you may make and give away verbatim copies of the source form of the software | give away verbatim
+openssl | this product includes software developed by the openssl project | the openssl project
+openssl | this product includes cryptographic software written by eric young | cryptographic software written
+ofl | this license is made available with a faq | available with a faq
+ofl | the font software may be sold as part of a larger software package | the font software
+ofl | with reserved font name | reserved font name
+ms-pl | if you use the software, you accept this license\. if you do not accept the license, do not use | you accept this license
+ms-rl | for any file you distribute that contains code from the software \(in source code or binary format\) | contains code from the software
+odbl | this database is made available under the open database license | this database is made
+odbl | any rights in individual contents of the database are licensed under | individual contents
+sspl | if you make the functionality of the program or a modified version available to third parties as a service | third parties as a service
+busl | the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use | non-production use
+busl | effective on the change date, or the fourth anniversary of the first publicly available distribution | the change date
+elastic | you may not provide the software to third parties as a hosted or managed service | hosted or managed service
+elastic | you may not move, change, disable, or circumvent the license key functionality | license key functionality
+upl | the above copyright notice and either this complete permission notice or at a minimum a reference to the upl | reference to the upl
+ncsa | permission to deal with the software without restriction | without restriction
+ncsa | to deal with the software without restriction, including without limitation the rights | without restriction
+postgresql | permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee | without fee
+afl | licensed under the academic free license version | academic free
+osl | licensed under the open software license version | open software
+qpl | this license applies to any software containing a notice placed by the copyright holder saying | notice placed by
+w3c | by obtaining,? (?:using and/or copying )?this work, (?:you|the licensee) .{0,40}?agree | this work
+mulan | subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, royalty-free, non-exclusive, irrevocable copyright | each contributor hereby
+cecill | this software is governed by the cecill(?:-[bc])? license under french law | governed by the cecill
+hpnd | permission to use, copy, modify and distribute this software and its documentation for any purpose (?:is hereby granted|and without fee) | its documentation
+ijg | this software is based in part on the work of the independent jpeg group | independent jpeg group
+freetype | portions of this software are copyright .{0,40}? the freetype project | the freetype project
+icu | copyright .{0,60}?international business machines corporation and others\. all rights reserved | international business machines
+unicode | permission is hereby granted, free of charge, to any person obtaining a copy of the unicode data files | unicode data files
+curl | permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies | with or without fee
+tcl | the authors hereby grant permission to use, copy, modify, distribute, and license this software | the authors hereby grant
+vim | if you distribute a modified version of vim | modified version of vim
+latex | this work may be distributed and/or modified under the conditions of the latex project public license | latex project public
+latex | this work has the lppl maintenance status | lppl maintenance
+json | the software shall be used for good, not evil | good, not evil
+beerware | as long as you retain this notice you can do whatever you want with this stuff | whatever you want with this stuff
+zpl | this software is subject to the provisions of the zope public license | zope public
+sleepycat | redistributions in any form must be accompanied by information on how to obtain complete source code | complete source code
+nasa | this open source software agreement .{0,40}?is a license agreement|the nasa open source agreement | open source
+openldap | the openldap public license | openldap public
+apsl | the contents of this file constitute original code as defined in and are subject to the apple public source | apple public source
+intel | intel grants you|intel corporation[^.]{0,80}? grants | intel
+nvidia | nvidia corporation and its licensors retain all intellectual property | nvidia corporation
+oracle-bcl | oracle binary code license agreement | oracle binary code
+cc-by | this work is licensed under (?:a|the) creative commons attribution(?! ?-?(?:non|share|no)) | creative commons attribution
+cc0 | to the extent possible under law, .{0,120}? (?:has|have) waived all copyright | possible under law
+cc0 | affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives | affirmer hereby
+community-data | community data license agreement | community data license
+responsible-ai | (?:bigscience|creativeml|openrail)[^.]{0,20}? (?:open )?rail(?:-m|\+\+-m)? license | rail
+llama-community | llama [0-9.]* ?community license agreement | community license
+public-domain | (?:released|dedicated|placed) (?:in|in?to) the public domain | public domain
+public-domain | (?:this (?:work|file|software)|it) is in the public domain | public domain
+public-domain | no rights reserved | no rights reserved
+all-rights-reserved | all rights reserved | all rights reserved
+proprietary | (?:proprietary and confidential|confidential and proprietary) | confidential
+proprietary | unauthori[sz]ed (?:copying|distribution|use) of (?:this|the) \w+ | unauthori
+proprietary | no part of this (?:work|publication|document|book) may be reproduced | may be reproduced
+proprietary | may not be (?:copied|reproduced|redistributed)[^.]{0,60}? without (?:the )?(?:prior|express)? ?(?:written )?permission | permission
+proprietary | for personal(?:,| and) non-?commercial use only | personal
+proprietary | evaluation (?:copy|license)[^.]{0,30}? only | evaluation
+end-user | end[ -]user licen[cs]e agreement | end user
+end-user | by (?:installing|downloading|clicking)[^.]{0,60}? you (?:agree|accept) | you
+dual | (?:dual|multi)[ -]licensed | licensed
+dual | licensed under either of | licensed under either
+'''.strip().splitlines()]
+#: A licence that is something else: a plate, a holder, a fee.
+LICENCE, GAP = r"licen[cs]es?(?!\s+(?:plates?|holders?|keys?|fees?|servers?|managers?|plans?|numbers?|costs?|revenues?|exams?|renewals?|tests?)\b)", r"[\s,;:()\"'_-]+"
 VERSION = rf"(?:{GAP}(?:version|v\.?)?\s*\d+(?:\.\d+)*)?"
 
 
+BASE_PRIORITY = 30
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -148,7 +260,7 @@ def rules() -> tuple[Rule, ...]:
     family("cc0", ["cc0-1.0"], [r"cc0", r"creative commons zero"], ["cc0", "creative commons"], r"creativecommons\.org/publicdomain/zero", rf"(?:{LICENCE}|1\.0)")
     # The contract's phrases: their words one after the other, whatever stands between.
     edge, between = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    out += [Rule(label, re.compile(edge.format(between.join(phrase.split()))), (phrase.split()[0],), ("license",), 30, 0.7) for phrase, label in BASE.items()]
+    out += [Rule(label, re.compile(edge.format(between.join(phrase.split()))), (phrase.split()[0],), ("license",), BASE_PRIORITY, 0.7) for phrase, label in BASE.items()]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -180,6 +292,18 @@ def squeezed(text: str) -> str:
     return " ".join(text.replace("_", " ").replace("-", " ").split())
 
 
+def merged(intervals: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of sorted intervals, with those that overlap as one."""
+    starts, ends = [], []
+    for s, e in intervals:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def detections(text: str) -> tuple[list[tuple[int, int, str, int, float]], list[tuple[int, int, str]]]:
     """Accepted detections (start, end, label, priority, confidence) of a lower-cased text, and every match of a base phrase (start, end, phrase)."""
     table_ = rules()
@@ -187,21 +311,28 @@ def detections(text: str) -> tuple[list[tuple[int, int, str, int, float]], list[
     gated: set[int] = set().union(*(x[1] for x in seen.values()))
     near: set[int] = set().union(*(x[2] for x in seen.values()))
     wanted = [i for i in gated if i in near or not table_[i].context]
-    accepted: list[tuple[int, int, str, int, float]] = []
     base: list[tuple[int, int, str]] = []
-    spans: list[tuple[int, int]] = []  # of accepted detections: starts ascending, none within another
-    for i in sorted(wanted):
+    found: dict[int, list[tuple[int, int, int]]] = {}  # by priority: start, -end, rule
+    for i in wanted:
         rule = table_[i]
-        is_base = rule.priority == 30
         for m in rule.pattern.finditer(text):
             s, e = m.span()
-            if is_base:
+            if rule.priority == BASE_PRIORITY:
                 base.append((s, e, rule.label))
-            at = bisect_left(spans, (s + 1,))
-            if any(a <= s and e <= b for a, b in spans[max(0, at - 8) : at]):
+            found.setdefault(rule.priority, []).append((s, -e, i))
+    accepted: list[tuple[int, int, str, int, float]] = []
+    starts: list[int] = []  # of what higher priorities hold, as disjoint intervals
+    ends: list[int] = []
+    for priority in sorted(found, reverse=True):
+        reach, kept = -1, []
+        for s, e, i in sorted(found[priority]):
+            at = bisect_left(starts, -e)
+            if -e <= reach or at and ends[at - 1] > s:
                 continue
-            spans.insert(at, (s, e))
-            accepted.append((s, e, rule.label, rule.priority, rule.confidence))
+            reach = -e
+            kept.append((s, -e))
+            accepted.append((s, -e, table_[i].label, priority, table_[i].confidence))
+        starts, ends = merged(sorted([*zip(starts, ends, strict=True), *kept]))
     return sorted(accepted), base
 
 
