@@ -1,8 +1,9 @@
 """Operator 5, document fingerprints by invertible Bloom lookup sketches.
 
 A text is cut into paragraphs: after line ends and, so that long lines have
-several, after spaces chosen by the characters before them. Each paragraph has a
-64-bit digest that carries its length. A sketch has cells of (count, digests
+several, after spaces chosen by the characters before them; a longer run than
+``MOST`` characters ends every so many. Each paragraph has a 64-bit digest that
+carries its length. A sketch has cells of (count, digests
 xor-ed, checks xor-ed); each digest lies in three of them. The sketches of two
 versions subtract; cells that hold one digest are peeled until none is left,
 which recovers the paragraphs that differ. If that fails, both are sketched
@@ -11,11 +12,12 @@ characters in shared paragraphs over those in either.
 
 Rows need the row after them: ids are cut at quantiles, a range is a part, and
 the row at which the next range begins is dealt to both, so that texts move
-once and no task holds more than two texts and their sketches.
+once and no task holds more than two texts and their sketches. An id (or null)
+that fills several quantiles is cut further by a hash of the text.
 
 Defined results: a null text counts as empty; two empty texts have likeness 1,
-an empty one and another 0; rows follow each other by id, then text, null ids
-last; repeated rows follow each other; after the last row comes the first; a
+an empty one and another 0; rows follow each other by id, then a hash of the
+text, null ids last; repeated rows follow each other; after the last row comes the first; a
 table of one row has itself as the next; an empty table gives an empty result.
 """
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from orograph.llm.common import table
 
-#: Cells of a first sketch and growth on failure; one space in CUT ends a paragraph; parts a shuffle partition.
-CELLS, GROWTH, CUT, PARTS = 24, 4, 8, 8
+#: Cells of a first sketch and growth on failure; characters of a paragraph, which its digest has room for; parts a shuffle partition.
+CELLS, GROWTH, MOST, PARTS = 24, 4, 32_768, 8
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _powers = np.ones(1, np.uint64)
@@ -60,7 +62,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A digest of each paragraph; its low 16 bits are the length (65535 at most), repeats differ by their number."""
+    """A digest of each paragraph; its low 16 bits are the length, repeats differ by their number."""
     if not text:
         return np.zeros(0, np.uint64)
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -72,6 +74,12 @@ def digests(text: str) -> np.ndarray:
     ends[-1] = True
     stop = np.flatnonzero(ends) + 1
     start = np.concatenate([[0], stop[:-1]])
+    if (stop - start).max() > MOST:
+        pieces = -(-(stop - start) // MOST)
+        first = np.cumsum(pieces) - pieces
+        within = np.arange(pieces.sum()) - np.repeat(first, pieces)
+        start = np.repeat(start, pieces) + within * MOST
+        stop = np.minimum(start + MOST, np.repeat(stop, pieces))
     up, down = powers(len(c))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(c.astype(np.uint64)) * up[: len(c)])])
     size = stop - start
@@ -84,7 +92,7 @@ def digests(text: str) -> np.ndarray:
     repeated = np.empty(len(h), np.uint64)
     repeated[order] = number
     h = np.where(repeated > 0, mixed(h + repeated * ODD), h)
-    return (h & ~np.uint64(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)
+    return (h & ~np.uint64(0xFFFF)) | size.astype(np.uint64)
 
 
 def weight(keys: np.ndarray) -> int:
@@ -179,31 +187,63 @@ def edited(text: str, after: str) -> str:
 NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def cuts_of(base: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int] | None]:
+    """Ids and text hashes at which parts begin, and those of the first row. Each number of them is that of parts at most.
+
+    A cut within an id that fills several quantiles is at a hash that a row has.
+    """
+    lowest = -(1 << 63)
+    found = base.agg(F.percentile_approx("__k", F.array(*[F.lit(i / parts) for i in range(parts)]), F.lit(100 * parts)).alias("q"), F.min("__k").alias("first")).first()
+    if found["first"] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    ids, often = np.unique(np.array(found["q"], np.int64), return_counts=True)
+    hot = {int(k): int(n) for k, n in zip(ids, often, strict=True) if n > 1}
+    cuts = [(int(k), lowest) for k in ids if int(k) not in hot]
+    if hot:
+        shares = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])
+        piece = F.floor((F.shiftrightunsigned("__h", 32) / F.lit(float(1 << 32))) * F.element_at(shares, F.col("__k")))
+        # The hash orders as an unsigned number here.
+        heads = base.filter(F.col("__k").isin(list(hot))).groupBy("__k", piece.alias("piece")).agg(F.min("__u").alias("u")).collect()
+        cuts += [(r["__k"], r["u"]) for r in heads]
+    cuts = sorted({*cuts})
+    first = (found["first"], next((u for k, u in cuts if k == found["first"]), lowest))
+    cuts = [c for c in cuts if c > first]
+    return np.array([k for k, _ in cuts], np.int64), np.array([u for _, u in cuts], np.int64), first
+
+
 def fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited text, and likeness to that and to the next text by ``key`` (a number)."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
     base = df.select(F.col(key).alias("__id"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("__k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = base.select("__k")
-    bounds = np.array(ids.select(F.percentile_approx("__k", F.array(*[F.lit(i / parts) for i in range(parts)]), F.lit(100 * parts)).alias("q")).first()["q"] or [], np.int64)
-    first = ids.agg(F.min("__k")).first()[0]
-    cuts = np.unique(bounds[bounds > first]) if first is not None else bounds
-    last = len(cuts)
+    # __u orders as a signed number as __h does as an unsigned one.
+    base = base.withColumn("__h", F.xxhash64("__text")).withColumn("__u", F.col("__h").bitwiseXOR(F.lit(-(1 << 63))))
+    cut_k, cut_u, first = cuts_of(base, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last = len(cut_k)
+    first_k, first_u = first or (0, 0)
+    lowest = -(1 << 63)
 
     @F.pandas_udf("array<struct<part:int,look:int>>")
-    def dealt(k: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, k.to_numpy(), side="right")
-        opens = (at > 0) & (cuts[np.maximum(at - 1, 0)] == k.to_numpy()) if last else np.zeros(len(k), bool)
+    def dealt(k: pd.Series, u: pd.Series) -> pd.Series:
+        k, u = k.to_numpy(), u.to_numpy()
+        low, at = np.searchsorted(cut_k, k, side="left"), np.searchsorted(cut_k, k, side="right")
+        for i in np.flatnonzero(at - low > 1):
+            at[i] = low[i] + np.searchsorted(cut_u[low[i] : at[i]], u[i], side="right")
+        single = (at - low == 1) & (low < last)
+        if last:
+            own = np.minimum(low, last - 1)
+            at = np.where(single & (cut_u[own] > u), low, at)
         out = [[{"part": int(p), "look": 0}] for p in at]
-        for i in np.flatnonzero(opens):
-            out[i].append({"part": int(at[i]) - 1, "look": 1})
-        for i in np.flatnonzero(k.to_numpy() == first):
+        if last:
+            before = np.maximum(at - 1, 0)
+            for i in np.flatnonzero((at > 0) & (cut_k[before] == k) & ((cut_u[before] == u) | (cut_u[before] == lowest))):
+                out[i].append({"part": int(at[i]) - 1, "look": 1})
+        for i in np.flatnonzero((k == first_k) & ((u == first_u) | (first_u == lowest))):
             out[i].append({"part": last, "look": 1})
         return pd.Series(out)
 
-    rows = base.withColumn("__to", F.explode(dealt("__k"))).select(F.col("__to.part").alias("part"), F.col("__to.look").alias("look"), "__k", "__text", "__id")
-    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "look", "__k", "__text")
+    rows = base.withColumn("__to", F.explode(dealt("__k", "__u"))).select(F.col("__to.part").alias("part"), F.col("__to.look").alias("look"), "__k", "__u", "__text", "__id")
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "look", "__k", "__u", "__text")
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,9 +260,9 @@ def fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=[key, *NAMES])
 
         for batch in batches:
-            types = batch.schema.field(4).type
+            types = batch.schema.field(5).type
             for i in range(batch.num_rows):
-                part, look, text, id_ = (batch.column(j)[i].as_py() for j in (0, 1, 3, 4))
+                part, look, text, id_ = (batch.column(j)[i].as_py() for j in (0, 1, 4, 5))
                 own = Paragraphs(text)
                 if held is not None:
                     out.append(pair(held, text, own))

@@ -116,6 +116,20 @@ def test_fingerprints_follow_ids(docs):
     assert fingerprints.fingerprints(docs.limit(1), "doc_id").count() == 1
 
 
+def test_fingerprints_cut_hot_ids(spark):
+    """An id and null that hold most rows lie in several parts; every row is still followed by the next."""
+    texts = [f"text {i} of the table, {i * 37 % 11} and {i}" for i in range(300)]
+    ids = [None if i % 3 == 0 else 5 if i % 3 == 1 else i for i in range(300)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, r[0] or 0, hashed[r[1]] % (1 << 64)))
+    expected = sorted((repr(a[0]), hashlib.sha256(fingerprints.edited(a[1], b[1]).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    found = fingerprints.fingerprints(df, "doc_id").collect()
+    assert sorted((repr(r["doc_id"]), r["edited_sha256"]) for r in found) == expected
+    base = df.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__k"), F.xxhash64("text").alias("__h")).withColumn("__u", F.col("__h").bitwiseXOR(F.lit(-(1 << 63))))
+    assert len([k for k in fingerprints.cuts_of(base, 32)[0] if k == 5]) > 3
+
+
 def test_quality_counts_equal_plain_version(spark, docs):
     texts = [r[1] for r in ROWS] + ["a b c a b c a b c d", "#x|y\n#x|y\n\nz\nz", "one two three " * 40 + "four"]
     table = spark.createDataFrame([(i, t, "en", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
