@@ -45,9 +45,9 @@ def measures(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
     Windows of three words become hashes; sorted, equal ones are neighbours,
     which gives the hashes that occur twice or more. A few of them are looked
-    up in the text's windows directly. For many, windows are sorted again with
-    their places in the low bits. Each step is a projection of its own, so that
-    none is computed twice.
+    up in the text's windows directly. For many, windows are sorted again, with
+    their places beside the whole hashes. Each step is a projection of its own,
+    so that none is computed twice.
     """
     few = 24
     base = df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
@@ -67,13 +67,12 @@ def measures(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     hashed = counted.select(*kept, F.slice(F.transform(zipped, lambda x: F.xxhash64(x)), F.lit(1), F.greatest(n - 2, F.lit(0))).alias("__h"))
     ordered = hashed.select(*kept, "__h", F.sort_array("__h").alias("__o"))
     neighbours = F.filter(F.arrays_zip(F.col("__o").alias("a"), F.slice("__o", F.lit(2), F.greatest(n, F.lit(1))).alias("b")), lambda x: x["a"] == x["b"])
-    twice = ordered.select(*kept, "__h", F.array_distinct(neighbours["a"]).alias("__d"), F.ceil(F.log2(n + F.lit(1))).cast("int").alias("__bits"))
-    up, down = (lambda x, k=k: F.call_function(k, x, F.col("__bits")) for k in ("shiftleft", "shiftright"))
-    packed = F.when(F.size("__d") > few, F.sort_array(F.transform("__h", lambda x, i: up(x).bitwiseOR(i.cast("bigint")))))
-    packing = twice.select(*kept, "__h", "__d", "__bits", packed.alias("__p"), (up(F.lit(1).cast("bigint")) - 1).alias("__mask"))
+    twice = ordered.select(*kept, "__h", F.array_distinct(neighbours["a"]).alias("__d"))
+    placed = F.when(F.size("__d") > few, F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    packing = twice.select(*kept, "__h", "__d", placed.alias("__p"))
     found = F.filter(F.transform("__h", lambda x, i: F.when(F.array_contains("__d", x), i)), lambda i: i.isNotNull())
-    pairs = F.filter(F.arrays_zip(F.col("__p").alias("a"), F.slice("__p", F.lit(2), F.greatest(n, F.lit(1))).alias("b")), lambda x: down(x["a"]) == down(x["b"]))
-    many = F.transform(F.concat(pairs["a"], pairs["b"]), lambda x: x.bitwiseAND(F.col("__mask")))
+    pairs = F.filter(F.arrays_zip(F.col("__p").alias("a"), F.slice("__p", F.lit(2), F.greatest(n, F.lit(1))).alias("b")), lambda x: x["a"]["h"] == x["b"]["h"])
+    many = F.concat(pairs["a"]["i"], pairs["b"]["i"])
     repeated = F.when(F.size("__d") == 0, F.lit(0)).when(F.size("__d") <= few, _covered(found)).otherwise(_covered(many))
     return packing.select(*keys, F.col("__n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "__lines")
 
