@@ -16,7 +16,9 @@ of the id); every row is scored on its whole text.
 
 Defined results: a null or empty text has no passages and gets the score of
 that; without labelled rows of both kinds every score is the share of toxic
-rows (0 without any); repeated ids in the labels are separate examples.
+rows (0 without any); repeated ids in the labels are separate examples; very
+long texts are scanned whole in time in proportion to them; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -247,10 +249,10 @@ def toxicity(df: DataFrame, keys: list[str], model: Model, text: str = "text") -
     sent = df.sparkSession.sparkContext.broadcast(model)  # features with LEAST_TOXIC toxic rows of a bounded sample
 
     def kernel(texts: list[str | None]) -> list[tuple]:
-        scorer = _scorers.get(id(sent.value))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(sent.value)] = Scorer(sent.value)
+        # The model is held with its scorer, so that no other can take its place in memory.
+        if not _scorer or _scorer[0] is not sent.value:
+            _scorer[:] = [sent.value, Scorer(sent.value)]
+        scorer = _scorer[1]
         out = []
         for t in texts:
             p, _, found = scorer.passages(t)
@@ -260,7 +262,7 @@ def toxicity(df: DataFrame, keys: list[str], model: Model, text: str = "text") -
     return map_rows(df, kernel, keys, text, "score double, predicted int, passages string")
 
 
-_scorers: dict[int, Scorer] = {}
+_scorer: list = []
 
 
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Model:
