@@ -24,7 +24,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on the labels and the whole table, doesn't reject."""
+    """Documents that the model, trained on the labels and the whole table, doesn't reject.
+
+    Null and empty texts have the score of no evidence; repeated rows stay or go
+    together; an empty table, or one without labels, gives what the prior says.
+    """
     model = toxicity.trained(spark, sf_dir, table(spark, sf_dir, "documents"))
     return toxicity.toxicity(docs, COLUMNS, model).filter("predicted = 0").select(COLUMNS)
 
@@ -32,7 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id; rows without an id come last and are documents of their own.
 
-    Only equal rows (id and text) share a key, and stay or go together.
+    Only equal rows (id and text) share a key, and stay or go together. Texts
+    without words stand alone and stay; an empty table stays empty.
     """
     none = checkpointed(docs.filter("doc_id IS NULL").withColumn("number", F.monotonically_increasing_id()))
     every = docs.filter("doc_id IS NOT NULL").withColumn("number", F.xxhash64("text")).unionByName(none)
@@ -43,13 +48,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced; a null text stays null, with a null ``n_chars``. Rows and ids stay as they are, an empty table stays empty."""
     clean = secret_scan.redacted(docs, ["doc_id", "lang", "source"])
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, rounded to whole copies; a document without words stays as it is."""
+    """Each row as often as the mix takes it, rounded to whole copies; a document without words (or null) stays as it is. Repeated rows and rows without ids are taken one by one; an empty table stays empty."""
     path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
     docs.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
     numbered = spark.read.parquet(path)
@@ -60,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with their digests; the text can be had from the ids."""
+    """Token ids with their digests; the text can be had from the ids. A null text has none, as an empty one; an empty table gives an empty result."""
     return byte_bpe.byte_bpe(docs, ["doc_id", "lang", "source"], with_ids=True).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
@@ -73,11 +78,21 @@ STAGES = [
 ]
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of this run from the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; what each but the last returns is written to the shared folder and read again."""
+    """The stages over ``documents``; what each but the last returns is written to the shared folder and read again, and removed once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
