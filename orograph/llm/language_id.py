@@ -8,12 +8,14 @@ starting from the best single language, the language that raises the
 likelihood most is added while the gain exceeds half a log(n) a language (BIC).
 The prediction is the language with the largest share, the score its share.
 
-The model may be fitted on a bounded sample: at most ``MAX_ROWS`` labelled rows
-a language, those of the smallest hash of the id. Every row is predicted.
+The model is fitted on a sample of ``MAX_ROWS`` labelled rows a language on
+average, drawn by a hash of the id. Every row is predicted.
 
 Defined results: a null text or one without letters gives ``und`` with score 0;
 if there are no labelled rows, every row gives ``und``; a null label is not
-learned from; rows whose id is null count as held out of training.
+learned from; rows whose id is null count as held out of training; repeated rows
+get equal predictions; very long texts count whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
