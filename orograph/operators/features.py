@@ -25,20 +25,43 @@ def ranked(df: DataFrame, kind: str, order: list[Column], most: int = PER_KIND)
     return df.withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= most).withColumn("feature_id", F.concat(F.lit(f"{kind}-"), F.col("ord")))
 
 
+def center(path: str) -> Column:
+    """The middle vertex of a path."""
+    return F.element_at(path, F.floor(F.size(path) / 2).cast("int") + 1)
+
+
+def center_of(place: Column, path: Column, nowhere: Column) -> Column:
+    """A feature's own place, else the middle vertex of its path, else ``nowhere``."""
+    return F.coalesce(place, F.when(F.size(path) > 0, F.get(path, F.floor(F.size(path) / 2).cast("int"))), nowhere)
+
+
+def kind_of(feature_id: Column) -> Column:
+    """``point`` or ``line``, from an id's prefix; null for others."""
+    return F.when(feature_id.rlike("^(peak|cliff)-"), "point").when(feature_id.rlike("^(ridge|water)-"), "line")
+
+
 def best_cells(cells: DataFrame, values: list[str]) -> DataFrame:
     """Of each component of a mask the cell nearest its centroid among those best in every value; components and their best values."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row", "col"])
-        own, out = hydro.labels(frame["row"].to_numpy(), frame["col"].to_numpy()), []
-        for k in range(own.max() + 1 if len(own) else 0):
-            part = frame[own == k]
-            best = [part[v].max() for v in values]
-            top = part[np.logical_and.reduce([np.isclose(part[v], b) for v, b in zip(values, best, strict=True)])]
-            if len(top):
-                at = ((top["row"] - part["row"].mean()) ** 2 + (top["col"] - part["col"].mean()) ** 2).to_numpy().argmin()
-                out.append((frame["area"].iloc[0], k, int(top["row"].iloc[at]), int(top["col"].iloc[at]), *best))
-        return pd.DataFrame(out, columns=["area", "component", "row", "col", *values])
+        rows, cols = frame["row"].to_numpy(), frame["col"].to_numpy()
+        own = hydro.labels(rows, cols)
+        n = own.max() + 1
+        size = np.bincount(own, minlength=n)
+        near = sum((x - (np.bincount(own, x, n) / size)[own]) ** 2 for x in (rows, cols))
+        top, best = np.ones(len(own), bool), []
+        for v in values:
+            x = frame[v].to_numpy()
+            most = np.full(n, -np.inf)
+            np.maximum.at(most, own, x)
+            best.append(most)
+            top &= np.isclose(x, most[own])
+        # The nearest of the best cells of each component, the first in reading order of equals.
+        order = np.flatnonzero(top)[np.lexsort((near[top], own[top]))]
+        k, first = np.unique(own[order], return_index=True)
+        at = order[first]
+        return pd.DataFrame({"area": frame["area"].iloc[0], "component": k.astype("int32"), "row": rows[at], "col": cols[at], **{v: b[k] for v, b in zip(values, best, strict=True)}})
 
     return cells.select("area", "row", "col", *values).groupBy("area").applyInPandas(run, "area long, component int, row int, col int, " + ", ".join(f"{v} double" for v in values))
 
@@ -66,45 +89,64 @@ def cliffs(bent: DataFrame, slope: float = CLIFF_SLOPE) -> DataFrame:
     return top.select("area", F.lit("cliffs").alias("kind"), "feature_id", "ord", "r", "c", none.alias("elev"), none.alias("prominence"), "drop_m", F.lit(None).cast("long").alias("length_m"), score.alias("score"), F.lit(None).cast("array<struct<r:double,c:double>>").alias("path"))
 
 
-def lines(cells: DataFrame, kind: str, prefix: str, cell: float, threshold: int = hydro.LEAST_ACCUMULATION) -> DataFrame:
-    """Channels of the cells' elevations, longest first; on inverted elevations these are ridges."""
+def lines(cells: DataFrame, kind: str, prefix: str, cell: float, threshold: int = hydro.LEAST_ACCUMULATION, bounds: DataFrame | None = None, side: int = 0) -> DataFrame:
+    """Channels of the cells' elevations, longest first; on inverted elevations these are ridges.
+
+    Lengths are measured between vertices: along the places that cells stand for,
+    to six decimals, where the areas' ``bounds`` (area, b) and ``side`` are given, else in cells.
+    """
     acc = hydro.accumulation(hydro.flow_direction(cells))
     found = hydro.paths(acc.filter(F.col("acc") >= threshold))
-    steps = F.zip_with(F.slice("path", F.lit(2), F.size("path")), F.slice("path", F.lit(1), F.size("path") - 1), lambda a, b: F.sqrt((a["r"] - b["r"]) * (a["r"] - b["r"]) + (a["c"] - b["c"]) * (a["c"] - b["c"])))
-    length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) * cell
+    if bounds is None:
+        step = lambda a, b: F.sqrt((a["r"] - b["r"]) * (a["r"] - b["r"]) + (a["c"] - b["c"]) * (a["c"] - b["c"])) * cell
+        places = F.col("path")
+    else:
+        found = found.join(bounds.select("area", F.col("b").alias("__b")), "area")
+        step = lambda a, b: geo.equirectangular(a["lat"], a["lng"], b["lat"], b["lng"])
+        places = F.transform("path", lambda v: geo.grid_to_geo(v["r"], v["c"], F.col("__b"), side, side))
+    found = found.withColumn("__p", places)
+    steps = F.zip_with(F.slice("__p", F.lit(2), F.size("__p")), F.slice("__p", F.lit(1), F.size("__p") - 1), step)
+    length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     top = ranked(found.withColumn("length_m", F.bround(length).cast("long")).withColumnRenamed("ord", "__first"), prefix, [F.desc("length_m"), F.col("__first")])
     most = F.max("length_m").over(W.partitionBy("area"))
-    middle = F.element_at("path", (F.size("path") / 2).cast("int") + 1)
+    middle = center("path")
     none = F.lit(None).cast("double")
     return top.select("area", F.lit(kind).alias("kind"), "feature_id", "ord", middle["r"].alias("r"), middle["c"].alias("c"), none.alias("elev"), none.alias("prominence"), none.alias("drop_m"), "length_m", F.bround(F.col("length_m") / F.greatest(most, F.lit(1)), 2).alias("score"), "path")
 
 
-def water_channels(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION) -> DataFrame:
-    return lines(cells, "waterChannels", "water", cell, threshold)
+def water_channels(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION, bounds: DataFrame | None = None, side: int = 0) -> DataFrame:
+    return lines(cells, "waterChannels", "water", cell, threshold, bounds, side)
 
 
-def ridges(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION) -> DataFrame:
-    return lines(hydro.inverted(cells), "ridges", "ridge", cell, threshold)
+def ridges(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION, bounds: DataFrame | None = None, side: int = 0) -> DataFrame:
+    return lines(hydro.inverted(cells), "ridges", "ridge", cell, threshold, bounds, side)
 
 
-def all_features(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION) -> DataFrame:
+def all_features(cells: DataFrame, cell: float, threshold: int = hydro.LEAST_ACCUMULATION, bounds: DataFrame | None = None, side: int = 0) -> DataFrame:
     bent = stencil.curvature(stencil.slope(cells, cell), cell)
-    return peaks(cells).unionByName(ridges(cells, cell, threshold)).unionByName(cliffs(bent)).unionByName(water_channels(cells, cell, threshold))
+    return peaks(cells).unionByName(ridges(cells, cell, threshold, bounds, side)).unionByName(cliffs(bent)).unionByName(water_channels(cells, cell, threshold, bounds, side))
 
 
 def decay(cells: DataFrame, points: DataFrame, sigma: float, name: str) -> DataFrame:
     """(area, row, col, name): points' scores fading with distance, scaled to 0..1.
 
-    No area has more than PER_KIND points of a kind, or PER_KIND times
-    MOST_VERTICES vertices, so the join by area makes a bounded number of rows a
-    cell; each task sums them before the shuffle.
+    An area has PER_KIND points of a kind, or PER_KIND times MOST_VERTICES
+    vertices, at most: they travel as one array an area, so a cell stays one row.
     """
-    d2 = (F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
-    surface = cells.select("area", "row", "col").join(points.select("area", "r", "c", "score"), "area").groupBy("area", "row", "col").agg(F.sum(F.col("score") * F.exp(-d2 / (2 * sigma * sigma))).alias("__s"))
+    own = points.groupBy("area").agg(F.array_sort(F.collect_list(F.struct("r", "c", "score"))).alias("__p"))
+    d2 = lambda p: (F.col("row") - p["r"]) * (F.col("row") - p["r"]) + (F.col("col") - p["c"]) * (F.col("col") - p["c"])
+    value = F.aggregate("__p", F.lit(0.0), lambda s, p: s + p["score"] * F.exp(-d2(p) / (2 * sigma * sigma)))
+    surface = cells.select("area", "row", "col").join(own, "area").select("area", "row", "col", value.alias("__s"))
     return stencil.normalised(surface, "__s", name).drop("__s")
 
 
-def layers(cells: DataFrame, features: DataFrame, side: int, kinds: tuple[str, ...] = LAYERS) -> DataFrame:
+def rasterised(paths: DataFrame, height: int, width: int) -> DataFrame:
+    """Cells (area, row, col) of the vertices of paths, once each: rounded half to even and kept inside."""
+    inside = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.bround(x).cast("int")))
+    return paths.select("area", F.explode("path").alias("v")).select("area", inside("v.r", height).alias("row"), inside("v.c", width).alias("col")).distinct()
+
+
+def layers(cells: DataFrame, features: DataFrame, kinds: tuple[str, ...] = LAYERS) -> DataFrame:
     """cells with a column for each layer; layers that aren't asked for, or have no feature, are 0."""
     out = stencil.normalised(stencil.relief(cells), "relief", "relief") if "relief" in kinds else cells.withColumn("relief", F.lit(0.0))
     of = lambda kind: features.filter(F.col("kind") == kind)
@@ -114,8 +156,8 @@ def layers(cells: DataFrame, features: DataFrame, side: int, kinds: tuple[str, .
         out = out.join(make(), ["area", "row", "col"], "left") if name in kinds else out.withColumn(name, F.lit(0.0))
     if "ridges" in kinds:
         mask = vertices("ridges").select("area", F.bround("r").cast("int").alias("row"), F.bround("c").cast("int").alias("col")).distinct()
-        line = stencil.dilated(mask, side, side).withColumn("__on", F.lit(1.0))
-        out = stencil.gaussian(out.join(line, ["area", "row", "col"], "left").fillna(0.0, ["__on"]), "__on", "__smooth", RIDGE_SIGMA, side)
+        line = stencil.dilated(mask, cells).withColumn("__on", F.lit(1.0))
+        out = stencil.gaussian(out.join(line, ["area", "row", "col"], "left").fillna(0.0, ["__on"]), "__on", "__smooth", RIDGE_SIGMA)
         out = stencil.normalised(out, "__smooth", "ridges").drop("__on", "__smooth")
     else:
         out = out.withColumn("ridges", F.lit(0.0))

@@ -41,15 +41,20 @@ def grid_of(frame: pd.DataFrame, column: str, fill: float = 0.0) -> np.ndarray:
 
 
 def accumulate(elev: np.ndarray, direction: np.ndarray) -> np.ndarray:
-    """Cells that drain through each cell, itself included: highest first, each passes its count on."""
+    """Cells that drain through each cell, itself included. All cells whose inflow is complete pass their counts on at once, until none is left."""
     h, w = elev.shape
-    count = [1] * (h * w)
-    moves = [r * w + c for r, c in OFFSETS]
-    flat = direction.ravel()
-    for i in np.argsort(-elev.ravel(), kind="stable").tolist():
-        if flat[i] >= 0:
-            count[i + moves[int(flat[i])]] += count[i]
-    return np.array(count).reshape(h, w)
+    flat = direction.ravel().astype(np.int64)
+    moves = np.array([r * w + c for r, c in OFFSETS])
+    to = np.where(flat >= 0, np.arange(h * w) + moves[flat], -1)
+    count, open_ = np.ones(h * w, np.int64), np.bincount(to[to >= 0], minlength=h * w)
+    ready = np.flatnonzero(open_ == 0)
+    while len(ready):
+        ready = ready[to[ready] >= 0]
+        np.add.at(count, to[ready], count[ready])
+        np.subtract.at(open_, to[ready], 1)
+        ready = np.unique(to[ready])
+        ready = ready[open_[ready] == 0]
+    return count.reshape(h, w)
 
 
 def accumulation(flow: DataFrame) -> DataFrame:
@@ -63,66 +68,93 @@ def accumulation(flow: DataFrame) -> DataFrame:
 
 
 def labels(rows: np.ndarray, cols: np.ndarray, eight: bool = True) -> np.ndarray:
-    """The number of each cell's component; components are numbered by their first cell in reading order."""
-    at = {p: i for i, p in enumerate(zip(rows.tolist(), cols.tolist(), strict=True))}
-    moves = OFFSETS if eight else [(-1, 0), (0, -1), (0, 1), (1, 0)]
-    out = np.full(len(rows), -1)
-    n = 0
-    for start in np.lexsort((cols, rows)).tolist():
-        if out[start] >= 0:
-            continue
-        out[start], stack = n, [start]
-        while stack:
-            i = stack.pop()
-            for dr, dc in moves:
-                j = at.get((int(rows[i]) + dr, int(cols[i]) + dc))
-                if j is not None and out[j] < 0:
-                    out[j] = n
-                    stack.append(j)
-        n += 1
+    """The number of each cell's component; components are numbered by their first cell in reading order.
+
+    Every cell takes the smallest place in reading order among its neighbours'
+    roots, and roots are followed to their ends, until nothing changes.
+    """
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    wide = int(cols.max()) + 2
+    keys = rows.astype(np.int64) * wide + cols
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    a, b = [], []
+    for r, c in [(0, 1), (1, 0), *([(1, -1), (1, 1)] if eight else [])]:
+        to = sorted_ + r * wide + c
+        at = np.minimum(np.searchsorted(sorted_, to), len(to) - 1)
+        hit = np.flatnonzero((sorted_[at] == to) & (cols[order] + c >= 0))
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(keys))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.unique(root, return_inverse=True)[1]
     return out
 
 
+def members(own: np.ndarray) -> list[np.ndarray]:
+    """The places of each component's cells, by number."""
+    order = np.argsort(own, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(own[order])) + 1) if len(own) else []
+
+
+#: Columns that a label has room for.
+MOST_COLUMNS = 1 << 31
+
+
 def components(mask: DataFrame, eight: bool = True) -> DataFrame:
-    """Area, row, col and ``label`` of the cells of a mask: the smallest row * 65536 + col of the component."""
+    """Area, row, col and ``label`` of the cells of a mask: the smallest row * 2 ** 31 + col of the component."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own = labels(frame["row"].to_numpy(), frame["col"].to_numpy(), eight)
-        frame = frame.assign(label=frame["row"].astype("int64") * 65536 + frame["col"])
-        frame["label"] = frame.groupby(own)["label"].transform("min")
-        return frame[["area", "row", "col", "label"]]
+        place = frame["row"].to_numpy().astype(np.int64) * MOST_COLUMNS + frame["col"].to_numpy()
+        least = np.full(own.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, own, place)
+        return frame.assign(label=least[own])[["area", "row", "col", "label"]]
 
     return mask.select("area", "row", "col").groupBy("area").applyInPandas(run, "area long, row int, col int, label long")
 
 
+def farthest(cells: list[tuple[int, int]], place: tuple[int, int]) -> tuple[int, int]:
+    """The cell of the longest straight line to a place; the first in order of equals."""
+    return max(cells, key=lambda p: (p[0] - place[0]) ** 2 + (p[1] - place[1]) ** 2)
+
+
 def trace(cells: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The shortest path between two far ends of a component, diagonal steps costing sqrt(2).
 
     Ends are cells with one neighbour at most, if there are two of these. The
-    path runs from the end farthest from the first one to the farthest from that.
+    path runs from the end farthest, in a straight line, from the first one in
+    reading order to the end farthest from that.
     """
+    cells = sorted(cells)
     inside = set(cells)
     near = {p: [(p[0] + r, p[1] + c) for r, c in OFFSETS if (p[0] + r, p[1] + c) in inside] for p in cells}
-    ends = sorted(p for p in cells if len(near[p]) <= 1)
-    ends = ends if len(ends) >= 2 else sorted(cells)
-
-    def walk(start: tuple[int, int]) -> tuple[dict, dict]:
-        cost, before, heap = {start: 0.0}, {}, [(0.0, start)]
-        while heap:
-            x, p = heapq.heappop(heap)
-            if x > cost[p]:
-                continue
-            for q in near[p]:
-                y = x + (math.sqrt(2) if p[0] != q[0] and p[1] != q[1] else 1.0)
-                if y < cost.get(q, math.inf):
-                    cost[q], before[q] = y, p
-                    heapq.heappush(heap, (y, q))
-        return cost, before
-
-    first = walk(ends[0])[0]
-    start = max(ends, key=lambda p: first[p])
-    cost, before = walk(start)
-    path = [max((p for p in ends if p != start), key=lambda p: cost[p], default=start)]
+    ends = [p for p in cells if len(near[p]) <= 1]
+    ends = ends if len(ends) >= 2 else cells
+    start = farthest(ends, ends[0])
+    goal = farthest(ends, start)
+    cost, before, heap = {start: 0.0}, {}, [(0.0, start)]
+    while heap:
+        x, p = heapq.heappop(heap)
+        if p == goal:
+            break
+        if x > cost[p]:
+            continue
+        for q in near[p]:
+            y = x + (math.sqrt(2) if p[0] != q[0] and p[1] != q[1] else 1.0)
+            if y < cost.get(q, math.inf):
+                cost[q], before[q] = y, p
+                heapq.heappush(heap, (y, q))
+    path = [goal]
     while path[-1] != start:
         path.append(before[path[-1]])
     return path[::-1]
@@ -154,14 +186,12 @@ def paths(mask: DataFrame) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows, cols = frame["row"].to_numpy(), frame["col"].to_numpy()
-        own, out = labels(rows, cols), []
-        for k in range(own.max() + 1 if len(own) else 0):
-            cells = [(int(r), int(c)) for r, c in zip(rows[own == k], cols[own == k], strict=True)]
-            if len(cells) >= LEAST_PATH_CELLS:
-                p = trace(cells)
-                if len(p) >= 2:
-                    v = resampled(smoothed(np.array(p, float)))
-                    out.append((frame["area"].iloc[0], len(out), [{"r": float(r), "c": float(c)} for r, c in v]))
+        out = []
+        for part in members(labels(rows, cols)):
+            if len(part) >= LEAST_PATH_CELLS:
+                p = trace(list(zip(rows[part].tolist(), cols[part].tolist(), strict=True)))
+                v = resampled(smoothed(np.array(p, float)))
+                out.append((frame["area"].iloc[0], len(out), [{"r": float(r), "c": float(c)} for r, c in v]))
         return pd.DataFrame(out, columns=["area", "ord", "path"])
 
     return mask.select("area", "row", "col").groupBy("area").applyInPandas(run, "area long, ord int, path array<struct<r:double,c:double>>")

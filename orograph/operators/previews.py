@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions import geo
+from orograph.operators import viewpoints
+
 # Fixed values.
 PASS_PX = 80.0
 RENDER_WEIGHTS = (0.5, 0.3, 0.2)
@@ -69,6 +73,80 @@ def critic_tier(iteration: Column) -> Column:
     return F.when(iteration >= 3, "smart").otherwise("fast")
 
 
+def links(lat: Column, lng: Column) -> Column:
+    """A map search and a geo address of a place."""
+    at = F.concat(lat.cast("string"), F.lit(","), lng.cast("string"))
+    return F.struct(F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), at).alias("google_maps_url"), F.concat(F.lit("geo:"), at).alias("geo_uri"))
+
+
+def summary_text(scene_type: Column, heading: Column, template: Column) -> Column:
+    """One sentence: what kind of scene, which way the camera looks, and the framing. Only the first letter is large."""
+    kind = F.lower(F.coalesce(F.nullif(scene_type, F.lit("")), F.lit("terrain")))
+    first = F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 1 << 30))
+    degrees = F.bround(heading).cast("long").cast("string")
+    return F.concat(first, F.lit(" preview facing "), geo.compass(heading), F.lit(" at "), degrees, F.lit(" degrees with "), F.replace(template, F.lit("_"), F.lit("-")), F.lit(" framing."))
+
+
+def preview_anchors(views: DataFrame, features: DataFrame) -> DataFrame:
+    """The anchors of each view's preview: targets (feature_id, role, x, y, in order) joined to features (area, feature_id, lat, lng, elev).
+
+    Features that aren't there are passed over; without an elevation it is 0.
+    """
+    target = views.select("vp_id", "area", F.posexplode("targets").alias("pos", "t")).select("vp_id", "area", "pos", F.col("t.feature_id").alias("feature_id"), F.col("t.role").alias("label"), F.col("t.x").alias("x"), F.col("t.y").alias("y"))
+    one = F.struct("pos", F.col("feature_id").alias("id"), "label", "lat", "lng", F.coalesce("elev", F.lit(0.0)).alias("alt_meters"), F.col("x").alias("desired_normalized_x"), F.col("y").alias("desired_normalized_y"))
+    met = target.join(features.select("area", "feature_id", "lat", "lng", "elev"), ["area", "feature_id"]).groupBy("vp_id").agg(F.array_sort(F.collect_list(one)).alias("anchors"))
+    return views.select("vp_id").join(met, "vp_id", "left").select("vp_id", F.transform("anchors", lambda a: a.dropFields("pos")).alias("anchors"))
+
+
+# Names of the scores in responses.
+SCORE_NAMES = {"richness": "viewshed_richness", "entropy": "terrain_entropy", "skyline": "skyline_fractal", "prospect": "prospect_refuge", "depth": "depth_layering", "mystery": "mystery", "water": "water_visibility"}
+
+
+def responses(views: DataFrame, features: DataFrame, scenes: DataFrame, radius_m: float) -> DataFrame:
+    """Ranked views as rows of a response, with what a preview of each needs.
+
+    ``views``: as ``engine.ranked_views`` gives them; ``scenes``: area, scene_id,
+    lat, lng, type, summary, feature_ids.
+    """
+    camera = F.struct(F.struct("lat", "lng", F.col("alt").alias("alt_meters")).alias("position"), F.col("head").alias("heading_deg"), F.col("pitch").alias("pitch_deg"), F.lit(0.0).alias("roll_deg"), F.col("fov").alias("fov_deg"))
+    targets = F.transform("anchors", lambda a: F.struct(a["feature_id"].alias("feature_id"), a["role"].alias("role"), a["x"].alias("x_norm"), a["y"].alias("y_norm")))
+    asked = views.select("vp_id", "area", F.transform("anchors", lambda a: F.struct(a["feature_id"].alias("feature_id"), a["role"].alias("role"), a["x"].alias("x"), a["y"].alias("y"))).alias("targets"))
+    placed = preview_anchors(asked, features).withColumnRenamed("anchors", "preview_anchors")
+    scene = scenes.select("area", "scene_id", F.struct(F.struct("lat", "lng").alias("center"), F.lit(radius_m).alias("radius_meters"), "scene_id", F.col("type").alias("scene_type"), F.col("summary").alias("scene_summary"), "feature_ids").alias("scene"))
+    name = viewpoints.snake(F.col("composition"))
+    composition = F.struct(name.alias("target_template"), F.get("anchors", 0)["role"].alias("subject_label"), viewpoints.horizon_of(F.col("composition")).alias("horizon_ratio"), F.col("preview_anchors").alias("anchors"))
+    joined = views.join(placed, "vp_id").join(scene, ["area", "scene_id"])
+    return joined.select(
+        "area", F.col("viewpoint_id").alias("id"), "rank", F.col("scene_id").alias("scene"), name.alias("composition"), camera.alias("camera"), targets.alias("targets"), F.col("meters").alias("distance_meters_approx"),
+        F.col("total").alias("score"), F.struct(*[F.col(a).alias(b) for a, b in SCORE_NAMES.items()]).alias("score_breakdown"), F.struct(F.col("clearance").alias("clearance_meters"), F.col("visible_ids").alias("visible_target_ids")).alias("validation"),
+        F.struct(camera.alias("camera"), F.col("scene"), composition.alias("composition")).alias("preview_input"),
+    )
+
+
+def short_id(id_: Column) -> Column:
+    """The first eight characters of an id."""
+    return F.substring(id_, 1, 8)
+
+
+def table_rows(artifacts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Lines of a table of each session's artifacts (id, summary, alt, head, pitch, fov), numbered in order; numbers are rounded half up."""
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    half_up = lambda x, unit: F.concat(F.floor(F.col(x) + 0.5).cast("string"), F.lit(unit))
+    cells = [n.cast("string"), short_id(F.col("id")), table_cell(F.col("summary")), half_up("alt", "m"), half_up("head", "°"), half_up("pitch", "°"), half_up("fov", "°")]
+    return artifacts.select(*keys, order, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def eager(views: DataFrame, most: int = 3) -> DataFrame:
+    """Of ranked views (area, rank) those that get a preview at once."""
+    return views.filter(F.col("rank") <= most)
+
+
+def attempt_log(attempts_: DataFrame) -> DataFrame:
+    """Per preview the provider that rendered it (the first in order that succeeded) and how many were tried until then. ``attempts_``: preview_id, n, provider, ok."""
+    first = F.min(F.when(F.col("ok"), F.struct("n", "provider")))
+    return attempts_.groupBy("preview_id").agg(first["provider"].alias("used"), F.coalesce(first["n"], F.max("n")).alias("tries"))
+
+
 def table_cell(summary: Column) -> Column:
     """A summary of 50 characters at most, with dots for what is cut."""
     return F.when(F.length(summary) > 50, F.concat(F.substring(summary, 1, 47), F.lit("..."))).otherwise(summary)

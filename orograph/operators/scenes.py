@@ -34,6 +34,11 @@ def classify(kinds: Column) -> Column:
     )
 
 
+def summary_of(scene_type: Column) -> Column:
+    """The sentence of a scene's type."""
+    return F.create_map(*[x for kv in SUMMARIES.items() for x in map(F.lit, kv)])[scene_type]
+
+
 def candidates(hotspots: DataFrame, features: DataFrame) -> DataFrame:
     """Hotspots (area, hotspot_id, ord, lat, lng, score) with two or more features within CLUSTER_M: ids in order of kind and rank, type, score."""
     f = features.select(F.col("area").alias("__area"), "feature_id", F.col("kind"), F.col("ord").alias("__ord"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("score").alias("__score"))
@@ -73,5 +78,4 @@ def scenes(hotspots: DataFrame, features: DataFrame) -> DataFrame:
     """The first MOST_SCENES of each area, by type, then score."""
     kept = deduplicated(candidates(hotspots, features))
     w = W.partitionBy("area").orderBy(F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")), F.desc("score"), "ord")
-    summary = F.create_map(*[x for kv in SUMMARIES.items() for x in map(F.lit, kv)])
-    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MOST_SCENES).select("area", F.concat(F.lit("scene-"), "rank").alias("scene_id"), "rank", "type", "lat", "lng", "feature_ids", summary[F.col("type")].alias("summary"), "score")
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= MOST_SCENES).select("area", F.concat(F.lit("scene-"), "rank").alias("scene_id"), "rank", "type", "lat", "lng", "feature_ids", summary_of(F.col("type")).alias("summary"), "score")

@@ -65,27 +65,28 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian(cells: DataFrame, x: str, name: str, sigma: float, side: int) -> DataFrame:
-    """Adds the Gaussian mean with mirrored edges (the edge cell repeats): along rows of the raster first, then columns.
+def gaussian(cells: DataFrame, x: str, name: str, sigma: float) -> DataFrame:
+    """Adds the Gaussian mean with mirrored edges (the edge cell repeats): along columns first, then rows.
 
-    Each line is packed as an array in its window, so a pass is one shuffle and
-    one expression: cells outside are looked up at their mirror place.
+    The mirror place of a cell beyond an edge is no farther than the kernel
+    reaches, so a cell needs its neighbours along the line only, not the line.
     """
     weights = kernel(sigma)
-    radius = len(weights) // 2
+    half = len(weights) // 2
+    out = cells
+    for partition, place, source in ((("area", "col"), "row", x), (("area", "row"), "col", name)):
+        along = W.partitionBy(*partition).orderBy(place)
+        near = F.array(*[F.lag(source, -k).over(along) if k < 0 else F.lead(source, k).over(along) if k else F.col(source) for k in range(-half, half + 1)])
+        out = out.withColumns({"__near": near, "__n": F.count(F.lit(1)).over(W.partitionBy(*partition))})
 
-    def mirrored(i: Column) -> Column:
-        m = F.pmod(i, F.lit(2 * side))
-        return F.least(m, F.lit(2 * side - 1) - m)
+        def mirrored(k: int, place: str = place) -> Column:
+            m = F.pmod(F.col(place) + k, 2 * F.col("__n")).cast("int")
+            return F.least(m, (2 * F.col("__n")).cast("int") - 1 - m) - F.col(place) + half
 
-    out = cells
-    for along, place, source in ((W.partitionBy("area", "col"), "row", x), (W.partitionBy("area", "row"), "col", name)):
-        line = F.transform(F.array_sort(F.collect_list(F.struct(F.col(place), F.col(source).alias("v"))).over(along)), lambda s: s["v"])
-        out = out.withColumn("__line", line)
         total = F.lit(0.0)
         for k, w in enumerate(weights):
-            total = total + F.lit(w) * F.get("__line", mirrored(F.col(place) + (k - radius)))
-        out = out.withColumn(name, total).drop("__line")
+            total = total + F.lit(w) * F.get("__near", mirrored(k - half))
+        out = out.withColumn(name, total).drop("__near", "__n")
     return out
 
 
@@ -96,11 +97,11 @@ def normalised(cells: DataFrame, x: str, name: str) -> DataFrame:
     return cells.withColumn(name, F.when(high - low < 1e-12, F.lit(0.0)).otherwise((F.col(x) - low) / (high - low)))
 
 
-def dilated(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """Cells (area, row, col) of a mask and their four neighbours inside the grid."""
+def dilated(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells (area, row, col) of a mask and those of their four neighbours that ``cells`` have."""
     moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
     moved = mask.select("area", "row", "col", F.explode(moves).alias("m")).select("area", (F.col("row") + F.col("m.r")).alias("row"), (F.col("col") + F.col("m.c")).alias("col"))
-    return moved.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
+    return moved.distinct().join(cells.select("area", "row", "col"), ["area", "row", "col"], "left_semi")
 
 
 def bilinear(points: DataFrame, cells: DataFrame, height: int, width: int) -> DataFrame:

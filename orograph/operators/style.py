@@ -15,10 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions import geo
+from orograph.operators import spatial, stencil
+from orograph.operators.scenes import KINDS
 
 # Fixed values.
 WINDOW, STRIDE, LEVELS, TOP = 21, 8, 12, 24
 CURVE_BINS, TURN_BINS, DENSITY = 12, 8, 4
+NEAR_M, MOST_SIDE = 500.0, 512
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -111,8 +114,10 @@ def fingerprint(lines: np.ndarray) -> np.ndarray:
             out.append(n / n.sum() if n.sum() else n)
         return out
 
-    blocks = [b for rows in np.array_split(np.arange(h), DENSITY) for b in [on[np.ix_(rows, cols)].sum() for cols in np.array_split(np.arange(w), DENSITY)]]
-    density = np.array(blocks, float) / max(1, on.sum())
+    # Blocks of whole quarters; the last ones take the remainder.
+    at = [np.minimum(np.arange(n) // max(1, n // DENSITY), DENSITY - 1) for n in (h, w)]
+    block = at[0][:, None] * DENSITY + at[1][None, :]
+    density = np.bincount(block[on], minlength=DENSITY * DENSITY) / max(1, on.sum())
     y, x = np.nonzero(on)
     mean = np.exp(2j * turn[on]).mean() if on.any() else 0j
     dominant = (math.degrees(np.angle(mean)) / 2) % 180 / 180 if on.any() else 0.0
@@ -121,13 +126,21 @@ def fingerprint(lines: np.ndarray) -> np.ndarray:
     return np.concatenate([*by_quadrant(curve, CURVE_BINS, (0, max(top, 1e-6))), *by_quadrant(turn, TURN_BINS, (-math.pi, math.pi)), density, [abs(mean), dominant, centre, scale]]).astype(np.float32)
 
 
-def patches(cells: DataFrame, side: int) -> DataFrame:
-    """Cells of each full window: area, r0, c0, row, col, elev."""
-    starts = lambda x: F.filter(F.sequence(F.lit(0), F.lit(side - WINDOW), F.lit(STRIDE)), lambda v: F.col(x).between(v, v + WINDOW - 1))
-    return cells.withColumn("r0", F.explode(starts("row"))).withColumn("c0", F.explode(starts("col"))).select("area", "r0", "c0", "row", "col", "elev")
+def patches(cells: DataFrame) -> DataFrame:
+    """Cells of each full window: area, r0, c0, row, col, elev. Rasters can be of any size."""
+    size = cells.groupBy("area").agg(F.max("row").alias("__h"), F.max("col").alias("__w"))
 
+    def starts(x: str, last: str) -> Column:
+        # Multiples of the stride whose window holds the cell and ends inside.
+        low = F.greatest(F.lit(0), F.ceil((F.col(x) - WINDOW + 1) / STRIDE)).cast("int")
+        high = F.floor(F.least(F.col(x), F.col(last) - WINDOW + 1) / STRIDE).cast("int")
+        return F.when(high >= low, F.transform(F.sequence(low, F.greatest(low, high)), lambda v: v * STRIDE))
 
-def patch_fingerprints(cells: DataFrame, side: int) -> DataFrame:
+    sized = cells.join(size, "area")
+    return sized.withColumn("r0", F.explode(starts("row", "__h"))).withColumn("c0", F.explode(starts("col", "__w"))).select("area", "r0", "c0", "row", "col", "elev")
+
+
+def patch_fingerprints(cells: DataFrame) -> DataFrame:
     """Fingerprints of the contours of each full window; a window is a group of 441 cells."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -135,18 +148,130 @@ def patch_fingerprints(cells: DataFrame, side: int) -> DataFrame:
         grid[frame["row"] - frame["r0"], frame["col"] - frame["c0"]] = frame["elev"]
         return pd.DataFrame([(frame["area"].iloc[0], frame["r0"].iloc[0], frame["c0"].iloc[0], fingerprint(contours(grid)).tolist())], columns=["area", "r0", "c0", "fingerprint"])
 
-    return patches(cells, side).groupBy("area", "r0", "c0").applyInPandas(run, "area long, r0 int, c0 int, fingerprint array<float>")
+    return patches(cells).groupBy("area", "r0", "c0").applyInPandas(run, "area long, r0 int, c0 int, fingerprint array<float>")
+
+
+def patch_normals(cells: DataFrame) -> DataFrame:
+    """Mean direction of the gradient (degrees, of unit cells) within each full window, and its range over its width."""
+    p = patches(cells)
+    g = p.withColumn("dx", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "row").orderBy("col"), 1.0)).withColumn("dy", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "col").orderBy("row"), 1.0))
+    return g.groupBy("area", "r0", "c0").agg(F.degrees(F.atan2(F.avg("dy"), F.avg("dx"))).alias("normal"), ((F.max("elev") - F.min("elev")) / WINDOW).alias("steepness"))
+
+
+def best_patches(found: DataFrame, references: DataFrame, most: int = TOP) -> DataFrame:
+    """The ``most`` windows of each area that are most like each reference (reference_id, vector). References are few, and broadcast if they are small."""
+    scored = found.join(references.select("reference_id", "vector"), how="cross").withColumn("similarity", cosine(F.col("fingerprint"), F.col("vector")))
+    w = W.partitionBy("reference_id", "area").orderBy(F.desc("similarity"), "r0", "c0")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("reference_id", "area", "r0", "c0", "rank", "similarity")
+
 
+def patch_centers(patches_: DataFrame, bounds: DataFrame, side: int) -> DataFrame:
+    """Adds lat and lng of the middle cell of windows (area, r0, c0)."""
+    half = WINDOW // 2
+    place = geo.grid_to_geo(F.col("r0") + half, F.col("c0") + half, F.col("b"), side, side)
+    return patches_.join(bounds, "area").withColumn("__p", place).withColumns({"lat": F.col("__p.lat"), "lng": F.col("__p.lng")}).drop("__p", "b")
 
-def best_patches(found: DataFrame, reference: DataFrame, most: int = TOP) -> DataFrame:
-    """The ``most`` windows of each area that are most like a reference (reference_id, vector: a row)."""
-    scored = found.crossJoin(F.broadcast(reference.limit(1))).withColumn("similarity", cosine(F.col("fingerprint"), F.col("vector")))
-    w = W.partitionBy("area").orderBy(F.desc("similarity"), "r0", "c0")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("area", "r0", "c0", "rank", "similarity")
+
+def patch_scenes(top: DataFrame, scenes: DataFrame, features: DataFrame) -> DataFrame:
+    """The scene of each ranked window (area, rank, lat, lng, similarity), the first within NEAR_M, or one of its own with the features within NEAR_M.
+
+    A window's own scene can take in later windows: such a one goes to the
+    earliest window without an older scene that lies close. An area has few
+    windows, which are compared in order; ``features`` in order of kind and rank.
+    Gives area, rank, similarity, scene_id, own and feature_ids.
+    """
+    def named(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(F.col("area").alias("__a"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), *columns)
+
+    near = spatial.within(top, named(features, "feature_id", "ord", "kind"), NEAR_M, strict=True, flat=True).filter(F.col("area") == F.col("__a"))
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    around = near.groupBy("area", "rank").agg(F.transform(F.array_sort(F.collect_list(F.struct(kind.alias("k"), "ord", "feature_id"))), lambda x: x["feature_id"]).alias("feature_ids"))
+    old = spatial.within(top, named(scenes, "scene_id", F.col("rank").alias("scene_rank")), NEAR_M, strict=True, flat=True).filter(F.col("area") == F.col("__a"))
+    first = old.groupBy("area", "rank").agg(F.min(F.struct("scene_rank", "scene_id"))["scene_id"].alias("old"))
+    rows = top.join(around, ["area", "rank"], "left").join(first, ["area", "rank"], "left")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own: list = []
+        out = []
+        for v in frame.sort_values("rank").itertuples():
+            scene = v.old
+            if scene is None:
+                close = (n for n, lat, lng in own if math.hypot((v.lat - lat) * geo.METERS_PER_DEGREE, (v.lng - lng) * geo.METERS_PER_DEGREE * math.cos(math.radians((v.lat + lat) / 2))) < NEAR_M)
+                scene = next(close, None)
+            new = scene is None
+            if new:
+                scene = f"style-patch-{v.rank}"
+                own.append((scene, v.lat, v.lng))
+            out.append((v.area, v.rank, v.similarity, v.lat, v.lng, scene, new, list(v.feature_ids) if v.feature_ids is not None else []))
+        return pd.DataFrame(out, columns=["area", "rank", "similarity", "lat", "lng", "scene_id", "own", "feature_ids"])
+
+    return rows.select("area", "rank", "similarity", "lat", "lng", "feature_ids", "old").groupBy("area").applyInPandas(run, "area long, rank int, similarity double, lat double, lng double, scene_id string, own boolean, feature_ids array<string>")
+
+
+def with_patch_scenes(scenes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Scenes (area, scene_id, rank, type, lat, lng, feature_ids, summary, score) and, after them, those that windows made."""
+    text = F.concat(F.lit("Style-matched patch (similarity="), F.format_number("similarity", 2), F.lit(")"))
+    made = placed.filter("own").select("area", "scene_id", (F.col("rank") + 1000).alias("rank"), F.lit("style-patch").alias("type"), "lat", "lng", "feature_ids", text.alias("summary"), F.col("similarity").alias("score"))
+    return scenes.select("area", "scene_id", "rank", "type", "lat", "lng", "feature_ids", "summary", "score").unionByName(made)
+
+
+def scene_patches(placed: DataFrame) -> DataFrame:
+    """The best window of each scene: area, scene_id, rank, similarity, feature_ids."""
+    first = F.min(F.struct("rank", "similarity", "feature_ids"))
+    return placed.groupBy("area", "scene_id").agg(first.alias("p")).select("area", "scene_id", F.concat(F.lit("style-patch-"), F.col("p.rank")).alias("patch_id"), "p.similarity", F.col("p.feature_ids").alias("matched_ids"))
+
+
+def refined(similarity: Column, heading: Column, normal: Column) -> tuple[Column, Column]:
+    """Heading and contour score after the climb towards the surface's normal.
+
+    Of the five numbers of a pose only the heading counts in the score, which
+    rises by a constant 0.3 / 180 a degree towards the normal; a step is that rise
+    times the rate, far less than the least gain that keeps a step, so the climb
+    ends at once: if the start's score is above the similarity by the least gain,
+    the first step is kept, and no other.
+    """
+    rate, gain = 0.15, 1e-4
+    at = lambda h: contour_score(similarity, h, normal)
+    slope = (at(heading + 1.0) - at(heading - 1.0)) / (2.0 + 1e-10)
+    moved = heading + slope * rate
+    kept = at(moved) > similarity + gain
+    return F.when(kept, F.pmod(moved, F.lit(360.0))).otherwise(F.pmod(heading, F.lit(360.0))), F.when(kept, at(moved)).otherwise(similarity)
+
+
+def reranked(views: DataFrame, best: DataFrame, descriptors: DataFrame, per_scene: int = 3, most: int = 12) -> DataFrame:
+    """Views (area, scene_id, vp_id, head, total) by how well their scene's window and their direction suit the reference.
+
+    ``best``: as ``scene_patches``; ``descriptors``: area, patch_id and the window's normal. Without a window both scores are 0.
+    """
+    joined = views.join(best, ["area", "scene_id"], "left").join(descriptors, ["area", "patch_id"], "left")
+    head, contour = refined(F.col("similarity"), F.col("head"), F.coalesce("normal", F.lit(0.0)))
+    has = F.col("patch_id").isNotNull()
+    scored = joined.withColumns({"head": F.when(has, F.bround(head, 1)).otherwise(F.col("head")), "contour": F.when(has, F.bround(contour, 4)).otherwise(F.lit(0.0)), "patch": F.coalesce("similarity", F.lit(0.0)), "patch_id": F.coalesce("patch_id", F.lit("none"))})
+    scored = scored.withColumn("style_score", final_score(F.col("contour"), F.col("patch"), F.col("total")))
+    order = [F.desc("style_score"), F.desc("total"), F.col("vp_id")]
+    top = scored.withColumn("__s", F.row_number().over(W.partitionBy("area", "scene_id").orderBy(*order))).filter(F.col("__s") <= per_scene)
+    return top.withColumn("style_rank", F.row_number().over(W.partitionBy("area").orderBy(*order))).filter(F.col("style_rank") <= most).drop("__s", "similarity", "normal")
+
+
+def resized(gray: np.ndarray, most: int = MOST_SIDE) -> np.ndarray:
+    """An image whose longer side is ``most`` at most, by a three-lobed windowed sinc stretched to the reduction; smaller ones stay."""
+    scale = min(most / max(gray.shape), 1.0)
+    if scale == 1.0:
+        return gray
+    out = gray
+    for axis in (0, 1):
+        n = out.shape[axis]
+        m = max(1, int(n * scale))
+        step = n / m
+        centre = (np.arange(m) + 0.5) * step
+        x = (np.arange(n)[None, :] + 0.5 - centre[:, None]) / step
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        out = np.moveaxis(np.tensordot(w / w.sum(1, keepdims=True), out, (1, axis)), 0, axis)
+    return np.clip(np.rint(out), 0, 255)
 
 
 def image_fingerprints(images: DataFrame) -> DataFrame:
-    """Fingerprints of images read by the ``image`` source, from their Canny edges."""
+    """Fingerprints of images read by the ``image`` source, reduced to MOST_SIDE, from their Canny edges."""
 
     def run(batches):
         for frame in batches:
@@ -154,7 +279,7 @@ def image_fingerprints(images: DataFrame) -> DataFrame:
             for r in frame.itertuples():
                 px = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels).astype(float)
                 gray = px[:, :, :3] @ [0.114, 0.587, 0.299] if r.nChannels >= 3 else px[:, :, 0]
-                out.append((r.origin, fingerprint(edges(gray)).tolist()))
+                out.append((r.origin, fingerprint(edges(resized(gray))).tolist()))
             yield pd.DataFrame(out, columns=["origin", "fingerprint"])
 
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "origin string, fingerprint array<float>")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions import geo
+from orograph.sources.shared import checkpointed
 
 # Fixed values.
 RAYS, STEPS, BINS = 90, 40, 8
@@ -53,13 +54,13 @@ def richness(view: DataFrame, interest: DataFrame) -> DataFrame:
 
 
 def box_dimension(profiles: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:
-    """Box-counting dimension of profiles of n values: slope of ln(boxes) on ln(scale); 1 where flat."""
+    """Box-counting dimension of profiles of n values: slope of ln(boxes) on ln(scale), the last box of a scale may be cut short; 1 where flat."""
     scaled = profiles.withColumns({"__lo": F.min(value).over(W.partitionBy(*keys)), "__hi": F.max(value).over(W.partitionBy(*keys))})
-    scaled = scaled.select(*keys, F.col(order).alias("__i"), F.when(F.col("__hi") > F.col("__lo"), (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).alias("__v"))
+    scaled = scaled.select(*keys, F.col(order).alias("__i"), F.when(F.col("__hi") - F.col("__lo") >= 1e-12, (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).alias("__v"))
     sizes = F.array(*[F.lit(2**k) for k in range(1, int(math.log2(n // 2)) + 1)])
-    boxes = scaled.withColumn("s", F.explode(sizes)).filter((F.floor(F.col("__i") / F.col("s")) + 1) * F.col("s") <= n).groupBy(*keys, "s", F.floor(F.col("__i") / F.col("s")).alias("seg")).agg(F.max("__v").alias("hi"), F.min("__v").alias("lo"))
-    counts = boxes.groupBy(*keys, "s").agg(F.sum(F.floor(F.col("hi") * n / F.col("s")) - F.floor(F.col("lo") * n / F.col("s")) + 1).alias("k"))
-    return counts.groupBy(*keys).agg(F.coalesce(F.regr_slope(F.ln("k"), F.ln(F.lit(float(n)) / F.col("s"))), F.lit(1.0)).alias("dimension"))
+    boxes = scaled.withColumn("__s", F.explode(sizes)).groupBy(*keys, "__s", F.floor(F.col("__i") / F.col("__s")).alias("__seg")).agg(F.max("__v").alias("__hi"), F.min("__v").alias("__lo"))
+    counts = boxes.groupBy(*keys, "__s").agg(F.sum(F.floor(F.col("__hi") * n / F.col("__s")) - F.floor(F.col("__lo") * n / F.col("__s")) + 1).alias("__k"))
+    return counts.groupBy(*keys).agg(F.coalesce(F.regr_slope(F.ln("__k"), F.ln(F.lit(float(n)) / F.col("__s"))), F.lit(1.0)).alias("dimension"))
 
 
 def depth_layers(view: DataFrame) -> DataFrame:
@@ -82,12 +83,23 @@ def skyline(view: DataFrame, cameras: DataFrame, n: int = RAYS) -> DataFrame:
     return every.join(top, ["vp_id", "ray"], "left").fillna(-math.pi / 2, ["angle"])
 
 
-def prospect_refuge(view: DataFrame, cells: DataFrame, cameras: DataFrame, reach: int) -> DataFrame:
-    """Harmonic mean of the share of cells seen and of the share of higher cells within ``reach`` cells of the camera. ``cameras``: vp_id, area, alt, row, col."""
+def skyline_score(dimension: Column) -> Column:
+    """How near a skyline's dimension is to 1.3."""
+    return F.exp(-(dimension - 1.3) * (dimension - 1.3) / (2 * 0.15**2))
+
+
+def reach(b: Column, side: int, meters: float = 500.0) -> tuple[Column, Column]:
+    """Rows and columns of a raster that cover ``meters``."""
+    ns, ew = geo.spans(b)
+    return F.ceil(F.lit(meters) / (ns / (side - 1))).cast("int"), F.ceil(F.lit(meters) / (ew / (side - 1))).cast("int")
+
+
+def prospect_refuge(view: DataFrame, cells: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Harmonic mean of the share of cells seen and of the share of higher cells around the camera. ``cameras``: vp_id, area, alt, row, col, rows, cols (how far around)."""
     size = cells.groupBy("area").agg(F.count(F.lit(1)).alias("all"))
     seen = view.filter("visible").select("vp_id", "area", "row", "col").distinct().groupBy("vp_id", "area").agg(F.count(F.lit(1)).alias("seen")).join(size, "area").select("vp_id", (F.col("seen") / F.col("all")).alias("prospect"))
-    step = F.sequence(F.lit(-reach), F.lit(reach))
-    around = cameras.withColumn("__r", F.explode(step)).withColumn("__c", F.explode(step)).select("vp_id", "area", "alt", (F.col("row") + F.col("__r")).alias("row"), (F.col("col") + F.col("__c")).alias("col"))
+    step = lambda n: F.explode(F.sequence(-F.col(n), F.col(n)))
+    around = cameras.withColumn("__r", step("rows")).withColumn("__c", step("cols")).select("vp_id", "area", "alt", (F.col("row") + F.col("__r")).alias("row"), (F.col("col") + F.col("__c")).alias("col"))
     refuge = around.join(cells.select("area", "row", "col", "elev"), ["area", "row", "col"]).groupBy("vp_id").agg(F.avg((F.col("elev") > F.col("alt")).cast("int")).alias("refuge"))
     both = cameras.select("vp_id").join(seen, "vp_id", "left").join(refuge, "vp_id", "left").fillna(0.0)
     total_ = F.col("prospect") + F.col("refuge")
@@ -111,12 +123,31 @@ def mystery(view: DataFrame, limits: DataFrame) -> DataFrame:
     return shown.join(hidden, "vp_id", "left").select("vp_id", F.least(F.lit(1.0), F.coalesce("hidden", F.lit(0)) / F.col("shown")).alias("mystery"))
 
 
+def all_scores(cameras: DataFrame, surface: DataFrame, water: DataFrame, side: int) -> DataFrame:
+    """The seven scores of each camera and their weighted total. ``cameras``: vp_id, area, lat, lng, alt, head, fov, b; ``surface``: cells with elev and interest; ``water``: area, row, col of channel vertices, repeats counted.
+
+    The view is written once, as every score reads it.
+    """
+    view = checkpointed(viewshed(rays(cameras, side, side), surface.select("area", "row", "col", "elev", "interest")))
+    limits = surface.groupBy("area").agg(F.percentile("interest", F.lit(0.75)).alias("p75"))
+    rows, cols = reach(F.col("b"), side)
+    grid = cameras.withColumn("__g", geo.geo_to_grid(F.col("lat"), F.col("lng"), F.col("b"), side, side)).select("vp_id", "area", "alt", F.bround("__g.row").cast("int").alias("row"), F.bround("__g.col").cast("int").alias("col"), rows.alias("rows"), cols.alias("cols"))
+    line = skyline(view, cameras)
+    uneven = line.groupBy("vp_id").agg((F.max("angle") - F.min("angle")).alias("range")).filter(F.col("range") >= 1e-12).select("vp_id")
+    sky = box_dimension(line.join(uneven, "vp_id"), ["vp_id"], "ray", "angle", RAYS).select("vp_id", skyline_score(F.col("dimension")).alias("skyline"))
+    parts = [richness(view, surface.select("area", "row", "col", "interest")), terrain_entropy(view), sky, prospect_refuge(view, surface, grid), depth_layers(view), mystery(view, limits), water_share(view, water)]
+    out = cameras.select("vp_id")
+    for part in parts:
+        out = out.join(part, "vp_id", "left")
+    return total(out.fillna(0.0))
+
+
 def line_of_sight(lines: DataFrame, cells: DataFrame, height: int, width: int, samples: int = 64) -> DataFrame:
     """(vp_id, clear): whether terrain stays below the straight line between two places in cells (r1, c1, alt1, r2, c2, alt2); the ends are passed over."""
     from orograph.operators import stencil
 
     t = F.col("i") / (samples - 1.0)
     between = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * t
-    points = lines.withColumn("i", F.explode(F.sequence(F.lit(2), F.lit(samples - 3)))).select("vp_id", "area", between("r1", "r2").alias("r"), between("c1", "c2").alias("c"), between("alt1", "alt2").alias("alt"), (F.col("vp_id") * samples + F.col("i")).alias("pid"))
+    points = lines.withColumn("i", F.explode(F.sequence(F.lit(2), F.lit(samples - 3)))).select("vp_id", "area", between("r1", "r2").alias("r"), between("c1", "c2").alias("c"), between("alt1", "alt2").alias("alt"), F.struct("vp_id", "i").alias("pid"))
     ground = stencil.bilinear(points, cells, height, width)
     return ground.groupBy("vp_id").agg((~F.bool_or(F.col("value") > F.col("alt") - 0.5)).alias("clear"))

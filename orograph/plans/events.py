@@ -39,12 +39,25 @@ def src11(spark, d):
     return raw.select("event_id", F.from_json("j", "k long")["k"].alias("k"))
 
 
-@query("p38_redaction", "SELECT doc_id, regexp_replace('Authorization: Bearer ' || substr(text, 1, 40) || ' token abc.def', '\\b(Bearer|Basic|Token)\\s+\\S+', '\\1 [REDACTED]', 'gi') AS masked FROM documents")
+@query("p38_redaction", "SELECT doc_id, regexp_replace('Authorization: Bearer ' || text || ' token abc.def', '\\b(Bearer|Basic|Token)\\s+\\S+', '\\1 [REDACTED]', 'gi') AS masked FROM documents")
 def p38(spark, d):
-    text = F.concat(F.lit("Authorization: Bearer "), F.substring("text", 1, 40), F.lit(" token abc.def"))
+    text = F.concat(F.lit("Authorization: Bearer "), "text", F.lit(" token abc.def"))
     return table(spark, d, "documents").select("doc_id", logs.masked(text).alias("masked"))
 
 
+@query("p38_redacted_json", "SELECT conv_id, turn, '[REDACTED]' AS secret, regexp_replace('Bearer ' || text, '\\b(Bearer|Basic|Token)\\s+\\S+', '\\1 [REDACTED]', 'gi') AS deep FROM conversations")
+def p38_json(spark, d):
+    """Secrets at any depth of a payload: in lists, in objects, in strings."""
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(c("text").alias("api_key")).alias("inner"), F.concat(F.lit("Bearer "), "text").alias("note"))).alias("items")))
+    s = logs.redacted_json(table(spark, d, "conversations").select("conv_id", "turn", body.alias("body")), "body", "clean")
+    return s.select("conv_id", "turn", F.get_json_object("clean", "$.items[0].inner.api_key").alias("secret"), F.get_json_object("clean", "$.items[0].note").alias("deep"))
+
+
+@query("p39_tool_output", "SELECT doc_id, CASE WHEN length(t) > 50000 THEN substr(t, 1, 50000) || chr(10) || '[output truncated at 50000 chars]' ELSE t END AS output FROM (SELECT doc_id, text || ' ' || text || ' ' || text AS t FROM documents) s")
+def p39(spark, d):
+    return table(spark, d, "documents").select("doc_id", logs.tool_output(F.concat_ws(" ", "text", "text", "text")).alias("output"))
+
+
 @query("p38_redacted_keys", "SELECT event_id, '[REDACTED]' AS api_key, event_type AS name FROM events")
 def p38_keys(spark, d):
     m = logs.masked_map(F.create_map(F.lit("api_key"), c("props"), F.lit("name"), c("event_type")))
@@ -61,9 +74,9 @@ def snk9(spark, d):
     return logs.retained(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], logs.TOOL_LOGS).select("event_id")
 
 
-@query("snk10_session_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) s WHERE n <= 5")
+@query("snk10_session_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) s WHERE n <= 500")
 def snk10(spark, d):
-    return logs.retained(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], 5, ["user_id"]).select("user_id", "event_id")
+    return logs.retained(table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")], logs.SESSION_LOGS, ["user_id"]).select("user_id", "event_id")
 
 
 @query("snk7_ttl_sweep", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
@@ -96,12 +109,12 @@ def st3(spark, d):
 
 @query("st2_cache_key", "SELECT event_id, sha256('{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}') AS cache_key FROM events")
 def st2(spark, d):
-    return table(spark, d, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id")), 256).alias("cache_key"))
+    return table(spark, d, "events").select("event_id", logs.cache_key(F.struct("event_type", "user_id")).alias("cache_key"))
 
 
-@query("st5_delta_concat", "SELECT conv_id, role, string_agg(substr(text, 1, 10), '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id, role")
+@query("st5_delta_concat", "SELECT conv_id, role, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id, role")
 def st5(spark, d):
-    t = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 10).alias("t")))).alias("p"))
+    t = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", c("text").alias("t")))).alias("p"))
     return t.select("conv_id", "role", F.array_join(c("p.t"), "").alias("joined"))
 
 
@@ -123,6 +136,13 @@ def st1(spark, d):
     return logs.cache_replay(e, 16, 3.6e9)
 
 
+@query("st2_preview_cache")
+def st2_replay(spark, d):
+    """The first-in-first-out preview cache: 24 entries, a quarter of an hour."""
+    e = table(spark, d, "events").select((c("user_id") % 8).alias("shard"), F.unix_micros(c("ts").cast("timestamp")).cast("double").alias("at"), logs.cache_key(F.struct("event_type", (c("event_id") % 97).alias("n"))).alias("key"))
+    return logs.cache_replay(e, 24, 900e6, recent=False)
+
+
 @query("w8_newest_by_user", "SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id")
 def w8(spark, d):
     e = table(spark, d, "events")

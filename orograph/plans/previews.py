@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orograph.operators import previews, style, viewpoints
 from orograph.plans.registry import query, table
+from orograph.sources import stores
 
 
 def c(name: str):
@@ -85,23 +87,104 @@ def v6(spark, d):
     return base(spark, d).select("k", viewpoints.fallback_distance((c("k") * 37 % 8000).cast("double")).alias("meters"))
 
 
-@query("t4_viewpoint_dedup", """WITH vp AS (SELECT o_orderkey AS id, o_custkey % 20 AS scene, o_orderkey % 2 AS comp, 39.5 + (o_orderkey * 31 % 40) / 40000.0 AS lat, -105.5 AS lng, (o_orderkey * 7 % 30) * 1.0 AS head, (o_orderkey * 13 % 1000) / 1000.0 AS score FROM orders WHERE o_orderkey < 1500), two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene, comp ORDER BY score DESC, id) AS k FROM vp) s WHERE k <= 2)
-SELECT a.id FROM two a WHERE k = 1 OR NOT EXISTS (SELECT 1 FROM two b WHERE b.scene = a.scene AND b.comp = a.comp AND b.k = 1 AND abs(a.lat - b.lat) * 111320.0 < 150 AND LEAST(abs(a.head - b.head), 360 - abs(a.head - b.head)) < 12)""")
+@query("t4_viewpoint_dedup", """WITH RECURSIVE vp AS (SELECT o_orderkey AS id, o_custkey AS scene, o_orderkey % 2 AS comp, 39.5 + (o_orderkey * 31 % 40) / 40000.0 AS lat, (o_orderkey * 7 % 30) * 1.0 AS head, (o_orderkey * 13 % 1000) / 1000.0 AS score FROM orders), seq AS (SELECT *, row_number() OVER (PARTITION BY scene, comp ORDER BY score DESC, id) AS k FROM vp),
+greedy AS (SELECT scene, comp, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(lat DOUBLE, head DOUBLE)[]) AS kept, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT scene, comp FROM seq) a UNION ALL SELECT scene, comp, k + 1, CASE WHEN close THEN kept ELSE list_append(kept, {'lat': lat, 'head': head}) END, CASE WHEN NOT close THEN id2 END FROM (SELECT g.*, s.id AS id2, s.lat, s.head, len(list_filter(g.kept, lambda x: abs(x.lat - s.lat) * 111320.0 < 150 AND LEAST(abs(x.head - s.head), 360 - abs(x.head - s.head)) < 12)) > 0 AS close FROM greedy g JOIN seq s ON s.scene = g.scene AND s.comp = g.comp AND s.k = g.k + 1) q)
+SELECT id FROM greedy WHERE id IS NOT NULL""")
 def t4(spark, d):
-    from pyspark.sql import Window as W
-
+    """Greedy, best first, over all orders: a customer's orders are a scene's views."""
     k = c("o_orderkey")
-    vp = table(spark, d, "orders").filter(k < 1500).select(k.alias("id"), (c("o_custkey") % 20).alias("scene"), (k % 2).alias("comp"), (F.lit(39.5) + (k * 31 % 40) / 40000.0).alias("lat"), F.lit(-105.5).alias("lng"), ((k * 7 % 30) * 1.0).alias("head"), ((k * 13 % 1000) / 1000.0).alias("score"))
-    two = vp.withColumn("k", F.row_number().over(W.partitionBy("scene", "comp").orderBy(F.desc("score"), "id"))).filter("k <= 2").drop("k")
-    return viewpoints.deduplicated(two, ["scene", "comp"]).select("id")
+    vp = table(spark, d, "orders").select(k.alias("id"), c("o_custkey").alias("scene"), (k % 2).alias("comp"), (F.lit(39.5) + (k * 31 % 40) / 40000.0).alias("lat"), F.lit(-105.5).alias("lng"), ((k * 7 % 30) * 1.0).alias("head"), ((k * 13 % 1000) / 1000.0).alias("score"))
+    return viewpoints.deduplicated(vp, ["scene", "comp"]).select("id")
 
 
 @query("v1_pnp_solver")
 def v1(spark, d):
-    """Poses that put two anchors at a template's targets, by least squares; accepted ones with their error."""
+    """Poses that put two anchors at a template's targets, by least squares, with their error."""
+    k = c("k")
+    target = [F.lit(x).alias(n) for n, x in (("x1", 0.667), ("y1", 0.333), ("x2", 0.333), ("y2", 0.667), ("horizon", 0.333), ("distance", 1500.0), ("relief", 100.0))]
+    s = base(spark, d).select("k", ((k * 37 % 400) + 800.0).alias("e1"), ((k * 13 % 300) + 1500.0).alias("n1"), (k % 7 * 20 + 300.0).alias("z1"), (-((k * 53 % 500) + 100.0)).alias("e2"), ((k * 29 % 300) + 900.0).alias("n2"), (k % 5 * 15 + 200.0).alias("z2"), *target)
+    return viewpoints.solved(s, "k", 55.0).select("k", "accepted", F.round("rms", 3).alias("rms"))
+
+
+@query("p36_links_and_summary", """SELECT c_custkey AS k, 'https://www.google.com/maps/search/?api=1&query=' || lat || ',' || lng AS url, 'geo:' || lat || ',' || lng AS geo, (CASE WHEN c_custkey % 3 = 0 THEN 'Terrain' ELSE 'Peak-water' END) || ' preview facing ' || (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[CAST(round_even((c_custkey % 360) / 22.5, 0) AS INTEGER) % 16 + 1] || ' at ' || (c_custkey % 360) || ' degrees with golden-ratio framing.' AS summary FROM (SELECT *, 39.5 + c_custkey % 4 / 4.0 AS lat, -105.25 - c_custkey % 2 / 2.0 AS lng FROM customer) c""")
+def p36(spark, d):
     k = c("k")
-    s = base(spark, d).filter("k < 60").select("k", ((k * 37 % 400) + 800.0).alias("e1"), ((k * 13 % 300) + 1500.0).alias("n1"), (k % 7 * 20 + 300.0).alias("z1"), (-((k * 53 % 500) + 100.0)).alias("e2"), ((k * 29 % 300) + 900.0).alias("n2"), (k % 5 * 15 + 200.0).alias("z2"))
-    return viewpoints.solved(s, "k", (0.667, 0.333), (0.333, 0.667), 0.333, 55.0).select("k", "accepted", F.round("rms", 3).alias("rms"))
+    link = previews.links(F.lit(39.5) + k % 4 / 4.0, F.lit(-105.25) - k % 2 / 2.0)
+    text = previews.summary_text(F.when(k % 3 != 0, F.lit("peak-water")), (k % 360).cast("double"), F.lit("golden_ratio"))
+    return base(spark, d).select("k", link["google_maps_url"].alias("url"), link["geo_uri"].alias("geo"), text.alias("summary"))
+
+
+@query("t8_eager_previews", "SELECT o_custkey AS area, o_orderkey AS id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) s WHERE rank <= 3")
+def t8(spark, d):
+    """The first three views of an area are rendered at once."""
+    o = table(spark, d, "orders").withColumn("rank", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")))
+    return previews.eager(o).select(c("o_custkey").alias("area"), c("o_orderkey").alias("id"))
+
+
+@query("v12_attempt_log", "SELECT o_custkey AS preview_id, (['google_3d','ion','osm'])[CAST(min(n) FILTER (ok) AS INTEGER) % 3 + 1] AS used, coalesce(min(n) FILTER (ok), max(n)) AS tries FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey % 5 = 0 AS ok FROM orders) s GROUP BY o_custkey")
+def v12_log(spark, d):
+    o = table(spark, d, "orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"))
+    provider = F.element_at(F.array(*map(F.lit, ("google_3d", "ion", "osm"))), (c("n") % 3 + 1).cast("int"))
+    return previews.attempt_log(o.select(c("o_custkey").alias("preview_id"), "n", provider.alias("provider"), (c("o_orderkey") % 5 == 0).alias("ok")))
+
+
+STORE_SQL = "up AS (SELECT event_id, user_id, ts, sha256('r' || event_id) AS token, CASE event_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'text/plain' END AS ct FROM events)"
+
+
+def uploads(spark, d):
+    e = table(spark, d, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("image/png", "image/jpeg", "text/plain"))), (c("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", F.concat(F.lit("f"), "event_id").alias("filename"), kind.alias("content_type"), c("event_type").alias("label"), c("ts").cast("timestamp").alias("created_at"), F.lit(10).alias("height"), F.lit(20).alias("width"), F.array(F.lit(0.5)).alias("fingerprint"), F.sha2(F.concat(F.lit("r"), "event_id"), 256).alias("token"))
+
+
+@query("snk4_reference_store", f"WITH {STORE_SQL} SELECT 'style-ref-' || strftime(ts, '%Y%m%d') || '-' || substr(token, 1, 8) AS reference_id, 'original' || CASE ct WHEN 'image/png' THEN '.png' WHEN 'image/jpeg' THEN '.jpg' ELSE '.bin' END AS original FROM up")
+def snk4(spark, d):
+    return stores.references(uploads(spark, d), c("token")).select("reference_id", "original")
+
+
+NEWEST = "(SELECT max(ts) FROM events)"
+
+
+def worn(spark, d):
+    """The store with some rows without metadata, some with broken metadata, and some without a time."""
+    made = stores.references(uploads(spark, d), c("token"))
+    n = F.conv(F.substring("reference_id", -1, 1), 16, 10).cast("int")
+    meta = F.when(n == 0, F.lit(None).cast("string")).when(n == 1, F.lit("{broken")).when(n == 2, F.lit('{"label": "x"}')).otherwise(c("metadata"))
+    now = table(spark, d, "events").agg(F.max("ts")).first()[0]
+    return made.withColumn("metadata", meta), F.lit(now).cast("timestamp")
+
+
+@query("snk8_style_sweep", f"WITH {STORE_SQL} SELECT 'style-ref-' || strftime(ts, '%Y%m%d') || '-' || substr(token, 1, 8) AS reference_id FROM up WHERE substr(token, 8, 1) = '2' OR (substr(token, 8, 1) NOT IN ('0', '1') AND epoch({NEWEST} - date_trunc('second', ts)) <= 24 * 3600)")
+def snk8(spark, d):
+    store, now = worn(spark, d)
+    return stores.swept_references(store, now).select("reference_id")
+
+
+@query("src7_reference_load", f"WITH {STORE_SQL} SELECT 'style-ref-' || strftime(ts, '%Y%m%d') || '-' || substr(token, 1, 8) AS reference_id FROM up WHERE event_id % 2 = 0 AND substr(token, 8, 1) <> '0' AND (substr(token, 8, 1) IN ('1', '2') OR epoch({NEWEST} - date_trunc('second', ts)) <= 24 * 3600)")
+def src7(spark, d):
+    """References asked for by id: expired ones, and those without metadata, aren't found."""
+    store, now = worn(spark, d)
+    asked = stores.references(uploads(spark, d).filter(c("event_id") % 2 == 0), c("token")).select("reference_id").distinct()
+    return stores.loaded_reference(store.join(asked, "reference_id", "left_semi"), c("reference_id"), now).select("reference_id")
+
+
+@query("snk6_artifact_lookup", "SELECT event_id, variant, CASE WHEN ok THEN '/api/v1/previews/preview_' || substr(md5(CAST(event_id AS VARCHAR)), 1, 32) || '/artifacts/' || variant END AS url, ok AS found FROM (SELECT event_id, variant, CASE variant WHEN 'raw' THEN true WHEN 'enhanced' THEN event_id % 2 = 0 ELSE false END AS ok FROM events, (VALUES ('raw'), ('enhanced'), ('other')) v(variant)) s")
+def snk6(spark, d):
+    """Images by preview and variant; half of the previews have no enhanced one, and a third name isn't a variant."""
+    e = table(spark, d, "events").select("event_id", stores.preview_id(F.md5(c("event_id").cast("string").cast("binary"))).alias("preview_id"))
+    image = F.encode("preview_id", "utf-8")
+    store = stores.artifacts(e.select("preview_id", image.alias("raw"), F.when(c("event_id") % 2 == 0, image).alias("enhanced")))
+    asked = e.withColumn("variant", F.explode(F.array(*map(F.lit, ("raw", "enhanced", "other")))))
+    return stores.found_artifacts(store, asked).select("event_id", "variant", "url", "found")
+
+
+@query("snk5_snk12_manifests", """SELECT event_id, event_id % 4 = 0 AS failed, CASE WHEN event_id % 4 = 0 THEN 'TimeoutError' END AS error, CASE WHEN event_id % 4 <> 0 THEN event_id % 100 END AS render_ms, event_id % 1000 AS total_ms FROM events""")
+def snk12(spark, d):
+    """Manifests, read back from their JSON."""
+    k = c("event_id")
+    p = table(spark, d, "events").select(k.cast("string").alias("preview_id"), F.when(k % 4 == 0, "failed").otherwise("completed").alias("status"), F.array(F.lit("w")).alias("warnings"), F.lit("TimeoutError").alias("error_type"), F.lit("late").alias("error_message"), (k % 100).alias("render_ms"), F.lit(None).cast("long").alias("enhancement_ms"), (k % 1000).alias("total_ms"), F.array(F.lit("ion")).alias("attempts"))
+    m = stores.manifests(p).select(F.from_json("manifest", "id string, status string, error struct<type:string,message:string>, timings_ms struct<render:long,enhancement:long,total:long>").alias("m"))
+    return m.select(c("m.id").cast("long").alias("event_id"), (c("m.status") == "failed").alias("failed"), c("m.error.type").alias("error"), c("m.timings_ms.render").alias("render_ms"), c("m.timings_ms.total").alias("total_ms"))
 
 
 @query("p33_p35_prompt_and_model", "SELECT c_custkey AS k, 'Keep the terrain.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'Golden light ' || c_custkey ELSE 'Natural light' END AS prompt, CASE WHEN c_custkey % 4 >= 3 THEN 'smart' ELSE 'fast' END AS tier, CASE WHEN c_custkey % 3 = 0 THEN 'gemini-3.1-flash-image-preview' ELSE 'own-model' END AS model FROM customer")
@@ -119,10 +202,13 @@ def p31(spark, d):
     return base(spark, d).select("k", F.element_at(letters, i).alias("type"), viewpoints.snake(F.element_at(camel, i)).alias("name"), viewpoints.horizon_of(F.element_at(camel, i)).alias("horizon"))
 
 
-@query("p44_artifact_rows", "SELECT event_id, CASE WHEN length(t) > 50 THEN substr(t, 1, 47) || '...' ELSE t END AS summary, CAST(floor(value + 0.5) AS BIGINT) AS rounded FROM (SELECT event_id, value, event_type || ' ' || props || ' ' || event_type || ' ' || event_type || ' ' || event_type || ' ' || event_type AS t FROM events) s")
+@query("p44_artifact_rows", "SELECT event_id, '| ' || row_number() OVER (PARTITION BY user_id ORDER BY event_id) || ' | ' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) || ' | ' || (CASE WHEN length(t) > 50 THEN substr(t, 1, 47) || '...' ELSE t END) || ' | ' || CAST(floor(value + 0.5) AS BIGINT) || 'm | ' || event_id % 360 || '° | ' || -(event_id % 9) || '° | 55° |' AS line FROM (SELECT *, event_type || ' ' || props || ' ' || event_type || ' ' || event_type || ' ' || event_type || ' ' || event_type AS t FROM events) s")
 def p44(spark, d):
+    """A table of each user's artifacts."""
     t = F.concat_ws(" ", "event_type", "props", "event_type", "event_type", "event_type", "event_type")
-    return table(spark, d, "events").select("event_id", previews.table_cell(t).alias("summary"), F.floor(c("value") + 0.5).alias("rounded"))
+    k = c("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", F.md5(k.cast("string").cast("binary")).alias("id"), t.alias("summary"), c("value").alias("alt"), (k % 360).alias("head"), (-(k % 9)).alias("pitch"), F.lit(55).alias("fov"))
+    return previews.table_rows(rows, ["user_id"], "event_id").select("event_id", "line")
 
 
 @query("v8_v9_style_scores", "SELECT k, round(0.7 * s + 0.3 * (1 - LEAST(abs(h - t), 360 - abs(h - t)) / 180.0), 6) AS contour, round(0.45 * (0.7 * s + 0.3 * (1 - LEAST(abs(h - t), 360 - abs(h - t)) / 180.0)) + 0.35 * s + 0.20 * b, 6) AS final FROM (SELECT c_custkey AS k, (c_custkey % 100) / 100.0 AS s, (c_custkey * 37 % 360) * 1.0 AS h, (c_custkey * 11 % 180 + 180) % 360 * 1.0 AS t, (c_custkey % 17) / 17.0 AS b FROM customer) q")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orograph.operators import features, hydro, stencil
+from orograph.operators import features, hydro, stencil, style
 from orograph.plans.registry import query, table
-from orograph.sources import raster
+from orograph.sources import points, raster
 from orograph.sources.shared import checkpointed
 
 CELL = 78.0
-CELLS_SQL = "cells AS MATERIALIZED (SELECT area, \"row\", col, 1500.0 + 2500.0 * CAST(embedding[col + 1] AS DOUBLE) AS elev FROM (SELECT vec_id // 64 AS area, CAST(vec_id % 64 AS INTEGER) AS \"row\", embedding, CAST(unnest(range(0, 64)) AS INTEGER) AS col FROM embeddings WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64)) e)"
+CELLS_SQL = "cells AS MATERIALIZED (SELECT area, \"row\", col, 1500.0 + 2500.0 * CAST(embedding[col + 1] AS DOUBLE) AS elev FROM (SELECT vec_id // 64 AS area, CAST(vec_id % 64 AS INTEGER) AS \"row\", embedding, CAST(unnest(range(0, 64)) AS INTEGER) AS col FROM embeddings) e)"
 AX, DN = 'PARTITION BY area, "row" ORDER BY col', 'PARTITION BY area, col ORDER BY "row"'
 
 
@@ -71,19 +71,20 @@ def n5(spark, d):
 
 
 KERNEL_SQL = "kern AS (SELECT k, exp(-0.5 * k * k / 4.0) / (SELECT sum(exp(-0.5 * j * j / 4.0)) FROM (SELECT unnest(range(-8, 9)) AS j) q) AS w FROM (SELECT unnest(range(-8, 9)) AS k) r)"
-MIRROR = "LEAST((({x}) + 128) % 128, 127 - (({x}) + 128) % 128)"
+MIRROR = "LEAST((({x}) + 16 * {n}) % (2 * {n}), 2 * {n} - 1 - (({x}) + 16 * {n}) % (2 * {n}))"
 
 
-@query("n7_gaussian", f"""WITH {CELLS_SQL}, {KERNEL_SQL}, v1 AS (SELECT c.area, c."row", c.col, sum(k.w * o.elev) AS v FROM cells c, kern k, cells o WHERE o.area = c.area AND o.col = c.col AND o."row" = {MIRROR.format(x='c."row" + k.k')} AND c.area = 0 GROUP BY ALL)
-SELECT c.area, c."row", c.col, round(sum(k.w * o.v), 5) AS smooth FROM v1 c, kern k, v1 o WHERE o.area = c.area AND o."row" = c."row" AND o.col = {MIRROR.format(x='c.col + k.k')} GROUP BY ALL""")
+@query("n7_gaussian", f"""WITH {CELLS_SQL}, {KERNEL_SQL}, size AS (SELECT area, max("row") + 1 AS h FROM cells GROUP BY area), v1 AS (SELECT c.area, c."row", c.col, sum(k.w * o.elev) AS v FROM cells c JOIN size s ON s.area = c.area CROSS JOIN kern k JOIN cells o ON o.area = c.area AND o.col = c.col AND o."row" = {MIRROR.format(x='c."row" + k.k', n='s.h')} GROUP BY ALL)
+SELECT c.area, c."row", c.col, round(sum(k.w * o.v), 5) AS smooth FROM v1 c CROSS JOIN kern k JOIN v1 o ON o.area = c.area AND o."row" = c."row" AND o.col = {MIRROR.format(x='c.col + k.k', n='64')} GROUP BY ALL""")
 def n7(spark, d):
-    """Gaussian of sigma 2, first area."""
-    return stencil.gaussian(cells(spark, d).filter("area = 0"), "elev", "smooth", 2.0, raster.SIDE).select("area", "row", "col", F.round("smooth", 5).alias("smooth"))
+    """Gaussian of sigma 2."""
+    return stencil.gaussian(cells(spark, d), "elev", "smooth", 2.0).select("area", "row", "col", F.round("smooth", 5).alias("smooth"))
 
 
-@query("n10_dilation", f'WITH {CELLS_SQL}, m AS (SELECT * FROM cells WHERE elev > 1800) SELECT DISTINCT area, "row" + dr AS "row", col + dc AS col FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(dr, dc) WHERE "row" + dr BETWEEN 0 AND 63 AND col + dc BETWEEN 0 AND 63')
+@query("n10_dilation", f'WITH {CELLS_SQL}, m AS (SELECT * FROM cells WHERE elev > 1800) SELECT DISTINCT c.area, c."row", c.col FROM m, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS v(dr, dc), cells c WHERE c.area = m.area AND c."row" = m."row" + dr AND c.col = m.col + dc')
 def n10(spark, d):
-    return stencil.dilated(cells(spark, d).filter("elev > 1800"), 64, 64)
+    every = cells(spark, d)
+    return stencil.dilated(every.filter("elev > 1800"), every)
 
 
 @query("n11_normalise", f'WITH {CELLS_SQL} SELECT area, "row", col, round((elev - min(elev) OVER w) / (max(elev) OVER w - min(elev) OVER w), 6) AS level FROM cells WINDOW w AS (PARTITION BY area)')
@@ -105,27 +106,21 @@ def n14(spark, d):
     return stencil.bilinear(sample_points(spark, d), cells(spark, d), 64, 64).select("pid", F.round("value", 6).alias("value"))
 
 
-@query("n16_resample", f"""WITH {CELLS_SQL}, t AS (SELECT a AS area, i, j, i * 63 / 31.0 AS r, j * 63 / 31.0 AS c FROM (SELECT DISTINCT area AS a FROM cells) x, (SELECT unnest(range(0, 32)) AS i) y, (SELECT unnest(range(0, 32)) AS j) z), q AS (SELECT *, LEAST(floor(r), 62) AS r0, LEAST(floor(c), 62) AS c0 FROM t)
-SELECT q.area, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum((1 - abs(r - e."row")) * (1 - abs(c - e.col)) * e.elev), 6) AS value FROM q JOIN cells e ON e.area = q.area AND e."row" BETWEEN q.r0 AND q.r0 + 1 AND e.col BETWEEN q.c0 AND q.c0 + 1 GROUP BY q.area, i, j""")
+@query("n16_resample", f"""WITH {CELLS_SQL}, size AS (SELECT area, max("row") + 1 AS h FROM cells GROUP BY area), t AS (SELECT area, h, i, j, i * (h - 1) / 31.0 AS r, j * 63 / 31.0 AS c FROM size x, (SELECT unnest(range(0, 32)) AS i) y, (SELECT unnest(range(0, 32)) AS j) z), q AS (SELECT *, LEAST(floor(r), h - 2) AS r0, LEAST(floor(c), 62) AS c0 FROM t)
+SELECT q.area, CAST(i AS INTEGER) AS "row", CAST(j AS INTEGER) AS col, round(sum((1 - abs(r - e."row")) * (1 - abs(c - e.col)) * e.elev), 6) AS elev FROM q JOIN cells e ON e.area = q.area AND e."row" BETWEEN q.r0 AND q.r0 + 1 AND e.col BETWEEN q.c0 AND q.c0 + 1 GROUP BY q.area, i, j""")
 def n16(spark, d):
-    """Each area resampled to 32 x 32, corners on corners."""
+    """Each area, of any height, resampled to 32 x 32, corners on corners."""
     base = cells(spark, d)
-    side = F.sequence(F.lit(0), F.lit(31))
-    t = base.select("area").distinct().withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).withColumns({"r": c("i") * 63 / 31.0, "c": c("j") * 63 / 31.0, "pid": (c("area") * 32 + c("i")) * 32 + c("j")})
-    return stencil.bilinear(t, base, 64, 64).select("area", "i", "j", F.round("value", 6).alias("value"))
+    sizes = base.groupBy("area").agg((F.max("row") + 1).alias("height"), (F.max("col") + 1).alias("width"))
+    return cell_columns(raster.resampled(base, sizes, 32), "elev")
 
 
-@query("n24_patch_descriptor", f"""WITH {CELLS_SQL}, p AS (SELECT area, pr * 8 AS r0, pc * 8 AS c0, "row", col, elev FROM cells, (SELECT unnest(range(0, 6)) AS pr) a, (SELECT unnest(range(0, 6)) AS pc) b WHERE "row" BETWEEN pr * 8 AND pr * 8 + 20 AND col BETWEEN pc * 8 AND pc * 8 + 20),
+@query("n24_patch_descriptor", f"""WITH {CELLS_SQL}, size AS (SELECT area, max("row") + 1 AS h FROM cells GROUP BY area), p AS (SELECT area, pr * 8 AS r0, pc * 8 AS c0, "row", col, elev FROM cells JOIN size USING (area), (SELECT unnest(range(0, 6)) AS pr) a, (SELECT unnest(range(0, 6)) AS pc) b WHERE "row" BETWEEN pr * 8 AND pr * 8 + 20 AND col BETWEEN pc * 8 AND pc * 8 + 20 AND pr * 8 + 21 <= h),
 g AS (SELECT *, {diff('elev', 'PARTITION BY area, r0, c0, "row" ORDER BY col', '1.0')} AS dx, {diff('elev', 'PARTITION BY area, r0, c0, col ORDER BY "row"', '1.0')} AS dy FROM p)
 SELECT area, CAST(r0 AS INTEGER) AS r0, CAST(c0 AS INTEGER) AS c0, round(degrees(atan2(avg(dy), avg(dx))), 4) AS direction, round((max(elev) - min(elev)) / 21, 6) AS steepness FROM g GROUP BY area, r0, c0""")
 def n24(spark, d):
     """Full 21 x 21 windows every 8 cells: mean gradient direction and range; the gradient is taken inside the window."""
-    from pyspark.sql import Window as W
-
-    first = lambda x: F.filter(F.sequence(F.lit(0), F.lit(40), F.lit(8)), lambda v: c(x).between(v, v + 20))
-    p = cells(spark, d).withColumn("r0", F.explode(first("row"))).withColumn("c0", F.explode(first("col")))
-    g = p.withColumn("dx", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "row").orderBy("col"), 1.0)).withColumn("dy", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "col").orderBy("row"), 1.0))
-    return g.groupBy("area", "r0", "c0").agg(F.round(F.degrees(F.atan2(F.avg("dy"), F.avg("dx"))), 4).alias("direction"), F.round((F.max("elev") - F.min("elev")) / 21, 6).alias("steepness"))
+    return style.patch_normals(cells(spark, d)).select("area", "r0", "c0", F.round("normal", 4).alias("direction"), F.round("steepness", 6).alias("steepness"))
 
 
 @query("a1_raster_stats", f"WITH {CURV_SQL} SELECT area, round(min(elev), 1) AS low, round(max(elev), 1) AS high, round(avg(elev), 4) AS mean, round(max(slope), 4) AS steepest, round(avg(curvature), 6) AS curvature FROM curv GROUP BY area")
@@ -179,7 +174,7 @@ def g4(spark, d):
 
 
 def components_sql(where: str, near: str) -> str:
-    return f'reach AS (SELECT area, "row" AS r0, col AS c0, "row" AS r, col AS c FROM {where} UNION SELECT a.area, a.r0, a.c0, m."row", m.col FROM reach a JOIN {where} m ON m.area = a.area AND {near}), comp AS (SELECT area, r AS "row", c AS col, min(r0 * 65536 + c0) AS label FROM reach GROUP BY ALL)'
+    return f'reach AS (SELECT area, "row" AS r0, col AS c0, "row" AS r, col AS c FROM {where} UNION SELECT a.area, a.r0, a.c0, m."row", m.col FROM reach a JOIN {where} m ON m.area = a.area AND {near}), comp AS (SELECT area, r AS "row", c AS col, min(r0 * 2147483648 + c0) AS label FROM reach GROUP BY ALL)'
 
 
 EIGHT = 'abs(m."row" - a.r) <= 1 AND abs(m.col - a.c) <= 1'
@@ -222,7 +217,7 @@ def surface(spark, d):
     bent = stencil.curvature(stencil.slope(base, CELL), CELL)
     # Both are read by several parts of the plan.
     found = checkpointed(features.peaks(base).unionByName(features.cliffs(bent)))
-    return checkpointed(features.interest(features.layers(base, found, raster.SIDE, tuple(WEIGHTS)), WEIGHTS))
+    return checkpointed(features.interest(features.layers(base, found, tuple(WEIGHTS)), WEIGHTS))
 
 
 @query("f5_interest", f'WITH RECURSIVE {SURFACE_SQL} SELECT area, "row", col, round(interest, 5) AS interest FROM surf')
@@ -238,16 +233,69 @@ def f7(spark, d):
     return features.hotspots(s, WEIGHTS).drop("score").join(s.select("area", "row", "col", F.round("interest", 4).alias("score")), ["area", "row", "col"]).select("area", "hotspot_id", "row", "col", "score")
 
 
-@query("f7_hotspot_reasons")
+REASONS_SQL = "list_transform(list_filter(list_sort([{'v': -coalesce(peaks, 0) * 1.0, 'i': 0, 'n': 'peaks'}, {'v': -cliffs * 0.8, 'i': 2, 'n': 'cliffs'}, {'v': -relief * 0.6, 'i': 4, 'n': 'relief'}])[1:3], lambda x: x.v < -0.05), lambda x: x.n)"
+
+
+@query("f7_hotspot_reasons", f"""WITH RECURSIVE {SURFACE_SQL}, h1 AS (SELECT *, {box('interest', 3, 'max').format(w=AX)} AS h FROM surf), h2 AS (SELECT *, {box('h', 3, 'max').format(w=DN)} AS hi FROM h1)
+SELECT area, 'hotspot-' || k AS hotspot_id, array_to_string({REASONS_SQL}, ',') AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY interest DESC) AS k FROM h2 WHERE interest = hi AND interest > 0.1) s WHERE k <= 10""")
 def f7_reasons(spark, d):
-    return features.hotspots(surface(spark, d), WEIGHTS).select("area", "hotspot_id", "score", "reasons")
+    return features.hotspots(surface(spark, d), WEIGHTS).select("area", "hotspot_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def bounds(spark, d):
+    """The stand-in rasters' bounds."""
+    b = F.struct(F.lit(40.0).alias("north"), F.lit(39.955).alias("south"), F.lit(-104.94).alias("east"), F.lit(-105.0).alias("west"))
+    return cells(spark, d).select("area").distinct().select("area", b.alias("b"))
 
 
 @query("f2_water_channels")
 def f2(spark, d):
-    return features.water_channels(cells(spark, d), CELL, 6).select("area", "feature_id", "length_m", "score")
+    return features.water_channels(cells(spark, d), CELL, 6, bounds(spark, d), raster.SIDE).select("area", "feature_id", "length_m", "score")
 
 
 @query("f3_ridges")
 def f3(spark, d):
-    return features.ridges(cells(spark, d), CELL, 6).select("area", "feature_id", "length_m", "score")
+    return features.ridges(cells(spark, d), CELL, 6, bounds(spark, d), raster.SIDE).select("area", "feature_id", "length_m", "score")
+
+
+@query("n17_mosaic", f'WITH {CELLS_SQL} SELECT area // 4 AS site, CAST(area % 2 * 64 + "row" AS INTEGER) AS "row", CAST(area // 2 % 2 * 64 + col AS INTEGER) AS col, elev FROM cells')
+def n17(spark, d):
+    """Four areas are the tiles of a site; a mosaic a site."""
+    a = c("area")
+    tiles = cells(spark, d).select((a / 4).cast("long").alias("site"), (a % 2).cast("int").alias("y"), ((a / 2).cast("long") % 2).cast("int").alias("x"), c("row").alias("py"), c("col").alias("px"), "elev")
+    return raster.mosaic(tiles, raster.SIDE, ["site"])
+
+
+@query("n13_path_cells", f'WITH {CELLS_SQL} SELECT DISTINCT area, CAST(round_even(LEAST(63, "row" * 1.4), 0) AS INTEGER) AS "row", CAST(round_even(col * 0.5, 0) AS INTEGER) AS col FROM cells WHERE elev > 1700')
+def n13(spark, d):
+    """Vertices (here of one path a row) as cells: rounded half to even, kept inside."""
+    v = cells(spark, d).filter("elev > 1700").groupBy("area", c("row").alias("line")).agg(F.collect_list(F.struct((c("row") * 1.4).alias("r"), (c("col") * 0.5).alias("c"))).alias("path"))
+    return features.rasterised(v, raster.SIDE, raster.SIDE)
+
+
+POINT_SQL = "pt AS (SELECT c_custkey AS pid, -84.0 + (c_custkey * 7919 % 16800) / 100.0 AS lat, -180.0 + (c_custkey * 613 % 36000) / 100.0 AS lng FROM customer), fx AS (SELECT *, (lng + 180.0) / 360.0 * 4 AS tx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4 AS ty FROM pt), px AS (SELECT *, CAST(floor(tx) AS INTEGER) AS x0, CAST(floor(ty) AS INTEGER) AS y0, (tx - floor(tx)) * 64 AS fx, (ty - floor(ty)) * 64 AS fy FROM fx), nb AS (SELECT pid, lat, x0, y0, i, j, CAST(floor(fx) AS INTEGER) AS ix, CAST(floor(fy) AS INTEGER) AS iy, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM px, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)), four AS (SELECT pid, lat, x0, y0, (x0 + (ix + i) // 64) % 4 AS x, LEAST(3, y0 + (iy + j) // 64) AS y, (ix + i) % 64 AS px, (iy + j) % 64 AS py, w FROM nb)"
+
+
+def tile_points(spark, d):
+    k = c("c_custkey")
+    return table(spark, d, "customer").select(k.alias("pid"), (F.lit(-84.0) + (k * 7919 % 16800) / 100.0).alias("lat"), (F.lit(-180.0) + (k * 613 % 36000) / 100.0).alias("lng"))
+
+
+def tile_pixels(spark, d):
+    """Areas as the sixteen tiles of zoom 2, those beyond over again; what isn't there is missing."""
+    a = c("area")
+    return raster.whole(cells(spark, d)).filter(a < 16).select(F.lit(2).alias("z"), (a % 4).cast("int").alias("x"), (a / 4).cast("int").alias("y"), c("row").alias("py"), c("col").alias("px"), "elev")
+
+
+@query("n15_point_elevation", f"""WITH {CELLS_SQL}, {POINT_SQL}, tile AS (SELECT CAST(area % 4 AS INTEGER) AS x, CAST(area // 4 AS INTEGER) AS y, "row" AS py, col AS px, elev FROM cells WHERE area < 16 AND area IN (SELECT area FROM cells GROUP BY 1 HAVING count(*) = 4096)),
+v AS (SELECT f.pid, any_value(f.lat) AS lat, sum(w * coalesce(t.elev, o.elev)) AS v, count(coalesce(t.elev, o.elev)) AS n FROM four f LEFT JOIN tile t ON t.x = f.x AND t.y = f.y AND t.px = f.px AND t.py = f.py LEFT JOIN tile o ON o.x = f.x0 AND o.y = f.y0 AND o.px = f.px AND o.py = f.py GROUP BY f.pid)
+SELECT pid, CASE WHEN n = 4 THEN round_even(v, 2) END AS elevation, round_even(2 * pi() * 6378137.0 * cos(radians(lat)) / 256, 3) AS meters_per_pixel FROM v""")
+def n15(spark, d):
+    """Places on tiles, over seams and around the globe; a missing neighbour is stood in for by the own tile."""
+    return points.elevation(tile_points(spark, d), tile_pixels(spark, d), 2, raster.SIDE).select("pid", "elevation", "meters_per_pixel")
+
+
+@query("u4_point_tiles", f"WITH {POINT_SQL} SELECT pid, array_to_string(list_sort(list_distinct(list('2/' || x || '/' || y))), ',') AS tiles FROM four GROUP BY pid")
+def u4(spark, d):
+    found = points.tiles_of(tile_points(spark, d), 2, raster.SIDE)
+    return found.select("pid", F.array_join(F.transform("tiles", lambda t: F.concat_ws("/", t["z"].cast("string"), t["x"].cast("string"), t["y"].cast("string"))), ",").alias("tiles"))

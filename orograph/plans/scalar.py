@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orograph.functions import geo
 from orograph.plans.registry import query, table
+from orograph.sources import raster
 
 POINTS_SQL = "(SELECT c_custkey AS k, 39.5 + (c_custkey * 7919 % 1000) / 2000.0 AS lat, -105.5 + (c_custkey * 104729 % 1000) / 2000.0 AS lng, 1000.0 + (c_custkey % 50) * 1000.0 AS radius, (c_custkey * 31 % 360) * 1.0 + 0.25 AS head, ((c_custkey * 17) % 40) * 1.0 - 20.0 AS pitch, 20.0 + (c_custkey * 13 % 80) AS fov, 500.0 + (c_custkey * 37 % 2000) AS alt FROM customer)"
 BOUNDS_SQL = """(SELECT k, lat, lng, radius,
@@ -106,6 +107,13 @@ def p6(spark, d):
     return t.select("k", "y_min", "y_max", F.explode(F.sequence(c("x_min").cast("long"), c("x_max").cast("long"))).alias("x")).select("k", "x", F.explode(F.sequence(c("y_min").cast("long"), c("y_max").cast("long"))).alias("y"))
 
 
+@query("a24_fidelity", f"SELECT k AS area, 13 AS zoom_requested, 11 AS zoom_used, 128 AS grid_width, 'bilinear' AS resampling, (x_max - x_min + 1) * (y_max - y_min + 1) AS tile_count FROM ({RANGE_SQL[1:]} FROM (SELECT *, 11 AS z FROM {BOUNDS_SQL} b) s) r")
+def a24(spark, d):
+    """What an area's raster is made of, from its list of tiles."""
+    tiles = p6(spark, d).select(c("k").alias("area"), F.lit(13).alias("zoom_requested"), F.lit(11).alias("zoom"))
+    return raster.fidelity(tiles).select("area", "zoom_requested", "zoom_used", "grid_width", "resampling", "tile_count")
+
+
 @query(
     "p7_adaptive_zoom",
     f"SELECT k, CAST(max(z) AS INTEGER) AS zoom FROM (SELECT k, z, (x_max - x_min + 1) * (y_max - y_min + 1) AS n FROM ({RANGE_SQL[1:]} FROM (SELECT * FROM {BOUNDS_SQL} b, (SELECT unnest(range(0, 14)) AS z) zs) s) r) c WHERE n <= 64 GROUP BY k",

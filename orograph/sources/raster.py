@@ -13,10 +13,15 @@ SIDE = 64
 
 
 def from_embeddings(df: DataFrame) -> DataFrame:
-    """64 successive vectors of 64 numbers form an area; incomplete areas are left out."""
-    full = df.groupBy((F.col("vec_id").cast("long") / SIDE).cast("long").alias("area")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == SIDE).select("area")
+    """64 successive vectors of 64 numbers form an area; the last one can have fewer rows."""
     rows = df.select((F.col("vec_id") / SIDE).cast("long").alias("area"), (F.col("vec_id") % SIDE).cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"))
-    return rows.join(full, "area", "left_semi").select("area", "row", "col", (F.lit(1500.0) + F.lit(2500.0) * F.col("e").cast("double")).alias("elev"))
+    return rows.select("area", "row", "col", (F.lit(1500.0) + F.lit(2500.0) * F.col("e").cast("double")).alias("elev"))
+
+
+def whole(cells: DataFrame, side: int = SIDE) -> DataFrame:
+    """Cells of the areas that have all their rows, for operators on square rasters."""
+    full = cells.groupBy("area").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == side * side).select("area")
+    return cells.join(full, "area", "left_semi")
 
 
 def closed_form(spark: SparkSession, side: int, elev: Column, area: int = 0) -> DataFrame:
@@ -52,7 +57,33 @@ def tile_pixels(images: DataFrame) -> DataFrame:
     return images.select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(decode, "z int, x int, y int, py int, px int, elev double")
 
 
-def mosaic(pixels: DataFrame, side: int = 256) -> DataFrame:
-    """Pixels of several tiles as one raster: a projection, no shuffle but for the corner's aggregate."""
-    corner = pixels.agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    return pixels.join(F.broadcast(corner), how="inner", on=F.lit(True)).select(((F.col("y") - F.col("y0")) * side + F.col("py")).alias("row"), ((F.col("x") - F.col("x0")) * side + F.col("px")).alias("col"), "elev")
+def mosaic(pixels: DataFrame, side: int = 256, keys: list[str] | None = None) -> DataFrame:
+    """Pixels of each area's tiles (``keys`` name the area) as one raster; only the corners, a row an area, are aggregated and joined."""
+    keys = keys or ["area"]
+    corner = pixels.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    return pixels.join(corner, keys).select(*keys, ((F.col("y") - F.col("y0")) * side + F.col("py")).cast("int").alias("row"), ((F.col("x") - F.col("x0")) * side + F.col("px")).cast("int").alias("col"), "elev")
+
+
+def resampled(raster: DataFrame, sizes: DataFrame, cells: int = 128) -> DataFrame:
+    """Each area's raster (``sizes``: area, height, width) as ``cells`` x ``cells``, corners on corners: four cells by one equi-join."""
+    side = F.sequence(F.lit(0), F.lit(cells - 1))
+    at = sizes.withColumn("i", F.explode(side)).withColumn("j", F.explode(side)).withColumns({"r": F.col("i") * (F.col("height") - 1) / (cells - 1.0), "c": F.col("j") * (F.col("width") - 1) / (cells - 1.0)})
+    at = at.withColumns({"r0": F.least(F.floor("r"), F.col("height") - 2), "c0": F.least(F.floor("c"), F.col("width") - 2)})
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    four = at.withColumn("q", corner).select("area", "i", "j", (F.col("r0") + F.col("q.a")).cast("int").alias("row"), (F.col("c0") + F.col("q.b")).cast("int").alias("col"), ((F.lit(1.0) - F.abs(F.col("r") - F.col("r0") - F.col("q.a"))) * (F.lit(1.0) - F.abs(F.col("c") - F.col("c0") - F.col("q.b")))).alias("w"))
+    return four.join(raster.select("area", "row", "col", "elev"), ["area", "row", "col"]).groupBy("area", F.col("i").alias("row"), F.col("j").alias("col")).agg(F.sum(F.col("w") * F.col("elev")).alias("elev"))
+
+
+def fidelity(tiles: DataFrame, provider: str = "terrarium", cells: int = 128) -> DataFrame:
+    """What each area's raster was made of. ``tiles``: area, zoom_requested, zoom and a row a tile."""
+    return tiles.groupBy("area", "zoom_requested", "zoom").agg(F.count(F.lit(1)).alias("tile_count")).select("area", F.lit(provider).alias("provider"), "zoom_requested", F.col("zoom").alias("zoom_used"), F.lit(cells).alias("grid_width"), F.lit(cells).alias("grid_height"), F.lit("bilinear").alias("resampling"), "tile_count")
+
+
+def write_tiles(pixels: DataFrame, path: str) -> None:
+    """Decoded tiles as a lake by zoom and column of tiles, which later scans read instead of the images: ``read_tiles`` prunes it."""
+    pixels.repartition("z", "x").sortWithinPartitions("y", "py", "px").write.mode("overwrite").partitionBy("z", "x").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Pixels of the tiles (z, x, y) of ``wanted``, each once; partitions are pruned by the join."""
+    return spark.read.parquet(path).join(wanted.select("z", "x", "y").distinct(), ["z", "x", "y"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,18 +29,65 @@ def masked_map(values: Column) -> Column:
     return F.transform_values(values, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit(REDACTED)).otherwise(masked(v)))
 
 
+def redacted_json(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds ``name``: the JSON of ``column`` with values of secret keys gone at any depth and credentials masked in every string.
+
+    Depth isn't bounded by a schema, so this is an Arrow map over strings; text
+    that isn't JSON is masked as text. Keys keep their order.
+    """
+    key, text = re.compile(SECRET_KEY), re.compile(SECRET_TEXT)
+
+    def clean(x):
+        if isinstance(x, str):
+            return text.sub(lambda m: f"{m[1]} {REDACTED}", x)
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        if isinstance(x, dict):
+            return {k: REDACTED if key.search(k) else clean(v) for k, v in x.items()}
+        return x
+
+    def one(raw):
+        if raw is None:
+            return None
+        try:
+            return json.dumps(clean(json.loads(raw)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return clean(raw)
+
+    @F.pandas_udf("string")
+    def cleaned(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return df.withColumn(name, cleaned(column))
+
+
+def tool_output(text: Column, most: int = OUTPUT_CHARS) -> Column:
+    """A tool's output as a model sees it: whole up to ``most`` characters, else cut with a note."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(f"\n[output truncated at {most} chars]"))).otherwise(text)
+
+
+def appended(events: DataFrame, column: str, path: str, checkpoint: str):
+    """A stream of log lines, redacted, appended as JSON: the sink writes each batch once, so the queue needs no lock."""
+    clean = redacted_json(events, column, "__clean").drop(column).withColumnRenamed("__clean", column)
+    return clean.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def truncated(text: Column, most: int = PREVIEW_CHARS) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(TRUNCATED))).otherwise(text)
 
 
 def read_tool_logs(spark, path: str, tool: str | None = None, errors: bool | None = None, limit: int = 50) -> DataFrame:
-    """Newest first from JSON lines; malformed lines are dropped; the filters reach the reader."""
+    """Newest first from JSON lines, which is the reverse of their order in the files; malformed lines are dropped."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
     df = spark.read.schema(TOOL_LOG).option("mode", "DROPMALFORMED").json(path)
+    # A line's place: its file, the block that a task reads, the number within.
+    df = df.withColumns({"__f": F.col("_metadata.file_path"), "__b": F.col("_metadata.file_block_start"), "__i": F.monotonically_increasing_id()})
     if tool is not None:
         df = df.filter(F.col("toolName") == tool)
     if errors is not None:
         df = df.filter(F.col("isError") == errors)
-    return df.orderBy(F.desc("startedAt"), F.desc("id")).limit(limit)
+    return df.orderBy(F.desc("__f"), F.desc("__b"), F.desc("__i")).limit(limit).drop("__f", "__b", "__i")
 
 
 def retained(df: DataFrame, order: list[Column], most: int, by: list[str] | None = None) -> DataFrame:
@@ -73,22 +124,29 @@ def usage_by_window(events: DataFrame, ts: str, kind: str, value: str, width: st
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
 
 
-def cache_replay(accesses: DataFrame, most: int, ttl_s: float) -> DataFrame:
-    """Hits of a cache with a least-recently-used bound and a time to live, replayed a shard: (shard, at, key, hit).
+def cache_key(request: Column) -> Column:
+    """SHA-256 of a request's JSON with its fields in order of name (a struct whose fields are in that order)."""
+    return F.sha2(F.to_json(request), 256)
 
-    A get refreshes the place, not the age; an entry expires when its age is
-    over ``ttl_s``. Order matters within a shard only, so shards are groups.
-    """
-    import pandas as pd
 
+def cache_replay(accesses: DataFrame, most: int, ttl_s: float, recent: bool = True) -> DataFrame:
+    """Hits of a cache with a bound and a time to live, replayed a shard: (shard, at, key, hit).
+
+    An entry expires when its age is over ``ttl_s``; a miss puts it anew. A hit
+    refreshes the place, not the age, if ``recent`` (least recently used goes
+    first), else neither (first in, first out). Order matters within a shard
+    only, so shards are groups.
+    """
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}
         hits = []
         frame = frame.sort_values(["at", "key"])
         for at, key in zip(frame["at"], frame["key"], strict=True):
-            put = held.pop(key, None)
+            put = held.get(key)
             hit = put is not None and at - put <= ttl_s
-            held[key] = put if hit else at
+            if recent or not hit:
+                held.pop(key, None)
+                held[key] = put if hit else at
             if len(held) > most:
                 held.pop(next(iter(held)))
             hits.append(hit)
