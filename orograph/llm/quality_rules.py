@@ -123,4 +123,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), ["doc_id"], ["lang", "source"])
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express: all but the verdict."""
+    return op10_quality_rules(spark, sf_dir).drop("kept")
+
+
+QUERIES = {"op10_quality_rules": op10_quality_rules, "base_quality_counts": base_quality_counts}
+ORACLE_SQL = {
+    "base_quality_counts": r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w) s),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) r WHERE c > 1) q GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN cov USING (doc_id)"""
+}
