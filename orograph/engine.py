@@ -71,6 +71,20 @@ def analyze(cells: DataFrame, bounds: DataFrame, cell_m: float, side: int, weigh
     return {"features": placed, "hotspots": hot, "scenes": checkpointed(scenes.scenes(hot.select("area", "hotspot_id", "ord", "lat", "lng", "score"), placed)), "surface": surface, "summary": summary}
 
 
+def analysis_response(analysis: dict[str, DataFrame], planned: DataFrame) -> DataFrame:
+    """A JSON text an area: the request's bounds, zoom and cell size (``planned``: area, b, zoom, cell_m), the summary, features by kind, hotspots and scenes, each in order."""
+    listed = lambda df, order, *columns: df.groupBy("area").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("row")))), lambda x: x["row"]).alias("rows"))
+    base = analysis["features"]
+    columns = ("feature_id", "lat", "lng", "elev", "prominence", "drop_m", "length_m", "score")
+    out = planned.select("area", F.struct(F.col("b").alias("bounds"), "zoom", "cell_m").alias("request")).join(analysis["summary"].select("area", F.struct(*[c for c in analysis["summary"].columns if c != "area"]).alias("summary")), "area", "left")
+    for kind in scenes.KINDS:
+        out = out.join(listed(base.filter(F.col("kind") == kind), "ord", *columns).withColumnRenamed("rows", kind), "area", "left")
+    out = out.join(listed(analysis["hotspots"], "ord", "hotspot_id", "lat", "lng", "score", "reasons").withColumnRenamed("rows", "hotspots"), "area", "left")
+    out = out.join(listed(analysis["scenes"], "rank", "scene_id", "type", "lat", "lng", "feature_ids", "summary", "score").withColumnRenamed("rows", "scenes"), "area", "left")
+    lists = [F.coalesce(F.col(c), F.array().cast(dict(out.dtypes)[c])).alias(c) for c in (*scenes.KINDS, "hotspots", "scenes")]
+    return out.select("area", F.to_json(F.struct("request", "summary", *lists)).alias("response"))
+
+
 def scene_contexts(analysis: dict[str, DataFrame], bounds: DataFrame, cells: DataFrame, side: int, cell_m: float, fov: float) -> DataFrame:
     """Scenes with their points, lines (paths as places), extent, relief and viewing distance. Features that an area doesn't have are passed over."""
     scene = analysis["scenes"].select("area", "scene_id", "rank", "type", F.col("lat").alias("lat0"), F.col("lng").alias("lng0"), F.col("score").alias("scene_score"), "feature_ids")

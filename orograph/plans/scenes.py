@@ -11,22 +11,27 @@ from orograph.operators import previews, profiles, scenes, spatial, style, viewp
 from orograph.plans.raster import CELLS_SQL, c, cells
 from orograph.plans.registry import query, table
 
-HOT_SQL = "hot AS (SELECT s_suppkey % 5 AS area, 'hotspot-' || s_suppkey AS hotspot_id, CAST(s_suppkey AS INTEGER) AS ord, 39.5 + (s_suppkey * 7919 % 1000) / 4000.0 AS lat, -105.5 + (s_suppkey * 613 % 1000) / 4000.0 + (s_suppkey // 1000 % 900) * 0.3 AS lng, (s_suppkey % 90 + 10) / 100.0 AS score FROM supplier)"
-FEAT_SQL = "feat AS (SELECT c_custkey % 5 AS area, c_custkey % 4 AS kn, (['peaks','ridges','cliffs','waterChannels'])[c_custkey % 4 + 1] AS kind, (['peak-','ridge-','cliff-','water-'])[c_custkey % 4 + 1] || c_custkey AS feature_id, CAST(c_custkey AS INTEGER) AS ord, 39.5 + (c_custkey * 104729 % 1000) / 4000.0 AS lat2, -105.5 + (c_custkey * 271 % 1000) / 4000.0 + (c_custkey // 1000 % 900) * 0.3 AS lng2, (c_custkey % 100) / 100.0 AS fscore FROM customer)"
+HOT_SQL = "hot AS (SELECT s_suppkey % 5 + s_suppkey // 1000 * 5 AS area, 'hotspot-' || s_suppkey AS hotspot_id, CAST(s_suppkey AS INTEGER) AS ord, 39.5 + (s_suppkey * 7919 % 1000) / 4000.0 AS lat, -105.5 + (s_suppkey * 613 % 1000) / 4000.0 + (s_suppkey // 1000 % 900) * 0.3 AS lng, (s_suppkey % 90 + 10) / 100.0 AS score FROM supplier)"
+FEAT_SQL = "feat AS (SELECT c_custkey % 5 + c_custkey // 1000 * 5 AS area, c_custkey % 4 AS kn, (['peaks','ridges','cliffs','waterChannels'])[c_custkey % 4 + 1] AS kind, (['peak-','ridge-','cliff-','water-'])[c_custkey % 4 + 1] || c_custkey AS feature_id, CAST(c_custkey AS INTEGER) AS ord, 39.5 + (c_custkey * 104729 % 1000) / 4000.0 AS lat2, -105.5 + (c_custkey * 271 % 1000) / 4000.0 + (c_custkey // 1000 % 900) * 0.3 AS lng2, (c_custkey % 100) / 100.0 AS fscore FROM customer)"
 NEAR_SQL = f"{HOT_SQL}, {FEAT_SQL}, near AS (SELECT *, 2 * 6378137.0 * asin(sqrt(power(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng) / 2), 2))) AS meters FROM (SELECT h.area, hotspot_id, h.ord, lat, lng, score, kn, kind, feature_id, f.ord AS ford, lat2, lng2, fscore FROM hot h JOIN feat f ON f.area = h.area) p)"
 CAND_SQL = f"""{NEAR_SQL}, cand AS (SELECT area, hotspot_id, ord, lat, lng, score, list(feature_id ORDER BY kn, ford) AS ids, count(*) AS n, avg(fscore) AS anchors, count(*) FILTER (kn = 0) AS p, count(*) FILTER (kn = 1) AS r, count(*) FILTER (kn = 2) AS cl, count(*) FILTER (kn = 3) AS w FROM near WHERE meters <= 5000 GROUP BY area, hotspot_id, ord, lat, lng, score HAVING count(*) >= 2)"""
 TYPE_SQL = "CASE WHEN p > 0 AND w > 0 THEN 'peak-water' WHEN p > 0 AND r > 0 THEN 'peak-ridge' WHEN cl > 0 AND w > 0 THEN 'cliff-water' WHEN p >= 2 THEN 'multi-peak' ELSE 'mixed-terrain' END"
 
 
+def area_of(k):
+    """Five areas a square."""
+    return k % 5 + F.floor(k / 1000) * 5
+
+
 def hotspots(spark, d):
     k = c("s_suppkey")
-    return table(spark, d, "supplier").select((k % 5).alias("area"), F.concat(F.lit("hotspot-"), k).alias("hotspot_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 7919 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 613 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 90 + 10) / 100.0).alias("score"))
+    return table(spark, d, "supplier").select(area_of(k).alias("area"), F.concat(F.lit("hotspot-"), k).alias("hotspot_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 7919 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 613 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 90 + 10) / 100.0).alias("score"))
 
 
 def features(spark, d):
     k = c("c_custkey")
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
-    return table(spark, d, "customer").select((k % 5).alias("area"), pick(*scenes.KINDS).alias("kind"), F.concat(pick("peak-", "ridge-", "cliff-", "water-"), k).alias("feature_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 104729 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 271 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 100) / 100.0).alias("score"))
+    return table(spark, d, "customer").select(area_of(k).alias("area"), pick(*scenes.KINDS).alias("kind"), F.concat(pick("peak-", "ridge-", "cliff-", "water-"), k).alias("feature_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 104729 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 271 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 100) / 100.0).alias("score"))
 
 
 @query("j1_distance_join", f"WITH {NEAR_SQL} SELECT hotspot_id, feature_id, round(meters, 3) AS meters FROM near WHERE meters <= 5000")
@@ -121,14 +126,14 @@ def j8(spark, d):
     return style.scene_patches(placed).select("area", "scene_id", "patch_id", "similarity")
 
 
-@query("j9_preview_anchors", f"WITH {FEAT_SQL}, t AS (SELECT s_suppkey AS vp, s_suppkey % 5 AS area, unnest([0, 1]) AS pos FROM supplier), k AS (SELECT vp, area, pos, vp * 5 + (area - vp * 5 % 5) + pos * 5 AS ck FROM t) SELECT vp, array_to_string(list(feature_id || ':' || CAST(CASE WHEN kn = 0 THEN 1000 + ck ELSE 0 END AS BIGINT) ORDER BY pos), ',') AS anchors FROM k JOIN feat ON feat.ord = ck AND feat.area = k.area GROUP BY vp")
+@query("j9_preview_anchors", f"WITH {FEAT_SQL}, t AS (SELECT s_suppkey AS vp, s_suppkey % 5 + (s_suppkey * 5 + s_suppkey % 5) // 1000 * 5 AS area, unnest([0, 1]) AS pos FROM supplier), k AS (SELECT vp, area, pos, vp * 5 + vp % 5 + pos * 5 AS ck FROM t) SELECT vp, array_to_string(list(feature_id || ':' || CAST(CASE WHEN kn = 0 THEN 1000 + ck ELSE 0 END AS BIGINT) ORDER BY pos), ',') AS anchors FROM k JOIN feat ON feat.ord = ck AND feat.area = k.area GROUP BY vp")
 def j9(spark, d):
     """Targets of views joined to features; those beyond the table are passed over, only peaks have an elevation."""
     k = c("s_suppkey")
-    key = lambda pos: k * 5 + (k % 5 - k * 5 % 5) + pos * 5
+    key = lambda pos: k * 5 + k % 5 + pos * 5
     prefix = lambda x: F.element_at(F.array(*map(F.lit, ("peak-", "ridge-", "cliff-", "water-"))), (x % 4 + 1).cast("int"))
     target = lambda pos: F.struct(F.concat(prefix(key(pos)), key(pos)).alias("feature_id"), F.lit("primary").alias("role"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
-    views = table(spark, d, "supplier").select(k.alias("vp_id"), (k % 5).alias("area"), F.array(target(0), target(1)).alias("targets"))
+    views = table(spark, d, "supplier").select(k.alias("vp_id"), area_of(key(0)).alias("area"), F.array(target(0), target(1)).alias("targets"))
     f = features(spark, d).withColumn("elev", F.when(c("kind") == "peaks", (c("ord") + 1000).cast("double")))
     found = previews.preview_anchors(views, f).filter("anchors is not null")
     return found.select(c("vp_id").alias("vp"), F.array_join(F.transform("anchors", lambda a: F.concat_ws(":", a["id"], a["alt_meters"].cast("long").cast("string"))), ",").alias("anchors"))

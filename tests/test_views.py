@@ -264,6 +264,20 @@ def test_responses_hold_preview_anchors(flow):
         assert r["preview_input"]["scene"]["scene_id"] == r["scene"] and r["score_breakdown"]["mystery"] is not None
 
 
+def test_analysis_response_holds_all_parts(spark, flow):
+    import json
+
+    _, bounds, analysis, _ = flow
+    planned = bounds.withColumn("zoom", F.lit(13)).withColumn("cell_m", F.lit(CELL))
+    body = json.loads(engine.analysis_response(analysis, planned).first()["response"])
+    assert body["request"]["zoom"] == 13 and body["request"]["bounds"]["north"] == NORTH
+    for kind in ("peaks", "ridges", "cliffs", "waterChannels"):
+        ids = [r["feature_id"] for r in analysis["features"].filter(F.col("kind") == kind).orderBy("ord").collect()]
+        assert [x["feature_id"] for x in body[kind]] == ids
+    assert [x["scene_id"] for x in body["scenes"]] == [r["scene_id"] for r in analysis["scenes"].orderBy("rank").collect()]
+    assert len(body["hotspots"]) == analysis["hotspots"].count() and "max_elev" in body["summary"]
+
+
 def test_style_flow_ranks_views(spark, flow):
     cells, bounds, analysis, _ = flow
     one = style.patch_fingerprints(cells.filter("row < 21 AND col < 21")).select(F.lit(0).alias("reference_id"), F.col("fingerprint").alias("vector"))
