@@ -33,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm.common import crc_mod, map_rows, slices, table
+from orograph.llm.common import checkpointed, crc_mod, map_rows, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Bound of the labelled sample; weight of a prior; credible bound in standard deviations; score of a token without evidence.
 MAX_ROWS, PRIOR, BOUND, DRIFT, HIGHEST = 40_000, 10.0, 4.0, 0.25, 6.0
+BINS = 64  # of positive scores
 LEAST_TOXIC = 3  # toxic rows that a feature needs to score above zero
 PER_WORD = 2
 CACHE_WORDS = 200_000
@@ -167,34 +168,48 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.a + m.b * math.log1p(sum(x for *_, x in found)))))), n, found
 
 
-def fit_extremes(clean: list[tuple[int, list[float], list[float]]]) -> tuple[float, float]:
-    """lambda and K of clean rows (tokens, positive scores, passage scores).
+def root_of_extremes(hist: np.ndarray, tokens: int) -> tuple[float, bool]:
+    """The lambda that solves E[exp(lambda * score)] = 1 over clean tokens, whose positive scores are counted in BINS equal bins up to HIGHEST; and whether there is one.
 
-    lambda solves E[exp(lambda * score)] = 1 over clean tokens; one token of a
-    middling score is added, so that text without any positive score has a root.
-    K comes from the mean of the rows' best passages.
+    One token of a middling score is added, so that text without any positive score has a root.
     """
-    positive = [s for _, p, _ in clean for s in p] + [2.0]
-    tokens = sum(n for n, *_ in clean) + 1
-    hist, edges = np.histogram(positive, bins=64, range=(0, HIGHEST))
-    mid, share = (edges[:-1] + edges[1:]) / 2, hist / tokens
+    edges = np.linspace(0, HIGHEST, BINS + 1)
+    hist = hist + np.histogram([2.0], bins=edges)[0]
+    mid, share = (edges[:-1] + edges[1:]) / 2, hist / (tokens + 1)
 
     def excess(lam: float) -> float:
         return float(share @ np.exp(lam * mid) + (1 - share.sum()) * math.exp(-lam * DRIFT) - 1)
 
     low, high = 1e-3, 20.0
     if excess(low) >= 0:
-        return low, 1.0
+        return low, False
     for _ in range(80):
         mean = (low + high) / 2
         low, high = (mean, high) if excess(mean) < 0 else (low, mean)
-    best = [(n, max(s)) for n, _, s in clean if s and n]
-    if not best:
-        return low, 1e-3
+    return low, True
+
+
+def fit_extremes(seen: DataFrame) -> tuple[float, float]:
+    """lambda and K of the clean ones of rows (__label, n, positive, passages). Only a histogram and sums reach the driver.
+
+    K comes from the mean of the rows' best passages.
+    """
+    clean = seen.filter("__label = 0")
+    bin_ = F.least(F.floor(F.col("s") / HIGHEST * BINS), F.lit(BINS - 1)).cast("int")
+    hist = np.zeros(BINS)
+    for r in clean.select(F.explode("positive").alias("s")).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c")).collect():
+        hist[r["bin"]] = r["c"]
+    sizes = clean.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    if not sizes["rows"]:
+        return 1.0, 1.0
+    lam, found = root_of_extremes(hist, sizes["tokens"])
+    if not found:
+        return lam, 1.0
+    best = clean.filter((F.size("passages") > 0) & (F.col("n") > 0)).agg(F.count(F.lit(1)).alias("c"), F.avg(F.least(F.lit(50.0), F.array_max("passages") * lam) - F.ln("n")).alias("mean")).first()
+    if not best["c"]:
+        return lam, 1e-3
     # Rows without a passage lie below the law's mode: the share of rows with one bounds K * n * exp(-lambda * s).
-    rate = len(best) / max(1, len(clean))
-    k = rate * math.exp(float(np.mean([min(50.0, low * s) - math.log(n) for n, s in best])))
-    return low, min(1.0, max(1e-4, k))
+    return lam, min(1.0, max(1e-4, best["c"] / sizes["rows"] * math.exp(best["mean"])))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -235,11 +250,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, cou
             out.append((n, [s for _, s in scored], [s for *_, s in maximal_segments(scored, DRIFT)]))
         return out
 
-    seen = map_rows(rows.filter("__fold = 1").withColumnRenamed("__text", "text"), kernel, ["__label"], "text", "n long, positive array<double>, passages array<double>").collect()
-    clean_rows = [(r["n"], r["positive"], r["passages"]) for r in seen if r["__label"] == 0]
-    lam, k = fit_extremes(clean_rows) if clean_rows else (1.0, 1.0)
-    x = np.array([math.log1p(sum(max(0.0, lam * s - math.log(k * max(r["n"], 1))) for s in r["passages"])) for r in seen])
-    y = np.array([r["__label"] for r in seen], float)
+    # Read several times; written, so that the bounded sample's texts are scored once.
+    seen = checkpointed(map_rows(rows.filter("__fold = 1").withColumnRenamed("__text", "text"), kernel, ["__label"], "text", "n long, positive array<double>, passages array<double>"))
+    lam, k = fit_extremes(seen)
+    surplus = F.aggregate("passages", F.lit(0.0), lambda t, s: t + F.greatest(F.lit(0.0), s * lam - F.ln(F.greatest("n", F.lit(1)) * k)))
+    # Two numbers a row of the bounded sample.
+    points = seen.select(F.log1p(surplus).alias("x"), "__label").collect()
+    x, y = np.array([r["x"] for r in points]), np.array([r["__label"] for r in points], float)
     a, b = fit_curve(x, y) if len(set(y)) == 2 else (math.log(share / (1 - share)), 1.0)
     return Model(model.scores, share, lam, k, a, b)
 
