@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orograph.functions import geo
 from orograph.operators import spatial
 
 # Fixed values.
@@ -55,23 +55,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def deduplicated(found: DataFrame) -> DataFrame:
     """Best first, a scene goes if it is close to a kept one and shares more than half of their features. An area has few scenes, so it is a group."""
+    def close(v: Column, t: Column) -> Column:
+        near = geo.haversine(v["lat"], v["lng"], t["lat"], t["lng"]) < DEDUP_M
+        return near & (jaccard(v["feature_ids"], t["feature_ids"]) > 0.5)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        kept: list = []
-        for s in frame.sort_values(["score", "ord"], ascending=[False, True]).itertuples():
-            own = set(s.feature_ids)
-            for t, other in kept:
-                a, b = math.radians(s.lat), math.radians(t.lat)
-                h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(t.lng - s.lng) / 2) ** 2
-                if 2 * 6378137.0 * math.asin(math.sqrt(h)) < DEDUP_M and len(own & other) / len(own | other) > 0.5:
-                    break
-            else:
-                kept.append((s, own))
-        return frame.loc[[s.Index for s, _ in kept]]
-
-    return found.groupBy("area").applyInPandas(run, found.schema)
+    return spatial.greedy(found, ["area"], [-F.col("score"), F.col("ord")], close)
 
 
 def scenes(hotspots: DataFrame, features: DataFrame) -> DataFrame:

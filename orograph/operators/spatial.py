@@ -1,4 +1,4 @@
-"""Distance joins by an equi-join on buckets of places, then the exact test."""
+"""Distance joins by an equi-join on buckets of places, then the exact test; clearing of near repeats."""
 
 from __future__ import annotations
 
@@ -40,3 +40,15 @@ def within(left: DataFrame, right: DataFrame, radius: float, strict: bool = Fals
     meters = (geo.planar if flat else geo.haversine)(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"))
     pairs = a.join(b, ["__y", "__x"]).drop("__y", "__x").withColumn("meters", meters)
     return pairs.filter(F.col("meters") < radius if strict else F.col("meters") <= radius)
+
+
+def greedy(rows: DataFrame, by: list[str], order: list[Column], close) -> DataFrame:
+    """In order within groups, a row goes if it is ``close`` (of it and another, both structs) to one that stays.
+
+    A group is one array, folded in generated expressions; groups must be bounded, as those of a scene or area are.
+    """
+    packed = F.array_sort(F.collect_list(F.struct(*[o.alias(f"__{i}") for i, o in enumerate(order)], F.struct(*rows.columns).alias("row"))))
+    grouped = rows.groupBy(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]).agg(F.transform(packed, lambda x: x["row"]).alias("__all"))
+    start = F.filter("__all", lambda _: F.lit(False))
+    kept = F.aggregate("__all", start, lambda held, v: F.when(F.exists(held, lambda t: close(v, t)), held).otherwise(F.array_append(held, v)))
+    return grouped.select(F.inline(kept))

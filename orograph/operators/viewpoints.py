@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orograph.functions import geo
+from orograph.operators import spatial
 from orograph.operators.scenes import TYPES
 
 # Name, composition, types (None: all), targets (role, x, y), horizon, solver.
@@ -143,20 +144,8 @@ REJECTIONS = ("templateIneligible", "noConvergence", "outOfBounds", "underground
 
 def deduplicated(views: DataFrame, by: list[str]) -> DataFrame:
     """Best first (then by id) within groups, a view goes if one that stays is close in place and heading. A group has few views: those of a scene and composition."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for v in frame.sort_values(["score", "id"], ascending=[False, True]).itertuples():
-            for t in kept:
-                north, east = (v.lat - t.lat) * geo.METERS_PER_DEGREE, (v.lng - t.lng) * geo.METERS_PER_DEGREE * math.cos(math.radians((v.lat + t.lat) / 2))
-                turn = abs(v.head - t.head) % 360
-                if math.hypot(north, east) < CLOSE_M and min(turn, 360 - turn) < CLOSE_DEG:
-                    break
-            else:
-                kept.append(v)
-        return frame.loc[[v.Index for v in kept]]
-
-    return views.groupBy(*by).applyInPandas(run, views.schema)
+    close = lambda v, t: (geo.planar(v["lat"], v["lng"], t["lat"], t["lng"]) < CLOSE_M) & (geo.heading_delta(v["head"], t["head"]) < CLOSE_DEG)
+    return spatial.greedy(views, by, [-F.col("score"), F.col("id")], close)
 
 
 def in_order(views: DataFrame, by: list[str], name: str) -> DataFrame:
