@@ -28,7 +28,7 @@ from orograph.llm.common import map_rows, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces in a worker's cache before it starts anew.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 80_000
 BLOCK = 256
 
 # Classes of code points; ends of runs and contractions are told apart by what follows.

@@ -65,6 +65,8 @@ def map_rows(df: DataFrame, kernel: Callable[..., list[tuple]], keys: list[str],
                 columns = list(zip(*rows, strict=True)) if rows else []
                 arrays = [part.column(i) for i in range(n)] + [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        # A worker lives through many stages: what Arrow holds unused goes back.
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType

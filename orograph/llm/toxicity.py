@@ -42,7 +42,7 @@ MAX_ROWS, PRIOR, BOUND, DRIFT, HIGHEST = 40_000, 10.0, 4.0, 0.25, 6.0
 BINS = 64  # of positive scores
 LEAST_TOXIC = 3  # toxic rows that a feature needs to score above zero
 PER_WORD = 2
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 
 def features(word: str) -> list[str]:
