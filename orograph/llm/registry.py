@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("license_scan", "html_extract", "byte_bpe", "secret_scan", "fingerprints", "near_dup", "language_id", "toxicity", "mixing", "quality_rules", "token_alignment", "lexical_search")
+MODULES = ("license_scan", "html_extract", "byte_bpe", "secret_scan", "fingerprints", "near_dup", "language_id", "toxicity", "mixing", "quality_rules", "token_alignment", "lexical_search", "packing")
 
 
 def queries() -> dict[str, Callable]:
