@@ -30,6 +30,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,17 +49,21 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 CAPACITY, FILLER = 4096, 16
 #: Share of sequences over the bound at which columns stop; columns at most.
 NEAR, COLUMNS = 0.002, 400
-CACHE_BYTES = 120_000_000
+#: Bytes of chunks and of words with their ids before a worker's caches drop what is older; what is longer than LONG isn't kept.
+CACHE_BYTES, PART_BYTES, LONG = 220_000_000, 60_000_000, 200
 #: Rows of a block of sequences whose gaps are summed together.
 BLOCK = 1024
 
-#: Chunks without white space, marks to compose or special tokens: their words can be had one by one.
-PLAIN = re.compile("[!-~¡-ɏ]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: As the vocabulary's own pattern.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """The tokenizer, with its ids of chunks between white space in a bounded cache.
 
@@ -75,46 +80,59 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
-            self.special = [t["content"][:2] for t in json.load(file)["added_tokens"]]
+            self.begins = {t["content"][0] for t in json.load(file)["added_tokens"]}
+        #: White space, marks to compose and what begins a special token are left out.
+        self.plain = re.compile("[" + "".join(re.escape(chr(c)) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if chr(c) not in self.begins) + "]+")
         self.words = regex.compile(WORDS)
         symbols = {b: c for c, b in byte_symbols().items()}
         self.symbols = [symbols[b] for b in range(256)]
         self.chunks: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.held = [0, 0]
 
     def _word(self, word: str) -> bytes:
         found = self.parts.get(word)
         if found is None:
-            if self.held[1] > CACHE_BYTES:
+            if self.held[1] > PART_BYTES:
                 self.parts, self.held[1] = {}, 0
             raw = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-            found = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
-            if len(word) < 200:
+            found = little([t.id for t in self.model.tokenize(raw)])
+            if len(word) < LONG:
                 self.parts[word] = found
                 self.held[1] += 200 + len(word) + len(found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
+        if self.plain.fullmatch(chunk):
             low = chunk.lower()
+            if low.isalpha():
+                return self._word(low)
             return b"".join(map(self._word, (ASCII_WORDS if low.isascii() else self.words).findall(low)))
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return little(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+
+    def _cut(self, text: str | None) -> list[str]:
+        text = (text or "").replace("\n", " ")
+        # Lower case where no special token can come of it.
+        return (text.lower() if text.isascii() and not any(b in text for b in self.begins) else text).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end token, as little-endian unsigned 32-bit integers."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if self.held[0] > CACHE_BYTES:
-            self.chunks, self.held[0] = {"": b""}, 0
+        cut = [self._cut(t) for t in texts]
+        if self.held[0] > CACHE_BYTES // 2:
+            # Half full: what isn't asked for until it is so again goes.
+            self.old, self.chunks, self.held[0] = self.chunks, {"": b""}, 0
         known, once = self.chunks, {}
         for c in set().union(*cut) - known.keys():
-            found = self._chunk(c)
-            if len(c) < 200:
+            found = self.old.get(c)
+            if found is None:
+                found = self._chunk(c)
+            if len(c) < LONG:
                 known[c] = found
-                self.held[0] += 200 + len(c) + len(found)
+                self.held[0] += 150 + len(c) + len(found)
             else:
                 once[c] = found
-        end = np.array([END_ID], "<u4").tobytes()
+        end = little([END_ID])
         if once:
             return [b"".join([once[c] if c in once else known[c] for c in chunks]) + end for chunks in cut]
         return [b"".join(map(known.__getitem__, chunks)) + end for chunks in cut]
