@@ -98,10 +98,32 @@ def retained(df: DataFrame, order: list[Column], most: int, by: list[str] | None
 
 
 def matched_calls(events: DataFrame, keys: list[str], kind: str, order: list[str], start: str, end: str) -> DataFrame:
-    """First start with first end, second with second, and so on, of the same keys; what has no partner stays with nulls."""
+    """First start with first end, second with second, and so on, of the same keys; what has no partner stays with nulls.
+
+    An end with no open start before it stands alone: there the count of starts
+    less ends, which falls below all its values so far, reaches a new low. Other
+    ends take the starts in turn. ``n`` is the start's number.
+    """
     w = W.partitionBy(*keys).orderBy(*order)
-    numbered = lambda k, n: events.filter(F.col(kind) == k).select(*keys, F.row_number().over(w).alias("n"), *[F.col(o).alias(f"{n}_{o}") for o in order])
-    return numbered(start, "start").join(numbered(end, "end"), [*keys, "n"], "full_outer")
+    open_ = F.sum(F.when(F.col(kind) == start, 1).otherwise(-1)).over(w.rowsBetween(W.unboundedPreceding, 0))
+    marked = events.filter(F.col(kind).isin(start, end)).withColumn("__open", open_)
+    marked = marked.withColumn("__low", F.least(F.lit(0), F.min("__open").over(w.rowsBetween(W.unboundedPreceding, 0))))
+    marked = marked.withColumn("__alone", F.col("__low") < F.coalesce(F.lag("__low").over(w), F.lit(0)))
+    turn = F.row_number().over(W.partitionBy(*keys, kind, "__alone").orderBy(*order))
+    numbered = marked.withColumn("n", F.when(~F.col("__alone"), turn)).withColumn("__turn", F.when(F.col("__alone"), -turn).otherwise(turn))
+    # A start and its end are a group: one more aggregation by keys that the windows have already dealt.
+    side = lambda name, short: [F.max(F.when(F.col(kind) == name, F.col(o))).alias(f"{short}_{o}") for o in order]
+    return numbered.groupBy(*keys, "__turn").agg(F.max("n").alias("n"), *side(start, "start"), *side(end, "end")).drop("__turn")
+
+
+def tool_calls(deltas: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Tool calls of finished rounds from their deltas (index, id, name, arguments): id and name of a call's first delta, the fragments of its arguments joined, and its place among the round's calls."""
+    some = deltas.filter(F.col("index").isNotNull())
+    first = F.min_by(F.struct(F.coalesce("id", F.lit("")).alias("id"), F.coalesce("name", F.lit("")).alias("name")), order)
+    fragments = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("arguments", F.lit("")).alias("a"))))
+    calls = some.groupBy(*keys, "index").agg(F.min(order).alias("__first"), first.alias("f"), F.array_join(fragments.getField("a"), "").alias("arguments"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__first")) - 1
+    return calls.select(*keys, place.cast("int").alias("place"), "index", "f.id", "f.name", "arguments")
 
 
 def folded(events: DataFrame, keys: list[str], order: str, kind: str, text: str) -> DataFrame:
