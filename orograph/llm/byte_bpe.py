@@ -24,11 +24,11 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from orograph.llm.common import map_rows, table
+from orograph.llm.common import holds, map_rows, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces in a worker's cache before it starts anew.
-CACHE_PIECES = 80_000
+#: Bytes of pieces and their ids in a worker's cache before it starts anew.
+CACHE_BYTES = 40_000_000
 BLOCK = 256
 
 # Classes of code points; ends of runs and contractions are told apart by what follows.
@@ -139,6 +139,7 @@ class Encoder:
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self._pair_table()
         self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.held = 0
 
     def _pair_table(self) -> None:
         """Rank of two adjacent tokens' concatenation: hash tables over a * 2**20 + b, a later one for what collides in those before."""
@@ -239,12 +240,11 @@ class Encoder:
         return tuple(out)
 
     def learn(self, pieces: set[str]) -> None:
-        """Merge pieces and keep them; a full cache starts anew."""
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache.clear()
+        """Merge pieces and keep them."""
         texts = list(pieces)
         for text, ids in zip(texts, self.merge_many([t.encode() for t in texts]), strict=True):
             self.cache[text] = (" ".join(map(str, ids)), ids)
+            self.held += 300 + len(text) + 15 * len(ids)
 
     def encode(self, texts: list[str | None]) -> list[tuple[list[tuple[str, tuple[int, ...]]], np.ndarray]]:
         """For each text its pieces, (ids as text, ids), and the code points where they start."""
@@ -256,10 +256,11 @@ class Encoder:
         first = np.searchsorted(at, resets)
         stops, out = np.append(at[1:], len(joined)), []
         words = [joined[i:j] for i, j in zip(at.tolist(), stops.tolist(), strict=True)]
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.held = 0
         unknown = {w for w in set(words) if w not in self.cache}
         if unknown:
-            if len(self.cache) + len(unknown) > CACHE_PIECES:
-                unknown = set(words)
             self.learn(unknown)
         known = self.cache
         merged = [known[w] for w in words]
@@ -296,6 +297,7 @@ def byte_bpe(df: DataFrame, keys: list[str], text: str = "text", path: str | Non
     """
 
     def kernel(texts: list[str | None]) -> list[tuple]:
+        holds("byte_bpe", encoder.cache_clear)
         enc = encoder(path)
         rows = []
         for pieces, at in enc.encode(texts):

@@ -38,6 +38,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_holder: list = []
+
+
+def holds(name: str, release: Callable[[], object]) -> None:
+    """Says that a worker now holds the model of ``name``; what it held for another operator is released. Workers live through many stages, and one model at a time is enough."""
+    if _holder and _holder[0] == name:
+        return
+    if _holder:
+        _holder[1]()
+    _holder[:] = name, release
+
+
 def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     """Pieces of ``batch`` of a few MB, so that one kernel call holds little memory."""
     step = SLICE_ROWS

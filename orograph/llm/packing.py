@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orograph.llm.common import SLICE_ROWS, shared_folder, table
+from orograph.llm.common import SLICE_ROWS, holds, shared_folder, table
 from orograph.llm.token_alignment import byte_symbols
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -166,6 +166,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str |
         from pyspark import TaskContext
 
         task, count, rests, aside = TaskContext.get().partitionId(), {}, 0, 0
+        holds("packing", encoder.cache_clear)
         enc = encoder(path)
         for batch in batches:
             step = max(1, min(SLICE_ROWS, 4_000_000 * batch.num_rows // max(1, batch.column(1).nbytes)))

@@ -156,21 +156,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def covered(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
-    """Whether the base spans (by start) together hold all of start to end."""
+def united(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans (by start) hold together, as spans that neither overlap nor touch."""
+    out: list[tuple[int, int]] = []
     for a, _, b in base:
-        if a <= start < b:
-            start = b
-    return start >= end
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def spans(text: str, llr: np.ndarray, threshold: float = THRESHOLD) -> tuple[list, list]:
     """Base spans; all spans, with those that the models add."""
     base = base_spans(text)
-    found = []
+    held, at, found = united(base), 0, []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if not covered(s, e, base) and is_random(m[0], llr, threshold):
+        # Runs and what the base holds both ascend: one pass over either.
+        while at < len(held) and held[at][1] < e:
+            at += 1
+        if not (at < len(held) and held[at][0] <= s) and is_random(m[0], llr, threshold):
             found.append((s, 3, e))
     return base, sorted(base + found)
 

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm.common import map_rows, shared_folder, table
+from orograph.llm.common import holds, map_rows, shared_folder, table
 
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 #: Bytes of chunks and of what is kept for them, before a worker's cache starts anew; a chunk longer than LONG isn't kept.
@@ -219,6 +219,7 @@ def aligned(df: DataFrame, keys: list[str], text: str = "text", paths: tuple[str
     get_links, get_tokens, get_groups = itemgetter(1), itemgetter(2), itemgetter(0)
 
     def kernel(texts: list[str | None]) -> list[tuple]:
+        holds("token_alignment", aligner.cache_clear)
         rows = []
         for chunks in aligner(*(paths or (None, None))).rows(texts):
             if chunks is None:

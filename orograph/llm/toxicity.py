@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.llm.common import checkpointed, crc_mod, map_rows, slices, table
+from orograph.llm.common import checkpointed, crc_mod, holds, map_rows, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -103,9 +103,11 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tupl
     """Every maximal-scoring passage (first token, last token, score), in order.
 
     ``scored``: tokens with positive scores by position; all others score
-    ``-drift``. The stack holds (score before it, score with it, first, last).
+    ``-drift``. The stack holds (score before it, score with it, first, last, place
+    of the nearest passage below that begins lower); a search goes from link to
+    link, and what it has passed it never meets again: linear time.
     """
-    stack: list[tuple[float, float, int, int]] = []
+    stack: list[tuple[float, float, int, int, int]] = []
     total, at = 0.0, 0
     for i, s in scored:
         total -= drift * (i - at)
@@ -116,13 +118,13 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tupl
             # The nearest passage that begins lower: those in between never can be joined later.
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= low:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][1] >= high:
-                stack.append((low, high, first, i))
+                stack.append((low, high, first, i, j))
                 break
             low, first = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(a, b, h - low) for low, h, a, b in stack]
+    return [(a, b, h - low) for low, h, a, b, _ in stack]
 
 
 @dataclass(frozen=True)
@@ -266,6 +268,7 @@ def toxicity(df: DataFrame, keys: list[str], model: Model, text: str = "text") -
     sent = df.sparkSession.sparkContext.broadcast(model)  # features with LEAST_TOXIC toxic rows of a bounded sample
 
     def kernel(texts: list[str | None]) -> list[tuple]:
+        holds("toxicity", _scorer.clear)
         # The model is held with its scorer, so that no other can take its place in memory.
         if not _scorer or _scorer[0] is not sent.value:
             _scorer[:] = [sent.value, Scorer(sent.value)]
