@@ -56,6 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, rounded to whole copies; a document without words (or null) stays as it is. Repeated rows and rows without ids are taken one by one; an empty table stays empty."""
     path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    _passing.append(path)
     docs.withColumn("number", F.monotonically_increasing_id()).write.parquet(path)
     numbered = spark.read.parquet(path)
     taken = mixing.mix(numbered.withColumn("digest", F.xxhash64("text")), ["doc_id", "digest"], row="number")
@@ -78,6 +79,10 @@ STAGES = [
 ]
 
 
+#: Folders that only the stage at hand reads.
+_passing: list[str] = []
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Removes a folder of this run from the shared file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -92,7 +97,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        if before:
-            removed(spark, before)
+        for path in [before, *_passing] if before else _passing:
+            removed(spark, path)
+        _passing.clear()
         before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
