@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orograph.plans.registry import query, table
-from orograph.streaming import logs
+from orograph.sources import versions
+from orograph.sources.shared import shared_folder
+from orograph.streaming import logs, state
 
 
 def c(name: str):
@@ -86,20 +90,77 @@ def snk7(spark, d):
     return e.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("INTERVAL 24 HOUR")).select("event_id")
 
 
-CALLS = "SELECT user_id, n, s.event_id AS start_event_id, e.event_id AS end_event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = {a}) s FULL JOIN (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type = {b}) e USING (user_id, n)"
+#: A walk over each user's clicks and views: a view without an open click before it stands alone where clicks less views reach a new low.
+CALLS = """
+WITH w AS (SELECT user_id, event_id, event_type, sum(CASE event_type WHEN 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM events WHERE event_type IN ('click', 'view')),
+     l AS (SELECT *, least(0, min(o) OVER (PARTITION BY user_id ORDER BY event_id)) AS low FROM w),
+     a AS (SELECT *, low < coalesce(lag(low) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS alone FROM l),
+     t AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM a WHERE NOT alone)
+SELECT user_id, n, s.event_id AS start_event_id, e.event_id AS end_event_id
+FROM (SELECT * FROM t WHERE event_type = 'click') s FULL JOIN (SELECT * FROM t WHERE event_type = 'view') e USING (user_id, n)
+UNION ALL SELECT user_id, NULL, NULL, event_id FROM a WHERE alone
+"""
 
 
-@query("j11_call_matching", CALLS.format(a="'click'", b="'view'"))
+@query("j11_call_matching", CALLS)
 def j11(spark, d):
     e = table(spark, d, "events")
     return logs.matched_calls(e, ["user_id"], "event_type", ["event_id"], "click", "view").withColumn("n", c("n").cast("long"))
 
 
+@query("j11_call_state", f"SELECT CAST(user_id AS VARCHAR) AS request, CAST(start_event_id AS VARCHAR) AS start_id, CAST(end_event_id AS VARCHAR) AS end_id FROM ({CALLS}) q")
+def j11_state(spark, d):
+    """The same walk as keyed state: a queue of open calls a user."""
+    e = table(spark, d, "events").filter(c("event_type").isin("click", "view"))
+    calls = e.select(c("user_id").cast("string").alias("request"), F.lit("call").alias("tool"), c("event_id").cast("string").alias("id"), F.timestamp_micros("event_id").alias("ts"), c("event_id").alias("place"), (c("event_type") == "click").alias("starts"))
+    return state.matched(calls).select("request", "start_id", "end_id")
+
+
 @query("st4_fold_parts", "SELECT conv_id, CAST(part AS INTEGER) AS part, role, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS nw FROM conversations) a) b GROUP BY conv_id, part, role")
 def st4(spark, d):
     return logs.folded(table(spark, d, "conversations"), ["conv_id"], "turn", "role", "text")
 
 
+@query("st4_parts_state", "SELECT CAST(conv_id AS VARCHAR) AS conversation, CAST(part AS INTEGER) AS part, role AS kind, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, sum(nw) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS nw FROM conversations) a) b GROUP BY conv_id, part, role")
+def st4_state(spark, d):
+    """The same fold as keyed state: the open part of a conversation."""
+    t = table(spark, d, "conversations")
+    return state.folded(t.select(c("conv_id").cast("string").alias("conversation"), F.timestamp_seconds("turn").alias("ts"), c("turn").cast("long").alias("place"), c("role").alias("kind"), "text"))
+
+
+PIECE = 24
+
+
+def call_deltas(spark, d):
+    """Every turn of a conversation as a tool call whose arguments come in pieces, those of its calls interleaved. Ids are missing in each fifth call and come late; each seventh loses its end."""
+    t = table(spark, d, "conversations").withColumn("body", F.to_json(F.struct("role", "text")))
+    whole = F.when(c("turn") % 7 == 3, F.expr("substring(body, 1, length(body) - 1)")).otherwise(c("body"))
+    pieces = F.transform(F.sequence(F.lit(0), F.expr(f"(length(body) - 1) div {PIECE}")), lambda i: F.substring(whole, i * PIECE + 1, F.lit(PIECE)))
+    cut = t.select(c("conv_id").cast("string").alias("round"), c("turn").cast("int").alias("index"), "role", F.posexplode(pieces).alias("p", "arguments"))
+    place = (c("p").cast("long") * 100_000 + c("index")).alias("place")
+    known = F.when((c("p") == 0) & (c("index") % 5 != 4) | (c("p") == 1), F.concat(F.lit("call_"), "index"))
+    return cut.select("round", F.timestamp_seconds(place).alias("ts"), place, "index", known.alias("id"), F.when(c("p") == 0, c("role")).alias("name"), "arguments")
+
+
+DELTAS = "SELECT CAST(conv_id AS VARCHAR) AS round, CAST(turn AS INTEGER) AS index, CASE WHEN turn % 5 = 4 THEN '' ELSE 'call_' || turn END AS id, role AS name, turn % 7 = 3 AS broken, CASE WHEN turn % 7 <> 3 THEN text END AS said FROM conversations"
+
+
+def parsed(calls):
+    said = F.try_variant_get("payload", "$.text", "string").alias("said")
+    return state.parsed_arguments(calls).select("round", "index", "id", "name", "broken", said)
+
+
+@query("st5_tool_calls", DELTAS)
+def st5_calls(spark, d):
+    return parsed(logs.tool_calls(call_deltas(spark, d), ["round"], "place"))
+
+
+@query("st5_tool_calls_state", DELTAS)
+def st5_state(spark, d):
+    """The same as keyed state: calls by index."""
+    return parsed(state.gathered(call_deltas(spark, d)))
+
+
 @query("st3_stream_lines", "SELECT event_id, event_type AS kind FROM events WHERE event_id % 3 <> 0")
 def st3(spark, d):
     """Lines of a server-sent stream; a third of them are malformed or of another field."""
@@ -132,15 +193,54 @@ def st_window(spark, d):
 
 @query("st1_cache_replay")
 def st1(spark, d):
-    e = table(spark, d, "events").select(c("user_id").alias("shard"), F.unix_micros(c("ts").cast("timestamp")).cast("double").alias("at"), (c("event_id") % 97).cast("string").alias("key"))
-    return logs.cache_replay(e, 16, 3.6e9)
+    """The tile cache as keyed state: its entries with their order of use."""
+    e = table(spark, d, "events").select(c("user_id").alias("shard"), c("ts").cast("timestamp").alias("ts"), (c("event_id") % 97).cast("string").alias("key"))
+    return state.cached(e, 16, 3600.0)
 
 
 @query("st2_preview_cache")
 def st2_replay(spark, d):
     """The first-in-first-out preview cache: 24 entries, a quarter of an hour."""
-    e = table(spark, d, "events").select(c("user_id").alias("shard"), F.unix_micros(c("ts").cast("timestamp")).cast("double").alias("at"), logs.cache_key(F.struct("event_type", (c("event_id") % 97).alias("n"))).alias("key"))
-    return logs.cache_replay(e, 24, 900e6, recent=False)
+    e = table(spark, d, "events").select(c("user_id").alias("shard"), c("ts").cast("timestamp").alias("ts"), logs.cache_key(F.struct("event_type", (c("event_id") % 97).alias("n"))).alias("key"))
+    return state.cached(e, 24, 900.0, recent=False)
+
+
+@query("st_session_windows", """
+WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events),
+     v AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS visit FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS total FROM v GROUP BY user_id, visit
+""")
+def st_sessions(spark, d):
+    """Visits of users: Spark's own session windows (an addition of this engine)."""
+    e = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    return logs.sessions(e, ["user_id"], "ts", "value", "6 hours").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("st_sliding_windows", """
+SELECT strftime(make_timestamp(CAST((epoch(ts)::BIGINT // 7200 - k) * 7200 * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, date_trunc('second', ts) AS s FROM events) e, (VALUES (0), (1), (2)) v(k) GROUP BY ALL
+""".replace("epoch(ts)::BIGINT", "CAST(floor(epoch(s)) AS BIGINT)"))
+def st_sliding(spark, d):
+    e = table(spark, d, "events").withColumn("ts", c("ts").cast("timestamp"))
+    return logs.usage_sliding(e, "ts", "event_type", "value").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("snk9_versions", "SELECT event_id FROM events ORDER BY event_type = 'click', ts DESC, event_id DESC LIMIT 2000")
+def snk9_versions(spark, d):
+    """A log that two writes have appended to and cut to its newest rows, in a table of snapshots: what the second brought is newer, whatever its times."""
+    e, path = table(spark, d, "events").select("event_id", "event_type", "ts"), f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    for n, rows in enumerate((e.filter("event_type = 'click'"), e.filter("event_type <> 'click'"))):
+        versions.retained(spark, path, rows, ["ts", "event_id"], logs.TOOL_LOGS, batch=("tools", n))
+    return versions.read(spark, path, f"event_id long, event_type string, ts {e.schema['ts'].dataType.simpleString()}").select("event_id")
+
+
+@query("snk10_session_store", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'click', ts DESC, event_id DESC) AS n FROM events) s WHERE n <= 500")
+def snk10_store(spark, d):
+    """The same by session, the second write delivered twice: the newest rows of each user."""
+    e, path = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    for n, kind in ((0, "event_type = 'click'"), (1, "event_type <> 'click'"), (1, "event_type <> 'click'")):
+        versions.retained(spark, path, e.filter(kind), ["ts", "event_id"], logs.SESSION_LOGS, "user_id", batch=("sessions", n))
+    return versions.read(spark, path, f"user_id long, event_id long, event_type string, ts {e.schema['ts'].dataType.simpleString()}").select("user_id", "event_id")
 
 
 @query("w8_newest_by_user", "SELECT user_id, max(event_id) AS newest FROM events GROUP BY user_id")

@@ -1,13 +1,12 @@
 """Stores of style references, previews and logs: Parquet and JSON tables instead of folders of files.
 
-Every write appends rows or replaces partitions; nothing is rewritten a row at a
-time. Sweeps return what stays, and ``replaced`` writes that beside the old table
-before it takes its place.
+Sweeps return what stays; ``versions`` holds such tables, so that what stays takes
+the place of what was in one step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -85,18 +84,3 @@ def manifests(previews_: DataFrame) -> DataFrame:
     times = F.struct(F.when(~failed, F.col("render_ms")).alias("render"), F.when(~failed, F.col("enhancement_ms")).alias("enhancement"), F.col("total_ms").alias("total"))
     body = F.struct(F.col("preview_id").alias("id"), "status", "warnings", error.alias("error"), times.alias("timings_ms"), F.col("attempts").alias("render_attempts"))
     return previews_.select("preview_id", F.to_json(body).alias("manifest"))
-
-
-def appended(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
-def replaced(spark: SparkSession, path: str, kept, staging: str) -> None:
-    """Replaces the table at ``path`` by ``kept(table)``: written whole to ``staging`` first, as the table is read for it."""
-    kept(spark.read.parquet(path)).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
-
-
-def truncated(spark: SparkSession, path: str) -> None:
-    """Empties a log but keeps its columns."""
-    spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)

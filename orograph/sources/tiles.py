@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from orograph.sources import versions
 from orograph.sources.raster import decode_rgb
+from orograph.sources.shared import checkpointed
 
 # Fixed values.
 TIMEOUT_S, PARTS = 15, 8
@@ -69,6 +71,90 @@ def fetched(spark: SparkSession, url: str, z: int, xs: tuple[int, int], ys: tupl
     return reader.option("x_min", xs[0]).option("x_max", xs[1]).option("y_min", ys[0]).option("y_max", ys[1]).load()
 
 
+TILE = "z int, x int, y int, png binary, error string, tries int"
+
+
+def fetched_table(wanted: DataFrame, url: str, in_flight: int = PARTS, tries: int = 3, wait_s: float = 0.2) -> DataFrame:
+    """The tiles (z, x, y) of a table, each once: (z, x, y, png, error, tries).
+
+    Tiles are dealt over ``in_flight`` partitions, which fetch one after another,
+    so that no more requests are open at a time, however many tiles there are. An
+    answer that may change (a server's error, no connection, time out) is asked
+    for again; what stays without a tile is a row with its error.
+    """
+
+    def fetch(z: int, x: int, y: int) -> tuple[bytes | None, str | None, int]:
+        import time
+        from http.client import HTTPException
+        from urllib.error import HTTPError
+        from urllib.request import urlopen
+
+        said = None
+        for n in range(1, tries + 1):
+            try:
+                with urlopen(url.format(z=z, x=x, y=y), timeout=TIMEOUT_S) as answer:
+                    return answer.read(), None, n
+            except HTTPError as error:
+                said = f"HTTP {error.code}"
+                if error.code < 500 and error.code != 429:
+                    return None, said, n
+            except (OSError, HTTPException) as error:
+                said = str(error) or type(error).__name__
+                if "No such file" in said:
+                    return None, said, n
+            if n < tries:
+                time.sleep(wait_s * 2 ** (n - 1))
+        return None, said, tries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for z, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                png, error, n = fetch(z, x, y)
+                columns = [pa.array([v], t) for v, t in zip((z, x, y, png, error, n), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["z", "x", "y", "png", "error", "tries"])
+
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.int32()]
+    places = wanted.select(*[F.col(c).cast("int") for c in "zxy"]).dropna().distinct()
+    return places.repartition(in_flight, "z", "x", "y").mapInArrow(run, TILE)
+
+
+LAKE = "z int, x int, y int, png binary, fetched_at double"
+
+
+def read_through(wanted: DataFrame, lake: str, url: str, ttl_s: float, now: float, in_flight: int = PARTS, tries: int = 3) -> DataFrame:
+    """The tiles (z, x, y) of a table from a lake, after what it lacks was fetched: (z, x, y, png, error).
+
+    ``lake``: the folder of a table of snapshots. A tile is too old when its age is
+    over ``ttl_s``. Keys and ages alone are read to find what is missing; the
+    fetched tiles are written once, to the lake, and read from there. Failures
+    aren't kept, so the next read tries them again.
+    """
+    spark = wanted.sparkSession
+    places = wanted.select(*[F.col(c).cast("int") for c in "zxy"]).dropna().distinct()
+    fresh = F.lit(now) - F.col("fetched_at") <= F.lit(ttl_s)
+    held = versions.read(spark, lake, LAKE).filter(fresh).select("z", "x", "y")
+    # Written before it is looked at twice, so that each tile is asked for once.
+    answers = checkpointed(fetched_table(places.join(held, ["z", "x", "y"], "left_anti"), url, in_flight, tries))
+    found = answers.filter("png IS NOT NULL").select("z", "x", "y", "png", F.lit(float(now)).alias("fetched_at"))
+    if not found.isEmpty():
+        versions.added(spark, lake, found)
+    tiles = versions.read(spark, lake, LAKE).filter(fresh)
+    newest = tiles.groupBy("z", "x", "y").agg(F.max("fetched_at").alias("fetched_at"))
+    known = tiles.join(places, ["z", "x", "y"], "left_semi").join(newest, ["z", "x", "y", "fetched_at"]).select("z", "x", "y", "png", F.lit(None).cast("string").alias("error"))
+    return known.unionByName(answers.filter("png IS NULL").select("z", "x", "y", "png", "error"))
+
+
+def compacted(spark: SparkSession, lake: str, ttl_s: float, now: float) -> None:
+    """The lake without what is too old or was fetched again since: one snapshot instead of many."""
+
+    def change(tiles: DataFrame) -> DataFrame:
+        fresh = tiles.filter(F.lit(now) - F.col("fetched_at") <= F.lit(ttl_s))
+        newest = fresh.groupBy("z", "x", "y").agg(F.max("fetched_at").alias("fetched_at"))
+        return fresh.join(newest, ["z", "x", "y", "fetched_at"]).select("z", "x", "y", "png", "fetched_at").repartition("z", "x").sortWithinPartitions("z", "x", "y")
+
+    versions.replaced(spark, lake, LAKE, change)
+
+
 def pixels_of(png: bytes) -> np.ndarray:
     """Samples (height, width, channels) of a PNG of eight bits, RGB or RGBA, not interlaced: what terrain tiles are."""
     at, data, head = 8, [], None

@@ -146,6 +146,24 @@ def usage_by_window(events: DataFrame, ts: str, kind: str, value: str, width: st
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
 
 
+def sessions(events: DataFrame, by: list[str], ts: str, value: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Visits: events of the same ``by`` with less than ``gap`` between them, as start, end, n and total (an addition of this engine)."""
+    w = F.session_window(ts, gap)
+    return events.withWatermark(ts, late).groupBy(*by, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+
+
+def usage_sliding(events: DataFrame, ts: str, kind: str, value: str, width: str = "6 hours", step: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """As ``usage_by_window`` over windows that overlap."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, width, step), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+
+
+def distinct_events(events: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
+    """Each of ``keys`` once: on a stream for as long as the watermark holds its state, on a batch frame for good."""
+    if events.isStreaming:
+        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
+
+
 def cache_key(request: Column) -> Column:
     """SHA-256 of a request's JSON with its fields in order of name (a struct whose fields are in that order)."""
     return F.sha2(F.to_json(request), 256)

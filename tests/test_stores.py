@@ -6,7 +6,7 @@ from collections import OrderedDict
 import pytest
 from pyspark.sql import functions as F
 
-from orograph.sources import points, raster, stores
+from orograph.sources import points, raster, stores, versions
 from orograph.streaming import logs
 
 
@@ -61,20 +61,23 @@ def test_caches_equal_plain_replays(spark):
 
 
 def test_store_tables_are_appended_replaced_and_emptied(spark, tmp_path):
-    path, staging = str(tmp_path / "store"), str(tmp_path / "staging")
+    path = str(tmp_path / "store")
     uploads = spark.createDataFrame([("a.png", "image/png", "x", 10, 20, [0.5])], "filename string, content_type string, label string, height int, width int, fingerprint array<double>")
+    schema = "reference_id string, original string, created_at timestamp, metadata string, fingerprint array<double>"
     for day in ("2026-01-01 10:00:00", "2026-01-03 10:00:00"):
-        stores.appended(stores.references(uploads.withColumn("created_at", F.to_timestamp(F.lit(day)))), path)
-    made = spark.read.parquet(path)
+        versions.added(spark, path, stores.references(uploads.withColumn("created_at", F.to_timestamp(F.lit(day)))))
+    made = versions.read(spark, path, schema)
     assert made.count() == 2 and made.filter(F.col("reference_id").rlike("^style-ref-2026010[13]-[0-9a-f]{8}$")).count() == 2
     now = F.to_timestamp(F.lit("2026-01-04 10:00:00"))
-    stores.replaced(spark, path, lambda t: stores.swept_references(t, now), staging)
-    left = spark.read.parquet(path).collect()
+    versions.replaced(spark, path, schema, lambda t: stores.swept_references(t, now))
+    store = versions.read(spark, path, schema)
+    left = store.collect()
     assert len(left) == 1 and left[0]["reference_id"].startswith("style-ref-20260103")
-    assert stores.loaded_reference(spark.read.parquet(path), F.lit(left[0]["reference_id"]), now).count() == 1
-    assert stores.loaded_reference(spark.read.parquet(path), F.lit(left[0]["reference_id"]), F.to_timestamp(F.lit("2026-01-04 10:00:01"))).count() == 0
-    stores.truncated(spark, path)
-    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == made.columns
+    assert stores.loaded_reference(store, F.lit(left[0]["reference_id"]), now).count() == 1
+    assert stores.loaded_reference(store, F.lit(left[0]["reference_id"]), F.to_timestamp(F.lit("2026-01-04 10:00:01"))).count() == 0
+    versions.truncated(spark, path, schema)
+    emptied = versions.read(spark, path, schema)
+    assert emptied.count() == 0 and emptied.columns == made.columns
 
 
 def test_mosaics_keep_areas_apart_and_tiles_are_read_once(spark, tmp_path):
