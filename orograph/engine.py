@@ -21,6 +21,24 @@ def validated(areas: DataFrame) -> DataFrame:
     return areas.withColumn("errors", F.filter(found, lambda x: x.isNotNull()))
 
 
+def problems(areas: DataFrame) -> DataFrame:
+    """What becomes of requests that can't be served, as rows beside the others: every column of ``areas`` with the status 422 and what is wrong; ``accepted`` has the rest."""
+    bad = validated(areas).filter(F.size("errors") > 0)
+    return bad.withColumns({"status": F.lit(422), "detail": F.concat(F.lit("invalid: "), F.array_join("errors", ", "))}).drop("errors")
+
+
+def accepted(areas: DataFrame) -> DataFrame:
+    """The requests in which nothing is wrong."""
+    return validated(areas).filter(F.size("errors") == 0).drop("errors")
+
+
+def fetch_problems(wanted: DataFrame, tiles_: DataFrame, key: str) -> DataFrame:
+    """(key, status 502, detail) of areas some of whose tiles failed. ``wanted``: key, z, x, y; ``tiles_``: z, x, y, error, as the tile sources give them. The other areas go on."""
+    failed = wanted.join(tiles_.filter("error IS NOT NULL").select("z", "x", "y", "error"), ["z", "x", "y"])
+    first = F.min(F.struct("z", "x", "y", "error"))["error"]
+    return failed.groupBy(key).agg(first.alias("__e")).select(key, F.lit(502).alias("status"), F.concat(F.lit("Upstream tile fetch failed: "), "__e").alias("detail"))
+
+
 def checked_weights(weights: dict[str, float] | None) -> dict[str, float]:
     """Weights of all layers: 0 to 2 each, not all 0."""
     merged = DEFAULT_WEIGHTS | (weights or {})
@@ -71,8 +89,8 @@ def analyze(cells: DataFrame, bounds: DataFrame, cell_m: float, side: int, weigh
     return {"features": placed, "hotspots": hot, "scenes": checkpointed(scenes.scenes(hot.select("area", "hotspot_id", "ord", "lat", "lng", "score"), placed)), "surface": surface, "summary": summary}
 
 
-def analysis_response(analysis: dict[str, DataFrame], planned: DataFrame) -> DataFrame:
-    """A JSON text an area: the request's bounds, zoom and cell size (``planned``: area, b, zoom, cell_m), the summary, features by kind, hotspots and scenes, each in order."""
+def analysis_response(analysis: dict[str, DataFrame], planned: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """A JSON text an area: the request's bounds, zoom and cell size (``planned``: area, b, zoom, cell_m), the summary, features by kind, hotspots and scenes, each in order; with ``cells`` also the elevations."""
     listed = lambda df, order, *columns: df.groupBy("area").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("row")))), lambda x: x["row"]).alias("rows"))
     base = analysis["features"]
     columns = ("feature_id", "lat", "lng", "elev", "prominence", "drop_m", "length_m", "score")
@@ -82,7 +100,10 @@ def analysis_response(analysis: dict[str, DataFrame], planned: DataFrame) -> Dat
     out = out.join(listed(analysis["hotspots"], "ord", "hotspot_id", "lat", "lng", "score", "reasons").withColumnRenamed("rows", "hotspots"), "area", "left")
     out = out.join(listed(analysis["scenes"], "rank", "scene_id", "type", "lat", "lng", "feature_ids", "summary", "score").withColumnRenamed("rows", "scenes"), "area", "left")
     lists = [F.coalesce(F.col(c), F.array().cast(dict(out.dtypes)[c])).alias(c) for c in (*scenes.KINDS, "hotspots", "scenes")]
-    return out.select("area", F.to_json(F.struct("request", "summary", *lists)).alias("response"))
+    if cells is not None:
+        out = out.join(elevation_grid(cells).select("area", F.struct("grid", "low", "high", "mean").alias("elevations")), "area", "left")
+    more = ["elevations"] if cells is not None else []
+    return out.select("area", F.to_json(F.struct("request", "summary", *lists, *more)).alias("response"))
 
 
 def scene_contexts(analysis: dict[str, DataFrame], bounds: DataFrame, cells: DataFrame, side: int, cell_m: float, fov: float) -> DataFrame:
@@ -203,6 +224,16 @@ def style_viewpoints(analysis: dict[str, DataFrame], cells: DataFrame, bounds: D
     return {**views, "viewpoints": checkpointed(ranked), "patches": placed}
 
 
+def verify_composition(responses: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
+    """Of each of ``previews.responses`` the verification of each preview's anchors, as its camera sees them on a screen of this size."""
+    camera, composition = F.col("preview_input.camera"), F.col("preview_input.composition")
+    views = responses.select(
+        "area", "id", camera["position"]["lat"].alias("lat"), camera["position"]["lng"].alias("lng"), camera["position"]["alt_meters"].alias("alt"), camera["heading_deg"].alias("head"), camera["pitch_deg"].alias("pitch"), camera["roll_deg"].alias("roll"),
+        camera["fov_deg"].alias("fov"), F.lit(width).alias("width"), F.lit(height).alias("height"), composition["target_template"].alias("template"), composition["horizon_ratio"].alias("horizon_ratio"), composition["anchors"].alias("anchors"),
+    )
+    return previews.verified(views).select("area", "id", "verification")
+
+
 def verify_render(scores: DataFrame) -> DataFrame:
     """Fused score and status of rendered views (clip, edge, lpips, before)."""
     return scores.withColumn("v", previews.render_score(F.col("clip"), F.col("edge"), F.col("lpips"), F.col("before"))).select("*", "v.*").drop("v")

@@ -152,6 +152,17 @@ def project(de: Column, dn: Column, du: Column, head: Column, pitch: Column, fov
     return F.when(depth.isNotNull() & x.between(0, 1) & y.between(0, 1), F.struct(x.alias("x"), y.alias("y")))
 
 
+def to_pixels(e: Column, n: Column, u: Column, head: Column, pitch: Column, roll: Column, fov: Column, width: Column, height: Column) -> Column:
+    """Pixel (px, py) of a local offset on a screen of ``width`` x ``height``: turned by heading, then pitch, then roll; ``fov`` is vertical. Null behind the camera."""
+    h, p, r = F.radians(head), F.radians(pitch), F.radians(roll)
+    side, ahead = F.cos(h) * e + F.sin(h) * n, F.cos(h) * n - F.sin(h) * e
+    depth, above = F.cos(p) * ahead - F.sin(p) * u, F.sin(p) * ahead + F.cos(p) * u
+    right, up = F.cos(r) * side + F.sin(r) * above, F.cos(r) * above - F.sin(r) * side
+    reach = F.when(depth > 0, depth) * F.tan(F.radians(fov / 2))
+    x, y = right / (reach * width / height), -up / reach
+    return F.when(depth > 0, F.struct(((x + 1) / 2 * width).alias("px"), ((y + 1) / 2 * height).alias("py")))
+
+
 def grid_to_geo(row: Column, col: Column, b: Column, height: int, width: int) -> Column:
     """Cell to place; the last row and column lie on the south and east bounds."""
     return F.struct(

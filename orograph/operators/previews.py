@@ -52,6 +52,47 @@ def horizon_error(pitch: Column, vertical_fov: Column, ratio: Column, height: Co
     return F.abs((F.radians(pitch) / (F.radians(vertical_fov) / 2) + 1) / 2 * height - ratio * height)
 
 
+# Fixed sentences of verifications.
+NO_ANCHORS, NOT_SUPPORTED, WITHIN = "No anchors supplied; verification skipped.", "Leading-line verification is not yet supported.", "Anchors fall within tolerance."
+
+
+def anchor_errors(anchors: Column) -> Column:
+    """Pixels between where each anchor of a view is seen and where it is wanted; the screen's diagonal if it lies behind the camera.
+
+    Step by step over the array, so that no step's arithmetic is written out within the next.
+    """
+    eye = geo.to_ecef(F.col("lat"), F.col("lng"), F.col("alt"))
+    wanted = lambda a: (a["desired_normalized_x"].alias("desired_normalized_x"), a["desired_normalized_y"].alias("desired_normalized_y"))
+    far = F.transform(anchors, lambda a: F.struct(geo.to_ecef(a["lat"], a["lng"], a["alt_meters"].cast("double")).alias("at"), *wanted(a)))
+    near = F.transform(far, lambda a: F.struct(*[(a["at"][x] - eye[x]).alias(f"d{x}") for x in "xyz"], *wanted(a)))
+    local = F.transform(near, lambda a: F.struct(geo.ecef_to_enu(a["dx"], a["dy"], a["dz"], F.col("lat"), F.col("lng")).alias("l"), *wanted(a)))
+    seen = F.transform(local, lambda a: F.struct(geo.to_pixels(a["l"]["e"], a["l"]["n"], a["l"]["u"], *map(F.col, ("head", "pitch", "roll", "fov", "width", "height"))).alias("s"), *wanted(a)))
+    off = lambda a: F.hypot(a["s"]["px"] - a["desired_normalized_x"] * F.col("width"), a["s"]["py"] - a["desired_normalized_y"] * F.col("height"))
+    return F.transform(seen, lambda a: F.coalesce(off(a), F.hypot(F.col("width"), F.col("height"))))
+
+
+def verified(views: DataFrame) -> DataFrame:
+    """Adds ``verification``: whether a view's own anchors are seen where its composition wants them.
+
+    ``views``: lat, lng, alt, head, pitch, roll, fov (vertical), width, height,
+    template, horizon_ratio (or null), anchors (lat, lng, alt_meters,
+    desired_normalized_x and _y; null or empty: skipped). Anchors stay in their
+    row: a map without joins.
+    """
+    errors = anchor_errors(F.col("anchors"))
+    mean = F.aggregate(errors, F.lit(0.0), lambda s, x: s + x) / F.size(errors)
+    rows = views.withColumn("__mean", F.when(F.size("anchors") > 0, mean))
+    skipped, unsupported = F.coalesce(F.size("anchors") <= 0, F.lit(True)), F.col("template") == "leading_line"
+    passes = F.col("__mean") <= PASS_PX
+    told = lambda x: F.when(~skipped & ~unsupported, x)
+    status = F.when(skipped, "skipped").when(unsupported, "unsupported_template").when(passes, "verified").otherwise("failed")
+    too_far = F.concat(F.lit("Mean anchor error "), F.format_string("%.1f", F.bround("__mean", 1)), F.lit(f"px exceeds {PASS_PX}px threshold."))
+    notes = F.when(skipped, NO_ANCHORS).when(unsupported, NOT_SUPPORTED).when(passes, WITHIN).otherwise(too_far)
+    horizon = horizon_error(F.col("pitch"), F.col("fov"), F.col("horizon_ratio"), F.col("height"))
+    found = F.struct(status.alias("status"), "template", told(passes).alias("passes_threshold"), told(F.bround("__mean", 1)).alias("mean_anchor_error_px"), told(F.bround(horizon, 1)).alias("horizon_error_px"), notes.alias("notes"))
+    return rows.withColumn("verification", found).drop("__mean")
+
+
 def payload(row: Column) -> Column:
     """A struct as URL-safe base64 JSON without padding."""
     return F.rtrim(F.translate(F.base64(F.encode(F.to_json(row), "utf-8")), "+/\r\n", "-_"), F.lit("="))

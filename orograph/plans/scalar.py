@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orograph.functions import geo
-from orograph.plans.registry import query, table
+from orograph import engine
+from orograph.functions import geo, sql
+from orograph.plans.registry import ORACLE_SQL, query, table
 from orograph.sources import raster
 
 POINTS_SQL = "(SELECT c_custkey AS k, 39.5 + (c_custkey * 7919 % 1000) / 2000.0 AS lat, -105.5 + (c_custkey * 104729 % 1000) / 2000.0 AS lng, 1000.0 + (c_custkey % 50) * 1000.0 AS radius, (c_custkey * 31 % 360) * 1.0 + 0.25 AS head, ((c_custkey * 17) % 40) * 1.0 - 20.0 AS pitch, 20.0 + (c_custkey * 13 % 80) AS fov, 500.0 + (c_custkey * 37 % 2000) AS alt FROM customer)"
@@ -267,3 +268,36 @@ def p27(spark, d):
 def p43(spark, d):
     ok_fov = c("fov").between(20, 60)
     return points(spark, d).select("k", (c("lat").between(-90, 90) & c("lng").between(-180, 180) & (c("alt") > 0) & ok_fov).alias("valid"), F.when(~ok_fov, "fov").otherwise("").alias("errors"))
+
+
+@query("api14_problems", """SELECT k, 422 AS status, 'invalid: ' || concat_ws(', ', CASE WHEN k % 11 = 0 THEN 'lat' END, CASE WHEN k % 13 = 0 THEN 'lng' END, CASE WHEN k % 17 = 0 OR 1000.0 + (k % 50) * 1100.0 > 50000 THEN 'radius_m' END) AS detail
+FROM (SELECT c_custkey AS k FROM customer) s WHERE k % 11 = 0 OR k % 13 = 0 OR k % 17 = 0 OR 1000.0 + (k % 50) * 1100.0 > 50000""")
+def api14(spark, d):
+    """Requests that can't be served, set aside as rows with what is wrong; places out of range, missing ones, radii too large."""
+    k = c("k")
+    asked = points(spark, d).select("k", F.when(k % 11 == 0, 91.0).otherwise(c("lat")).alias("lat"), F.when(k % 13 != 0, c("lng")).alias("lng"), F.when(k % 17 == 0, 10.0).otherwise(F.lit(1000.0) + (k % 50) * 1100.0).alias("radius_m"))
+    return engine.problems(asked).select("k", "status", "detail")
+
+
+def said(spark, d, name: str, frame, text: str):
+    """SQL text over a frame, with the engine's functions."""
+    sql.register(spark)
+    return spark.sql(text, **{name: frame})
+
+
+@query("p2_sql_text", ORACLE_SQL["p2_tile_index"])
+def p2_text(spark, d):
+    return said(spark, d, "places", zoomed(spark, d), "SELECT k, CAST(oro_tile_x(lng, z) AS INT) AS tx, CAST(oro_tile_y(lat, z) AS INT) AS ty FROM {places}")
+
+
+@query("p6_sql_text", ORACLE_SQL["p6_tile_list"])
+def p6_text(spark, d):
+    """The tile list as a table function, joined laterally."""
+    return said(spark, d, "places", points(spark, d), "SELECT k, x, y FROM {places} p, LATERAL oro_tiles(p.lat, p.lng, p.radius, 11)")
+
+
+@query("p11_sql_text", ORACLE_SQL["p11_haversine"])
+def p11_text(spark, d):
+    lat1, lng1, lat2, lng2 = ends()
+    frame = pairs(spark, d).select("k", lat1.alias("lat1"), lng1.alias("lng1"), lat2.alias("lat2"), lng2.alias("lng2"))
+    return said(spark, d, "pairs", frame, "SELECT k, round(oro_haversine(lat1, lng1, lat2, lng2), 4) AS meters FROM {pairs}")

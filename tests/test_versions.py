@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from orograph import engine
 from orograph.sources import tiles, versions
 from test_sources import png
 
@@ -166,3 +167,12 @@ def test_lake_fetches_what_is_missing_only(spark, server, tmp_path):
     tiles.compacted(spark, lake, 300.0, now=1301.0)
     assert versions.read(spark, lake, tiles.LAKE).count() == 9
     assert tiles.decoded(tiles.read_through(wanted, lake, url, 300.0, now=1302.0)).count() == 6 * 16 and sum(asked.values()) == 21
+
+
+def test_areas_with_failed_tiles_are_set_aside(spark, server):
+    url, _, _ = server
+    wanted = spark.createDataFrame([(a, 5, x, y) for a, x, y in ((1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 2, 1), (3, 2, 1), (3, 3, 3))], "area long, z int, x int, y int")
+    found = engine.fetch_problems(wanted, tiles.fetched_table(wanted, url, wait_s=0.01), "area").collect()
+    assert {tuple(r) for r in found} == {(2, 502, "Upstream tile fetch failed: HTTP 404"), (3, 502, "Upstream tile fetch failed: HTTP 404")}
+    asked = spark.createDataFrame([(1, 40.0, -105.0, 5000.0), (2, 91.0, None, 5000.0), (3, 40.0, -105.0, 10.0)], "k long, lat double, lng double, radius_m double")
+    assert rows(engine.accepted(asked), "k") == [(1,)] and rows(engine.problems(asked), "k", "status", "detail") == [(2, 422, "invalid: lat, lng"), (3, 422, "invalid: radius_m")]

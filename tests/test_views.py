@@ -270,6 +270,9 @@ def test_analysis_response_holds_all_parts(spark, flow):
     _, bounds, analysis, _ = flow
     planned = bounds.withColumn("zoom", F.lit(13)).withColumn("cell_m", F.lit(CELL))
     body = json.loads(engine.analysis_response(analysis, planned).first()["response"])
+    assert "elevations" not in body
+    with_cells = json.loads(engine.analysis_response(analysis, planned, flow[0]).first()["response"])["elevations"]
+    assert len(with_cells["grid"]) == SIDE and all(len(line) == SIDE for line in with_cells["grid"]) and with_cells["low"] == min(map(min, with_cells["grid"]))
     assert body["request"]["zoom"] == 13 and body["request"]["bounds"]["north"] == NORTH
     for kind in ("peaks", "ridges", "cliffs", "waterChannels"):
         ids = [r["feature_id"] for r in analysis["features"].filter(F.col("kind") == kind).orderBy("ord").collect()]
@@ -308,3 +311,39 @@ def test_density_grid_and_resize():
     assert np.allclose(v[80:96], expected)
     assert style.resized(np.ones((300, 100))).shape == (300, 100)
     assert style.resized(np.full((1030, 500), 7.0)).shape == (512, 248) and np.allclose(style.resized(np.full((1030, 500), 7.0)), 7.0)
+
+
+def test_views_are_verified_by_their_own_anchors(flow):
+    """Every ranked view of the flow, against the projection in plain loops."""
+    _, _, analysis, found = flow
+    made = previews.responses(found["viewpoints"], analysis["features"], analysis["scenes"], 3000.0)
+    got = {(r["area"], r["id"]): r["verification"] for r in engine.verify_composition(made).collect()}
+    rows = made.collect()
+    assert len(got) == len(rows) > 0
+
+    def ecef(lat, lng, alt):
+        a, b = math.radians(lat), math.radians(lng)
+        n = 6378137.0 / math.sqrt(1 - 0.00669437999014 * math.sin(a) ** 2)
+        return (n + alt) * math.cos(a) * math.cos(b), (n + alt) * math.cos(a) * math.sin(b), (n * (1 - 0.00669437999014) + alt) * math.sin(a)
+
+    for r in rows:
+        cam, comp, v = r["preview_input"]["camera"], r["preview_input"]["composition"], got[r["area"], r["id"]]
+        if not comp["anchors"] or comp["target_template"] == "leading_line":
+            assert v["status"] == ("skipped" if not comp["anchors"] else "unsupported_template")
+            continue
+        at, errors = cam["position"], []
+        la, lo, h, p = (math.radians(x) for x in (at["lat"], at["lng"], cam["heading_deg"], cam["pitch_deg"]))
+        for a in comp["anchors"]:
+            d = [x - y for x, y in zip(ecef(a["lat"], a["lng"], a["alt_meters"]), ecef(at["lat"], at["lng"], at["alt_meters"]), strict=True)]
+            e = math.cos(lo) * d[1] - math.sin(lo) * d[0]
+            out = math.cos(lo) * d[0] + math.sin(lo) * d[1]
+            n, u = math.cos(la) * d[2] - math.sin(la) * out, math.cos(la) * out + math.sin(la) * d[2]
+            x, y = math.cos(h) * e + math.sin(h) * n, math.cos(h) * n - math.sin(h) * e
+            depth, up = math.cos(p) * y - math.sin(p) * u, math.sin(p) * y + math.cos(p) * u
+            if depth <= 0:
+                errors.append(math.hypot(1920, 1080))
+                continue
+            t = math.tan(math.radians(cam["fov_deg"] / 2)) * depth
+            errors.append(math.hypot((x / (t * 1920 / 1080) + 1) / 2 * 1920 - a["desired_normalized_x"] * 1920, (1 - up / t) / 2 * 1080 - a["desired_normalized_y"] * 1080))
+        mean = sum(errors) / len(errors)
+        assert abs(v["mean_anchor_error_px"] - mean) <= 0.051 and v["status"] == ("verified" if mean <= 80 else "failed")
