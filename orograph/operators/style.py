@@ -83,14 +83,19 @@ def skeleton(mask: np.ndarray) -> np.ndarray:
 
 
 def contours(elev: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """Borders of the areas above evenly spaced inner levels; nothing on flat ground."""
-    low, high = elev.min(), elev.max()
+    """Closed borders, outer ones and those of holes, of the areas above evenly spaced inner levels; nothing on flat ground.
+
+    Borders of areas joined by corners run over their cells that touch lower
+    ground, or the raster's end, along a side: following each border around (as a
+    test does) visits these cells and no others, so they are found at once.
+    """
+    low, high = float(elev.min()), float(elev.max())
     out = np.zeros(elev.shape, bool)
     if high - low < 1:
         return out
     scaled = ((elev - low) / (high - low) * 255).astype(np.uint8)
-    for level in np.linspace(0, 255, levels + 2)[1:-1]:
-        above = np.pad(scaled > level, 1, mode="edge")
+    for level in np.linspace(low, high, levels + 2)[1:-1]:
+        above = np.pad(scaled > int((level - low) / (high - low) * 255), 1)
         inner = above[1:-1, 1:-1] & above[:-2, 1:-1] & above[2:, 1:-1] & above[1:-1, :-2] & above[1:-1, 2:]
         out |= above[1:-1, 1:-1] & ~inner
     return out

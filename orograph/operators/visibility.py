@@ -17,20 +17,45 @@ WEIGHTS = {"richness": 0.20, "entropy": 0.15, "skyline": 0.20, "prospect": 0.15,
 
 
 def rays(cameras: DataFrame, height: int, width: int, n: int = RAYS, steps: int = STEPS) -> DataFrame:
-    """Samples (vp_id, area, alt, ray, step, dist, row, col) inside the grid. ``cameras``: vp_id, area, lat, lng, alt, head, fov and bounds b."""
+    """Samples inside the grid: ``cameras`` (vp_id, area, lat, lng, alt, head, fov, bounds b and others) with ray, step, dist, row and col."""
     c = cameras.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     c = c.withColumns({"dist": geo.diagonal(F.col("b")) * F.col("step") / steps, "__az": F.col("head") - F.col("fov") / 2 + F.col("fov") * F.col("ray") / (n - 1.0)})
     c = c.withColumn("__p", geo.destination(F.col("lat"), F.col("lng"), F.col("__az"), F.col("dist"))).withColumn("__g", geo.geo_to_grid(F.col("__p.lat"), F.col("__p.lng"), F.col("b"), height, width))
     c = c.withColumns({"row": F.bround("__g.row").cast("int"), "col": F.bround("__g.col").cast("int")})
-    return c.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select("vp_id", "area", "alt", "ray", "step", "dist", "row", "col")
+    return c.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).drop("__az", "__p", "__g", "lat", "lng", "head", "fov", "b")
 
 
-def viewshed(samples: DataFrame, cells: DataFrame) -> DataFrame:
-    """Adds elev, the angle to the sample, and whether it rises above all before it on its ray."""
-    seen = samples.join(cells.select("area", "row", "col", *[x for x in cells.columns if x not in ("area", "row", "col")]), ["area", "row", "col"])
-    seen = seen.withColumn("angle", F.atan2(F.col("elev") - F.col("alt"), F.col("dist")))
-    before = F.max("angle").over(W.partitionBy("vp_id", "ray").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
-    return seen.withColumn("visible", F.col("angle") > F.coalesce(before, F.lit(-math.pi / 2)))
+def packed(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """(area, cells): an area's cells as one array in reading order, null where a cell is missing. A raster's size bounds it."""
+    values = [x for x in cells.columns if x not in ("area", "row", "col")]
+    i = (F.col("row") * width + F.col("col")).cast("long")
+    every = cells.select("area").distinct().crossJoin(cells.sparkSession.range(height * width).select(F.col("id").alias("i")))
+    placed = cells.select("area", i.alias("i"), F.struct(*values).alias("cell"))
+    rows = every.join(placed, ["area", "i"], "left").groupBy("area").agg(F.array_sort(F.collect_list(F.struct("i", "cell"))).alias("all"))
+    return rows.select("area", F.col("all.cell").alias("cells"))
+
+
+SLICES = 8
+
+
+def views(cameras: DataFrame, cells: DataFrame, height: int, width: int, n: int = RAYS, steps: int = STEPS) -> DataFrame:
+    """What each camera sees: samples of its rays with the cells' columns, the angle to each, and whether it rises above all before it on its ray.
+
+    Rasters go to their cameras as arrays, in which samples look their cells up,
+    and rays are compared where they were made: no sample is shuffled. The
+    cameras of an area are dealt over ``SLICES`` parts, each with the raster once,
+    so an area with many cameras is no single task.
+    """
+    parts = int(cameras.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = [x for x in cells.columns if x not in ("area", "row", "col")]
+    own = cameras.select("vp_id", "area", "lat", "lng", "alt", "head", "fov", "b", F.pmod(F.xxhash64("vp_id"), F.lit(SLICES)).alias("slice"))
+    rasters = own.select("area", "slice").distinct().join(packed(cells, height, width), "area")
+    met = own.repartition(parts, "area", "slice").join(rasters.repartition(parts, "area", "slice"), ["area", "slice"])
+    found = rays(met, height, width, n, steps).withColumn("cell", F.get("cells", F.col("row") * width + F.col("col"))).drop("cells").filter("cell IS NOT NULL")
+    seen = found.select("vp_id", "area", "slice", "alt", "ray", "step", "dist", "row", "col", *[F.col("cell")[v].alias(v) for v in values]).withColumn("angle", F.atan2(F.col("elev") - F.col("alt"), F.col("dist")))
+    # Keyed by what the join has dealt the rows by, and the ray.
+    before = F.max("angle").over(W.partitionBy("area", "slice", "vp_id", "ray").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
+    return seen.withColumn("visible", F.col("angle") > F.coalesce(before, F.lit(-math.pi / 2))).drop("slice")
 
 
 def entropy(count: Column, total: Column) -> Column:
@@ -128,7 +153,7 @@ def all_scores(cameras: DataFrame, surface: DataFrame, water: DataFrame, side: i
 
     The view is written once, as every score reads it.
     """
-    view = checkpointed(viewshed(rays(cameras, side, side), surface.select("area", "row", "col", "elev", "interest")))
+    view = checkpointed(views(cameras, surface.select("area", "row", "col", "elev", "interest"), side, side))
     limits = surface.groupBy("area").agg(F.percentile("interest", F.lit(0.75)).alias("p75"))
     rows, cols = reach(F.col("b"), side)
     grid = cameras.withColumn("__g", geo.geo_to_grid(F.col("lat"), F.col("lng"), F.col("b"), side, side)).select("vp_id", "area", "alt", F.bround("__g.row").cast("int").alias("row"), F.bround("__g.col").cast("int").alias("col"), rows.alias("rows"), cols.alias("cols"))

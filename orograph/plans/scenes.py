@@ -170,7 +170,7 @@ def cameras(spark, d):
 
 
 def view(spark, d):
-    return visibility.viewshed(visibility.rays(cameras(spark, d), 64, 64), cells(spark, d).withColumn("interest", (c("elev") - 187.0) / 2500.0))
+    return visibility.views(cameras(spark, d), cells(spark, d).withColumn("interest", (c("elev") - 187.0) / 2500.0), 64, 64)
 
 
 @query("g11_viewshed", f"WITH {RAY_SQL} SELECT vp_id, ray, count(*) AS samples, count(*) FILTER (visible) AS seen FROM view GROUP BY vp_id, ray")
