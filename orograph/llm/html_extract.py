@@ -44,8 +44,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of classes and ids; whole parts between separators.
 BOILERPLATE = frozenset("ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer foot masthead header topbar toolbar share sharing social related recommended recommendations popular trending comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notification alert modal popup overlay newsletter subscribe subscription signup login search widget hidden tags taglist copyright legal".split())
 PLAIN = frozenset("article content main body post entry story text".split())
-#: Of these words, those that drop an element within an article too; the others can name prose there (side effects, legal history).
-NEVER_PROSE = frozenset("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored sidebar navbar breadcrumb breadcrumbs pagination pager share sharing comment comments commentlist disqus respond replies cookie cookies consent gdpr popup newsletter subscribe subscription taglist related recommended".split())
+#: Of BOILERPLATE, words that can name prose as well (side effects, legal history): they count only where nothing else is named beside them but layout.
+AMBIGUOUS = frozenset("side legal search social popular trending tags alert hidden reply replies respond copyright promotion widget foot header notification login signup overlay".split())
+LAYOUT = frozenset("site page top bottom left right global user form box bar panel wrapper wrap container inner outer area block section links link list item items button primary secondary mobile desktop sticky fixed js row col column group region module icon nav menu header footer".split())
+#: First words that say what isn't there, or that something stands beside.
+BESIDE = frozenset("no has with without non is".split())
+#: Words that drop an element within an article too, whatever stands beside them.
+NEVER_PROSE = BOILERPLATE - AMBIGUOUS
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Open elements that end where one of the key begins, unless a boundary stands between.
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "td th tr", "tbody": "td th tr", "thead": "td th tr", "tfoot": "td th tr", "td": "td th", "th": "td th", "option": "option", "optgroup": "option"}
@@ -71,12 +76,17 @@ def is_boilerplate(tag: str, attributes: str, within_article: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
         return True
-    for name in ("class", "id"):
-        if name in found:
-            parts = {p.lower() for p in PART.findall(found[name])}
-            if parts & (NEVER_PROSE if within_article else BOILERPLATE) and not (parts & PLAIN and not parts & {"comment", "comments", "sidebar", "related", "ad", "ads"}):
-                return True
-    return False
+    return any(names_boilerplate(name, within_article) for key in ("class", "id") for name in found.get(key, "").split())
+
+
+def names_boilerplate(name: str, within_article: bool) -> bool:
+    """Whether a class or id (``main-menu``, ``cookieNotice``) names what isn't main text. Its words count together: ``side-effects`` is no side, ``side-bar`` is one."""
+    parts = [p.lower() for p in PART.findall(name)]
+    if not parts or parts[0] in BESIDE:
+        return False
+    if not NEVER_PROSE.isdisjoint(parts):
+        return True
+    return not within_article and not AMBIGUOUS.isdisjoint(parts) and all(p in AMBIGUOUS or p in LAYOUT or p.isdigit() for p in parts)
 
 
 class Open:
@@ -131,8 +141,8 @@ class Open:
                 self.cut(min(within))
 
 
-def parse(html: str) -> Node:
-    """The element tree; unclosed elements end where HTML ends them."""
+def parse(html: str, forms: bool = False) -> Node:
+    """The element tree; unclosed elements end where HTML ends them. With ``forms`` a form is an element as any other, and only its fields are dropped."""
     tree = Open()
     at, end, broken = 0, len(html), False
     while at < end:
@@ -172,7 +182,7 @@ def parse(html: str) -> Node:
             continue
         tree.begin(tag)
         here = tree.stack[-1]
-        child = Node(tag, here, here.dropped or is_boilerplate(tag, attributes, tree.within_article()))
+        child = Node(tag, here, here.dropped or (not (forms and tag == "form") and is_boilerplate(tag, attributes, tree.within_article())))
         here.children.append(child)
         if tag in VOID or (attributes.endswith("/") and tag not in BLOCK):
             continue
@@ -222,6 +232,16 @@ def score(node: Node) -> float:
     return node.points * (1 - (node.linked / node.length if node.length else 0.0)) * (1.5 if node.tag in ("article", "main") else 1)
 
 
+def heads(node: Node) -> bool:
+    """Whether an element is a heading, or holds one and nothing else."""
+    while node.tag not in ("h1", "h2"):
+        inner = [c for c in node.children if (type(c) is Node and not c.dropped and c.length) or (type(c) is str and not c.isspace())]
+        if len(inner) != 1 or type(inner[0]) is str:
+            return False
+        node = inner[0]
+    return True
+
+
 def best_nodes(root: Node) -> list[Node]:
     """The best container with its kept siblings, in page order; an enclosing article or main element stands for it."""
     best, top, stack, body = None, 0.0, [root], root
@@ -249,7 +269,7 @@ def best_nodes(root: Node) -> list[Node]:
             kept.append(c)
         elif type(c) is Node and not c.dropped and c.length:
             density = c.linked / c.length
-            if score(c) >= max(2.0, 0.2 * top) or (c.tag == "p" and density < 0.25 and c.length > 80) or (c.tag in ("h1", "h2") and density < 0.25):
+            if score(c) >= max(2.0, 0.2 * top) or (c.tag == "p" and density < 0.25 and c.length > 80) or (heads(c) and density < 0.25):
                 kept.append(c)
     return kept
 
@@ -291,7 +311,13 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     measure(root)
-    return "\n".join(blocks(best_nodes(root)))
+    text = "\n".join(blocks(best_nodes(root)))
+    if not text and "<form" in html.lower():
+        # A form around the whole page.
+        root = parse(html, forms=True)
+        measure(root)
+        text = "\n".join(blocks(best_nodes(root)))
+    return text
 
 
 def extract(pages: list[str | None]) -> list[tuple]:
