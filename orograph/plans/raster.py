@@ -273,7 +273,8 @@ def n13(spark, d):
     return features.rasterised(v, raster.SIDE, raster.SIDE)
 
 
-POINT_SQL = "pt AS (SELECT c_custkey AS pid, -84.0 + (c_custkey * 7919 % 16800) / 100.0 AS lat, -180.0 + (c_custkey * 613 % 36000) / 100.0 AS lng FROM customer), fx AS (SELECT *, (lng + 180.0) / 360.0 * 4 AS tx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4 AS ty FROM pt), px AS (SELECT *, CAST(floor(tx) AS INTEGER) AS x0, CAST(floor(ty) AS INTEGER) AS y0, (tx - floor(tx)) * 64 AS fx, (ty - floor(ty)) * 64 AS fy FROM fx), nb AS (SELECT pid, lat, x0, y0, i, j, CAST(floor(fx) AS INTEGER) AS ix, CAST(floor(fy) AS INTEGER) AS iy, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM px, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)), four AS (SELECT pid, lat, x0, y0, (x0 + (ix + i) // 64) % 4 AS x, LEAST(3, y0 + (iy + j) // 64) AS y, (ix + i) % 64 AS px, (iy + j) % 64 AS py, w FROM nb)"
+#: Areas are the tiles of the least zoom, 2 or more, that has a place for each.
+POINT_SQL = "zz AS (SELECT z, CAST(power(2, z) AS INTEGER) AS nn FROM (SELECT GREATEST(2, CAST(ceil(ln(max(vec_id) // 64 + 1) / ln(4)) AS INTEGER)) AS z FROM embeddings) m), pt AS (SELECT c_custkey AS pid, -84.0 + (c_custkey * 7919 % 16800) / 100.0 AS lat, -180.0 + (c_custkey * 613 % 36000) / 100.0 AS lng FROM customer), fx AS (SELECT *, (lng + 180.0) / 360.0 * nn AS tx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * nn AS ty FROM pt, zz), px AS (SELECT *, CAST(floor(tx) AS INTEGER) AS x0, CAST(floor(ty) AS INTEGER) AS y0, (tx - floor(tx)) * 64 AS fx, (ty - floor(ty)) * 64 AS fy FROM fx), nb AS (SELECT pid, lat, z, nn, x0, y0, i, j, CAST(floor(fx) AS INTEGER) AS ix, CAST(floor(fy) AS INTEGER) AS iy, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM px, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)), four AS (SELECT pid, lat, z, nn, x0, y0, (x0 + (ix + i) // 64) % nn AS x, LEAST(nn - 1, y0 + (iy + j) // 64) AS y, (ix + i) % 64 AS px, (iy + j) % 64 AS py, w FROM nb)"
 
 
 def tile_points(spark, d):
@@ -281,21 +282,28 @@ def tile_points(spark, d):
     return table(spark, d, "customer").select(k.alias("pid"), (F.lit(-84.0) + (k * 7919 % 16800) / 100.0).alias("lat"), (F.lit(-180.0) + (k * 613 % 36000) / 100.0).alias("lng"))
 
 
-def tile_pixels(spark, d):
-    """Areas as the sixteen tiles of zoom 2, those beyond over again; what isn't there is missing."""
-    a = c("area")
-    return raster.whole(cells(spark, d)).filter(a < 16).select(F.lit(2).alias("z"), (a % 4).cast("int").alias("x"), (a / 4).cast("int").alias("y"), c("row").alias("py"), c("col").alias("px"), "elev")
+def tile_zoom(spark, d):
+    """The least zoom, 2 or more, whose tiles have a place for every area."""
+    areas = table(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / raster.SIDE) + 1).first()[0]  # one number
+    return next(z for z in range(2, 32) if 4**z >= areas)
+
+
+def tile_pixels(spark, d, zoom):
+    """Areas as tiles, all of them with what rows they have; pixels that aren't there are missing."""
+    a, n = c("area"), 2**zoom
+    return cells(spark, d).select(F.lit(zoom).alias("z"), (a % n).cast("int").alias("x"), F.expr(f"area div {n}").cast("int").alias("y"), c("row").alias("py"), c("col").alias("px"), "elev")
 
 
-@query("n15_point_elevation", f"""WITH {CELLS_SQL}, {POINT_SQL}, tile AS (SELECT CAST(area % 4 AS INTEGER) AS x, CAST(area // 4 AS INTEGER) AS y, "row" AS py, col AS px, elev FROM cells WHERE area < 16 AND area IN (SELECT area FROM cells GROUP BY 1 HAVING count(*) = 4096)),
-v AS (SELECT f.pid, any_value(f.lat) AS lat, sum(w * coalesce(t.elev, o.elev)) AS v, count(coalesce(t.elev, o.elev)) AS n FROM four f LEFT JOIN tile t ON t.x = f.x AND t.y = f.y AND t.px = f.px AND t.py = f.py LEFT JOIN tile o ON o.x = f.x0 AND o.y = f.y0 AND o.px = f.px AND o.py = f.py GROUP BY f.pid)
-SELECT pid, CASE WHEN n = 4 THEN round_even(v, 2) END AS elevation, round_even(2 * pi() * 6378137.0 * cos(radians(lat)) / 256, 3) AS meters_per_pixel FROM v""")
+@query("n15_point_elevation", f"""WITH {CELLS_SQL}, {POINT_SQL}, tile AS (SELECT CAST(area % nn AS INTEGER) AS x, CAST(area // nn AS INTEGER) AS y, "row" AS py, col AS px, elev FROM cells, zz),
+v AS (SELECT f.pid, any_value(f.lat) AS lat, any_value(f.nn) AS nn, sum(w * coalesce(t.elev, o.elev)) AS v, count(coalesce(t.elev, o.elev)) AS n FROM four f LEFT JOIN tile t ON t.x = f.x AND t.y = f.y AND t.px = f.px AND t.py = f.py LEFT JOIN tile o ON o.x = f.x0 AND o.y = f.y0 AND o.px = f.px AND o.py = f.py GROUP BY f.pid)
+SELECT pid, CASE WHEN n = 4 THEN round_even(v, 2) END AS elevation, round_even(2 * pi() * 6378137.0 * cos(radians(lat)) / (nn * 64), 3) AS meters_per_pixel FROM v""")
 def n15(spark, d):
-    """Places on tiles, over seams and around the globe; a missing neighbour is stood in for by the own tile."""
-    return points.elevation(tile_points(spark, d), tile_pixels(spark, d), 2, raster.SIDE).select("pid", "elevation", "meters_per_pixel")
+    """Places on the tiles of every area, over seams and around the globe; a missing neighbour is stood in for by the own tile."""
+    zoom = tile_zoom(spark, d)
+    return points.elevation(tile_points(spark, d), tile_pixels(spark, d, zoom), zoom, raster.SIDE).select("pid", "elevation", "meters_per_pixel")
 
 
-@query("u4_point_tiles", f"WITH {POINT_SQL} SELECT pid, array_to_string(list_sort(list_distinct(list('2/' || x || '/' || y))), ',') AS tiles FROM four GROUP BY pid")
+@query("u4_point_tiles", f"WITH {POINT_SQL} SELECT pid, array_to_string(list_sort(list_distinct(list(z || '/' || x || '/' || y))), ',') AS tiles FROM four GROUP BY pid")
 def u4(spark, d):
-    found = points.tiles_of(tile_points(spark, d), 2, raster.SIDE)
+    found = points.tiles_of(tile_points(spark, d), tile_zoom(spark, d), raster.SIDE)
     return found.select("pid", F.array_join(F.transform("tiles", lambda t: F.concat_ws("/", t["z"].cast("string"), t["x"].cast("string"), t["y"].cast("string"))), ",").alias("tiles"))

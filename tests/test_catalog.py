@@ -6,7 +6,7 @@ import pytest
 from orograph.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["p1_bounds", "p6_tile_list", "p20_project", "n1_n2_slope", "n4_relief", "g5_components", "f7_hotspots", "j1_distance_join", "g11_viewshed", "st4_fold_parts", "a22_render_score", "a19_cosine"]
+SAMPLE = ["p1_bounds", "p6_tile_list", "p20_project", "n1_n2_slope", "n4_relief", "g5_components", "f7_hotspots", "j1_distance_join", "g11_viewshed", "st4_fold_parts", "a22_render_score", "a19_cosine", "a20_composition", "j11_call_matching", "j11_call_state", "st5_tool_calls", "st5_tool_calls_state", "snk10_session_store", "st_session_windows", "p6_sql_text", "n15_point_elevation", "api14_problems"]
 
 
 def plain(value):
