@@ -37,6 +37,8 @@ from orograph.llm.common import table
 
 #: Cells of a first sketch and growth on failure; characters of a paragraph, which its digest has room for; parts a shuffle partition.
 CELLS, GROWTH, MOST, PARTS = 24, 4, 32_768, 8
+#: Larger sketches that are tried, and cells of the largest: as many as the cells' numbers reach.
+TRIES, MOST_CELLS = 4, 3 << 20
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _powers = np.ones(1, np.uint64)
@@ -157,11 +159,18 @@ class Paragraphs:
 
 
 def difference(a: Paragraphs, b: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
-    """Paragraph digests of a alone and of b alone. If the first sketches don't peel, larger ones are made: of twice as many cells as there are digests, then ever larger."""
+    """Paragraph digests of a alone and of b alone.
+
+    If the first sketches don't peel, larger ones are made: of twice as many cells
+    as there are digests, then larger. After ``TRIES``, or where that would take
+    more than ``MOST_CELLS``, the digests themselves are compared.
+    """
     got, cells = peel(a.first, b.first), 6 * (-(-(len(a.keys) + len(b.keys)) // 3))
-    while got is None:
+    for _ in range(TRIES):
+        if got is not None or cells > MOST_CELLS:
+            break
         got, cells = peel(sketch(a.keys, cells), sketch(b.keys, cells)), cells * GROWTH
-    return got
+    return (np.setdiff1d(a.keys, b.keys), np.setdiff1d(b.keys, a.keys)) if got is None else got
 
 
 def likeness(a: Paragraphs, b: Paragraphs) -> float:

@@ -2,7 +2,7 @@
 
 1. Documents are encoded; each gives pieces of ``CAPACITY`` tokens, sequences of
    their own, and a rest. Every ``FILLER``-th rest of a task is set aside with
-   its ids. The others are counted by length, rounded up by at most a 64th.
+   its ids. The others are counted by length, rounded up by at most a 32nd.
 2. The linear program over patterns (how many rests of each length a sequence
    holds) is solved by column generation: the program's prices go to a knapsack
    by dynamic programming, whose best pattern enters, until the bound says that
@@ -147,7 +147,7 @@ def encoder(path: str | None = None) -> WordEncoder:
 
 
 def rounded(length: int) -> int:
-    """The length up to a 64th: exact to 64, then in steps that double with the length."""
+    """The length up to a 32nd: exact to 64, then in steps that double with the length."""
     step = 1 << max(0, (length - 1).bit_length() - 6)
     return -(-length // step) * step
 

@@ -40,7 +40,7 @@ LETTERS = len(ALPHABET) + 1  # one more for any other character and the start
 PARTS = "get set add new old max min user name file path data list item node index count size key value table row column query filter sort order group join merge split load save read write open close start stop run init build make test check find search match replace insert update delete remove create page view form field input output error warn info debug log time date day week month year hour minute second local remote host port server client request response header body status code message event handler listener manager factory service config option setting default static final public private class object array string number float double int long bool map set queue stack tree graph edge vertex matrix vector image video audio text font color width height left right top bottom center".split()
 #: Pieces of words in the languages of usual corpora; long words and compounds are put together from them.
 PIECES = "the ing tion ation ment ness able ible less ful ship ward inter trans over under counter micro multi super anti auto bio geo photo graph phone scope logy logical ism ist ity ous ive ance ence ize ized ization er ers or al ly un re de dis pre pro con com per sub ex en in im non out up down land house work man stone water light ground book school way side time line fall wind mill comp respons commun inform develop govern environ establish represent understand consider friend question straight strength thought through knowledge der die das und ein eine einer einem nicht ver be ge zer ent er auf aus ab an bei vor nach zu zum ung ungen heit keit lich lichkeit schaft schaften isch ieren chen lein bar sam los haft tum nis schiff fahrt gesell recht rechts steuer haupt bahn hof stadt straße strasse wasser arbeit arbeits zeit geschwindig begrenz versicher verwalt bund bundes land wirt kraft werk zeug fahr zug kranken haus kind garten schul lehr buch sprach wissen technik pfleg pfl sch tz st sp kn qu pf ich ach och auch doch durch zwischen les des est pas que qui une dans pour avec sur eux aux eau eaux elle elles ette tion sion ment ments ique able eur euse esse age ance aient aire oir oire ille ouille ou oui oue ai au ail ch chou cha che bou bre tre ple ier iere constitution anticipation gouverne développe developpe administr intern nation alis el los las una con por para mente mento cion ciones ado ada ados adas ando iendo idad idades ista ismo able ible ero era ería eria ura oso osa des en em sobre entre contra trans desarroll conoci respons interna cional ra re ri ro ru ma me mi mo la le li lo ta te ti to ca co ci ce cu sa se si so na ne ni no pa pe pi po ba be bi bo da de di do ga go gue gui ja jo lla llo ña vi va za zo".split()
-#: The threshold on the mean log-likelihood ratio per character, that of runs of letters alone (rare words of any language come near random ones; of 16 random letters or more 98 % lie above), and samples a class.
+#: The threshold on the mean log-likelihood ratio per character, that of runs of letters alone (rare words of any language come near random ones; of random letters 96 to 99 % of runs lie above), and samples a class.
 THRESHOLD, LETTERS_THRESHOLD, SAMPLES = 0.45, 1.3, 4000
 
 

@@ -197,7 +197,7 @@ def test_toxicity_learns_and_defaults(spark, docs):
 
 def test_every_query_is_registered():
     names = registry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and set(registry.oracle_sql()) <= set(names)
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)} and set(registry.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages_keep_rows_without_ids_or_texts(spark, docs):
