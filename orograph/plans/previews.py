@@ -50,10 +50,10 @@ def a20(spark, d):
     return s.select("vp", F.round("s.mean_px", 4).alias("mean_px"), "s.passed")
 
 
-#: Customers are cameras and their orders anchors, placed around them in whole steps: some behind, some at the wanted point.
+#: Customers are cameras and their orders anchors, placed around them in whole steps and a little beside, as none may lie at the camera: some behind, some near the wanted point.
 VIEWS_SQL = """
 WITH v AS (SELECT c_custkey AS k, 39.5 + (c_custkey * 7919 % 1000) / 2000.0 AS lat, -105.5 + (c_custkey * 104729 % 1000) / 2000.0 AS lng, 500.0 + c_custkey * 37 % 2000 AS alt, radians((c_custkey % 60) - 30.0) AS h, radians((c_custkey * 17 % 20) - 10.0) AS p, radians((c_custkey % 5) - 2.0) AS r, (c_custkey * 17 % 20) - 10.0 AS pitch, 30.0 + c_custkey * 13 % 60 AS fov, c_custkey % 7 = 0 AS line, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 10) / 10.0 END AS horizon FROM customer),
-     a AS (SELECT v.*, lat + ((o_orderkey % 41) - 12) / 1000.0 AS lat2, lng + ((o_orderkey * 7 % 31) - 15) / 2000.0 AS lng2, alt + (o_orderkey % 300) - 200.0 AS alt2, 0.25 + (o_orderkey % 3) / 4.0 AS x, 0.25 + (o_orderkey % 2) / 2.0 AS y FROM orders JOIN v ON o_custkey = k),
+     a AS (SELECT v.*, lat + ((o_orderkey % 41) - 12) / 1000.0 + 0.00017 AS lat2, lng + ((o_orderkey * 7 % 31) - 15) / 2000.0 + 0.00013 AS lng2, alt + (o_orderkey % 300) - 200.0 AS alt2, 0.25 + (o_orderkey % 3) / 4.0 AS x, 0.25 + (o_orderkey % 2) / 2.0 AS y FROM orders JOIN v ON o_custkey = k),
      m AS (SELECT *, 6378137.0 / sqrt(1 - 0.00669437999014 * power(sin(radians(lat)), 2)) AS n1, 6378137.0 / sqrt(1 - 0.00669437999014 * power(sin(radians(lat2)), 2)) AS n2 FROM a),
      d AS (SELECT *, (n2 + alt2) * cos(radians(lat2)) * cos(radians(lng2)) - (n1 + alt) * cos(radians(lat)) * cos(radians(lng)) AS dx, (n2 + alt2) * cos(radians(lat2)) * sin(radians(lng2)) - (n1 + alt) * cos(radians(lat)) * sin(radians(lng)) AS dy, (n2 * (1 - 0.00669437999014) + alt2) * sin(radians(lat2)) - (n1 * (1 - 0.00669437999014) + alt) * sin(radians(lat)) AS dz FROM m),
      l AS (SELECT *, cos(radians(lng)) * dy - sin(radians(lng)) * dx AS e, cos(radians(lat)) * dz - sin(radians(lat)) * (cos(radians(lng)) * dx + sin(radians(lng)) * dy) AS n, cos(radians(lat)) * (cos(radians(lng)) * dx + sin(radians(lng)) * dy) + sin(radians(lat)) * dz AS u FROM d),
@@ -73,7 +73,7 @@ def a20_composition(spark, d):
         k.alias("k"), (F.lit(39.5) + (k * 7919 % 1000) / 2000.0).alias("lat"), (F.lit(-105.5) + (k * 104729 % 1000) / 2000.0).alias("lng"), (F.lit(500.0) + k * 37 % 2000).alias("alt"), ((k % 60) - 30.0).alias("head"), ((k * 17 % 20) - 10.0).alias("pitch"), ((k % 5) - 2.0).alias("roll"),
         (F.lit(30.0) + k * 13 % 60).alias("fov"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.when(k % 7 == 0, "leading_line").otherwise("rule_of_thirds").alias("template"), F.when(k % 3 != 0, (k % 10) / 10.0).alias("horizon_ratio"),
     )
-    anchor = F.struct(((o % 41 - 12) / 1000.0).alias("lat"), ((o * 7 % 31 - 15) / 2000.0).alias("lng"), ((o % 300) - 200.0).alias("alt_meters"), (F.lit(0.25) + (o % 3) / 4.0).alias("desired_normalized_x"), (F.lit(0.25) + (o % 2) / 2.0).alias("desired_normalized_y"))
+    anchor = F.struct(((o % 41 - 12) / 1000.0 + 0.00017).alias("lat"), ((o * 7 % 31 - 15) / 2000.0 + 0.00013).alias("lng"), ((o % 300) - 200.0).alias("alt_meters"), (F.lit(0.25) + (o % 3) / 4.0).alias("desired_normalized_x"), (F.lit(0.25) + (o % 2) / 2.0).alias("desired_normalized_y"))
     own = table(spark, d, "orders").groupBy(c("o_custkey").alias("k")).agg(F.collect_list(anchor).alias("anchors"))
     around = F.transform("anchors", lambda a: F.struct((c("lat") + a["lat"]).alias("lat"), (c("lng") + a["lng"]).alias("lng"), (c("alt") + a["alt_meters"]).alias("alt_meters"), a["desired_normalized_x"], a["desired_normalized_y"]))
     views = view.join(own, "k", "left").withColumn("anchors", around)
