@@ -97,7 +97,7 @@ def test_wall_hides_what_is_behind(spark):
     cells = surface(spark, F.when(F.col("row").between(18, 21), 5000.0).otherwise(100.0)).withColumn("interest", F.lit(1.0))
     b = F.struct(F.lit(47.05).alias("north"), F.lit(46.95).alias("south"), F.lit(-121.95).alias("east"), F.lit(-122.05).alias("west"))
     camera = spark.range(1).select(F.lit(0).alias("vp_id"), F.lit(0).cast("long").alias("area"), F.lit(47.045).alias("lat"), F.lit(-122.0).alias("lng"), F.lit(110.0).alias("alt"), F.lit(180.0).alias("head"), F.lit(180.0).alias("fov"), b.alias("b"))
-    view = visibility.viewshed(visibility.rays(camera, SIDE, SIDE), cells)
+    view = visibility.views(camera, cells, SIDE, SIDE)
     share = view.filter("row >= 35").agg(F.avg(F.col("visible").cast("int"))).first()[0]
     assert share < 0.3
 
