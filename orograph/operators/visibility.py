@@ -125,7 +125,7 @@ def prospect_refuge(view: DataFrame, cells: DataFrame, cameras: DataFrame) -> Da
     seen = view.filter("visible").select("vp_id", "area", "row", "col").distinct().groupBy("vp_id", "area").agg(F.count(F.lit(1)).alias("seen")).join(size, "area").select("vp_id", (F.col("seen") / F.col("all")).alias("prospect"))
     step = lambda n: F.explode(F.sequence(-F.col(n), F.col(n)))
     around = cameras.withColumn("__r", step("rows")).withColumn("__c", step("cols")).select("vp_id", "area", "alt", (F.col("row") + F.col("__r")).alias("row"), (F.col("col") + F.col("__c")).alias("col"))
-    refuge = around.join(cells.select("area", "row", "col", "elev"), ["area", "row", "col"]).groupBy("vp_id").agg(F.avg((F.col("elev") > F.col("alt")).cast("int")).alias("refuge"))
+    refuge = around.join(cells.select("area", "row", "col", "elev").hint("merge"), ["area", "row", "col"]).groupBy("vp_id").agg(F.avg((F.col("elev") > F.col("alt")).cast("int")).alias("refuge"))
     both = cameras.select("vp_id").join(seen, "vp_id", "left").join(refuge, "vp_id", "left").fillna(0.0)
     total_ = F.col("prospect") + F.col("refuge")
     return both.select("vp_id", F.when(total_ > 0, 2 * F.col("prospect") * F.col("refuge") / F.when(total_ > 0, total_)).otherwise(F.lit(0.0)).alias("prospect"))
