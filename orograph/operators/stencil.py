@@ -107,11 +107,11 @@ def dilated(mask: DataFrame, cells: DataFrame) -> DataFrame:
 def bilinear(points: DataFrame, cells: DataFrame, height: int, width: int) -> DataFrame:
     """Adds ``value`` to points (area, r, c: fractional, clamped): four cells by one equi-join and an aggregate.
 
-    ``points`` needs a column ``pid`` that is unique.
+    ``points`` needs a column ``pid`` that is unique. Both sides are shuffled, as points that were made from few rows would be taken for few.
     """
     r, c = F.greatest(F.lit(0.0), F.least(F.lit(height - 1.0), F.col("r"))), F.greatest(F.lit(0.0), F.least(F.lit(width - 1.0), F.col("c")))
     p = points.select("pid", "area", r.alias("__r"), c.alias("__c")).withColumns({"__r0": F.least(F.floor("__r"), F.lit(height - 2)).cast("int"), "__c0": F.least(F.floor("__c"), F.lit(width - 2)).cast("int")})
     corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
     q = p.withColumn("q", F.explode(corners)).select("pid", "area", (F.col("__r0") + F.col("q.i")).alias("row"), (F.col("__c0") + F.col("q.j")).alias("col"), ((F.lit(1.0) - F.abs(F.col("__r") - F.col("__r0") - F.col("q.i"))) * (F.lit(1.0) - F.abs(F.col("__c") - F.col("__c0") - F.col("q.j")))).alias("w"))
-    value = q.join(cells.select("area", "row", "col", "elev"), ["area", "row", "col"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("elev")).alias("value"))
+    value = q.join(cells.select("area", "row", "col", "elev").hint("merge"), ["area", "row", "col"]).groupBy("pid").agg(F.sum(F.col("w") * F.col("elev")).alias("value"))
     return points.join(value, "pid", "left")
