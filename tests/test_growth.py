@@ -14,7 +14,7 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["g12_line_of_sight", "a9_prospect_refuge"])
+@pytest.mark.parametrize("name", ["n16_resample", "g12_line_of_sight", "a9_prospect_refuge"])
 def test_places_made_from_few_rows_are_not_broadcast(spark, name):
     plan = final_plan(QUERIES[name](spark, SF))
     assert re.search(r"SortMergeJoin[^\n]*\[area[^\]]*row[^\]]*col", plan)
