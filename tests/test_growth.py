@@ -19,3 +19,12 @@ def test_places_made_from_few_rows_are_not_broadcast(spark, name):
     plan = final_plan(QUERIES[name](spark, SF))
     assert re.search(r"SortMergeJoin[^\n]*\[area[^\]]*row[^\]]*col", plan)
     assert not re.search(r"BroadcastHashJoin[^\n]*\[area[^\]]*row[^\]]*col", plan)
+
+
+def test_tiles_of_points_are_in_the_order_of_their_names(spark, tmp_path):
+    """Two hundred areas need zoom 4, whose columns have one and two digits."""
+    spark.range(64 * 200).selectExpr("id AS vec_id", "array(0.5f) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.range(30_000).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    found = [r["tiles"].split(",") for r in QUERIES["u4_point_tiles"](spark, str(tmp_path)).collect()]
+    assert any("4/9/" in a and "4/10/" in b for t in found for a in t for b in t)
+    assert all(t == sorted(set(t)) for t in found)
