@@ -19,13 +19,13 @@ def reference_id(when: Column, token: Column) -> Column:
     return F.concat(F.lit("style-ref-"), F.date_format(when, "yyyyMMdd"), F.lit("-"), F.substring(F.regexp_replace(token, "-", ""), 1, 8))
 
 
-def references(uploads: DataFrame, token: Column | None = None) -> DataFrame:
-    """Rows of the store for uploads (filename, content_type, label, created_at, height, width, fingerprint)."""
+def references(uploads: DataFrame, token: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the store for uploads (filename, content_type, label, created_at, height, width, fingerprint), with their ``keys``: in a large store a day's uploads can share the eight digits of an id."""
     made = reference_id(F.col("created_at"), token if token is not None else F.uuid())
     known = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
     original = F.concat(F.lit("original"), F.coalesce(F.try_element_at(known, F.col("content_type")), F.lit(".bin")))
     meta = F.struct("filename", "content_type", "label", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"), F.array("height", "width").alias("normalized_shape"))
-    return uploads.select(made.alias("reference_id"), original.alias("original"), "created_at", F.to_json(meta).alias("metadata"), F.col("fingerprint"))
+    return uploads.select(*keys, made.alias("reference_id"), original.alias("original"), "created_at", F.to_json(meta).alias("metadata"), F.col("fingerprint"))
 
 
 def age_hours(created: Column, now: Column) -> Column:

@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from orograph.plans import previews
 from orograph.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,14 @@ def test_tiles_of_points_are_in_the_order_of_their_names(spark, tmp_path):
     found = [r["tiles"].split(",") for r in QUERIES["u4_point_tiles"](spark, str(tmp_path)).collect()]
     assert any("4/9/" in a and "4/10/" in b for t in found for a in t for b in t)
     assert all(t == sorted(set(t)) for t in found)
+
+
+def test_references_that_share_an_id_are_asked_for_one_by_one(spark, monkeypatch):
+    made = previews.uploads
+    monkeypatch.setattr(previews, "uploads", lambda s, d: made(s, d).withColumn("token", F.lit("a" * 64)))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    newest = events.agg(F.max("ts")).first()[0]
+    fresh = F.unix_micros(F.lit(newest).cast("timestamp")) - F.unix_micros(F.date_trunc("second", F.col("ts").cast("timestamp"))) <= 24 * 3_600_000_000
+    expected = events.filter(fresh & (F.col("event_id") % 2 == 0)).count()
+    assert 0 < expected < events.filter(fresh).count()
+    assert QUERIES["src7_reference_load"](spark, SF).count() == expected
