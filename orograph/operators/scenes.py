@@ -44,7 +44,10 @@ def candidates(hotspots: DataFrame, features: DataFrame) -> DataFrame:
     f = features.select(F.col("area").alias("__area"), "feature_id", F.col("kind"), F.col("ord").alias("__ord"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("score").alias("__score"))
     near = spatial.within(hotspots, f, CLUSTER_M).filter(F.col("area") == F.col("__area"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    grouped = near.groupBy("area", "hotspot_id", "ord", "lat", "lng", "score").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), F.col("__ord").alias("o"), "feature_id", "kind"))).alias("f"), F.avg("__score").alias("anchors"))
+    # The mean is summed in the features' order: in that of a shuffle its last digit, and so what is rounded from a tie, would differ from run to run.
+    parts = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("__ord", rank.alias("k"), "__score"))), lambda x: x["__score"]), lambda s: s.isNotNull())
+    anchors = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts))
+    grouped = near.groupBy("area", "hotspot_id", "ord", "lat", "lng", "score").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), F.col("__ord").alias("o"), "feature_id", "kind"))).alias("f"), anchors.alias("anchors"))
     kept = grouped.filter(F.size("f") >= 2).withColumn("type", classify(F.col("f.kind")))
     return kept.select("area", "hotspot_id", "ord", "lat", "lng", F.col("f.feature_id").alias("feature_ids"), "type", F.bround(F.lit(0.6) * F.col("score") + F.lit(0.4) * F.col("anchors"), 2).alias("score"))
 

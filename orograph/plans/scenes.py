@@ -25,13 +25,13 @@ def area_of(k):
 
 def hotspots(spark, d):
     k = c("s_suppkey")
-    return table(spark, d, "supplier").select(area_of(k).alias("area"), F.concat(F.lit("hotspot-"), k).alias("hotspot_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 7919 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 613 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 90 + 10) / 100.0).alias("score"))
+    return table(spark, d, "supplier").select(area_of(k).alias("area"), F.concat(F.lit("hotspot-"), k).alias("hotspot_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 7919 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 613 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 3 / 10.0).alias("lng"), ((k % 90 + 10) / 100.0).alias("score"))
 
 
 def features(spark, d):
     k = c("c_custkey")
     pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 4 + 1).cast("int"))
-    return table(spark, d, "customer").select(area_of(k).alias("area"), pick(*scenes.KINDS).alias("kind"), F.concat(pick("peak-", "ridge-", "cliff-", "water-"), k).alias("feature_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 104729 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 271 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 0.3).alias("lng"), ((k % 100) / 100.0).alias("score"))
+    return table(spark, d, "customer").select(area_of(k).alias("area"), pick(*scenes.KINDS).alias("kind"), F.concat(pick("peak-", "ridge-", "cliff-", "water-"), k).alias("feature_id"), k.cast("int").alias("ord"), (F.lit(39.5) + (k * 104729 % 1000) / 4000.0).alias("lat"), (F.lit(-105.5) + (k * 271 % 1000) / 4000.0 + F.floor(k / 1000) % 900 * 3 / 10.0).alias("lng"), ((k % 100) / 100.0).alias("score"))
 
 
 @query("j1_distance_join", f"WITH {NEAR_SQL} SELECT hotspot_id, feature_id, round(meters, 3) AS meters FROM near WHERE meters <= 5000")
