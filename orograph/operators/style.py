@@ -157,8 +157,25 @@ def patch_fingerprints(cells: DataFrame) -> DataFrame:
 
 
 def patch_normals(cells: DataFrame) -> DataFrame:
-    """Mean direction of the gradient (degrees, of unit cells) within each full window, and its range over its width."""
-    p = patches(cells)
+    """Mean direction of the gradient (degrees, of unit cells) within each full window, and its range over its width.
+
+    The sum of central differences along a line, one-sided at its ends, needs the
+    first and last two cells only: windows are summed as cells pass, and none is
+    sorted. Windows in which cells are missing are taken line by line.
+    """
+    p, last = patches(cells), WINDOW - 1
+    r, c, keys = F.col("row") - F.col("r0"), F.col("col") - F.col("c0"), ["area", "r0", "c0"]
+    at = lambda x, i: F.sum(F.when(x == i, F.col("elev")).otherwise(F.lit(0.0)))
+    # Equal cells give equal sums, so flat windows have no gradient.
+    along = lambda x: (F.lit(1.5) * (at(x, last) - at(x, 0)) - F.lit(0.5) * (at(x, last - 1) - at(x, 1))) / WINDOW**2
+    steepness = ((F.max("elev") - F.min("elev")) / WINDOW).alias("steepness")
+    every = p.groupBy(*keys).agg(F.degrees(F.atan2(along(r), along(c))).alias("normal"), steepness, F.count("elev").alias("n"))
+    gaps = p.join(F.broadcast(every.filter(F.col("n") < WINDOW**2).select(*keys)), keys, "left_semi")
+    return every.filter(F.col("n") == WINDOW**2).drop("n").unionByName(line_normals(gaps))
+
+
+def line_normals(p: DataFrame) -> DataFrame:
+    """``patch_normals`` of windows (area, r0, c0, row, col, elev) by the lines of each."""
     g = p.withColumn("dx", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "row").orderBy("col"), 1.0)).withColumn("dy", stencil.difference("elev", W.partitionBy("area", "r0", "c0", "col").orderBy("row"), 1.0))
     return g.groupBy("area", "r0", "c0").agg(F.degrees(F.atan2(F.avg("dy"), F.avg("dx"))).alias("normal"), ((F.max("elev") - F.min("elev")) / WINDOW).alias("steepness"))
 

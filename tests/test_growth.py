@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from orograph.operators import scenes, style
 from orograph.plans import previews
 from orograph.plans.catalog import QUERIES
 
@@ -41,3 +42,30 @@ def test_references_that_share_an_id_are_asked_for_one_by_one(spark, monkeypatch
     expected = events.filter(fresh & (F.col("event_id") % 2 == 0)).count()
     assert 0 < expected < events.filter(fresh).count()
     assert QUERIES["src7_reference_load"](spark, SF).count() == expected
+
+
+def test_scenes_sum_their_features_in_order(spark):
+    """The mean of 0.1, 0.2 and 0.3 depends on the order of the sum: any order of rows gives the same score."""
+    hot = spark.createDataFrame([(1, "h", 0, 40.0, -105.0, 0.5)], "area long, hotspot_id string, ord int, lat double, lng double, score double")
+    # Summed in order 0.545 exactly or a digit beside it: whichever it is, it stays.
+    rows = [(1, "peaks", f"peak-{i}", i, 40.0, -105.0, s) for i, s in enumerate([0.07, 0.99, 0.29, 0.83, 0.41, 0.13, 0.57, 0.0])]
+    schema = "area long, kind string, feature_id string, ord int, lat double, lng double, score double"
+    results = {scenes.candidates(hot, spark.createDataFrame(order, schema)).select("score").first()[0] for order in (rows, rows[::-1], rows[1::2] + rows[::2])}
+    total = 0.0
+    for r in rows:
+        total += r[-1]
+    plan = scenes.candidates(hot, spark.createDataFrame(rows, schema))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(results) == 1 and abs(results.pop() - round(0.3 + 0.4 * total / len(rows), 2)) <= 0.0100001
+    assert "avg(" not in plan
+
+
+def test_window_normals_sort_nothing_unless_cells_are_missing(spark):
+    cells = QUERIES["src2_rgb_codec"](spark, SF).select("area", "row", "col", F.col("decoded").alias("elev"))
+    full = style.patch_normals(cells)
+    assert " Window [" not in final_plan(full).split("Initial Plan")[0]
+    holes = cells.filter("NOT (row = 11 AND col IN (0, 9, 40))")
+    for some in (cells, holes):
+        rounded = [{tuple(r[:3]): (round(r["normal"], 6), round(r["steepness"], 6)) for r in df.collect()} for df in (style.patch_normals(some), style.line_normals(style.patches(some)))]
+        assert rounded[0] == rounded[1] and rounded[0]
+    flat = cells.withColumn("elev", F.lit(1234.1))
+    assert {r["normal"] for r in style.patch_normals(flat).collect()} == {0.0}
