@@ -17,12 +17,15 @@
    dealt over chunks that share pivots; where that leaves several groups, what
    isn't in the largest meets its neighbours of the signature orders with their
    texts.
-4. Groups of linked classes get the smallest id.
+4. What neighbours can have missed is found exactly: classes of dense regions
+   and of large components that are in different groups meet by the rarest
+   shingles of their sets, of which two similar ones share one.
+5. Groups of linked classes get the smallest id.
 
 At a similarity of 0.85 a pair shares a region of at least one of 16 trees with
 a probability of 0.999993, and the signature test (0.76 of 256 values) misses it
-with one of 3e-5. In a region of more than ``REGION`` classes a pair must be
-among the ``SPAN`` nearest in one order; README has the recall measured.
+with one of 3e-5. Of a region of more than ``REGION`` classes, and of a component
+too large for a task, every link is found.
 
 Defined results: a text without words (or null) has an empty set and stands
 alone; rows with equal sets are linked whatever their ids; a null id never is
@@ -51,6 +54,8 @@ ESTIMATE, REGION, ORDERS, SPAN = 0.76, 512, 32, 256
 #: Classes and shingles of a component before it is dealt over chunks; pivots of such a component; neighbours that meet with their texts; rounds of components.
 GROUP, GROUP_SHINGLES, PIVOTS, TEXT_SPAN, ROUNDS = 2000, 4_000_000, 4, 256, 60
 CACHE_BYTES = 8_000_000
+#: Bits of a set's parities.
+BITS = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -232,11 +237,15 @@ def windows(classes: DataFrame, span: int) -> DataFrame:
     return blocks.join(classes, "cls").select(*classes.columns, F.posexplode(F.array(F.col("own"), F.col("own") + 1)).alias("look", "block"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Candidate links (a, b) between classes, as many as a region or window has members at most."""
+def regions(classes: DataFrame) -> DataFrame:
+    """Classes (cls) by region (tree, hi) with its number of classes n, of two or more."""
     keyed = classes.select("cls", F.posexplode("tops").alias("tree", "hi"))
     sizes = keyed.groupBy("tree", "hi").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = checkpointed(keyed.join(sizes, ["tree", "hi"]))
+    return checkpointed(keyed.join(sizes, ["tree", "hi"]))
+
+
+def candidates(classes: DataFrame, met: DataFrame) -> DataFrame:
+    """Candidate links (a, b) between classes, as many as a region or window has members at most. ``met``: as ``regions`` gives them."""
     lows = classes.select("cls", "low")
     links = forests(met.filter(F.col("n") <= REGION).join(lows, "cls"), ["tree", "hi"])
     dense = met.filter(F.col("n") > REGION).select("cls").distinct()
@@ -396,6 +405,74 @@ def large_links(rows: DataFrame, rule: Rule) -> DataFrame:
     return first.unionByName(neighbour_links(texts, rule))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """BITS bits: whether a set has an odd number of shingles of each remainder. Two of them differ in as many bits as the sets in shingles, at most."""
+    return np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def near_pairs(tiles: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of classes of different groups whose sizes and parities allow a link. ``tiles``: tile (with i and j), side, cls, group, n, bits; a tile holds two blocks."""
+
+    def close(own: bool, rows: list[tuple]) -> pa.RecordBatch:
+        side, ids, groups, n = (np.array([r[k] for r in rows], object if k in (1, 2) else np.int64) for k in range(4))
+        bits = np.frombuffer(b"".join(r[4] for r in rows), np.uint64).reshape(len(rows), -1)
+        pairs = []
+        # One of two that differ is outside the largest group.
+        names, group = np.unique(groups, return_inverse=True)
+        for x in np.flatnonzero(group != np.bincount(group, minlength=len(names)).argmax()):
+            y = np.flatnonzero((group != group[x]) & (own | (side != side[x])))
+            y = y[(rule.denominator * np.minimum(n[y], n[x]) >= rule.numerator * np.maximum(n[y], n[x]))]
+            apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+            y = y[(rule.denominator + rule.numerator) * apart <= (rule.denominator - rule.numerator) * (n[y] + n[x])]
+            pairs += [(ids[x], ids[z]) for z in y]
+        return pairs_batch(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for tile, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tile != now:
+                    if len(rows) > 1:
+                        yield close(now["i"] == now["j"], rows)
+                    now, rows = tile, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield close(now["i"] == now["j"], rows)
+
+    dealt = tiles.select("tile", "side", "cls", "group", "n", "bits").repartition("tile").sortWithinPartitions("tile", "side", "cls")
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def rest_links(texts: DataFrame, rule: Rule) -> DataFrame:
+    """Every link (a, b) between classes of different groups that full sets confirm. ``texts``: cls, group, text.
+
+    Exact: sets that are similar enough share one of their first n - ceil(n * similarity) + 1
+    shingles in any common order, here the rarest first. Those that one class alone has
+    need no meeting; the classes of another one meet in tiles of two blocks of ``REGION`` at most.
+    """
+
+    def kernel(rows: list[str | None]) -> list[tuple]:
+        found = [shingles(t, rule.words) for t in rows]
+        return [(digest(s), parity(s), s.view(np.int64).tolist()) for s in found]
+
+    made = map_rows(texts, kernel, ["cls", "group"], "text", "found binary, bits binary, s array<long>")
+    sets = checkpointed(made.filter("found = cls").drop("found").withColumn("n", F.size("s").cast("long")).dropDuplicates(["cls"]))
+    each = sets.select("cls", "group", "n", F.explode("s").alias("x"))
+    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    own = W.partitionBy("cls")
+    first = F.col("n") - F.floor((F.col("n") * rule.numerator + rule.denominator - 1) / rule.denominator) + 1
+    placed = each.join(shared, "x").withColumns({"place": F.row_number().over(own.orderBy("held", "x")), "many": F.count(F.lit(1)).over(own)})
+    prefix = checkpointed(placed.filter(F.col("place") + F.col("n") - F.col("many") <= first).select("x", "cls", "group", "n"))
+    mixed = prefix.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / REGION).alias("blocks"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("x", "blocks")
+    rows = prefix.join(mixed, "x").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(sets.select("cls", "bits"), "cls")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.struct("x", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    pairs = near_pairs(rows.select(tile.alias("tile"), (F.col("block") > F.col("other")).cast("long").alias("side"), "cls", "group", "n", "bits"), rule).distinct()
+    of = lambda name: sets.select(F.col("cls").alias(name), F.col("s").alias(f"s_{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", F.size(F.array_intersect("s_a", "s_b")))
+    return both.filter(rule.denominator * F.col("both") >= rule.numerator * (F.size("s_a") + F.size("s_b") - F.col("both"))).select("a", "b")
+
+
 def near_dup(df: DataFrame, key: str, text: str = "text", rule: Rule | None = None) -> DataFrame:
     """key, n_shingles, component_id and kept of every row."""
     rule = rule or Rule()
@@ -403,7 +480,8 @@ def near_dup(df: DataFrame, key: str, text: str = "text", rule: Rule | None = No
     rows = checkpointed(signed(base, ["__id", "__row"], "__text", rule))
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "tops", "low")]
     classes = checkpointed(rows.filter("cls is not null").groupBy("cls").agg(F.min("__id").alias("id"), F.min("__row").alias("__row"), *firsts))
-    likely = components(candidates(classes)).join(classes.select("cls", "__row", "n_shingles"), "cls")
+    met = regions(classes)
+    likely = components(candidates(classes, met)).join(classes.select("cls", "__row", "n_shingles"), "cls")
     chunks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES)).cast("long")
     sizes = likely.groupBy("root").agg(chunks.alias("chunks"))
     placed = checkpointed(likely.join(sizes, "root").select("cls", "root", "__row", "chunks", F.pmod(F.xxhash64("cls"), F.col("chunks")).alias("chunk")))
@@ -412,6 +490,13 @@ def near_dup(df: DataFrame, key: str, text: str = "text", rule: Rule | None = No
     if placed.filter("chunks > 1").limit(1).count():
         large = whole.filter("chunks > 1").join(classes.select("cls", "low"), "cls")
         links = links.unionByName(large_links(large.select("cls", "low", "root", "chunks", "chunk", "text"), rule))
+    # What neighbours can have missed: between groups of dense regions and of large components.
+    hard = checkpointed(met.filter(F.col("n") > REGION).select("cls").unionByName(placed.filter("chunks > 1").select("cls")).distinct())
+    if hard.limit(1).count():
+        links = checkpointed(links)
+        grouped = hard.join(components(links).select("cls", F.col("root").alias("group")), "cls", "left").join(classes.select("cls", "__row"), "cls")
+        grouped = grouped.select("cls", "__row", F.coalesce("group", "cls").alias("group"))
+        links = links.unionByName(rest_links(base.select("__row", F.col("__text").alias("text")).join(grouped, "__row"), rule))
     joined = components(links)
     named = joined.join(classes.select("cls", "id"), "cls")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
