@@ -54,8 +54,10 @@ ESTIMATE, REGION, ORDERS, SPAN = 0.76, 512, 32, 256
 #: Classes and shingles of a component before it is dealt over chunks; pivots of such a component; neighbours that meet with their texts; rounds of components.
 GROUP, GROUP_SHINGLES, PIVOTS, TEXT_SPAN, ROUNDS = 2000, 4_000_000, 4, 256, 60
 CACHE_BYTES = 8_000_000
-#: Bits of a set's parities.
-BITS = 2048
+#: Links that a task of ``components`` takes: few links in many tasks would be thousands of small files.
+LINKS = 50_000
+#: Bits of a set's parities; buckets of shingles whose classes are counted.
+BITS, BUCKETS = 2048, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -263,18 +265,21 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     every link leads to a root; what isn't done after ``rounds`` is an error.
     """
     links = checkpointed(links)
-    last = None
+    last, n = None, links.count()
     for _ in range(rounds):
+        few = lambda df, tasks=max(1, -(-n // LINKS)): df.coalesce(tasks)
+        links = few(links)
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).filter("x != y").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("x"), F.col("m").alias("y")).filter("x != y")
+        large = few(few(large).distinct())
         down = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(down, "x").select(F.explode(F.array(F.struct(F.col("x").alias("b"), F.col("m").alias("a")), F.struct(F.col("y").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
-        links = checkpointed(small)
+        small = large.join(down, "x").select(F.explode(F.array(F.struct(F.col("x").alias("b"), F.col("m").alias("a")), F.struct(F.col("y").alias("b"), F.col("m").alias("a")))).alias("e")).select("e.a", "e.b").filter("a != b")
+        links = checkpointed(few(few(small).distinct()))
         state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last or not state[0]:
             break
-        last = state
+        last, n = state, state[0]
     else:
         raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = links.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("cls"), "root")
@@ -443,12 +448,45 @@ def near_pairs(tiles: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def weights(sets: DataFrame) -> np.ndarray:
+    """How many classes hold the shingles of each of BUCKETS buckets, in eighths of powers of two; 0 where all of them are in one group. ``sets``: group, s.
+
+    A fixed size, whatever the corpus: Spark sums a bucket's row, of which there are BUCKETS at most.
+    """
+    each = sets.select("group", F.explode("s").alias("x")).select("group", F.col("x").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+    found = counts.select("bucket", F.least(F.floor(F.log2("held") * 8), F.lit(255)).cast("short").alias("weight")).toArrow()
+    out = np.zeros(BUCKETS, np.uint8)
+    out[found.column("bucket").to_numpy()] = found.column("weight").to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, held: np.ndarray, rule: Rule) -> DataFrame:
+    """Of each class (cls, group, n, s) the shingles x by which it meets others: among the first of its set, those of the least weight first, without those of one group."""
+    sent = sets.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kept = [], []
+            for i, s in enumerate(batch.column("s")):
+                x = s.values.to_numpy(zero_copy_only=False)
+                weight = sent.value[x & (BUCKETS - 1)]
+                first = np.lexsort((x, weight))[: len(x) - -(-len(x) * rule.numerator // rule.denominator) + 1]
+                kept.append(x[first[weight[first] > 0]])
+                at.append(np.full(len(kept[-1]), i))
+            if kept:
+                rows = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept))] + [batch.column(c).take(rows) for c in ("cls", "group", "n")], names=["x", "cls", "group", "n"])
+
+    return sets.select("cls", "group", "n", "s").mapInArrow(run, "x long, cls binary, group binary, n long")
+
+
 def rest_links(texts: DataFrame, rule: Rule) -> DataFrame:
     """Every link (a, b) between classes of different groups that full sets confirm. ``texts``: cls, group, text.
 
     Exact: sets that are similar enough share one of their first n - ceil(n * similarity) + 1
-    shingles in any common order, here the rarest first. Those that one class alone has
-    need no meeting; the classes of another one meet in tiles of two blocks of ``REGION`` at most.
+    shingles in any common order, here by the weight of their bucket, the rarest first. Those that one
+    group alone has need no meeting; the classes of another one meet in tiles of two blocks of ``REGION`` at most.
     """
 
     def kernel(rows: list[str | None]) -> list[tuple]:
@@ -457,12 +495,7 @@ def rest_links(texts: DataFrame, rule: Rule) -> DataFrame:
 
     made = map_rows(texts, kernel, ["cls", "group"], "text", "found binary, bits binary, s array<long>")
     sets = checkpointed(made.filter("found = cls").drop("found").withColumn("n", F.size("s").cast("long")).dropDuplicates(["cls"]))
-    each = sets.select("cls", "group", "n", F.explode("s").alias("x"))
-    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    own = W.partitionBy("cls")
-    first = F.col("n") - F.floor((F.col("n") * rule.numerator + rule.denominator - 1) / rule.denominator) + 1
-    placed = each.join(shared, "x").withColumns({"place": F.row_number().over(own.orderBy("held", "x")), "many": F.count(F.lit(1)).over(own)})
-    prefix = checkpointed(placed.filter(F.col("place") + F.col("n") - F.col("many") <= first).select("x", "cls", "group", "n"))
+    prefix = checkpointed(prefixes(sets, weights(sets), rule))
     mixed = prefix.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / REGION).alias("blocks"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("x", "blocks")
     rows = prefix.join(mixed, "x").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(sets.select("cls", "bits"), "cls")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -490,14 +523,15 @@ def near_dup(df: DataFrame, key: str, text: str = "text", rule: Rule | None = No
     if placed.filter("chunks > 1").limit(1).count():
         large = whole.filter("chunks > 1").join(classes.select("cls", "low"), "cls")
         links = links.unionByName(large_links(large.select("cls", "low", "root", "chunks", "chunk", "text"), rule))
+    joined = components(links)
     # What neighbours can have missed: between groups of dense regions and of large components.
     hard = checkpointed(met.filter(F.col("n") > REGION).select("cls").unionByName(placed.filter("chunks > 1").select("cls")).distinct())
     if hard.limit(1).count():
-        links = checkpointed(links)
-        grouped = hard.join(components(links).select("cls", F.col("root").alias("group")), "cls", "left").join(classes.select("cls", "__row"), "cls")
+        grouped = hard.join(joined.select("cls", F.col("root").alias("group")), "cls", "left").join(classes.select("cls", "__row"), "cls")
         grouped = grouped.select("cls", "__row", F.coalesce("group", "cls").alias("group"))
-        links = links.unionByName(rest_links(base.select("__row", F.col("__text").alias("text")).join(grouped, "__row"), rule))
-    joined = components(links)
+        rest = checkpointed(rest_links(base.select("__row", F.col("__text").alias("text")).join(grouped, "__row"), rule))
+        if rest.limit(1).count():
+            joined = components(joined.filter("cls != root").select(F.col("root").alias("a"), F.col("cls").alias("b")).unionByName(rest))
     named = joined.join(classes.select("cls", "id"), "cls")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     lookup = named.join(least, "root").select("cls", "component_id")
