@@ -38,9 +38,11 @@ def packed(cells: DataFrame, height: int, width: int) -> DataFrame:
 SLICES = 8
 
 
-def views(cameras: DataFrame, cells: DataFrame, height: int, width: int, n: int = RAYS, steps: int = STEPS) -> DataFrame:
+def views(cameras: DataFrame, cells: DataFrame, height: int, width: int, n: int = RAYS, steps: int = STEPS, sliced: bool = False) -> DataFrame:
     """What each camera sees: samples of its rays with the cells' columns, the angle to each, and whether it rises above all before it on its ray.
 
+    ``sliced`` leaves the column ``slice``: what is grouped by area, slice and more isn't shuffled.
+
     Rasters go to their cameras as arrays, in which samples look their cells up,
     and rays are compared where they were made: no sample is shuffled. The
     cameras of an area are dealt over ``SLICES`` parts, each with the raster once,
@@ -55,7 +57,8 @@ def views(cameras: DataFrame, cells: DataFrame, height: int, width: int, n: int
     seen = found.select("vp_id", "area", "slice", "alt", "ray", "step", "dist", "row", "col", *[F.col("cell")[v].alias(v) for v in values]).withColumn("angle", F.atan2(F.col("elev") - F.col("alt"), F.col("dist")))
     # Keyed by what the join has dealt the rows by, and the ray.
     before = F.max("angle").over(W.partitionBy("area", "slice", "vp_id", "ray").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
-    return seen.withColumn("visible", F.col("angle") > F.coalesce(before, F.lit(-math.pi / 2))).drop("slice")
+    out = seen.withColumn("visible", F.col("angle") > F.coalesce(before, F.lit(-math.pi / 2)))
+    return out if sliced else out.drop("slice")
 
 
 def entropy(count: Column, total: Column) -> Column:
@@ -140,12 +143,19 @@ def water_share(view: DataFrame, water: DataFrame) -> DataFrame:
 
 
 def mystery(view: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rays whose next step after the last visible one is of high interest, over the visible cells of high interest. ``limits``: area, p75; ``view`` has interest."""
-    seen = view.join(limits, "area")
-    last = seen.groupBy("vp_id", "ray").agg(F.max(F.when(F.col("visible"), F.col("step"))).alias("last"))
-    hidden = seen.join(last, ["vp_id", "ray"]).filter((F.col("step") == F.col("last") + 1) & (F.col("interest") >= F.col("p75"))).groupBy("vp_id").agg(F.count(F.lit(1)).alias("hidden"))
-    shown = seen.filter(F.col("visible") & (F.col("interest") >= F.col("p75"))).select("vp_id", "row", "col").distinct().groupBy("vp_id").agg(F.count(F.lit(1)).alias("shown"))
-    return shown.join(hidden, "vp_id", "left").select("vp_id", F.least(F.lit(1.0), F.coalesce("hidden", F.lit(0)) / F.col("shown")).alias("mystery"))
+    """Rays whose next step after the last visible one is of high interest, over the visible cells of high interest. ``limits``: area, p75; ``view`` has interest.
+
+    The view is read once, and with its ``slice`` no sample is shuffled: a ray's last visible
+    step and a camera's cells are found where its samples are.
+    """
+    keys = ["area", *(["slice"] if "slice" in view.columns else []), "vp_id"]
+    high = F.col("interest") >= F.col("p75")
+    last = F.max(F.when(F.col("visible"), F.col("step"))).over(W.partitionBy(*keys, "ray"))
+    seen = view.join(F.broadcast(limits), "area").withColumns({"__hidden": high & (F.col("step") == last + 1), "__shown": high & F.col("visible")})
+    # Cells by camera, then cameras: both within what the samples were dealt by.
+    cells = seen.groupBy(*keys, "row", "col").agg(F.count_if("__hidden").alias("hidden"), F.max("__shown").alias("shown"))
+    both = cells.groupBy(*keys).agg(F.sum("hidden").alias("hidden"), F.count_if("shown").alias("shown")).filter("shown > 0")
+    return both.select("vp_id", F.least(F.lit(1.0), F.col("hidden") / F.col("shown")).alias("mystery"))
 
 
 def all_scores(cameras: DataFrame, surface: DataFrame, water: DataFrame, side: int) -> DataFrame:

@@ -169,8 +169,8 @@ def cameras(spark, d):
     return table(spark, d, "supplier").select(k.alias("vp_id"), (k % 7).alias("area"), (F.lit(40.0) - (k % 40) / 2000.0 - 0.01).alias("lat"), (F.lit(-105.0) + (k * 7 % 40) / 1500.0 + 0.01).alias("lng"), (F.lit(1800.0) + k % 500).alias("alt"), ((k * 37 % 360) + 0.5).alias("head"), (F.lit(40.0) + k % 60).alias("fov"), bounds_column().alias("b"))
 
 
-def view(spark, d):
-    return visibility.views(cameras(spark, d), cells(spark, d).withColumn("interest", (c("elev") - 187.0) / 2500.0), 64, 64)
+def view(spark, d, sliced=False):
+    return visibility.views(cameras(spark, d), cells(spark, d).withColumn("interest", (c("elev") - 187.0) / 2500.0), 64, 64, sliced=sliced)
 
 
 @query("g11_viewshed", f"WITH {RAY_SQL} SELECT vp_id, ray, count(*) AS samples, count(*) FILTER (visible) AS seen FROM view GROUP BY vp_id, ray")
@@ -255,7 +255,7 @@ def a9(spark, d):
 SELECT s.vp_id, round(LEAST(1.0, coalesce(h.n, 0) / CAST(s.n AS DOUBLE)), 6) AS mystery FROM s LEFT JOIN h USING (vp_id)""")
 def a11(spark, d):
     limits = cells(spark, d).groupBy("area").agg(F.percentile((c("elev") - 187.0) / 2500.0, F.lit(0.75)).alias("p75"))
-    return visibility.mystery(view(spark, d), limits).select("vp_id", F.round("mystery", 6).alias("mystery"))
+    return visibility.mystery(view(spark, d, sliced=True), limits).select("vp_id", F.round("mystery", 6).alias("mystery"))
 
 
 @query("a12_water_share", f"""WITH {RAY_SQL}, w AS (SELECT area, "row", col FROM cells WHERE elev < 1000), t AS (SELECT area, count(*) AS n FROM w GROUP BY area), s AS (SELECT DISTINCT vp_id, area, "row", col FROM view WHERE visible) SELECT s.vp_id, round(count(w.area) / CAST(any_value(t.n) AS DOUBLE), 6) AS water FROM s JOIN t USING (area) LEFT JOIN w ON w.area = s.area AND w."row" = s."row" AND w.col = s.col GROUP BY s.vp_id""")

@@ -85,3 +85,9 @@ def test_decay_adds_points_in_order_without_a_fold_a_cell(spark):
         plain = {k: sum(s * math.exp(-((k[1] - r) ** 2 + (k[2] - c) ** 2) / 18.0) for r, c, s in own) for k in rows if k[0] == area}
         low, high = min(plain.values()), max(plain.values())
         assert all(abs(rows[k] - (v - low) / (high - low)) < 1e-12 for k, v in plain.items())
+
+
+def test_hidden_interest_is_found_where_samples_are(spark):
+    """Cameras and rasters are dealt by area and slice, and samples never again."""
+    plan = final_plan(QUERIES["a11_mystery"](spark, SF)).split("Initial Plan")[0]
+    assert not re.search(r"hashpartitioning\((vp_id|[^)\n]*\b(ray|row)#)", plan)
