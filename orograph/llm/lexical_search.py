@@ -5,7 +5,7 @@ ids and a compressed sparse matrix of postings (terms, where each term's
 postings begin, the documents' places in the shard, integer impacts). Impacts
 are precomputed, as they depend on the document and on the corpus's length
 alone. A shard ends after ``SHARD_WORDS`` words, so a shard's size doesn't
-depend on how many documents a partition holds.
+depend on how many documents a partition holds; it is written and read by itself.
 
 ``search`` takes the queries in blocks of bounded size, sends a block to every
 task, and scores term at a time: a dense accumulator over the shard's documents
@@ -221,11 +221,15 @@ def search(shards: DataFrame, whole: Row, queries: DataFrame, item_id: str = "it
 
 
 def written_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Row]:
-    """``index`` written as Parquet to the shared folder, so that searches read the columns they need."""
+    """``index`` written as Parquet to the shared folder, so that searches read the columns they need.
+
+    A shard is a row group of its own: Parquet first looks at a group's size after a hundred rows, and readers decode a group at once,
+    so that otherwise all shards of a file would be held, by writers and by readers.
+    """
     spark = docs.sparkSession
     shards, whole = index(docs, doc_id, text)
     folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    shards.write.parquet(folder)
+    shards.write.option("parquet.block.row.count.limit", 1).parquet(folder)
     return spark.read.parquet(folder), whole
 
 

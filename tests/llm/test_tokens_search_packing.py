@@ -121,6 +121,17 @@ def test_search_equals_plain_ranking(spark, monkeypatch):
     assert lexical_search.search(shards, whole, queries).count() == 0
 
 
+def test_index_is_written_a_shard_at_a_time(spark, monkeypatch):
+    """However many shards a task makes, neither its file's writer nor a reader holds more than one."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical_search, "SHARD_WORDS", 60)
+    shards, _ = lexical_search.written_index(spark.createDataFrame([(i, "alpha beta gamma " * 10, "x", "y", "z") for i in range(400)], DOCS).coalesce(2))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in shards.inputFiles()]
+    assert max(m.num_rows for m in files) > 50
+    assert all(m.row_group(g).num_rows == 1 for m in files for g in range(m.num_row_groups))
+
+
 def test_places_of_equal_scores_go_by_id():
     rnd = random.Random(6)
     for _ in range(200):
